@@ -1,0 +1,233 @@
+"""Prompts, pluggable models and judges, and run records.
+
+A model is any picklable object with ``complete(system, user) -> (text, usage)``; it lives in the Arrow workers, one per partition. A call that keeps
+failing gives an empty reply and the error, cut to 300 characters, in ``usage``; the run goes on.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import os
+import re
+import time
+import urllib.request
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.functions.labels import parsed_reply
+from plumbline.functions.text import passages
+
+CONFIGS = {"baseline1_plain_llm": False, "baseline2_standard_rag": True, "agent_structured": True}
+_TASK = "Decide whether the described AI system is high-risk under Article 6 of the EU AI Act by way of Annex III."
+_REPLY = 'Reply with one JSON object only: {"label": "high-risk" or "not-high-risk", "%s": "..."}'
+
+
+def _described(hits: bool) -> Column:
+    described = F.concat(F.lit("AI system description:\n"), F.coalesce("system_description", F.lit("")))
+    return F.concat(F.lit("Passages from the guidelines:\n"), passages(F.col("hits"), heading=True), F.lit("\n\n"), described) if hits else described
+
+
+def plain_prompt() -> tuple[Column, Column]:
+    return F.lit(f"{_TASK} Use what you know; there is no reference text.\n\n{_REPLY % 'reason'}"), _described(False)
+
+
+def retrieval_prompt() -> tuple[Column, Column]:
+    system = f"{_TASK} Rely on the passages given and base the explanation on them.\n\n{_REPLY % 'explanation'}"
+    return F.lit(system), F.concat(_described(True), F.lit("\n\nClassify the system and explain by the passages."))
+
+
+def structured_prompt() -> tuple[Column, Column]:
+    steps = (
+        "State the intended purpose.",
+        "Find the Annex III point, 1 to 8, that covers it; without one the system is not high-risk on this route.",
+        "Where a point covers it, test the conditions of Article 6(3)(a) to (d): one met and no profiling of natural persons exempts it; profiling never is exempt.",
+        "Give the label, the point and the condition, with the passages.",
+    )
+    system = f"{_TASK} Work from the passages only, in these steps:\n" + "\n".join(f"{i}. {s}" for i, s in enumerate(steps, 1)) + f"\n\n{_REPLY % 'explanation'}"
+    return F.lit(system), F.concat(_described(True), F.lit("\n\nGo through the steps and return the JSON."))
+
+
+BUILDERS: dict[str, Callable[[], tuple[Column, Column]]] = {"baseline1_plain_llm": plain_prompt, "baseline2_standard_rag": retrieval_prompt, "agent_structured": structured_prompt}
+
+
+def config_cross(rows: DataFrame, configs: Sequence[str] | None = None, row_ids: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Every configuration over every row, after the id filter and then the limit in row order."""
+    wanted = [c for c in CONFIGS if configs is None or c in configs]
+    if row_ids is not None:
+        rows = rows.where(F.col("id").isin(*row_ids)) if row_ids else rows.limit(0)
+    if limit is not None:
+        rows = rows.orderBy("row_no").limit(limit)
+    return rows.withColumn("config", F.explode(F.array(*[F.lit(c) for c in wanted]).cast("array<string>")))
+
+
+def with_prompts(crossed: DataFrame) -> DataFrame:
+    """``crossed`` has ``config``, ``system_description`` and ``hits``; other configurations get null prompts."""
+    system = user = F.lit(None).cast("string")
+    for name, build in BUILDERS.items():
+        s, u = build()
+        system, user = F.when(F.col("config") == name, s).otherwise(system), F.when(F.col("config") == name, u).otherwise(user)
+    return crossed.withColumn("system", system).withColumn("user", user)
+
+
+class StubModel:
+    """Replies without a model, from a hash of the prompt; for tests."""
+
+    def complete(self, system: str, user: str) -> tuple[str, dict]:
+        label = "high-risk" if hashlib.sha1(user.encode()).digest()[0] % 3 == 0 else "not-high-risk"
+        return json.dumps({"label": label, "explanation": f"The description leads to {label}."}), {"input_tokens": len(user.split()), "output_tokens": 8}
+
+
+@dataclass
+class HttpModel:
+    """Any endpoint of the common chat-completions form."""
+
+    model: str
+    base_url: str
+    api_key_env: str = "OPENAI_API_KEY"
+    temperature: float = 0.0
+    max_tokens: int = 1024
+    timeout_s: float = 120.0
+
+    def complete(self, system: str, user: str) -> tuple[str, dict]:
+        body = {"model": self.model, "temperature": self.temperature, "max_tokens": self.max_tokens, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        request = urllib.request.Request(f"{self.base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.api_key_env, '')}"})
+        with urllib.request.urlopen(request, timeout=self.timeout_s) as reply:
+            found = json.load(reply)
+        usage = found.get("usage") or {}
+        return found["choices"][0]["message"]["content"] or "", {"input_tokens": usage.get("prompt_tokens"), "output_tokens": usage.get("completion_tokens")}
+
+
+#: Model factories by name; add your own.
+MODELS: dict[str, Callable[..., object]] = {"stub": lambda **_: StubModel(), "openai_compatible": HttpModel}
+
+
+def get_model(name: str, **options) -> object:
+    if name not in MODELS:
+        raise ValueError(f"no model named {name!r}; there are {sorted(MODELS)}")
+    return MODELS[name](**options)
+
+
+def completed(model: object, system: str, user: str, attempts: int = 4, pause: Callable[[float], None] = time.sleep) -> tuple[str, dict]:
+    for attempt in range(attempts):
+        try:
+            return model.complete(system, user)
+        except Exception as e:  # a failing endpoint must not end the run
+            if attempt + 1 == attempts:
+                return "", {"error": repr(e)[:300]}
+            pause(2.0**attempt)
+    return "", {"error": "no attempt"}
+
+
+def generate(prompted: DataFrame, model: object, attempts: int = 4) -> DataFrame:
+    """Run records of rows with (``row_no``, ``id``, ``label``, ``config``, ``system``, ``user``, ``hits``, ``edge_case_type``, ``annex_iii_area``)."""
+    schema = prompted.select("row_no", "config").schema.add("raw", "string").add("usage", "struct<input_tokens:int,output_tokens:int,error:string>")
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            replies = [completed(model, s, u, attempts) for s, u in zip(pdf["system"], pdf["user"], strict=True)]
+            usage = [{k: r[1].get(k) for k in ("input_tokens", "output_tokens", "error")} for r in replies]
+            yield pd.DataFrame({"row_no": pdf["row_no"], "config": pdf["config"], "raw": [r[0] for r in replies], "usage": usage})
+
+    replies = prompted.select("row_no", "config", "system", "user").mapInPandas(call, schema)
+    slim = F.transform("hits", lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text"), h["score"].alias("score")))
+    joined = prompted.join(replies, ["row_no", "config"]).withColumn("p", parsed_reply(F.col("raw")))
+    return joined.select(
+        "row_no", "id", "config", F.col("label").alias("gold_label"), F.col("p.label").alias("pred_label"), F.col("p.explanation").alias("explanation"), F.col("p.parse_ok").alias("parse_ok"), "edge_case_type", "annex_iii_area",
+        F.slice(slim, 1, 5).alias("retrieved_top5"), F.slice(F.transform("hits", lambda h: h["id"]), 1, 10).alias("retrieved_top10_ids"), "usage", "raw",
+    )
+
+
+def stratified_sample(rows: DataFrame, n_each: int = 3) -> DataFrame:
+    """The first high-risk row of each area up to ``n_each`` areas, then the first rows that are neither high-risk nor filter cases, then filter cases; in row order
+    within a stratum. A row may be in two strata. Each stratum is a partial top-n, so no group is gathered."""
+    high = rows.where("label = 'high-risk'").groupBy("annex_iii_area").agg(F.min("row_no").alias("row_no")).orderBy("row_no").limit(n_each).select("row_no", F.lit("high-risk").alias("stratum"))
+    plain = rows.where("label = 'not-high-risk' and edge_case_type = 'none'").orderBy("row_no").limit(n_each).select("row_no", F.lit("not-high-risk").alias("stratum"))
+    cases = rows.where("edge_case_type = 'article-6-3-filter'").orderBy("row_no").limit(n_each).select("row_no", F.lit("filter").alias("stratum"))
+    picked = F.broadcast(high.unionByName(plain).unionByName(cases))  # three times n_each rows
+    return rows.join(picked, "row_no").select("stratum", "row_no", "id", "annex_iii_area", "label", "edge_case_type")
+
+
+def sample_tally(runs: DataFrame, sample: DataFrame) -> DataFrame:
+    """Right predictions of each configuration on the sampled ids."""
+    hits = F.sum((F.col("pred_label") == F.col("gold_label")).cast("long"))
+    return runs.join(F.broadcast(sample.select("id").distinct()), "id").groupBy("config").agg(F.count("*").alias("n"), F.coalesce(hits, F.lit(0).cast("long")).alias("n_right"))
+
+
+class Judge:
+    """Statements of an answer, and which of them the context supports, by a model. Replies that aren't JSON fall back: to sentences, and to no support."""
+
+    name = "llm"
+
+    def __init__(self, model: object):
+        self.model = model
+
+    @staticmethod
+    def _object(text: str) -> dict | None:
+        m = re.search(r"\{.*\}", text or "", re.DOTALL)
+        try:
+            found = json.loads(m.group(0)) if m else None
+        except ValueError:
+            return None
+        return found if isinstance(found, dict) else None
+
+    def statements(self, question: str, answer: str) -> list[str]:
+        text, _ = completed(self.model, 'List the distinct claims of the answer as sentences that stand alone. Reply with JSON only: {"statements": ["..."]}', f"Question:\n{question}\n\nAnswer:\n{answer}")
+        found = self._object(text)
+        if found is None or not isinstance(found.get("statements"), list):
+            return [s for part in re.split(r"(?<=[.!?])\s+", answer.strip()) if (s := part.strip())]
+        return [s.strip() for s in found["statements"] if isinstance(s, str) and s.strip()]
+
+    def verdicts(self, context: str, claims: list[str]) -> list[dict]:
+        numbered = "\n".join(f"{i}. {s}" for i, s in enumerate(claims, 1))
+        text, _ = completed(self.model, 'For each statement: 1 if the context supports it, else 0. Reply with JSON only: {"verdicts": [{"statement": "...", "verdict": 0, "reason": "..."}]}', f"Context:\n{context}\n\nStatements:\n{numbered}")
+        found = self._object(text)
+        if found is None or not isinstance(found.get("verdicts"), list):
+            return [{"statement": s, "verdict": 0, "reason": "judge-parse-failed"} for s in claims]
+        return matched_verdicts(claims, [v if isinstance(v, dict) else {} for v in found["verdicts"]])
+
+
+def matched_verdicts(claims: list[str], replies: list[dict]) -> list[dict]:
+    """A reply for each claim by its text, the last of equal ones; else by place, if there are as many replies as claims; else no support."""
+    by_text = {r["statement"].strip(): r for r in replies if isinstance(r.get("statement"), str)}
+    same_length = len(claims) == len(replies)
+    out = []
+    for i, claim in enumerate(claims):
+        reply = by_text.get(claim.strip(), replies[i] if same_length else {})
+        out.append({"statement": claim, "verdict": int(bool(reply.get("verdict", 0))), "reason": str(reply.get("reason", ""))})
+    return out
+
+
+def judged_runs(runs: DataFrame, questions: DataFrame, judge: Judge) -> DataFrame:
+    """Faithfulness rows by a model's verdicts; the last question of an id counts, a missing one is empty. Errors skip the row as 'judge-error'."""
+    from plumbline.operators.common import latest
+
+    asked = latest(questions.select("id", "row_no", "system_description"), ["id"], "row_no").select("id", F.col("system_description").alias("question"))
+    source = runs.select("row_no", "id", "config", passages(F.col("retrieved_top5")).alias("context"), F.trim(F.coalesce("explanation", F.lit(""))).alias("explanation")).join(asked, "id", "left")
+    schema = "row_no long, id string, config string, faithfulness double, skipped_reason string, n_statements int, n_supported int, statements array<struct<statement:string,verdict:int,reason:string>>, judge string, error string"
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                reason, error, found = None, None, []
+                try:
+                    if not r.context:
+                        reason = "no-retrieved-context"
+                    elif not r.explanation:
+                        reason = "no-explanation"
+                    elif claims := judge.statements(r.question or "", r.explanation):
+                        found = judge.verdicts(r.context, claims)
+                    else:
+                        reason = "no-statements-extracted"
+                except Exception as e:  # one row's trouble must not end the run
+                    reason, error, found = "judge-error", repr(e)[:300], []
+                good = sum(v["verdict"] for v in found)
+                rows.append((r.row_no, r.id, r.config, good / len(found) if found else None, reason, len(found), good, found, judge.name, error))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("row_no", "id", "config", "faithfulness", "skipped_reason", "n_statements", "n_supported", "statements", "judge", "error")])
+
+    return source.mapInPandas(score, schema)

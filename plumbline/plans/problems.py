@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators import reject_load
+from plumbline.plans.sql import trimmed
 from plumbline.session import table
 
 
@@ -18,22 +19,17 @@ def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded}
 
-_SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 
 
-def _trimmed(c: str) -> str:
-    return f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
-
-
 def _value(n: int) -> str:
     """The n-th field of a record whose quoting is sound."""
     plain = f"regexp_extract(raw_line, '^(?:{_FIELD},){{{n - 1}}}({_FIELD})', 1)"
     return f"""CASE WHEN {plain} LIKE '"%' THEN replace(substr({plain}, 2, length({plain}) - 2), '""', '"') ELSE {plain} END"""
 
 
-_BAD_ID = f"NOT coalesce(regexp_matches({_trimmed('id')}, '^anx3-[0-9]{{3,}}$'), false)"
-_BAD_LABEL = f"NOT coalesce(lower({_trimmed('label')}) IN ('high-risk', 'not-high-risk'), false)"
+_BAD_ID = f"NOT coalesce(regexp_matches({trimmed('id')}, '^anx3-[0-9]{{3,}}$'), false)"
+_BAD_LABEL = f"NOT coalesce(lower({trimmed('label')}) IN ('high-risk', 'not-high-risk'), false)"
 _REASONS = f"""
 WITH read AS (
   SELECT row_no, NOT regexp_full_match(raw_line, '{_FIELD}(?:,{_FIELD})*') AS unsound,

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plumbline.plans import problems
+from plumbline.plans import problems, scoring_queries
 
 FLAGSHIP = "p2_found"
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**scoring_queries.QUERIES, **problems.QUERIES}
+SQL = {**scoring_queries.SQL, **problems.SQL}
