@@ -135,14 +135,14 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     hit = cut_lineage(spread(pages).mapInPandas(hits, "doc_id long, places array<int>, found array<long>, doc_words array<long>"))
     each = hit.select(F.explode(F.array_distinct("found")).alias("shingle"))
     n_docs = each.groupBy("shingle").agg(F.count("*").alias("n_docs")).join(distinct, "shingle", "left_semi")
-    counted = placed.join(n_docs, "shingle", "left").select("item_id", F.struct("pos", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"), "shingle").alias("x"))
+    counted = placed.join(n_docs.hint("merge"), "shingle", "left").select("item_id", F.struct("pos", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"), "shingle").alias("x"))
     prefixes = counted.groupBy("item_id").agg(F.collect_list("x").alias("counted")).mapInPandas(_prefixes, "item_id long, item_pos int, shingle long")
     prefixes = cut_lineage(prefixes)
     seeds = hit.where("doc_words is not null").select("doc_id", F.explode(F.arrays_zip("places", "found")).alias("x")).select("doc_id", F.col("x.places").alias("place"), F.col("x.found").alias("shingle"))
     candidates = (
-        seeds.join(prefixes, "shingle")
+        seeds.join(prefixes.hint("merge"), "shingle")
         .groupBy("doc_id", "item_id")
         .agg(F.collect_set(F.col("place") - F.col("item_pos")).alias("offsets"))
     )
-    full = candidates.join(hit.select("doc_id", "doc_words"), "doc_id").join(known.select("item_id", "item_words"), "item_id")
+    full = candidates.join(hit.select("doc_id", "doc_words").hint("merge"), "doc_id").join(known.select("item_id", "item_words").hint("merge"), "item_id")
     return full.mapInPandas(_verified, "doc_id long, item_id long").distinct()

@@ -100,7 +100,7 @@ def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     sets = cut_lineage(spread(source).mapInPandas(_word_sets, "key long, set_id binary, words array<long>"))
     heads = sets.groupBy("set_id").agg(F.min("key").alias("rep"), F.first("words").alias("words"))
     heads = cut_lineage(heads)
-    members = sets.select("key", "set_id").join(heads.select("set_id", "rep"), "set_id").select("key", "rep")
+    members = sets.select("key", "set_id").join(heads.select("set_id", "rep").hint("merge"), "set_id").select("key", "rep")
     return members, heads.select("rep", "words")
 
 
@@ -109,14 +109,15 @@ def class_links(heads: DataFrame, threshold: float) -> DataFrame:
     sketches = cut_lineage(heads.mapInPandas(_sketches, "rep long, n_words int, sketch array<long>, bands array<long>"))
     entries = sketches.select("rep", F.posexplode("bands").alias("band", "band_key"))
     left, right = (entries.select("band", "band_key", F.col("rep").alias(x)) for x in "ab")
-    candidates = left.join(right, ["band", "band_key"]).where("a < b").select("a", "b").distinct()
+    # Merge joins throughout: the planner sizes an exploded table by its source and would broadcast it.
+    candidates = left.join(right.hint("merge"), ["band", "band_key"]).where("a < b").select("a", "b").distinct()
     slim = sketches.select("rep", "n_words", "sketch")
     for x in "ab":
-        candidates = candidates.join(slim.select(F.col("rep").alias(x), F.col("n_words").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")), x)
+        candidates = candidates.join(slim.select(F.col("rep").alias(x), F.col("n_words").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")).hint("merge"), x)
     bound = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
     likely = candidates.where(bound & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= threshold - MARGIN)).select("a", "b", "n_a", "n_b")
     for x in "ab":
-        likely = likely.join(heads.select(F.col("rep").alias(x), F.col("words").alias(f"words_{x}")), x)
+        likely = likely.join(heads.select(F.col("rep").alias(x), F.col("words").alias(f"words_{x}")).hint("merge"), x)
     common = F.size(F.array_intersect("words_a", "words_b"))
     verified = likely.select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity"))
     return verified.where(F.col("similarity") >= threshold)
@@ -127,8 +128,8 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float =
     members, heads = classes(df, key, text)
     members, links = cut_lineage(members), cut_lineage(class_links(heads, threshold))
     one, two = (members.select(F.col("rep").alias(r), F.col("key").alias(k)) for r, k in (("a", "k1"), ("b", "k2")))
-    across = links.join(one, "a").join(two, "b").select("k1", "k2", "similarity")
-    within = one.join(two, F.col("a") == F.col("b")).where("k1 < k2").select("k1", "k2", F.lit(1.0).alias("similarity"))
+    across = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("k1", "k2", "similarity")
+    within = one.join(two.hint("merge"), F.col("a") == F.col("b")).where("k1 < k2").select("k1", "k2", F.lit(1.0).alias("similarity"))
     return across.unionByName(within).select(F.least("k1", "k2").alias("row_a"), F.greatest("k1", "k2").alias("row_b"), "similarity")
 
 

@@ -116,9 +116,9 @@ def page_evidence(documents: DataFrame) -> DataFrame:
     dense = seen.where(F.col("density") > DENSITY)
     own = dense.select("doc_id", F.explode("held").alias("shingle"), "repeated").select("doc_id", "shingle", F.array_contains("repeated", F.col("shingle")).alias("here"))
     # A shingle of many pages is looked up once per page; the looked-up side has each shingle once.
-    replicated = own.join(hosts.withColumn("there", F.lit(True)), "shingle", "left").groupBy("doc_id").agg(F.avg((F.col("here") | F.coalesce("there", F.lit(False))).cast("double")).alias("replicated"))
+    replicated = own.join(hosts.withColumn("there", F.lit(True)).hint("merge"), "shingle", "left").groupBy("doc_id").agg(F.avg((F.col("here") | F.coalesce("there", F.lit(False))).cast("double")).alias("replicated"))
     low = seen.where(F.col("density") <= DENSITY).select("doc_id", "density", F.lit(None).cast("double").alias("replicated"))
-    high = dense.select("doc_id", "density").join(replicated, "doc_id", "left")
+    high = dense.select("doc_id", "density").join(replicated.hint("merge"), "doc_id", "left")
     # A page of fewer than five words has no shingle; the lists decide alone.
     return low.unionByName(high).withColumn("is_spam", (F.col("density") > DENSITY) & ((F.col("density") > CLEAR_DENSITY) | (F.coalesce("replicated", F.lit(1.0)) >= REPLICATED)))
 

@@ -179,16 +179,16 @@ def judged_rows(df: DataFrame) -> DataFrame:
     counts = source.select("text").mapInPandas(_counted, "context long, n_end long, n_on long").groupBy("context").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
     tails = judged.where("evidence = 'unterminated'").select("origin", "key", F.posexplode("contexts").alias("order", "context")).where("context <> 0")
     # The tail contexts repeat: each is looked up once.
-    known = tails.select("context").distinct().join(counts, "context")
+    known = tails.select("context").distinct().join(counts.hint("merge"), "context")
     seen = F.col("n_end") + F.col("n_on")
     best = (
-        tails.join(known, "context")
+        tails.join(known.hint("merge"), "context")
         .groupBy("origin", "key")
         .agg(F.min(F.struct((seen < 2).alias("rare"), "order", (F.col("n_end") / seen).alias("share"))).alias("best"), F.max((F.col("order") == _ORDERS - 1).cast("int")).alias("known_word"))
         .select("origin", "key", F.when(F.col("known_word") == 1, F.col("best.share")).otherwise(0.0).alias("share"))
     )
     unterminated = F.col("evidence") == "unterminated"
-    joined = judged.join(best, ["origin", "key"], "left").withColumn("whole_share", F.when(unterminated, F.coalesce("share", F.lit(0.0))))
+    joined = judged.join(best.hint("merge"), ["origin", "key"], "left").withColumn("whole_share", F.when(unterminated, F.coalesce("share", F.lit(0.0))))
     whole = (unterminated & (F.col("whole_share") >= WHOLE_SHARE)).cast("int")
     terminated = (F.col("evidence") == "terminated").cast("int")
     baseline = joined.groupBy(F.col("origin").alias("of_origin"), F.col("source").alias("of_source")).agg((F.sum(whole) > F.sum(terminated)).alias("lax"))
