@@ -18,7 +18,9 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from plumbline import schemas
 from plumbline.functions.labels import parsed_reply
 from plumbline.functions.text import passages
 
@@ -125,7 +127,7 @@ def completed(model: object, system: str, user: str, attempts: int = 4, pause: C
 
 def generate(prompted: DataFrame, model: object, attempts: int = 4) -> DataFrame:
     """Run records of rows with (``row_no``, ``id``, ``label``, ``config``, ``system``, ``user``, ``hits``, ``edge_case_type``, ``annex_iii_area``)."""
-    schema = prompted.select("row_no", "config").schema.add("raw", "string").add("usage", "struct<input_tokens:int,output_tokens:int,error:string>")
+    schema = prompted.select("row_no", "config").schema.add("raw", StringType()).add("usage", schemas.RUNS["usage"].dataType)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

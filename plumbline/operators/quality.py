@@ -96,7 +96,7 @@ def label_vocabulary(rows: DataFrame) -> DataFrame:
 def set_summary(rows: DataFrame, none_is_empty: bool = False) -> DataFrame:
     """(``level``, ``value``, ``n``): rows, areas, labels in lower case, edge cases, review reasons."""
     parts = [
-        rows.agg(F.count("*").alias("n"), count_where(_edge(none_is_empty)).alias("e")).select(F.inline(F.array(F.struct(F.lit("rows").alias("level"), F.lit("all").alias("value"), F.col("n").alias("n")), F.struct(F.lit("edge cases"), F.lit("all"), F.col("e"))))),
+        rows.agg(F.count("*").alias("n"), count_where(_edge(none_is_empty)).alias("e")).select(F.inline(F.array(F.struct(F.lit("rows").alias("level"), F.lit("all").alias("value"), F.col("n").alias("n")), F.struct(F.lit("edge cases").alias("level"), F.lit("all").alias("value"), F.col("e").alias("n"))))),
         *[rows.groupBy(expr.alias("value")).agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), "value", "n") for level, expr in (("area", F.coalesce("annex_iii_area", F.lit("None"))), ("label", F.lower(F.coalesce("label", F.lit("None")))), ("edge", F.coalesce("edge_case_type", F.lit("None"))))],
         rows.select(F.explode("needs_review").alias("value")).groupBy("value").agg(F.count("*").alias("n")).select(F.lit("review reason").alias("level"), "value", "n"),
     ]

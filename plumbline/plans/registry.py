@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import problems, scoring_queries
+from plumbline.plans import problems, quality_queries, retrieval_queries, scoring_queries
 
-FLAGSHIP = "p2_found"
-QUERIES = {**scoring_queries.QUERIES, **problems.QUERIES}
-SQL = {**scoring_queries.SQL, **problems.SQL}
+FLAGSHIP = "bm25_topk"
+_PARTS = (retrieval_queries, scoring_queries, quality_queries, problems)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-CORPUS_CHUNKS = StructType.fromDDL("id string, source_doc string, section string, section_title string, annex_iii_area string, para_num string, part int, heading_path string, text string, char_len int")
-TEST_SET = StructType.fromDDL("id string, source string, annex_iii_area string, annex_iii_point string, system_description string, label string, label_source string, edge_case_type string, notes string, needs_review array<string>")
-HITS = "array<struct<id:string,text:string,score:double>>"
-RUNS = StructType.fromDDL(
-    f"id string, config string, gold_label string, pred_label string, explanation string, parse_ok boolean, edge_case_type string, annex_iii_area string, retrieved_top5 {HITS}, retrieved_top10_ids array<string>, usage struct<input_tokens:int,output_tokens:int,error:string>, raw string"
-)
-CORRECTNESS = StructType.fromDDL("id string, gold string, pred string, parse_ok boolean, correct boolean, edge_case_type string, area string")
-FAITHFULNESS = StructType.fromDDL("id string, config string, faithfulness double, skipped_reason string, n_statements int, n_supported int, statements array<struct<statement:string,verdict:int,reason:string>>, judge string, error string")
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
+
+_S, _I, _D, _B = StringType(), IntegerType(), DoubleType(), BooleanType()
+
+
+def _of(**fields: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
+
+
+CORPUS_CHUNKS = _of(id=_S, source_doc=_S, section=_S, section_title=_S, annex_iii_area=_S, para_num=_S, part=_I, heading_path=_S, text=_S, char_len=_I)
+TEST_SET = _of(id=_S, source=_S, annex_iii_area=_S, annex_iii_point=_S, system_description=_S, label=_S, label_source=_S, edge_case_type=_S, notes=_S, needs_review=ArrayType(_S))
+RUNS = _of(
+    id=_S, config=_S, gold_label=_S, pred_label=_S, explanation=_S, parse_ok=_B, edge_case_type=_S, annex_iii_area=_S, retrieved_top5=ArrayType(_of(id=_S, text=_S, score=_D)), retrieved_top10_ids=ArrayType(_S),
+    usage=_of(input_tokens=_I, output_tokens=_I, error=_S), raw=_S,
+)
+CORRECTNESS = _of(id=_S, gold=_S, pred=_S, parse_ok=_B, correct=_B, edge_case_type=_S, area=_S)
+FAITHFULNESS = _of(id=_S, config=_S, faithfulness=_D, skipped_reason=_S, n_statements=_I, n_supported=_I, statements=ArrayType(_of(statement=_S, verdict=_I, reason=_S)), judge=_S, error=_S)

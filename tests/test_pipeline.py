@@ -1,0 +1,147 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
+
+from plumbline import cli, schemas
+from plumbline.operators import generation, segment
+from plumbline.sources import files
+from plumbline.streaming.follow import accuracy_windows, append_correctness, followed_runs
+
+GUIDE = """
+3.4. Employment, workers management and access to self-employment, point 4(a)
+ 12
+(1) The first paragraph speaks of the recruitment of natural persons
+    and goes on here.
+  9 A footnote that is dropped
+   with its second line
+     but an indented line ends it.
+(2) Below are some examples of systems that would be caught.
+a) Practical example of systems falling within the high-risk use case, Point 4(b)
+   - A system that ranks the applicants of a large employer by fit,
+     going on in the next line.
+   - Too short.
+c) Practical example of systems exempted
+   - A system that only formats the letters of applicants, see Article 6(3)(a) and
+(3) Short.
+  9.1 A heading out of range is taken for a footnote
+(4) This paragraph is still within section 3.4 and is long enough.
+"""
+
+
+def test_corpus_fold():
+    got = segment.corpus_chunks_of(GUIDE)
+    assert [(c["para_num"], c["section"], c["annex_iii_area"]) for c in got] == [("1", "3.4", "employment"), ("4", "3.4", "employment")]
+    assert got[0]["text"] == "The first paragraph speaks of the recruitment of natural persons and goes on here. but an indented line ends it."
+    assert got[0]["heading_path"].startswith("employment | 3.4 Employment")
+
+
+def test_example_fold():
+    got = segment.examples_of(GUIDE)
+    assert [(r["label"], r["edge_case_type"], r["annex_iii_point"]) for r in got] == [("high-risk", "none", "4(b)"), ("not-high-risk", "article-6-3-filter", "4(b)")]
+    assert got[1]["notes"] == "Filter condition: Article 6(3)(a)" and got[1]["needs_review"] == ["possibly_truncated"]
+    assert got[0]["label_source"] == "Annex III guidelines, section 3.4, a) subsection, para ~2"
+
+
+def test_segments_of_null_and_empty_documents(spark):
+    df = spark.createDataFrame([("a", GUIDE), ("b", None), ("c", "")], "doc_id string, text string")
+    assert segment.segment_corpus(df).count() == 2 and segment.segment_examples(df).count() == 2
+
+
+class Failing:
+    def __init__(self, times):
+        self.times = times
+
+    def complete(self, system, user):
+        self.times -= 1
+        if self.times >= 0:
+            raise OSError("down " * 100)
+        return "fine", {}
+
+
+def test_retries_and_error_isolation():
+    waits = []
+    assert generation.completed(Failing(2), "s", "u", 4, waits.append) == ("fine", {}) and waits == [1.0, 2.0]
+    text, usage = generation.completed(Failing(9), "s", "u", 3, waits.append)
+    assert text == "" and len(usage["error"]) == 300
+    with pytest.raises(ValueError, match="no model"):
+        generation.get_model("other")
+
+
+def test_verdicts_match_by_text_then_by_place():
+    m = generation.matched_verdicts
+    assert [v["verdict"] for v in m(["a", "b"], [{"statement": "b ", "verdict": 1}])] == [0, 1]
+    assert [v["verdict"] for v in m(["a", "b"], [{"verdict": 1}, {"verdict": "0"}])] == [1, 1]
+    assert [v["verdict"] for v in m(["a", "b"], [{"verdict": 1}])] == [0, 0]
+
+
+class Scripted:
+    def __init__(self, *replies):
+        self.replies = replies
+
+    def complete(self, system, user):
+        return (self.replies[1] if user.startswith("Context") else self.replies[0]), {}
+
+
+def test_judge_falls_back(spark):
+    judge = generation.Judge(Scripted("no json", "neither"))
+    assert judge.statements("q", "One. Two.") == ["One.", "Two."]
+    assert {v["reason"] for v in judge.verdicts("c", ["a"])} == {"judge-parse-failed"}
+    runs = spark.createDataFrame([(1, "a", "c", [("i", "text", 0.1)], "One. Two."), (2, "b", "c", [], "x")], "row_no long, id string, config string, retrieved_top5 array<struct<id:string,text:string,score:double>>, explanation string")
+    asked = spark.createDataFrame([("a", 1, "q")], "id string, row_no long, system_description string")
+    good = generation.Judge(Scripted('{"statements": ["One.", "Two."]}', '{"verdicts": [{"statement": "Two.", "verdict": 1, "reason": "r"}]}'))
+    got = {r.row_no: (r.faithfulness, r.skipped_reason) for r in generation.judged_runs(runs, asked, good).collect()}
+    assert got == {1: (0.5, None), 2: (None, "no-retrieved-context")}
+
+
+def test_files(spark, tmp_path):
+    path = tmp_path / "agent_structured.jsonl"
+    path.write_text('{"id": "a", "config": "ignored", "parse_ok": true}\n\n{"id": "b"}\n', encoding="utf-8")
+    (tmp_path / "other.jsonl").write_text('{"id": "c"}\n', encoding="utf-8")
+    got = files.read_configs(spark, str(tmp_path), schemas.RUNS, ["agent_structured", "absent"])
+    assert sorted((r.id, r.config) for r in got.collect()) == [("a", "agent_structured"), ("b", "agent_structured")]
+    assert files.read_optional(spark, str(tmp_path / "none.jsonl"), schemas.RUNS).count() == 0
+    (tmp_path / "bad.json").write_text('{"id": "a"}\n{broken\n\n', encoding="utf-8")
+    good, bad = files.read_jsonl_tolerant(spark, str(tmp_path / "bad.json"), schemas.TEST_SET)
+    assert [r.id for r in good.collect()] == ["a"] and [r.line for r in bad.collect()] == ["{broken"]
+    files.write_jsonl(good, str(tmp_path / "out"))
+    assert json.loads(next((tmp_path / "out").glob("*.json")).read_text(encoding="utf-8").splitlines()[0])["label"] is None
+    wanted = spark.createDataFrame([("a", "agent_structured"), ("z", "agent_structured")], "id string, config string")
+    done = got.withColumn("usage", F.lit(None).cast("struct<input_tokens:int,output_tokens:int,error:string>"))
+    files.write_jsonl(done, str(tmp_path / "done"))
+    assert [r.id for r in files.append_missing(wanted, str(tmp_path / "done"), ["config", "id"], schemas.RUNS).collect()] == ["z"]
+
+
+def test_command_line_end_to_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    (tmp_path / "guide.txt").write_text(GUIDE, encoding="utf-8")
+    d = str(tmp_path)
+    cli.main(["build-corpus", f"{d}/guide.txt", f"{d}/chunks"])
+    cli.main(["extract", f"{d}/guide.txt", f"{d}/set"])
+    cli.main(["check", f"{d}/set", f"{d}/checks.md"])
+    cli.main(["generate", "--test-set", f"{d}/set", "--chunks", f"{d}/chunks", f"{d}/runs_out"])
+    runs = spark.read.schema(schemas.RUNS).json(f"{d}/runs_out")
+    assert runs.groupBy("config").count().count() == 3 and runs.where("pred_label is null").count() == 0
+    assert {r.config for r in runs.where("size(retrieved_top5) = 0").collect()} == {"baseline1_plain_llm"}
+    cli.main(["retrieval-eval", "--test-set", f"{d}/set", "--chunks", f"{d}/chunks", f"{d}/eval.md"])
+    (tmp_path / "runs").mkdir()
+    rows = [r.asDict(recursive=True) for r in runs.collect()]
+    for config in {r["config"] for r in rows}:
+        (tmp_path / "runs" / f"{config}.jsonl").write_text("\n".join(json.dumps(r) for r in rows if r["config"] == config), encoding="utf-8")
+    cli.main(["score", "--runs-dir", f"{d}/runs", "--out-dir", f"{d}/scores"])
+    cli.main(["report", "--runs-dir", f"{d}/runs", "--test-set", f"{d}/set", f"{d}/report.html"])
+    assert "agent_structured" in (tmp_path / "scores" / "summary.md").read_text(encoding="utf-8")
+    assert "<table>" in (tmp_path / "report.html").read_text(encoding="utf-8")
+
+
+def test_streamed_runs(spark, tmp_path):
+    schema = StructType([*schemas.RUNS.fields, StructField("loaded_at", TimestampType()), StructField("row_no", LongType())])
+    line = {"id": "a", "config": "c", "gold_label": "high-risk", "pred_label": "high-risk", "loaded_at": "2026-01-01T00:00:00", "row_no": 1}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.jsonl").write_text("\n".join(json.dumps(x) for x in (line, line, {**line, "id": "b", "pred_label": None})), encoding="utf-8")
+    runs = followed_runs(spark, str(tmp_path / "in"), schema)
+    append_correctness(runs, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted((r.id, r.correct) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", True), ("b", False)]
+    batch = spark.read.schema(schema).json(str(tmp_path / "in"))
+    assert accuracy_windows(batch).first().n == 3
