@@ -15,6 +15,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,8 @@ DENSITY, CLEAR_DENSITY = 0.5, 0.65
 #: The share of replicated shingles that a page between the two densities has.
 REPLICATED = 0.15
 
-_BREAK = re.compile(r"<(?:br|p|li|div|tr|ul|ol|h[1-6])\b[^>]*>|</(?:p|li|div|tr|ul|ol|h[1-6])>|[\r\n\v\f\x85  ]", re.IGNORECASE)
+_MARKUP_BREAK = re.compile(r"<(?:br|p|li|div|tr|ul|ol|h[1-6])\b[^>]*>|</(?:p|li|div|tr|ul|ol|h[1-6])>", re.IGNORECASE)
+_BREAK = re.compile("[\r\v\f\x85\u2028\u2029]")
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _LINK = re.compile(r"(?:\b[a-z]+:)?//\w|\bwww\.\w", re.IGNORECASE)
 _REFERENCE = re.compile(r"^\W{0,3}\[?\d+[\].)]\s+\w+\W+\w+\W+.*//\S+$|^\[\d+\]\s+\w+.*//\S+$")
@@ -50,7 +52,10 @@ _FUNCTION = frozenset(
 
 
 def _units(text: str) -> list[str]:
-    plain = _TAG.sub(" ", _BREAK.sub("\n", html.unescape(text)))
+    plain = html.unescape(text) if "&" in text else text
+    if "<" in plain:
+        plain = _TAG.sub(" ", _MARKUP_BREAK.sub("\n", plain))
+    plain = _BREAK.sub("\n", plain)
     lines: list[str] = []
     open_line = False
     for raw in plain.split("\n"):
@@ -66,39 +71,63 @@ def _units(text: str) -> list[str]:
     return [u for line in lines for u in ([line] if _LINK.search(line) else _STOP.split(line)) if u.strip()]
 
 
-def list_density(text: str) -> float:
-    """Share of the characters in list-like units, 0 for an empty text."""
+@lru_cache(maxsize=1 << 17)
+def _word(word: str) -> tuple[str, str, bool]:
+    """A lower-cased word with its digits masked; without them when it then is a content word, else ''; whether it's a function word."""
+    bare = word if word.isalpha() else _DIGITS.sub("", word)
+    function = bare in _FUNCTION
+    return word if word.isalpha() else _DIGITS.sub("#", word), "" if function else bare, function
+
+
+Unit = tuple[str, list[tuple[str, str, bool]]]
+
+
+def _read(text: str) -> list[Unit]:
+    return [(u, list(map(_word, WORD.findall(u.lower())))) for u in _units(text)]
+
+
+def density_of(units: list[Unit]) -> float:
+    """Share of the characters in list-like units, 0 for none."""
     listed = total = 0
-    units = [(u, WORD.findall(u.lower())) for u in _units(text)]
-    words = [_DIGITS.sub("", w) for _, ws in units for w in ws]
-    content = Counter(w for w in words if w and w not in _FUNCTION)
-    often = max(4, sum(content.values()) / 40)
-    for unit, ws in units:
-        if not ws:
+    counts = Counter([w[1] for _, words in units for w in words])
+    counts[""] = 0
+    often = max(4, sum(counts.values()) / 40)
+    heavy = {c for c, n in counts.items() if n >= often}
+    for unit, words in units:
+        if not words:
             continue
         size = len(unit)
         total += size
-        if _LINK.search(unit):
-            listed += 0 if _REFERENCE.match(unit) else size
-            continue
-        own = [w for w in (_DIGITS.sub("", x) for x in ws) if w and w not in _FUNCTION]
-        stuffed = len(own) >= 2 and sum(content[w] >= often for w in own) >= 0.6 * len(own)
-        function = (len(ws) - sum(_DIGITS.sub("", x) not in _FUNCTION for x in ws)) / len(ws)
-        prose = (function >= 0.15 and len(ws) >= 4) or (len(ws) >= 6 and unit[:1].isupper() and _TERMINATED.search(unit) is not None and len(set(ws)) >= 0.7 * len(ws))
-        if stuffed or not prose:
+        if "//" in unit or "www." in unit.lower():
+            if _LINK.search(unit):
+                listed += 0 if _REFERENCE.match(unit) else size
+                continue
+        own = [w[1] for w in words if w[1]]
+        if len(own) >= 2 and sum([c in heavy for c in own]) >= 0.6 * len(own):
             listed += size
+            continue
+        function = sum([w[2] for w in words]) / len(words)
+        if function >= 0.15 and len(words) >= 4:
+            continue
+        prose = len(words) >= 6 and unit[:1].isupper() and _TERMINATED.search(unit) is not None and len({w[0] for w in words}) >= 0.7 * len(words)
+        listed += 0 if prose else size
     return listed / total if total else 0.0
 
 
+def list_density(text: str) -> float:
+    return density_of(_read(text))
+
+
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for doc, text, host in zip(pdf["doc_id"], pdf["text"], pdf["host"], strict=True):
             if not isinstance(text, str) or not text.strip():
                 continue
-            masked = [_DIGITS.sub("#", w) for w in WORD.findall(html.unescape(text).lower())]
+            units = _read(text)
+            masked = [w[0] for _, words in units for w in words]
             found, times = np.unique(shingles(hashes(masked)).view(np.int64), return_counts=True)
-            rows.append((doc, host, list_density(text), found, found[times > 1]))
+            rows.append((doc, host, density_of(units), found, found[times > 1]))
         yield pd.DataFrame(rows, columns=["doc_id", "host", "density", "held", "repeated"])
 
 
