@@ -14,6 +14,11 @@ def test_every_sql_has_its_query():
     assert set(SMALL) <= set(entry.oracle_sql())
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="the test tables aren't here")
+def test_entry_has_rows(spark):
+    assert entry.entry(spark).count() > 0
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the test tables aren't here")
 @pytest.mark.parametrize("name", SMALL)
 def test_query_equals_sql(spark, name):
