@@ -167,8 +167,9 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_records(raw: DataFrame) -> DataFrame:
     """``raw``: (``row_no``, ``file_name``, ``raw_line``, ``received_at``). A row for each, with ``error``, ``detail`` and the fields as they stand."""
-    source = raw.select(F.col("row_no").cast("long").alias("row_no"), F.col("file_name").cast("string").alias("file_name"), F.col("raw_line").cast("string").alias("raw_line"), F.col("received_at").cast("timestamp").alias("received_at"))
-    return spread(source).mapInPandas(_parsed, _SCHEMA)
+    unnamed = F.lit(-(2**63))  # stands for null, which would turn the numbers of a batch into floating point
+    source = raw.select(F.coalesce(F.col("row_no").cast("long"), unnamed).alias("row_no"), F.col("file_name").cast("string").alias("file_name"), F.col("raw_line").cast("string").alias("raw_line"), F.col("received_at").cast("timestamp").alias("received_at"))
+    return spread(source).mapInPandas(_parsed, _SCHEMA).withColumn("row_no", F.nullif("row_no", unnamed))
 
 
 def _trimmed(c: Column) -> Column:

@@ -68,3 +68,5 @@ def test_tables_with_clashing_columns_and_empty_ones(spark):
     assert typed["test_set_raw", 1].point_letter == "a" and typed["test_set_raw", 1].notes is None
     assert set(FIELDS) <= set(typed_rows(raw, held).columns)
     assert rejected(raw.limit(0), held.limit(0)).count() == 0
+    unnamed = spark.createDataFrame([(None, None, GOOD + ",", None, None), (9007199254740993, "f", None, None, None)], RAW)
+    assert {r.row_no for r in rejected(unnamed, held.limit(0)).collect()} == {None, 9007199254740993}
