@@ -9,7 +9,7 @@ the threshold is verified on the whole word sets.
 At a similarity of 0.85 a pair shares no band with probability (1 - 0.85**8)**40 = 3e-6, and the margin of the estimate
 is more than five standard deviations.
 
-Null and blank texts have no words and take no part. Repeated rows are pairs of similarity 1.
+Null and blank texts have no words and take no part, rows without a key have no name and are left out. Repeated rows are pairs of similarity 1.
 """
 
 from __future__ import annotations
@@ -67,9 +67,9 @@ def _pack(minima: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for lo in range(0, len(pdf), 2000):
-            part = pdf.iloc[lo : lo + 2000]
-            sizes = part["words"].map(len).to_numpy()
+        every = pdf["words"].map(len).to_numpy()
+        for _, at in pdf.groupby(np.cumsum(every) // 200_000).indices.items():  # so many words at once, or one long text
+            part, sizes = pdf.iloc[at], every[at]
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             minima = _minima(np.concatenate(part["words"].to_list()).astype(np.int64).view(np.uint64), starts)
             with np.errstate(over="ignore"):
@@ -96,7 +96,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Members (``key``, ``rep``) and classes (``rep``, ``words``): texts of the same word set share the least key as ``rep``."""
-    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
     sets = cut_lineage(spread(source).mapInPandas(_word_sets, "key long, set_id binary, words array<long>"))
     heads = sets.groupBy("set_id").agg(F.min("key").alias("rep"), F.first("words").alias("words"))
     heads = cut_lineage(heads)
@@ -144,7 +144,7 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float =
     groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-    every = df.select(F.col(key).cast("long").alias("row_no")).distinct()
+    every = df.select(F.col(key).cast("long").alias("row_no")).where("row_no is not null").distinct()
     return every.join(known.withColumnRenamed("key", "row_no"), "row_no", "left").select(
         "row_no",
         F.coalesce("rep", "row_no").alias("class_id"),

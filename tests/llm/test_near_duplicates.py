@@ -9,7 +9,7 @@ SCHEMA = "row_no long, system_description string, key string, words long, rep in
 
 
 def brute(rows, threshold=0.85):
-    sets = {k: set(t.lower().split()) for k, t in rows if t and t.split()}
+    sets = {k: set(t.lower().split()) for k, t in rows if k is not None and t and t.split()}
     return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
 
 
@@ -34,7 +34,7 @@ def rows():
             out.append((n, " ".join(copy)))
     hot = " ".join(words[:40])
     out += [(1000 + i, hot if i % 3 else hot.upper() + " \t") for i in range(40)]
-    edge = [(2000, None), (2001, ""), (2002, "  \n"), (2003, "one"), (2004, "ONE one"), (2005, " ".join(f"w{i}" for i in range(30_000))), (2006, " ".join(f"w{i}" for i in range(100, 30_000)))]
+    edge = [(None, hot), (2000, None), (2001, ""), (2002, "  \n"), (2003, "one"), (2004, "ONE one"), (2005, " ".join(f"w{i}" for i in range(30_000))), (2006, " ".join(f"w{i}" for i in range(100, 30_000)))]
     edge += [(2007, " ".join(f"t{i}" for i in range(17))), (2008, " ".join(f"t{i}" for i in range(20))), (2009, " ".join(f"t{i}" for i in range(21)))]
     return out + edge
 
@@ -48,7 +48,7 @@ def test_pairs_equal_brute_force(spark, rows):
 
 def test_groups_follow_the_chains(spark, rows):
     pairs = brute(rows)
-    least = {k: k for k, _ in rows}
+    least = {k: k for k, _ in rows if k is not None}
     for _ in rows:
         for a, b in pairs:
             least[a] = least[b] = min(least[a], least[b])

@@ -195,3 +195,19 @@ def test_spam_of_no_pages(spark):
 
 def test_words():
     assert plain_words("Don&#39;t A_b 3x Ü") == ["don", "t", "a", "b", "3x", "ü"]
+
+
+def test_rows_without_a_key_do_no_harm(spark):
+    judged = judged_rows(spark.createDataFrame([("t", None, "s", "It is cut of…"), ("t", 2, "s", "It is cut of…")], "origin string, key long, source string, text string"))
+    assert sorted((r.key is None, r.is_cut) for r in judged.collect()) == [(False, True), (True, True)]
+    chunks = spark.createDataFrame([(None, None, BODY), (2, None, BODY)], "row_no long, heading_path string, text string")
+    assert {r.row_no for r in splitting.oversized(chunks).collect()} == {None, 2}
+    runs = spark.createDataFrame([(None, "a", "c", "", None), (2, "a", "c", "", None)], "row_no long, id string, config string, explanation string, pred_label string")
+    prompts = spark.createDataFrame([(None, "a", "s", DESCRIPTION)], "row_no long, id string, source string, system_description string")
+    assert {r.row_no for r in pair_defects.pair_defects(runs, prompts).collect()} == {None, 2}
+    pages = spark.createDataFrame([(None, "#a #b " * 40, None, None), (2, "#a #b " * 40, None, None)], "doc_id long, text string, url string, source string")
+    assert {r.doc_id for r in spam.spam_pages(pages).collect()} == {None, 2}
+    assert {r.doc_id for r in pack(pages).collect()} == {None, 2}
+    held = spark.createDataFrame([(None, PROSE), (7, PROSE)], "item_id long, text string")
+    documents = spark.createDataFrame([(None, PROSE), (2, PROSE)], "doc_id long, text string")
+    assert (2, 7) in {tuple(r) for r in leakage.leaked_items(documents, held).collect()}
