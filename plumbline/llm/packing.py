@@ -90,7 +90,9 @@ def pack(documents: DataFrame, vocabulary: str = VOCABULARY, limits: tuple[int,
     parts = counts.withColumn("n_parts", n_parts).withColumn("part_no", F.explode(F.sequence(F.lit(1), "n_parts")))
     parts = parts.select("doc_id", "part_no", "n_parts", ((F.col("part_no") - 1) * capacity).alias("token_from"), F.least(F.col("part_no") * capacity, "n_tokens").alias("token_to"))
     n_groups = max(1, -(-counts.count() // group))
-    grouped = parts.withColumn("group_no", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(n_groups)))
+    # The sizes are few bytes, but filling takes seconds a group: the number of partitions is set lest they be coalesced into one.
+    n_tasks = min(n_groups, 4 * documents.sparkSession.sparkContext.defaultParallelism)
+    grouped = parts.withColumn("group_no", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(n_groups))).repartition(n_tasks, "group_no")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "part_no"], ignore_index=True)
