@@ -7,14 +7,13 @@ together decide: how often their sentences end, and how often they go on, after
 context of up to six words that is known; a last word that no text knows is a part of one. Where most
 rows of a source lack terminators, the missing one says less, so stronger evidence is required there.
 
-Null, blank and placeholder texts (fewer than three words) are never cut.
+Null, blank and placeholder texts are never cut; texts of fewer than three words only where an ellipsis or a broken character shows it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.words import word_hash
+from plumbline.llm.words import WORD, word_hash
 from plumbline.session import cut_lineage, spread
 
 #: A sentence is taken as whole when at least this share of the sentences with the same last words ended there.
@@ -49,7 +48,6 @@ _NAME = word_hash("\x03name")
 _ORDERS = 6  # contexts of six, four and three words, of two before a name, of two words and of one
 
 
-@lru_cache(maxsize=1 << 18)
 def _token(raw: str) -> tuple[int, int, bool, bool]:
     """Hash of the bare word, hash of its class when inside a sentence, whether a sentence ends here, whether it looks like a name."""
     core = raw.strip(_EDGE)
@@ -59,22 +57,56 @@ def _token(raw: str) -> tuple[int, int, bool, bool]:
     return h, _NAME if name else h, _TERMINATED.search(raw) is not None and not _ELLIPSIS.search(raw), name
 
 
+class _Lexicon:
+    """Properties of the words seen so far, as arrays by number; forgotten when there are too many."""
+
+    MOST = 400_000
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.columns = tuple(np.zeros(1024, dtype=kind) for kind in (np.uint64, np.uint64, bool, bool))
+
+    def _add(self, token: str) -> None:
+        n = self.numbers[token] = len(self.numbers)
+        if n == len(self.columns[0]):
+            self.columns = tuple(np.concatenate((c, np.zeros_like(c))) for c in self.columns)
+        for column, value in zip(self.columns, _token(token), strict=True):
+            column[n] = value
+
+    def look_up(self, tokens: list[str]) -> tuple[np.ndarray, ...]:
+        """Hash, class, end of sentence, name: an array each."""
+        if len(self.numbers) > self.MOST:
+            self.numbers.clear()
+        for t in tokens:
+            if t not in self.numbers:
+                self._add(t)
+        numbers = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
+        return tuple(c[numbers] for c in self.columns)
+
+
+_LEXICON = _Lexicon()
+_BACK = 5
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
-def _contexts(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """An array of ``_ORDERS`` context hashes for each token, the longest first, 0 where there's none; whether a sentence ends there."""
-    info = [_token(t) for t in tokens]
-    n = len(info)
-    exact = np.fromiter((x[0] for x in info), np.uint64, n)
-    ends = np.fromiter((x[2] for x in info), bool, n)
-    first = np.concatenate(([True], ends[:-1]))
-    names = np.fromiter((x[3] for x in info), bool, n) & ~first
-    kind = np.where(names, np.uint64(_NAME), exact)
-    past = np.concatenate((np.full(5, _START, np.uint64), np.where(ends, _START, kind)))
-    one, two, three, four, five = (past[i : i + n] for i in (4, 3, 2, 1, 0))
+def _contexts(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of these texts, one after the other, none empty: an array of ``_ORDERS`` context hashes, the longest first, 0 where there's none;
+    whether a sentence ends there."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    exact, kind, ends, names = _LEXICON.look_up([t for text in texts for t in text])
+    n = len(exact)
+    begins = np.zeros(n, dtype=bool)
+    begins[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True
+    names = names & ~(begins | np.concatenate(([True], ends[:-1])))
+    # Between the texts there's room for the words that a first word doesn't have before it.
+    place = np.arange(n) + _BACK * np.cumsum(begins)
+    past = np.full(n + _BACK * len(texts), _START, np.uint64)
+    past[place] = np.where(ends, _START, np.where(names, np.uint64(_NAME), exact))
+    one, two, three, four, five = (past[place - i] for i in range(1, _BACK + 1))
     with np.errstate(over="ignore"):
         by2 = exact * _M[0] + one * _M[1]
         by3 = by2 + two * _M[2]
@@ -108,13 +140,16 @@ def judge(text: str | None) -> tuple[str, list[int]]:
     if not isinstance(text, str):
         return "blank", []
     body = text.strip().strip("​﻿").strip()
-    if len(re.findall(r"[^\W_]+", body)) < LEAST_WORDS:
+    n_words = len(WORD.findall(body))
+    if not n_words:
         return "blank", []
     if _BROKEN_CHARACTER.search(body):
         return "broken character", []
     ellipsis = _ELLIPSIS.search(body)
     if ellipsis:
         return ("terminated" if _TERMINATED.search(body[: ellipsis.start()]) and body[ellipsis.start()].isspace() else "ellipsis"), []
+    if n_words < LEAST_WORDS:
+        return "blank", []
     if _TERMINATED.search(body):
         return "terminated", []
     if _BROKEN_ESCAPE.search(body):
@@ -128,7 +163,7 @@ def judge(text: str | None) -> tuple[str, list[int]]:
     inner = _PARENTHESIS.sub("", body)
     if inner != body and _TERMINATED.search(inner):
         return "terminated", []
-    return "unterminated", _contexts(inner.split()[-10:])[0][-1].view(np.int64).tolist()
+    return "unterminated", _contexts([inner.split()[-10:]])[0][-1].view(np.int64).tolist()
 
 
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,35 +172,77 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["origin", "key", "source"]].assign(evidence=[x[0] for x in seen], contexts=[x[1] for x in seen])
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+_FILTER_BITS = 25
+
+
+def _filter_place(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    spot = (contexts * _M[0]) >> np.uint64(64 - _FILTER_BITS)
+    return (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63))
 
-    def merged() -> pd.DataFrame:
+
+def _tail_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of a bitmap over the tails' contexts."""
+    for pdf in batches:
+        found = [c for c in pdf["contexts"] if len(c)]
+        words = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
+        if found:
+            np.bitwise_or.at(words, *_filter_place(np.concatenate(found).astype(np.int64).view(np.uint64)))
+        kept = np.flatnonzero(words)
+        yield pd.DataFrame({"word": kept, "bits": words[kept].view(np.int64)})
+
+
+def _tail_filter(judged: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (4 MB) that tells most contexts that no tail has; it only saves counting these."""
+    by_word = judged.where("evidence = 'unterminated'").select("contexts").mapInPandas(_tail_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
+    found = by_word.toPandas()
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return words
+
+
+def _counter(wanted) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Counts of the contexts that pass the broadcast filter."""
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
         contexts, ends = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
         keys, at = np.unique(contexts, return_inverse=True)
         n_end = np.bincount(at, weights=ends, minlength=len(keys)).astype(np.int64)
         n = np.bincount(at, minlength=len(keys)).astype(np.int64)
         return pd.DataFrame({"context": keys.view(np.int64), "n_end": n_end, "n_on": n - n_end})
 
-    size = 0
-    for pdf in batches:
-        for text in pdf["text"]:
-            tokens = text.split() if isinstance(text, str) else []
-            if len(tokens) < LEAST_WORDS:
-                continue
-            contexts, ends = _contexts(tokens)
-            if not ends[-1]:  # nobody knows how the last one would go on
-                contexts, ends = contexts[:-1], ends[:-1]
-            flat, repeated = contexts.ravel(), np.repeat(ends, _ORDERS)
-            keep = flat != 0
-            held.append((flat[keep], repeated[keep]))
-            size += len(flat)
-            if size > 3_000_000:
-                yield merged()
-                size = 0
-    if held:
-        yield merged()
+    def passing(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        contexts, ends = _contexts(texts)
+        # Nobody knows how the last word of an unterminated text would go on.
+        last = np.cumsum([len(t) for t in texts]) - 1
+        known = np.ones(len(ends), dtype=bool)
+        known[last] = ends[last]
+        flat, repeated = contexts[known].ravel(), np.repeat(ends[known], _ORDERS)
+        word, bit = _filter_place(flat)
+        keep = ((wanted.value[word] & bit) != 0) & (flat != 0)
+        return flat[keep], repeated[keep]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for pdf in batches:
+            part: list[list[str]] = []
+            n = 0
+            for k, text in enumerate(pdf["text"], 1):
+                tokens = text.split() if isinstance(text, str) else []
+                if len(tokens) >= LEAST_WORDS:
+                    part.append(tokens)
+                    n += len(tokens)
+                if part and (n > 30_000 or k == len(pdf)):
+                    held.append(passing(part))
+                    size += len(held[-1][0])
+                    part, n = [], 0
+            if size > 2_000_000:
+                yield merged(held)
+                held, size = [], 0
+        if held:
+            yield merged(held)
+
+    return count
 
 
 def judged_rows(df: DataFrame) -> DataFrame:
@@ -176,7 +253,8 @@ def judged_rows(df: DataFrame) -> DataFrame:
     """
     source = spread(df).select("origin", F.col("key").cast("long").alias("key"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     judged = cut_lineage(source.mapInPandas(_judged, "origin string, key long, source string, evidence string, contexts array<long>"))
-    counts = source.select("text").mapInPandas(_counted, "context long, n_end long, n_on long").groupBy("context").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
+    wanted = df.sparkSession.sparkContext.broadcast(_tail_filter(judged))
+    counts = source.select("text").mapInPandas(_counter(wanted), "context long, n_end long, n_on long").groupBy("context").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
     tails = judged.where("evidence = 'unterminated'").select("origin", "key", F.posexplode("contexts").alias("order", "context")).where("context <> 0")
     # The tail contexts repeat: each is looked up once.
     known = tails.select("context").distinct().join(counts.hint("merge"), "context")
