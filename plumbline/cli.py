@@ -82,7 +82,7 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def score(spark: SparkSession, a: argparse.Namespace) -> None:
     runs = _runs(spark, a.runs_dir, a.configs)
-    correct, faithful = scoring.correctness_rows(runs), scoring.faithfulness_rows(runs)
+    correct, faithful = scoring.correctness_rows(runs, absent_is_parsed=True), scoring.faithfulness_rows(runs)
     joined = scoring.joined_axes(correct, faithful)
     files.write_jsonl(correct, f"{a.out_dir}/correctness")
     files.write_jsonl(faithful, f"{a.out_dir}/faithfulness")
@@ -93,7 +93,7 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def make_report(spark: SparkSession, a: argparse.Namespace) -> None:
     runs = _runs(spark, a.runs_dir)
-    correct = scoring.correctness_rows(runs)
+    correct = scoring.correctness_rows(runs, absent_is_parsed=True)
     joined = scoring.joined_axes(correct, scoring.faithfulness_rows(runs))
     cases = scoring.report_cases(joined, runs, _rows(spark, a.test_set), a.max_cases)
     report.write_html(a.out, "Evaluation", {"Correctness": scoring.class_metrics(scoring.confusion(correct)), "Buckets": scoring.bucket_matrix(joined), "Divergent cases": cases})

@@ -26,10 +26,9 @@ class BM25:
 
 
 def term_counts(corpus: DataFrame) -> DataFrame:
-    """(``key``, ``dl``, ``term``, ``tf``), counted within the row: no shuffle."""
+    """(``key``, ``dl``, ``term``, ``tf``). A text lies in one partition, so partial aggregation leaves a row per distinct term to the shuffle."""
     tokens = corpus.select("key", bm25_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    sorted_tokens = tokens.select("key", "dl", F.explode("tokens").alias("term"))
-    return sorted_tokens.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
+    return tokens.select("key", "dl", F.explode("tokens").alias("term")).groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_size(corpus: DataFrame) -> DataFrame:

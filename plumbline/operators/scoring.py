@@ -21,14 +21,16 @@ NO_RETRIEVAL = ("baseline1_plain_llm",)
 CONFIG_ORDER = ("agent_structured", "baseline1_plain_llm", "baseline2_standard_rag")
 
 
-def correctness_rows(runs: DataFrame) -> DataFrame:
+def correctness_rows(runs: DataFrame, absent_is_parsed: bool = False) -> DataFrame:
+    """A null ``parse_ok`` is false. Where nulls stand for an absent field, ``absent_is_parsed`` takes a row with a prediction as parsed."""
+    unknown = F.col("pred_label").isNotNull() if absent_is_parsed else F.lit(False)
     return runs.select(
         "row_no",
         "id",
         "config",
         F.col("gold_label").alias("gold"),
         F.col("pred_label").alias("pred"),
-        F.coalesce("parse_ok", F.col("pred_label").isNotNull()).alias("parse_ok"),
+        F.coalesce("parse_ok", unknown).alias("parse_ok"),
         F.coalesce(F.col("pred_label") == F.col("gold_label"), F.lit(False)).alias("correct"),
         "edge_case_type",
         F.col("annex_iii_area").alias("area"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import problems, quality_queries, retrieval_queries, scoring_queries
+from plumbline.plans import corpus_queries, problems, quality_queries, retrieval_queries, scoring_queries
 
 FLAGSHIP = "bucket_sweep"
-_PARTS = (retrieval_queries, scoring_queries, quality_queries, problems)
+_PARTS = (corpus_queries, retrieval_queries, scoring_queries, quality_queries, problems)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}

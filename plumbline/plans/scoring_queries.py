@@ -113,7 +113,7 @@ QUERIES = {
     "ext_bootstrap": lambda s, d: _rounded(scoring.bootstrap_accuracy(_rows(s, d)), "low", "high"),
 }
 
-_CORRECT = """corr AS (SELECT row_no, id, config, gold_label AS gold, pred_label AS pred, coalesce(parse_ok, pred_label IS NOT NULL) AS parse_ok,
+_CORRECT = """corr AS (SELECT row_no, id, config, gold_label AS gold, pred_label AS pred, coalesce(parse_ok, false) AS parse_ok,
   coalesce(pred_label = gold_label, false) AS correct, edge_case_type, annex_iii_area AS area FROM runs)"""
 _COUNTS = _CORRECT + """, counts AS (SELECT config, count(*) AS n, count(*) FILTER (gold IS NOT DISTINCT FROM 'high-risk' AND pred IS NOT DISTINCT FROM 'high-risk') AS tp,
   count(*) FILTER (gold IS DISTINCT FROM 'high-risk' AND pred IS NOT DISTINCT FROM 'high-risk') AS fp, count(*) FILTER (gold IS NOT DISTINCT FROM 'high-risk' AND pred IS DISTINCT FROM 'high-risk') AS fn,

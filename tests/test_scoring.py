@@ -36,6 +36,12 @@ def test_published_metrics_follow_from_their_counts(spark, counts, published):
     assert tuple(round(x, 3) for x in (m.accuracy, m.hr_precision, m.hr_recall, m.hr_f1, m.macro_f1)) == published
 
 
+def test_null_parse_ok_is_false_unless_it_means_absent(spark):
+    source = runs(spark, run(1, parse_ok=None), run(2, pred=None, parse_ok=None))
+    assert [r.parse_ok for r in scoring.correctness_rows(source).orderBy("row_no").collect()] == [False, False]
+    assert [r.parse_ok for r in scoring.correctness_rows(source, absent_is_parsed=True).orderBy("row_no").collect()] == [True, False]
+
+
 def test_undefined_ratios_are_zero_and_no_rows_give_no_groups(spark):
     rows = scoring.correctness_rows(runs(spark, run(1, gold=N, pred=N)))
     assert scoring.class_metrics(scoring.confusion(rows)).first().hr_f1 == 0.0
