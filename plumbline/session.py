@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "plumbline", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -20,9 +22,20 @@ def local_session(cores: int | str = "*", app: str = "plumbline", shuffle_partit
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    reach_workers(session)
+    return session
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever the working folder. Executors that don't see that path need it installed."""
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
