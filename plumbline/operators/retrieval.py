@@ -96,23 +96,26 @@ def fused(queries: DataFrame, corpus: DataFrame, sparse: DataFrame, dense: DataF
     return ranked(both, "score", log_k).select("query", "rank", "key", "score", "dense", "sparse")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double; 0 when a side has no length."""
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
+def unit(v: Column) -> Column:
+    """The vector in double and of length 1; one of length 0 stays as it is."""
+    wide = F.transform(v, lambda x: x.cast("double"))
+    return F.transform(wide, lambda x: x / F.coalesce(F.nullif(F.sqrt(_dot(wide, wide)), F.lit(0.0)), F.lit(1.0)))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """Exact nearest neighbours by cosine: (``query``, ``rank``, ``key``, ``cosine``), a query isn't its own neighbour.
 
-    Both sides have (``key``, ``vector``). The stated queries go to every partition of the vectors as one table when the planner finds them
-    small; each partition keeps its best ``k`` before the shuffle.
+    Both sides have (``key``, ``vector``), are brought to length 1 once, and then cost a product a pair. The stated queries go to every partition of the vectors
+    as one table when the planner finds them small; each partition keeps its best ``k`` before the shuffle. Null vectors have no neighbours.
     """
-    pairs = vectors.join(queries.select(F.col("key").alias("query"), F.col("vector").alias("asked")), F.col("query") != F.col("key"))
-    return ranked(pairs.select("query", "key", cosine(F.col("asked"), F.col("vector")).alias("cosine")), "cosine", k).select("query", "rank", "key", "cosine")
+    near = vectors.where("vector is not null").select("key", unit(F.col("vector")).alias("u"))
+    asked = queries.where("vector is not null").select(F.col("key").alias("query"), unit(F.col("vector")).alias("v"))
+    pairs = near.join(asked, F.col("query") != F.col("key"))
+    return ranked(pairs.select("query", "key", F.coalesce(_dot(F.col("u"), F.col("v")), F.lit(0.0)).alias("cosine")), "cosine", k).select("query", "rank", "key", "cosine")
 
 
 def gold_index(chunks: DataFrame) -> DataFrame:
