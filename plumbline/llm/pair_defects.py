@@ -5,8 +5,9 @@ containment finds candidates, the longest common subsequence of their sentences
 'refusal' (a sentence aligns with a refusal template), 'other_language' (most words aren't English), 'no_label' (a sound
 response whose label is none of the allowed ones).
 
-A response is compared with every different prompt of its id. Ids with more than ``FEW_PROMPTS`` different prompts are
-compared through one shingle index of all their prompts, so that a hot id costs no pairs. A response without
+A response is compared with every different prompt of its id. For ids with more than ``FEW_PROMPTS`` different prompts, one shingle
+index of all their prompts leaves the responses that may be candidates; these meet the prompts in blocks of about ``BLOCK``
+by ``BLOCK``, each with an index of its own, and are verified alike, so that the number of prompts doesn't change a result. A response without
 a prompt can have any defect but 'echo'. Repeated rows are judged alike, each on its own row.
 """
 
@@ -18,20 +19,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.truncation import judged_rows
 from plumbline.llm.words import hashes, lcs_length, plain_words, shingles
+from plumbline.session import cut_lineage
 
 LABELS = ("high-risk", "not-high-risk")
 FEW_PROMPTS = 16
+#: Prompts and responses of an id with many prompts that one task holds at once.
+BLOCK = 1024
 #: Share of the response's five-word shingles that a candidate prompt holds at least.
 CANDIDATE = 0.12
 #: An echo has at least this share of its words in aligned sentences of the prompt, and of the prompt's words in its own.
 ECHO_OF_RESPONSE, ECHO_OF_PROMPT = 0.75, 0.6
-#: The same for the shingles of ids with many prompts.
-ECHO_OF_INDEX = 0.5
 _LEAST_WORDS = 8
 
 #: Placeholders, as words without punctuation.
@@ -99,10 +101,10 @@ def is_other_language(text: str) -> bool:
 
 
 @lru_cache(maxsize=4096)
-def _parsed(text: str) -> tuple[list[list[str]], list[str], frozenset]:
+def _parsed(text: str) -> tuple[list[list[str]], list[str], frozenset, frozenset]:
     parts = [w for s in _SENTENCE.split(text) if (w := plain_words(s))]
     words = [w for part in parts for w in part]
-    return parts, words, frozenset(shingles(hashes(words)).tolist())
+    return parts, words, frozenset(shingles(hashes(words)).tolist()), frozenset(words)
 
 
 def _aligned(parts: list[list[str]], others: list[list[str]], whole: list[str]) -> float:
@@ -112,13 +114,16 @@ def _aligned(parts: list[list[str]], others: list[list[str]], whole: list[str])
 
 
 def is_echo(response: str, prompts: list[str]) -> bool:
-    parts, words, held = _parsed(response)
+    parts, words, held, own = _parsed(response)
     if len(words) < _LEAST_WORDS:
         return False
     for prompt in prompts:
-        of, all_words, there = _parsed(prompt)
+        of, all_words, there, known = _parsed(prompt)
         if not there or len(held & there) < CANDIDATE * max(1, len(held)):
             continue
+        # No alignment has more words than the other side knows.
+        if sum(w in known for w in words) / len(words) < ECHO_OF_RESPONSE or sum(w in own for w in all_words) / len(all_words) < ECHO_OF_PROMPT:
+            continue
         common = lcs_length(words, all_words)
         if max(common / len(words), _aligned(parts, of, all_words)) >= ECHO_OF_RESPONSE and max(common / len(all_words), _aligned(of, parts, words)) >= ECHO_OF_PROMPT:
             return True
@@ -128,10 +133,10 @@ def is_echo(response: str, prompts: list[str]) -> bool:
 def _with_defect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = []
-        for text, prompts, cut, labelled, indexed in zip(pdf["text"], pdf["prompts"], pdf["is_cut"], pdf["labelled"], pdf["indexed"], strict=True):
+        for text, prompts, cut, labelled, echoes in zip(pdf["text"], pdf["prompts"], pdf["is_cut"], pdf["labelled"], pdf["echoes"], strict=True):
             if is_empty(text):
                 found.append("empty")
-            elif indexed or (prompts is not None and is_echo(text, list(prompts))):
+            elif echoes or (prompts is not None and is_echo(text, list(prompts))):
                 found.append("echo")
             elif cut:
                 found.append("truncated")
@@ -144,10 +149,54 @@ def _with_defect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["row_no"]].assign(defect=pd.Series(found, dtype=object, index=pdf.index))
 
 
+def _held(text: str) -> np.ndarray:
+    return np.unique(shingles(hashes(plain_words(text))))
+
+
 def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sets = [np.unique(shingles(hashes(plain_words(t)))).view(np.int64) if isinstance(t, str) else [] for t in pdf["text"]]
-        yield pdf[["row_no", "id"]].assign(held=pd.Series(sets, dtype=object, index=pdf.index))
+        yield pdf[["id", "pair"]].assign(held=pd.Series([_held(t).view(np.int64) for t in pdf["text"]], dtype=object, index=pdf.index))
+
+
+def _echoing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The responses of a block that repeat one of its prompts, which are the rows without ``pair``."""
+    is_prompt = pdf["pair"].isna()
+    prompts, answers = pdf.loc[is_prompt, "text"].tolist(), pdf[~is_prompt]
+    sets = [_held(t) for t in prompts]
+    every = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+    found = []
+    for pair, text in zip(answers["pair"], answers["text"], strict=True):
+        held = _held(text)
+        spans = zip(np.searchsorted(every, held), np.searchsorted(every, held, "right"), strict=True)
+        common = np.bincount(np.concatenate([owner[:0], *(owner[a:b] for a, b in spans)]), minlength=len(sets))
+        near = [k for k in np.argsort(-common, kind="stable") if common[k] and common[k] >= CANDIDATE * len(held)]
+        if is_echo(text, [prompts[k] for k in near]):
+            found.append(pair)
+    return pd.DataFrame({"pair": pd.Series(found, dtype=object)})
+
+
+def _pair() -> Column:
+    return F.md5(F.concat_ws("\0", "id", "text"))
+
+
+def _echoes_of_many(answers: DataFrame, asked: DataFrame, many: DataFrame) -> DataFrame:
+    """(``spot``, ``echoed``): for ids with many prompts, the rows with the pairs of id and response that are echoes."""
+    hot = answers.join(many, "id", "left_semi").where("text is not null").select("spot", "id", "text", _pair().alias("pair"))
+    different = hot.select("id", "pair", "text").dropDuplicates(["id", "pair"])
+    prompts = asked.join(many, "id", "left_semi").select("id", F.lit(None).cast("string").alias("pair"), "text")
+    index, held = (t.mapInPandas(_shingled, "id string, pair string, held array<long>") for t in (prompts, different))
+    pooled = held.select("id", "pair", F.size("held").alias("of"), F.explode("held").alias("shingle")).join(index.select("id", F.explode("held").alias("shingle")).distinct().hint("merge"), ["id", "shingle"])
+    likely = pooled.groupBy("id", "pair").agg(F.count("*").alias("n"), F.max("of").alias("of")).where(F.col("n") >= CANDIDATE * F.col("of"))
+    suspects = cut_lineage(different.join(likely.select("id", "pair").hint("merge"), ["id", "pair"], "left_semi"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = suspects.groupBy("id").agg(blocks(F.count("*")).alias("slices")).join(many.select("id", blocks(F.col("n")).alias("blocks")), "id")
+    placed = lambda t, own, of, other, others: t.join(sizes.hint("merge"), "id").select("id", "pair", "text", F.pmod(F.xxhash64("text"), F.col(of)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other))
+    met = placed(prompts, "block", "blocks", "slice", "slices").unionByName(placed(suspects, "slice", "slices", "block", "blocks"))
+    tasks = max(met.sparkSession.sparkContext.defaultParallelism, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    echoed = met.repartition(tasks, "id", "block", "slice").groupBy("id", "block", "slice").applyInPandas(_echoing, "pair string").distinct()
+    return hot.join(echoed.hint("merge"), "pair").groupBy("spot").agg(F.collect_set("pair").alias("echoed"))
 
 
 def pair_defects(responses: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -155,24 +204,16 @@ def pair_defects(responses: DataFrame, prompts: DataFrame) -> DataFrame:
 
     Returns (``row_no``, ``defect``) for the defective responses.
     """
-    name = F.lower(F.trim("id"))
-    answers = responses.select(F.col("row_no").cast("long").alias("row_no"), name.alias("id"), F.col("explanation").alias("text"), F.coalesce(F.lower(F.trim("pred_label")).isin(*LABELS), F.lit(False)).alias("labelled"))
+    name, number = F.lower(F.trim("id")), F.col("row_no").cast("long")
+    answers = responses.select(number.alias("row_no"), F.coalesce(number, F.lit(-1 << 63)).alias("spot"), name.alias("id"), F.col("explanation").alias("text"), F.coalesce(F.lower(F.trim("pred_label")).isin(*LABELS), F.lit(False)).alias("labelled"))
     asked = prompts.where("id is not null and system_description is not null").select(name.alias("id"), F.col("system_description").alias("text")).distinct()
     texts = responses.select(F.lit("responses").alias("origin"), F.col("row_no").alias("key"), F.col("config").alias("source"), F.col("explanation").alias("text")).unionByName(
         prompts.select(F.lit("prompts").alias("origin"), F.col("row_no").alias("key"), "source", F.col("system_description").alias("text"))
     )
-    cut = judged_rows(texts).where("origin = 'responses' and is_cut").select(F.col("key").alias("row_no"), "is_cut").distinct()
+    cut = judged_rows(texts).where("origin = 'responses' and is_cut").select(F.col("key").alias("spot"), "is_cut").distinct()
     n_prompts = asked.groupBy("id").agg(F.count("*").alias("n"))
     few = asked.join(n_prompts.where(F.col("n") <= FEW_PROMPTS), "id").groupBy("id").agg(F.collect_list("text").alias("prompts"))
-    many = n_prompts.where(F.col("n") > FEW_PROMPTS).select("id")
-    index = asked.join(many, "id", "left_semi").select(F.lit(0).cast("long").alias("row_no"), "id", "text").mapInPandas(_shingled, "row_no long, id string, held array<long>").select("id", F.explode("held").alias("shingle")).distinct()
-    held = answers.join(many, "id", "left_semi").select("row_no", "id", "text").mapInPandas(_shingled, "row_no long, id string, held array<long>").where(F.size("held") >= _LEAST_WORDS - 4)
-    indexed = (
-        held.select("row_no", "id", F.size("held").alias("of"), F.explode("held").alias("shingle"))
-        .join(index.hint("merge"), ["id", "shingle"])
-        .groupBy("row_no")
-        .agg((F.count("*") >= ECHO_OF_INDEX * F.max("of")).alias("indexed"))
-    )
-    joined = answers.join(few.hint("merge"), "id", "left").join(cut.hint("merge"), "row_no", "left").join(indexed.hint("merge"), "row_no", "left")
-    filled = joined.select("row_no", "text", "prompts", F.coalesce("is_cut", F.lit(False)).alias("is_cut"), "labelled", F.coalesce("indexed", F.lit(False)).alias("indexed"))
+    echoes = _echoes_of_many(answers, asked, n_prompts.where(F.col("n") > FEW_PROMPTS))
+    joined = answers.join(few.hint("merge"), "id", "left").join(cut.hint("merge"), "spot", "left").join(echoes.hint("merge"), "spot", "left")
+    filled = joined.select("row_no", "text", "prompts", F.coalesce("is_cut", F.lit(False)).alias("is_cut"), "labelled", F.coalesce(F.array_contains("echoed", _pair()), F.lit(False)).alias("echoes"))
     return filled.mapInPandas(_with_defect, "row_no long, defect string").where("defect is not null")

@@ -133,6 +133,35 @@ def test_pair_defects(spark):
     assert 5 not in {r.row_no for r in pair_defects.pair_defects(runs, prompts.limit(0)).where("defect = 'echo'").collect()}
 
 
+def test_many_prompts_change_no_echo(spark, monkeypatch):
+    rng = random.Random(5)
+    sentence = lambda: " ".join(rng.choice(["tool", "clerk", "hotel", "record", "shift", "list", "task", "pilot", "result", "map"]) + str(rng.randrange(6)) for _ in range(12)) + "."
+    base = [sentence() for _ in range(4)]
+    prompts = [" ".join([*base, f"It has number {i}."]) for i in range(30)] + [" ".join(sentence() for _ in range(4)) for _ in range(10)] + [" ".join([base[0], *(sentence() for _ in range(9))]), "Too short."]
+    words = prompts[3].split()
+    texts = {
+        "echo": prompts[3], "reworded": " ".join(f"other{i}" if i % 7 == 3 else w for i, w in enumerate(words)), "half": " ".join([*base[:2], *(sentence() for _ in range(2))]), "short quote": prompts[40].split(". ")[3] + ".",
+        "of several": " ".join(p.split(". ")[0] + "." for p in prompts[30:35]), "own": " ".join(sentence() for _ in range(4)), "same word": "tool1 " * 9 + ".", "few words": "Too short.",
+    }
+    for k in range(40):
+        text = rng.choice(prompts).split()
+        texts[k] = " ".join(w if rng.random() > k / 100 else sentence().split()[0] for w in text[: rng.randint(1, len(text))])
+    is_echo = {t: pair_defects.is_echo(text, prompts) for t, text in texts.items()}
+    assert [t for t in list(texts)[:8] if is_echo[t]] == ["echo", "reworded"] and 5 < sum(is_echo.values()) < 40
+    rows = [(k, "hot", "c", text, "high-risk") for k, text in enumerate(texts.values())]
+    rows += [rows[0], (None, *rows[0][1:]), (2, *rows[0][1:]), (900, None, "c", prompts[3], "high-risk"), (901, "hot", "c", None, "high-risk")]
+    runs = spark.createDataFrame(rows, "row_no long, id string, config string, explanation string, pred_label string")
+    asked = spark.createDataFrame([(k, "Hot ", "s", p) for k, p in enumerate(prompts * 2)], "row_no long, id string, source string, system_description string")
+    found = []
+    for few, block in ((1000, 1024), (16, 1024), (16, 9)):
+        monkeypatch.setattr(pair_defects, "FEW_PROMPTS", few)
+        monkeypatch.setattr(pair_defects, "BLOCK", block)
+        found.append(sorted(map(str, pair_defects.pair_defects(runs, asked).collect())))
+        echoes = [r.row_no for r in pair_defects.pair_defects(runs, asked).where("defect = 'echo'").collect()]
+        assert sorted(e for e in echoes if e is not None) == sorted([*(k for k, t in enumerate(texts) if is_echo[t]), 0, 2]) and echoes.count(None) == 1
+    assert found[0] == found[1] == found[2]
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(120)]
