@@ -30,13 +30,28 @@ def missing_fields(rows: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(rows: DataFrame) -> DataFrame:
-    """One row per repeated description: how many rows, the first, the start of the text. Grouped by a hash of the text, so the texts aren't shuffled twice."""
+    """One row per repeated description: how many rows, the first, the last, the start of the text. ``exact_duplicate_rows`` names all of them."""
     text = stripped(_text("system_description"))
     return rows.select("row_no", text.alias("t")).where("t <> ''").groupBy("t").agg(F.count("*").alias("n"), F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row")).where("n > 1").select("n", "first_row", "last_row", F.substring("t", 1, 80).alias("preview"))
 
 
+def exact_duplicate_rows(rows: DataFrame) -> DataFrame:
+    """A row per row whose description is repeated: (``row_no``, ``id``, ``first_row``, ``n``). Rows meet by a hash of the text; no group is gathered in one place."""
+    text = stripped(_text("system_description"))
+    hashed = rows.where(text != "").select("row_no", "id", F.sha2(text, 256).alias("h"))
+    groups = hashed.groupBy("h").agg(F.count("*").alias("n"), F.min("row_no").alias("first_row")).where("n > 1")
+    return hashed.join(groups.hint("merge"), "h").select("row_no", "id", "first_row", "n")
+
+
+def similar_classes(rows: DataFrame) -> DataFrame:
+    """(``row_no``, ``rep``) for each row with words: ``rep`` is the least row of the same word set, by which ``similar_pairs`` names it."""
+    words = F.sort_array(word_set(F.col("system_description")))
+    hashed = rows.select("row_no", words.alias("ws")).where(F.size("ws") > 0).select("row_no", F.sha2(F.array_join("ws", " "), 256).alias("h"))
+    return hashed.join(hashed.groupBy("h").agg(F.min("row_no").alias("rep")).hint("merge"), "h").select("row_no", "rep")
+
+
 def similar_pairs(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(``row_a``, ``row_b``, ``jaccard``) over distinct word sets, exact, by prefix filtering; a class of equal sets stands for its least row.
+    """(``row_a``, ``row_b``, ``jaccard``) over distinct word sets, exact, by prefix filtering; a class of equal sets stands for its least row (members in ``similar_classes``).
 
     Words are ordered by rarity; two sets at the threshold share a word within their prefixes of n - ceil(threshold * n) + 1 words.
     """

@@ -48,6 +48,8 @@ def segment_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "missing_fields": lambda s, d: quality.missing_fields(_set(s, d)),
     "exact_duplicates": lambda s, d: quality.exact_duplicates(_set(s, d)),
+    "exact_duplicate_rows": lambda s, d: quality.exact_duplicate_rows(_set(s, d)),
+    "similar_classes": lambda s, d: quality.similar_classes(_set(s, d)),
     "similar_pairs": lambda s, d: quality.similar_pairs(_set(s, d)).withColumn("jaccard", F.round("jaccard", 6)),
     "length_outliers": lambda s, d: quality.length_outliers(_set(s, d)),
     "unterminated": lambda s, d: quality.unterminated(_set(s, d)),
@@ -84,6 +86,8 @@ _COLLAPSED = f"trim(regexp_replace(coalesce(text, ''), '{SPACE}+', ' ', 'g'), '
 SQL = {
     "missing_fields": "WITH m AS (SELECT row_no, id, concat_ws(',', " + ", ".join(f"CASE WHEN coalesce({c}, '') = '' THEN '{c}' END" for c in _REQUIRED) + ") AS missing FROM test_set) SELECT * FROM m WHERE missing <> ''",
     "exact_duplicates": f"WITH t AS (SELECT row_no, {trimmed(_T)} AS t FROM test_set) SELECT count(*) AS n, min(row_no) AS first_row, max(row_no) AS last_row, substr(t, 1, 80) AS preview FROM t WHERE t <> '' GROUP BY t HAVING count(*) > 1",
+    "exact_duplicate_rows": f"WITH t AS (SELECT row_no, id, {trimmed(_T)} AS t FROM test_set), g AS (SELECT *, count(*) OVER (PARTITION BY t) AS n, min(row_no) OVER (PARTITION BY t) AS first_row FROM t WHERE t <> '') SELECT row_no, id, first_row, n FROM g WHERE n > 1",
+    "similar_classes": f"SELECT row_no, min(row_no) OVER (PARTITION BY ws) AS rep FROM (SELECT row_no, list_sort({_WORDS}) AS ws FROM test_set) WHERE len(ws) > 0",
     "similar_pairs": f"""WITH s AS (SELECT min(row_no) AS rep, ws FROM (SELECT row_no, list_sort({_WORDS}) AS ws FROM test_set) WHERE len(ws) > 0 GROUP BY ws),
       p AS (SELECT a.rep AS row_a, b.rep AS row_b, len(list_intersect(a.ws, b.ws)) AS i, len(a.ws) + len(b.ws) AS n FROM s a JOIN s b ON a.rep < b.rep)
       SELECT row_a, row_b, round(i::DOUBLE / (n - i), 6) AS jaccard FROM p WHERE i::DOUBLE / (n - i) >= 0.85::DOUBLE""",

@@ -41,6 +41,13 @@ def test_duplicates_and_similar_pairs_at_the_boundary(spark):
     assert [(r.n, r.first_row, r.preview) for r in quality.exact_duplicates(t).collect()] == [(2, 3, "other")]
 
 
+def test_every_copy_is_named(spark):
+    t = rows(spark, row(1, "one two"), row(2, " two  ONE "), row(3, "other"), row(4, " other "), row(5, None), row(6, " "), row(7, "other\n", id=None), row(8, "Other"), row(9, "alone"), row(10, "one two"))
+    assert sorted((r.row_no, r.id, r.first_row, r.n) for r in quality.exact_duplicate_rows(t).collect()) == [(1, "anx3-001", 1, 2), (3, "anx3-003", 3, 3), (4, "anx3-004", 3, 3), (7, None, 3, 3), (10, "anx3-010", 1, 2)]
+    assert {r.row_no: r.rep for r in quality.similar_classes(t).collect()} == {1: 1, 2: 1, 10: 1, 3: 3, 4: 3, 7: 3, 8: 3, 9: 9}
+    assert quality.exact_duplicate_rows(t.limit(0)).count() == 0 and quality.similar_classes(t.limit(0)).count() == 0
+
+
 def test_outliers_are_strict(spark):
     t = rows(spark, *[row(i, "x" * 100) for i in range(1, 40)], row(50, "x" * 10), row(51, "x" * 801), row(52, "x" * 60))
     assert {(r.row_no, r.kind) for r in quality.length_outliers(t).collect()} == {(50, "short"), (51, "long")}
