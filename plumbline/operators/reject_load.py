@@ -3,8 +3,8 @@
 Each worker writes its records of each file to a file in memory and reads these with DuckDB, rejects stored. A record carries its
 number as a first field behind a mark, so that accepted rows name their record. An unclosed quote makes DuckDB swallow the
 records after it; a swallowed mark betrays that. What isn't accepted cleanly is read again, each record a file of its own,
-whose line-level errors are joined to it. An exact reading of the record then settles the reason, as DuckDB takes some quotes that
-the format forbids and reports one of several errors.
+whose line-level errors are joined to it and propose a reason. An exact reading of the record then confirms or corrects it, as DuckDB takes some quotes that
+the format forbids and reports one of several errors, or none. ``rejects`` gives both.
 
 A null or empty record has one field at most and fails by 'column_count'. Repeated records are judged alike; texts of
 any length are read whole; an empty table gives no rows.
@@ -27,6 +27,8 @@ LABELS = ("high-risk", "not-high-risk")
 #: A private-use character, which no valid record holds; records with it are read exactly only.
 _MARK = "\ue000"
 _FILES_AT_ONCE = 200
+#: The reason that a kind of error in DuckDB's reject table proposes.
+_PROPOSED = {"UNQUOTED VALUE": "quoting", "MISSING COLUMNS": "column_count", "TOO MANY COLUMNS": "column_count"}
 _FIELD = re.compile(r'"((?:[^"]|"")*)"|([^",]*)')
 
 
@@ -85,17 +87,17 @@ def _read_all(connection, contents: list[str], width: int) -> tuple[list[tuple],
 
 
 def _is_whole(record: str, fields: list[str | None]) -> bool:
-    """Whether these fields, none with a quote, are all there is in the record: DuckDB forgives an empty surplus field and some quotes."""
+    """Whether these fields, bare or quoted with quotes doubled, are all there is in the record: DuckDB forgives an empty surplus field and some quotes."""
     at = 0
     for k, field in enumerate(fields):
         text = field or ""
-        quoted = f'"{text}"'
+        quoted = '"' + text.replace('"', '""') + '"'
         if k and not record.startswith(",", at):
             return False
         at += k > 0
         if record.startswith(quoted, at):
             at += len(quoted)
-        elif record.startswith(text, at):
+        elif '"' not in text and "," not in text and record.startswith(text, at):
             at += len(text)
         else:
             return False
@@ -107,7 +109,7 @@ def _accepted(rows: list[tuple], records: list[str | None]) -> dict[int, list[st
     out = {}
     for row in rows:
         number, fields = row[0], list(row[1:])
-        if number and number.startswith(_MARK) and number[1:].isdigit() and not any(v and (_MARK in v or '"' in v) for v in fields) and _is_whole(records[int(number[1:])], fields):
+        if number and number.startswith(_MARK) and number[1:].isdigit() and not any(v and _MARK in v for v in fields) and _is_whole(records[int(number[1:])], fields):
             out[int(number[1:])] = fields
     return out
 
@@ -198,6 +200,13 @@ def rejected(raw: DataFrame, loaded: DataFrame) -> DataFrame:
     return with_reasons(raw, loaded).where("reason is not null").select("origin", "row_no", "reason")
 
 
+def rejects(raw: DataFrame, loaded: DataFrame) -> DataFrame:
+    """The failing rows with the line-level error that DuckDB reported, if it did, and the reason it proposes: (``origin``, ``row_no``, ``reason``, ``proposed``, ``detail``).
+    Numbers of columns in ``detail`` count the record's number, too."""
+    kinds = F.create_map(*[F.lit(x) for pair in _PROPOSED.items() for x in pair])
+    return with_reasons(raw, loaded).where("reason is not null").select("origin", "row_no", "reason", kinds[F.substring_index("detail", ":", 1)].alias("proposed"), "detail")
+
+
 def typed_rows(raw: DataFrame, loaded: DataFrame) -> DataFrame:
     """The valid rows of both tables as typed test rows: ids trimmed, labels in lower case, blank texts null, the point split in number and letter."""
     point = F.regexp_extract_all(_trimmed(F.col("annex_iii_point")), F.lit(r"^([0-9]+)(?:\(([a-z])\))?$"), 1)

@@ -17,7 +17,11 @@ def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reject_load.typed_rows(table(spark, sf_dir, "test_set_raw"), table(spark, sf_dir, "test_set"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded}
+def p2_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reject_load.rejects(table(spark, sf_dir, "test_set_raw"), table(spark, sf_dir, "test_set"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p2_rejects": p2_rejects}
 
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 

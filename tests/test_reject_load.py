@@ -5,7 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.operators.reject_load import FIELDS, exact_fields, parse_records, rejected, typed_rows
+from plumbline.operators import reject_load
+from plumbline.operators.reject_load import FIELDS, exact_fields, parse_records, rejected, rejects, typed_rows
 
 RAW = "row_no long, file_name string, raw_line string, received_at timestamp, id string"
 SET = "row_no long, id string, source string, annex_iii_area string, annex_iii_point string, system_description string, label string, label_source string, edge_case_type string, notes string, loaded_at timestamp"
@@ -45,6 +46,22 @@ def test_a_broken_record_takes_no_neighbour_with_it():
     assert found[2][2][4] == 'Text, with "quotes" and\na break'
 
 
+def test_valid_records_with_doubled_quotes_come_from_duckdb(monkeypatch):
+    read = []
+    monkeypatch.setattr(reject_load, "exact_fields", lambda r: read.append(r) or exact_fields(r))
+    broken = GOOD.replace('""quotes""', '"quotes"')
+    edge = 'anx3-001,s,a,1(a),"""","x""",l,none,"""a"""'
+    found = parse_records([GOOD, edge, broken, GOOD], ["f"] * 4)
+    assert [x[0] for x in found] == [None, None, "quoting", None] and read == [broken]
+    assert found[0][2][4] == 'Text, with "quotes" and\na break' and found[1][2][4:] == ['"', 'x"', "l", "none", '"a"']
+
+
+def test_rejects_have_the_line_level_error(spark):
+    raw = spark.createDataFrame([(1, "f", GOOD, None, "x"), (2, "f", GOOD + ",x", None, None), (3, "f", "anx3-001,s", None, None), (4, "f", GOOD.replace("high-risk", "maybe"), None, None), (5, "f", GOOD.replace('""quotes""', '"quotes"'), None, None), (6, "f", None, None, None)], RAW)
+    got = {r.row_no: (r.reason, r.proposed, (r.detail or "").split(":")[0]) for r in rejects(raw, spark.createDataFrame([], SET)).collect()}
+    assert got == {2: ("column_count", "column_count", "TOO MANY COLUMNS"), 3: ("column_count", "column_count", "MISSING COLUMNS"), 4: ("bad_label", None, ""), 5: ("quoting", "quoting", "UNQUOTED VALUE"), 6: ("column_count", None, "")}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.text(alphabet='ab ,"\n\\é', max_size=6), min_size=9, max_size=9), min_size=1, max_size=8))
 def test_written_records_come_back(rows):
