@@ -5,7 +5,8 @@ is split. Each piece ends at one of the candidate places; the plan minimises, in
 number of pieces, the penalties of the cuts and the squared imbalance of the sizes. Consecutive pieces share ``OVERLAP`` characters.
 
 Candidate places are ends of sentences and clauses; where two of them are too far apart for one piece, ends of words between them too, and
-where a word is too long for that, places within it. Headings over half the limit count, and are given, as their first half limit.
+where a word is too long for that, places within it. A heading that leaves less room than the overlap needs is shortened until it leaves
+just enough, and its pieces are flagged; all others are planned with and given as they are.
 
 Null and blank texts are never over the limit; repeated rows are each split; surplus columns don't matter.
 """
@@ -114,7 +115,7 @@ _KINDS = {SENTENCE: "sentence", CLAUSE: "clause", COMMA: "comma", WORD: "word",
 
 def split_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> DataFrame:
     """``chunks``: (``row_no``, ``heading_path``, ``text``). The pieces of those over the limit: (``row_no``, ``cut_kind``, ``piece_no``, ``n_pieces``,
-    ``starts_at``, ``ends_at``, ``shared``, ``ends_with``, ``heading``, ``text``)."""
+    ``starts_at``, ``ends_at``, ``shared``, ``ends_with``, ``heading``, ``text``, ``heading_shortened``)."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -125,12 +126,14 @@ def split_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: tuple[int, int]
                 kind = cut_kind(body, share, limit) if body else None
                 if kind is None:
                     continue
-                if heading is not None and share > limit // 2:
-                    heading, share = heading[: limit // 2 - 1], limit // 2
+                shortened = heading is not None and limit - share <= 2 * overlap[1]
+                if shortened:
+                    share = max(1, limit - 2 * overlap[1] - 1)
+                    heading = heading[: share - 1]
                 pieces = plan(body, limit - share, overlap)
                 before = 0
                 for n, (start, end, penalty) in enumerate(pieces, 1):
-                    rows.append((row_no, kind, n, len(pieces), start, end, before - start if n > 1 else 0, "end" if end == len(body) else _KINDS[penalty], heading, body[start:end]))
+                    rows.append((row_no, kind, n, len(pieces), start, end, before - start if n > 1 else 0, "end" if end == len(body) else _KINDS[penalty], heading, body[start:end], shortened))
                     before = end
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PIECES.split(", ")])
 
@@ -138,7 +141,7 @@ def split_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: tuple[int, int]
     return spread(source).mapInPandas(split, _PIECES)
 
 
-_PIECES = "row_no long, cut_kind string, piece_no int, n_pieces int, starts_at int, ends_at int, shared int, ends_with string, heading string, text string"
+_PIECES = "row_no long, cut_kind string, piece_no int, n_pieces int, starts_at int, ends_at int, shared int, ends_with string, heading string, text string, heading_shortened boolean"
 
 
 def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:

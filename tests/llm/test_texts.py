@@ -79,6 +79,21 @@ def test_kinds_of_cut(spark):
     assert splitting.oversized(df.limit(0)).count() == 0
 
 
+def test_only_headings_without_room_for_the_overlap_are_shortened(spark):
+    sizes = [269, 898, 899, 900, 1200, 1398, 1399, 1700, 5000]
+    df = spark.createDataFrame([(n, "h" * n, BODY) for n in sizes] + [(0, None, BODY)], "row_no long, heading_path string, text string")
+    pieces = splitting.split_pieces(df).collect()
+    assert {r.row_no for r in pieces} == {0, *sizes}
+    for r in pieces:
+        assert r.heading_shortened == (r.row_no > 1398)
+        assert (r.heading is None) if r.row_no == 0 else len(r.heading) == min(r.row_no, 1398)
+        assert len(r.text) + (0 if r.heading is None else len(r.heading) + 1) <= 1800
+    body = splitting.collapsed(BODY)
+    for n in {0, *sizes}:
+        own = sorted((r for r in pieces if r.row_no == n), key=lambda r: r.piece_no)
+        check_pieces(body, [(r.starts_at, r.ends_at, 0) for r in own], 1800)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 100), max_size=200))
 def test_sequences_keep_all_limits(sizes):
