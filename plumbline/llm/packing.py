@@ -6,6 +6,8 @@ each group fills one sequence after another, always with the fitting item whose
 with the room left, both in shares of the limits. A group ends with at most about one sequence that isn't full, so the groups
 cost one sequence in some hundreds.
 
+Without a mask, tokens that bear loss are always fewer than tokens, so ``LOSS`` never binds beside ``TOKENS``; a lower limit given to ``pack`` does.
+
 Null and empty texts are items of no tokens and come out once, too. Repeated rows of one ``doc_id`` are one text: the key must be unique.
 """
 

@@ -106,6 +106,12 @@ def test_sequences_keep_all_limits(sizes):
     assert len(set(sequence.tolist())) <= max(2 * sum(sizes) // 100 + 1, -(-len(sizes) // 7) + 1) + 1
 
 
+def test_only_a_lower_limit_on_loss_binds():
+    sizes = np.array([81, 60, 60, 40, 40, 30, 2, 1] * 5)
+    most = lambda s: max(np.maximum(sizes - 1, 0)[s == k].sum() for k in set(s.tolist()))
+    assert 80 < most(fill(sizes, (100, 64, 100))[0]) < 100 and most(fill(sizes, (100, 64, 80))[0]) <= 80
+
+
 def test_every_text_is_packed_once(spark):
     rows = [(i, "some words of a text " * (i % 50)) for i in range(300)] + [(1000, None), (1001, ""), (1002, "word " * 7000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_parts string")
