@@ -47,14 +47,17 @@ def redaction_counts(redacted_rows: DataFrame) -> DataFrame:
     return redacted_rows.groupBy("redaction").agg(F.count("*").alias("n"))
 
 
-def cut_at_markers(rows: DataFrame, markers: DataFrame, drop_ids: list[str]) -> DataFrame:
-    """Rows without the dropped ids; those with a marker (``id``, ``marker``) end before its first occurrence. ``outcome``: 'kept', 'fixed', or why it couldn't be: 'marker not
+def cut_at_markers(rows: DataFrame, markers: DataFrame, drop_ids: DataFrame | list[str]) -> DataFrame:
+    """Rows without the dropped ids, a table with ``id`` or a short list; those with a marker (``id``, ``marker``) end before its first occurrence. ``outcome``: 'kept', 'fixed', or why it couldn't be: 'marker not
     found', 'bad ending' (then the text stands). A row whose id is null is kept."""
     text = F.coalesce("system_description", F.lit(""))
     at = F.instr(text, F.col("marker"))
     head = F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"(?U)\s+$", "")
     outcome = F.when(F.col("marker").isNull(), "kept").when(at == 0, "marker not found").when(ends_well(head, (".", "?", "!", ")")), "fixed").otherwise("bad ending")
-    kept = rows.where(F.col("id").isNull() | ~F.col("id").isin(*drop_ids)) if drop_ids else rows
+    if isinstance(drop_ids, DataFrame):
+        kept = rows.join(drop_ids.select("id"), "id", "left_anti")
+    else:
+        kept = rows.where(F.col("id").isNull() | ~F.col("id").isin(*drop_ids)) if drop_ids else rows
     joined = kept.join(markers.select("id", "marker"), "id", "left").withColumn("outcome", outcome)
     rest: list[Column | str] = [c for c in rows.columns if c != "system_description"]
     return joined.select(*rest, F.when(F.col("outcome") == "fixed", head).otherwise(F.col("system_description")).alias("system_description"), "outcome")

@@ -30,7 +30,15 @@ def cut_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth row has a marker, every twenty-fifth is dropped."""
     rows = _set(spark, sf_dir).withColumn("id", F.concat(F.lit("r"), F.col("row_no").cast("string")))
     markers = rows.where("row_no % 4 = 0").select("id", F.lit(" Its operators").alias("marker"))
-    return redact.cut_at_markers(rows.where("row_no % 25 <> 0"), markers, []).select("row_no", "system_description", "outcome")
+    dropped = rows.where("row_no % 25 = 0").select("id")
+    return redact.cut_at_markers(rows, markers, dropped).select("row_no", "system_description", "outcome")
+
+
+def cut_every_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row has a marker, none is dropped."""
+    rows = _set(spark, sf_dir).withColumn("id", F.concat(F.lit("r"), F.col("row_no").cast("string")))
+    markers = rows.select("id", F.lit(" Its operators").alias("marker"))
+    return redact.cut_at_markers(rows, markers, []).select("row_no", "system_description", "outcome")
 
 
 def sentence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +70,7 @@ QUERIES = {
     "redaction_precedence": lambda s, d: _redacted(s, d).select("row_no", "system_description", "redaction"),
     "redaction_counts": lambda s, d: redact.redaction_counts(_redacted(s, d)),
     "cut_markers": cut_markers,
+    "cut_every_marker": cut_every_marker,
     "sentence_packing": sentence_packing,
     "segment_roundtrip": segment_roundtrip,
 }
@@ -108,6 +117,9 @@ SQL = {
     "redact_sentences": f"WITH r AS (SELECT row_no, {_T} AS t, {_AUTO} AS a FROM test_set) SELECT row_no, a AS system_description, CASE WHEN a <> {trimmed('t')} THEN 'auto' ELSE 'unchanged' END AS redaction FROM r",
     "redaction_precedence": f"WITH {_PRECEDENCE} SELECT * FROM red",
     "redaction_counts": f"WITH {_PRECEDENCE} SELECT redaction, count(*) AS n FROM red GROUP BY redaction",
+    "cut_every_marker": f"""WITH r AS (SELECT row_no, system_description, instr({_T}, ' Its operators') AS spot, regexp_replace(substr({_T}, 1, greatest(instr({_T}, ' Its operators') - 1, 0)), '{SPACE}+$', '') AS head FROM test_set),
+      o AS (SELECT *, CASE WHEN spot = 0 THEN 'marker not found' WHEN right(head, 1) IN ('.', '?', '!', ')') THEN 'fixed' ELSE 'bad ending' END AS outcome FROM r)
+      SELECT row_no, CASE WHEN outcome = 'fixed' THEN head ELSE system_description END AS system_description, outcome FROM o""",
     "cut_markers": f"""WITH r AS (SELECT row_no, system_description, instr({_T}, ' Its operators') AS spot, regexp_replace(substr({_T}, 1, greatest(instr({_T}, ' Its operators') - 1, 0)), '{SPACE}+$', '') AS head FROM test_set WHERE row_no % 25 <> 0),
       o AS (SELECT *, CASE WHEN row_no % 4 <> 0 THEN 'kept' WHEN spot = 0 THEN 'marker not found' WHEN right(head, 1) IN ('.', '?', '!', ')') THEN 'fixed' ELSE 'bad ending' END AS outcome FROM r)
       SELECT row_no, CASE WHEN outcome = 'fixed' THEN head ELSE system_description END AS system_description, outcome FROM o""",

@@ -86,6 +86,13 @@ def test_cut_markers(spark):
     assert got == {1: ("Whole.", "fixed"), 2: ("no end Junk", "bad ending"), 3: ("Nothing.", "marker not found")}
 
 
+def test_dropped_ids_from_a_table(spark):
+    t = rows(spark, row(1, "Whole. Junk"), row(2, "Gone."), row(3, "Stays.", id=None), row(4, "Stays, too."))
+    markers = spark.createDataFrame([("anx3-001", " Junk"), ("anx3-002", " Junk")], "id string, marker string")
+    dropped = spark.createDataFrame([("anx3-002",), ("anx3-002",), (None,), ("other",)], "id string")
+    assert {r.row_no: r.outcome for r in redact.cut_at_markers(t, markers, dropped).collect()} == {1: "fixed", 3: "kept", 4: "kept"}
+
+
 def test_latest_with_null_keys(spark):
     t = spark.createDataFrame([(None, 1, "a"), (None, 3, "b"), ("k", 2, None)], "k string, o long, v string")
     assert {(r.k, r.v, r.f) for r in latest(t, ["k"], "o", "f").collect()} == {(None, "b", 1), ("k", None, 2)}
