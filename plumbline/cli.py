@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +45,20 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def check(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The rows of each check as JSON lines in a folder beside the report, which has their numbers."""
     good, bad = files.read_jsonl_tolerant(spark, a.source, schemas.TEST_SET)
     rows = _numbered(good)
-    checks = {"labels": quality.label_vocabulary, "missing fields": quality.missing_fields, "exact duplicates": quality.exact_duplicates, "near duplicates": quality.similar_pairs, "lengths": quality.length_outliers, "endings": quality.unterminated, "label against point": quality.label_against_mode, "filter cases": quality.filter_case_labels, "summary": quality.set_summary}
-    report.write_markdown(a.out, "Checks", {"broken lines": bad, **{k: f(rows) for k, f in checks.items()}})
+    checks = {"labels": quality.label_vocabulary, "missing fields": quality.missing_fields, "exact duplicates": quality.exact_duplicates, "exact duplicate rows": quality.exact_duplicate_rows, "near duplicates": quality.similar_pairs, "near duplicate classes": quality.similar_classes, "lengths": quality.length_outliers, "endings": quality.unterminated, "label against point": quality.label_against_mode, "filter cases": quality.filter_case_labels, "summary": quality.set_summary}
+    found = {"broken lines": bad, **{k: f(rows) for k, f in checks.items()}}
+    counts = {}
+    for name, df in found.items():
+        path = f"{Path(a.out).with_suffix('')}_rows/{name.replace(' ', '_')}"
+        files.write_jsonl(df, path)
+        counts[name] = (spark.read.text(path).count(), path)
+    tables = {"rows found": spark.createDataFrame([(name, *n) for name, n in counts.items()], "check string, n long, written_to string")}
+    if counts["summary"][0] <= report.MAX_ROWS:
+        tables["summary"] = found["summary"]
+    report.write_markdown(a.out, "Checks", tables)
 
 
 def redact_rows(spark: SparkSession, a: argparse.Namespace) -> None:

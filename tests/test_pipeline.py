@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
-from plumbline import cli, schemas
+from plumbline import cli, report, schemas
 from plumbline.operators import generation, segment
 from plumbline.sources import files
 from plumbline.streaming.follow import accuracy_windows, append_correctness, followed_runs
@@ -135,6 +135,20 @@ def test_command_line_end_to_end(spark, tmp_path, monkeypatch):
     assert "<table>" in (tmp_path / "report.html").read_text(encoding="utf-8")
 
 
+def test_checks_of_many_rows_are_written_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    monkeypatch.setattr(report, "MAX_ROWS", 20)
+    lines = [json.dumps({"id": f"anx3-{i:03d}", "annex_iii_area": f"area {i % 3}", "system_description": "No end", "label": "high-risk"}) for i in range(30)]
+    (tmp_path / "set.jsonl").write_text("\n".join([*lines, "{broken"]), encoding="utf-8")
+    cli.main(["check", str(tmp_path / "set.jsonl"), str(tmp_path / "checks.md")])
+    text = (tmp_path / "checks.md").read_text(encoding="utf-8")
+    for name, n in (("endings", 30), ("missing fields", 30), ("broken lines", 1), ("exact duplicates", 1), ("exact duplicate rows", 30), ("near duplicates", 0), ("lengths", 0)):
+        folder = tmp_path / "checks_rows" / name.replace(" ", "_")
+        assert f"| {name} | {n} | {folder} |" in text
+        assert sum(len(f.read_text(encoding="utf-8").splitlines()) for f in folder.glob("*.json")) == n
+    assert "| area | area 1 | 10 |" in text
+
+
 def test_streamed_runs(spark, tmp_path):
     schema = StructType([*schemas.RUNS.fields, StructField("loaded_at", TimestampType()), StructField("row_no", LongType())])
     line = {"id": "a", "config": "c", "gold_label": "high-risk", "pred_label": "high-risk", "loaded_at": "2026-01-01T00:00:00", "row_no": 1}
