@@ -53,6 +53,31 @@ def segment_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment_corpus(chunks.select(F.col("row_no").cast("string").alias("doc_id"), text.alias("text"))).select("doc_id", "id", "section", "annex_iii_area", "para_num", "part", "heading_path", "text", "char_len")
 
 
+def _documents(blocks: DataFrame) -> DataFrame:
+    """``blocks``: (``row_no``, ``block``). One document of each eight rows in a row."""
+    grouped = blocks.groupBy(F.floor(F.col("row_no") / 8).cast("string").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("row_no", "block"))).alias("b"))
+    return grouped.select("doc_id", F.array_join(F.col("b.block"), "").alias("text"))
+
+
+def segment_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as sections of documents, each with a footnote, a paragraph of examples that is held out and a page number, and read back."""
+    chunks = table(spark, sf_dir, "corpus_chunks").where("section is not null")
+    junk = "  9 A footnote of two lines\n   which are both dropped\n(98) Below are some examples of systems that would be caught.\n 12\n"
+    text = F.concat(F.col("section"), F.lit("  Provisions on the matters of this section\n\n("), F.coalesce("para_num", F.lit("1")), F.lit(")   "), collapsed(F.coalesce("text", F.lit(""))), F.lit("\n" + junk))
+    documents = _documents(chunks.select("row_no", text.alias("block")))
+    return segment.segment_corpus(documents).select("doc_id", "id", "section", "annex_iii_area", "para_num", "part", "heading_path", "text", "char_len")
+
+
+def segment_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions as bullets of example blocks of the three kinds, under a heading and a point each, and read back."""
+    rows = _set(spark, sf_dir).where("annex_iii_point rlike '^[0-9]+[(][a-z][)]$' and system_description is not null")
+    kinds = F.array(F.lit("a) Practical example of systems falling within the high-risk use case"), F.lit("b) Practical example of systems falling outside the high-risk use case"), F.lit("c) Practical example of systems exempted"))
+    kind = F.get(kinds, F.pmod(F.col("row_no"), F.lit(3)).cast("int"))
+    text = F.concat(F.lit("3.4. Employment, workers management and access to self-employment\n"), kind, F.lit(", Point "), F.col("annex_iii_point"), F.lit("\n   - "), collapsed(F.col("system_description")), F.lit("\n"))
+    found = segment.segment_examples(_documents(rows.select("row_no", text.alias("block"))))
+    return found.select("doc_id", "id", "annex_iii_point", "system_description", "label", "label_source", "edge_case_type", "notes", F.array_join("needs_review", ",").alias("needs_review"))
+
+
 QUERIES = {
     "missing_fields": lambda s, d: quality.missing_fields(_set(s, d)),
     "exact_duplicates": lambda s, d: quality.exact_duplicates(_set(s, d)),
@@ -73,6 +98,8 @@ QUERIES = {
     "cut_every_marker": cut_every_marker,
     "sentence_packing": sentence_packing,
     "segment_roundtrip": segment_roundtrip,
+    "segment_sections": segment_sections,
+    "segment_examples": segment_examples,
 }
 
 _T = "coalesce(system_description, '')"

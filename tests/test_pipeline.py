@@ -6,6 +6,7 @@ from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from plumbline import cli, report, schemas
 from plumbline.operators import generation, segment
+from plumbline.plans import registry
 from plumbline.sources import files
 from plumbline.streaming.follow import accuracy_windows, append_correctness, followed_runs
 
@@ -149,6 +150,17 @@ def test_checks_of_many_rows_are_written_whole(spark, tmp_path, monkeypatch):
     assert "| area | area 1 | 10 |" in text
 
 
+def test_segmentation_queries_keep_state_over_lines(spark, tmp_path):
+    texts = [f"Paragraph {i} speaks of the recruitment of natural persons." for i in range(20)]
+    spark.createDataFrame([(i, f"3.{i % 8 + 1}", str(i + 1), t) for i, t in enumerate(texts)], "row_no long, section string, para_num string, text string").write.parquet(str(tmp_path / "corpus_chunks.parquet"))
+    spark.createDataFrame([(i, f"{i % 8 + 1}(b)", t) for i, t in enumerate(texts)], "row_no long, annex_iii_point string, system_description string").write.parquet(str(tmp_path / "test_set.parquet"))
+    chunks = registry.QUERIES["segment_sections"](spark, str(tmp_path)).collect()
+    assert sorted((r.section, r.para_num, r.text) for r in chunks) == sorted((f"3.{i % 8 + 1}", str(i + 1), t) for i, t in enumerate(texts)) and len({r.doc_id for r in chunks}) == 3
+    examples = registry.QUERIES["segment_examples"](spark, str(tmp_path)).collect()
+    kinds = [("high-risk", "none"), ("not-high-risk", "none"), ("not-high-risk", "article-6-3-filter")]
+    assert sorted((r.system_description, r.annex_iii_point, r.label, r.edge_case_type) for r in examples) == sorted((t, f"{i % 8 + 1}(b)", *kinds[i % 3]) for i, t in enumerate(texts))
+
+
 def test_streamed_runs(spark, tmp_path):
     schema = StructType([*schemas.RUNS.fields, StructField("loaded_at", TimestampType()), StructField("row_no", LongType())])
     line = {"id": "a", "config": "c", "gold_label": "high-risk", "pred_label": "high-risk", "loaded_at": "2026-01-01T00:00:00", "row_no": 1}
