@@ -31,18 +31,36 @@ c) Practical example of systems exempted
 """
 
 
-def test_corpus_fold():
-    got = segment.corpus_chunks_of(GUIDE)
-    assert [(c["para_num"], c["section"], c["annex_iii_area"]) for c in got] == [("1", "3.4", "employment"), ("4", "3.4", "employment")]
-    assert got[0]["text"] == "The first paragraph speaks of the recruitment of natural persons and goes on here. but an indented line ends it."
-    assert got[0]["heading_path"].startswith("employment | 3.4 Employment")
-
-
-def test_example_fold():
-    got = segment.examples_of(GUIDE)
-    assert [(r["label"], r["edge_case_type"], r["annex_iii_point"]) for r in got] == [("high-risk", "none", "4(b)"), ("not-high-risk", "article-6-3-filter", "4(b)")]
-    assert got[1]["notes"] == "Filter condition: Article 6(3)(a)" and got[1]["needs_review"] == ["possibly_truncated"]
-    assert got[0]["label_source"] == "Annex III guidelines, section 3.4, a) subsection, para ~2"
+def documents(spark, *texts):
+    return spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+
+
+def test_paragraphs_of_a_document(spark):
+    got = segment.segment_corpus(documents(spark, GUIDE)).orderBy("seq").collect()
+    assert [(c.para_num, c.section, c.annex_iii_area) for c in got] == [("1", "3.4", "employment"), ("4", "3.4", "employment")]
+    assert got[0].text == "The first paragraph speaks of the recruitment of natural persons and goes on here. but an indented line ends it."
+    assert got[0].heading_path.startswith("employment | 3.4 Employment") and [c.id for c in got] == ["chunk-0001", "chunk-0002"]
+
+
+def test_examples_of_a_document(spark):
+    got = segment.segment_examples(documents(spark, GUIDE)).orderBy("seq").collect()
+    assert [(r.label, r.edge_case_type, r.annex_iii_point) for r in got] == [("high-risk", "none", "4(b)"), ("not-high-risk", "article-6-3-filter", "4(b)")]
+    assert got[1].notes == "Filter condition: Article 6(3)(a)" and got[1].needs_review == ["possibly_truncated"]
+    assert got[0].label_source == "Annex III guidelines, section 3.4, a) subsection, para ~2" and got[0].needs_review is None
+
+
+def test_state_of_a_document(spark):
+    text = "2.1 General matters of this guideline\n(1) One paragraph that is long enough.\n 12\n   goes on after the page\na) Practical example of systems\n   which is held out\n(2) Two paragraphs that are long enough.\n  7 A note\n   of two lines\nDraft Commission guidelines on the classification\n   after the footer"
+    got = segment.segment_corpus(documents(spark, text, "4.2 A part that isn't kept at all\n(1) One paragraph that is long enough.", "(1) A paragraph without any section above it.")).collect()
+    assert sorted((r.doc_id, r.para_num, r.heading_path, r.text) for r in got) == [
+        ("0", "1", "General principles | 2.1 General matters of this guideline", "One paragraph that is long enough. goes on after the page"), ("0", "2", "General principles | 2.1 General matters of this guideline", "Two paragraphs that are long enough. after the footer"),
+    ]
+    block = "3.2.3. Roads and traffic\na) Practical example of systems falling within the high-risk use case\n- A bullet that is long enough to count\n  and goes on\nan end of it\n  lost\n 4\n  lost too\n     – Another bullet that is long enough\n3.9. Something else, point 9(z)\nc) Practical example of systems exempted\n- A bullet of nothing known at all, of"
+    found = segment.segment_examples(documents(spark, block)).orderBy("seq").collect()
+    assert [(r.system_description, r.annex_iii_point, r.annex_iii_area, r.notes) for r in found[:2]] == [
+        ("A bullet that is long enough to count and goes on", "2", "critical-infrastructure", "Sub-topic: road-traffic"), ("Another bullet that is long enough", "2", "critical-infrastructure", "Sub-topic: road-traffic"),
+    ]
+    assert (found[2].annex_iii_point, found[2].needs_review) == ("9(z)", ["unknown_area", "possibly_truncated", "filter_row_missing_6_3_ref"])
 
 
 def test_segments_of_null_and_empty_documents(spark):
