@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -18,6 +21,8 @@ def local_session(cores: int | str = "*", app: str = "plumbline", shuffle_partit
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.compress", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -40,16 +45,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; only where none is set, as in tests, a folder of our own."""
+    """The shared folder in ``spark.checkpoint.dir``; only where none is set, as in tests, a folder of our own.
+
+    Spark makes a folder of the application's own in it. That one is deleted when the driver ends; with ``spark.cleaner.referenceTracking.cleanCheckpoints`` each
+    checkpoint goes as soon as nothing refers to it.
+    """
     context = spark.sparkContext
     present = context.getCheckpointDir()
-    if present:
-        return present
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not context.master.startswith("local[") and context.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-    return context.getCheckpointDir()
+    if not present:
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+        present = context.getCheckpointDir()
+    if present not in _DELETED_AT_END:
+        _DELETED_AT_END.add(present)
+        path = context._jvm.org.apache.hadoop.fs.Path(present)
+        atexit.register(_deleted, path.getFileSystem(context._jsc.hadoopConfiguration()), path)
+    return present
+
+
+_DELETED_AT_END: set[str] = set()
+
+
+def _deleted(file_system, path) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        file_system.delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import clauses, collapsed, packed, redaction_sentences, statements
@@ -105,3 +109,18 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100}
     assert connected_components(links.limit(0)).count() == 0
+
+
+def test_checkpoints_are_deleted_at_the_end(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+from plumbline.session import cut_lineage
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+kept = cut_lineage(spark.range(9))
+from pathlib import Path
+assert kept.count() == 9 and any(Path({str(tmp_path / "shared")!r}).rglob("part-*"))
+"""
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120).returncode == 0
+    assert not any((tmp_path / "shared").rglob("part-*"))
