@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from plumbline.llm import leakage, pair_defects, spam, splitting
 from plumbline.llm.packing import fill, pack, packing_summary, token_counts
 from plumbline.llm.truncation import cut_shares, judge, judged_rows
-from plumbline.llm.words import hashes, lcs_length, plain_words
+from plumbline.llm.words import Bitmap, hashes, lcs_length, plain_words
 
 
 @settings(max_examples=60, deadline=None)
@@ -238,6 +238,28 @@ def test_spam(spark, text, is_spam):
     assert sorted(r.doc_id for r in spam.spam_pages(df).collect()) == ([1, 2] if is_spam else [])
 
 
+def test_replication_decides_among_dense_pages(spark):
+    letters = "abcdefghijklmnopqrst"
+    own = lambda k: "\n".join(f"{letters[k]}{a}x {letters[k]}{b}y" for a in letters[:8] for b in letters[8:16])
+    once = lambda k: "\n".join(f"{letters[k]}{a}{b}x {letters[k]}{b}{a}y" for a in letters[:7] for b in letters[7:14])
+    pages = [(1, own(0), "https://a.example/1"), (2, once(1), "https://a.example/2")]
+    pages += [(10 + i, once(2), f"https://{h}.example/{i}") for i, h in enumerate("bb")] + [(20 + i, once(3), f"https://{h}.example/{i}") for i, h in enumerate("bcc")] + [(30 + i, once(4), f"https://{h}.example/{i}") for i, h in enumerate("bcd")]
+    pages += [(40 + i, PROSE * 3, f"https://{h}.example/9") for i, h in enumerate("bcde")]
+    df = spark.createDataFrame([(d, t, u, "s") for d, t, u in pages], "doc_id long, text string, url string, source string")
+    got = {r.doc_id: r for r in spam.page_evidence(df).collect()}
+    assert all(got[d].density > spam.DENSITY for d, _, _ in pages if d < 40)
+    # Keywords of its own, on no other host; then a list of own wording, with a copy on its host, on one other host, and on two.
+    assert {d for d, r in got.items() if r.is_spam} == {1, 30, 31, 32}
+    assert got[2].stitched == got[20].stitched == 0.0 and got[30].on_hosts == 1.0 and got[40].stitched is None
+
+
+def test_bitmap_has_what_was_put_in(spark):
+    rng = np.random.default_rng(1)
+    put, other = (rng.integers(0, 2**63, 2000, dtype=np.uint64) for _ in "ab")
+    bitmap = Bitmap.of(spark.createDataFrame([(x.view(np.int64).tolist(),) for x in np.array_split(put, 7)] + [(None,), ([],)], "h array<long>"))
+    assert bitmap.has(put).all() and bitmap.has(other).mean() < 0.01 and not Bitmap.of(spark.createDataFrame([], "h array<long>")).has(other).any()
+
+
 def test_spam_of_no_pages(spark):
     df = spark.createDataFrame([], "doc_id long, text string, url string, source string")
     assert spam.page_evidence(df).count() == 0
