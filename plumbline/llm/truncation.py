@@ -1,11 +1,10 @@
 """Texts cut off by a field limit or in transfer.
 
-A stack automaton reads each text: brackets, quotes and markup still open at its end, broken escapes and broken
-multibyte characters, ellipses left by a limit, a dangling comma or dash. A text that ends with a terminator is whole, a blank one
-isn't judged. What remains ends without a terminator: a whole sentence lacking its stop, or a cut one. All texts
-together decide: how often their sentences end, and how often they go on, after the same last words, from the longest
-context of up to six words that is known; a last word that no text knows is a part of one. Where most
-rows of a source lack terminators, the missing one says less, so stronger evidence is required there.
+Three steps. First a stack automaton reads each text once: brackets, quotes and markup elements go on and off the stack, sentence ends, escapes, broken multibyte
+characters and ellipses are its events; what is open or broken at the end shows a cut. Second, texts without such a sign and without a terminator are weighed against the baseline of
+their source: where whole texts often lack a terminator, a missing one says little. Third, how many of these are whole: how often sentences of all texts end, and how often they go on, after
+the same last words, from the longest context of up to six words that is known; a last word that no text knows is a part of one. A text is cut where the share of whole
+ones for its last words is under the share of cut ones among the unterminated texts of its source, within ``LOW`` and ``HIGH``.
 
 Null, blank and placeholder texts are never cut; texts of fewer than three words only where an ellipsis or a broken character shows it.
 """
@@ -21,13 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.words import WORD, word_hash
+from plumbline.llm.words import WORD, Bitmap, Lexicon, word_hash
 from plumbline.session import cut_lineage, spread
 
-#: A sentence is taken as whole when at least this share of the sentences with the same last words ended there.
-WHOLE_SHARE = 0.5
-#: In sources where most rows lack a terminator, a cut needs a share under this one.
-LAX_SHARE = 0.25
+#: Bounds of the limit that a source's baseline sets on the share of whole sentences with the same last words.
+LOW, HIGH = 0.25, 0.6
 LEAST_WORDS = 3
 
 #: How a text may end, and what may stand around words.
@@ -35,12 +32,18 @@ _CLOSERS = "\"'”’»)]}*_"
 _TERMINATED = re.compile(r"[.!?。！？।][" + re.escape(_CLOSERS) + r"]*$")
 _ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…|\[\s*(?:\.{3}|…|cut|truncated|more)\s*\]|\(\s*(?:\.{3}|…)\s*\))\s*[" + re.escape(_CLOSERS) + r"]*$", re.IGNORECASE)
 _BROKEN_CHARACTER = re.compile(r"(?:�|Ã|Â|â€|â|[\ud800-\udfff])$")
-_BROKEN_ESCAPE = re.compile(r"(?:&#?[A-Za-z0-9]{0,8}|\\u[0-9A-Fa-f]{0,3}|\\x[0-9A-Fa-f]?|\\|%[0-9A-Fa-f]?)$")
-_BROKEN_MARKUP = re.compile(r"<[/A-Za-z!][^<>]*$")
 _DANGLING = re.compile(r"[,;:/&(\[{<–—-]$")
 _PARENTHESIS = re.compile(r"\s\([^()]*(?:\([^()]*\)[^()]*)*\)$")
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "“": "„"}
 _EDGE = "\"'“”„‘’«»()[]{}<>*_.,;:!?…–—-"
+#: Elements that stay open without harm.
+_NEVER_CLOSED = {"area", "base", "br", "col", "dd", "dt", "embed", "hr", "img", "input", "li", "link", "meta", "option", "p", "source", "td", "th", "tr", "track", "wbr"}
+#: The automaton's events.
+_EVENT = re.compile(
+    r"(?P<escape>&\#?[A-Za-z0-9]{0,8}\Z|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?\Z|(?<![\d\s])%[0-9A-Fa-f]?\Z)|(?P<unfinished><[/A-Za-z!][^<>]*\Z)"
+    r"|</(?P<closes>[A-Za-z][A-Za-z0-9]*)\s*>|<(?P<opens>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?>|(?P<bracket>[(\[{)\]}])|(?P<quote>[\"“”„«»])|(?P<stop>[.!?]\s)"
+)
+_QUIET = re.compile(r"[(\[{<&\\%\"“„«]")
 
 _M = np.array([xxhash.xxh64_intdigest(f"context {i}") | 1 for i in range(10)], dtype=np.uint64)
 _START = np.uint64(word_hash("\x02"))
@@ -57,34 +60,7 @@ def _token(raw: str) -> tuple[int, int, bool, bool]:
     return h, _NAME if name else h, _TERMINATED.search(raw) is not None and not _ELLIPSIS.search(raw), name
 
 
-class _Lexicon:
-    """Properties of the words seen so far, as arrays by number; forgotten when there are too many."""
-
-    MOST = 400_000
-
-    def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.columns = tuple(np.zeros(1024, dtype=kind) for kind in (np.uint64, np.uint64, bool, bool))
-
-    def _add(self, token: str) -> None:
-        n = self.numbers[token] = len(self.numbers)
-        if n == len(self.columns[0]):
-            self.columns = tuple(np.concatenate((c, np.zeros_like(c))) for c in self.columns)
-        for column, value in zip(self.columns, _token(token), strict=True):
-            column[n] = value
-
-    def look_up(self, tokens: list[str]) -> tuple[np.ndarray, ...]:
-        """Hash, class, end of sentence, name: an array each."""
-        if len(self.numbers) > self.MOST:
-            self.numbers.clear()
-        for t in tokens:
-            if t not in self.numbers:
-                self._add(t)
-        numbers = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
-        return tuple(c[numbers] for c in self.columns)
-
-
-_LEXICON = _Lexicon()
+_LEXICON = Lexicon(_token, (np.uint64, np.uint64, bool, bool))
 _BACK = 5
 
 
@@ -117,22 +93,41 @@ def _contexts(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def _open_at_end(text: str) -> bool:
-    """Whether a bracket or quote opened in the last sentence is still open."""
-    stack: list[tuple[str, int]] = []
-    for i, c in enumerate(text):
-        if c in "([{«„":
-            stack.append((c, i))
-        elif c == "“" and not (stack and stack[-1][0] == "„"):
-            stack.append((c, i))
-        elif c == '"':
-            if stack and stack[-1][0] == '"':
+def _matches(top: str, closer: str) -> bool:
+    return top == _PAIRS.get(closer, closer)
+
+
+def structure(text: str) -> str | None:
+    """What the stack automaton finds open or broken at the end of ``text``: 'broken escape', 'open markup', 'open bracket', 'open quote' or null.
+
+    A bracket or quote counts while the sentence that opened it goes on, since a later sentence shows that it was forgotten; an element counts until it is closed.
+    """
+    if not _QUIET.search(text):
+        return None
+    stack: list[tuple[str, str, int]] = []
+    sentence = 0
+    for m in _EVENT.finditer(text):
+        kind, found = m.lastgroup, m.group(m.lastgroup)
+        if kind == "escape":
+            return "broken escape"
+        if kind == "unfinished":
+            return "open markup"
+        if kind == "stop":
+            sentence += 1
+        elif kind == "opens":
+            if found.lower() not in _NEVER_CLOSED and not m.group().endswith("/>"):
+                stack.append(("markup", found.lower(), sentence))
+        elif kind == "closes":
+            while any(k == "markup" and x == found.lower() for k, x, _ in stack) and stack.pop()[:2] != ("markup", found.lower()):
+                pass
+        else:
+            closes = bool(stack) and stack[-1][0] != "markup" and found not in "([{«„" and _matches(stack[-1][1], found)
+            if closes:
                 stack.pop()
-            else:
-                stack.append((c, i))
-        elif c in _PAIRS and stack and stack[-1][0] == _PAIRS[c]:
-            stack.pop()
-    return bool(stack) and re.search(r"[.!?]\s", text[stack[-1][1] :]) is None
+            elif found in "([{«„“\"":
+                stack.append((kind, found, sentence))
+    still = {kind for kind, _, since in stack if kind == "markup" or since == sentence}
+    return next((f"open {kind}" for kind in ("markup", "bracket", "quote") if kind in still), None)
 
 
 def judge(text: str | None) -> tuple[str, list[int]]:
@@ -150,14 +145,13 @@ def judge(text: str | None) -> tuple[str, list[int]]:
         return ("terminated" if _TERMINATED.search(body[: ellipsis.start()]) and body[ellipsis.start()].isspace() else "ellipsis"), []
     if n_words < LEAST_WORDS:
         return "blank", []
-    if _TERMINATED.search(body):
+    terminated = _TERMINATED.search(body) is not None
+    found = structure(body)
+    # Behind a terminator, a quote or an element may have been forgotten; a bracket opened in the same sentence was not.
+    if found == "open bracket" or (found and not terminated):
+        return found, []
+    if terminated:
         return "terminated", []
-    if _BROKEN_ESCAPE.search(body):
-        return "broken escape", []
-    if _BROKEN_MARKUP.search(body):
-        return "open markup", []
-    if _open_at_end(body):
-        return "open bracket or quote", []
     if _DANGLING.search(body):
         return "dangling mark", []
     inner = _PARENTHESIS.sub("", body)
@@ -172,34 +166,6 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["origin", "key", "source"]].assign(evidence=[x[0] for x in seen], contexts=[x[1] for x in seen])
 
 
-_FILTER_BITS = 25
-
-
-def _filter_place(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    spot = (contexts * _M[0]) >> np.uint64(64 - _FILTER_BITS)
-    return (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63))
-
-
-def _tail_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words of a bitmap over the tails' contexts."""
-    for pdf in batches:
-        found = [c for c in pdf["contexts"] if len(c)]
-        words = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
-        if found:
-            np.bitwise_or.at(words, *_filter_place(np.concatenate(found).astype(np.int64).view(np.uint64)))
-        kept = np.flatnonzero(words)
-        yield pd.DataFrame({"word": kept, "bits": words[kept].view(np.int64)})
-
-
-def _tail_filter(judged: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (4 MB) that tells most contexts that no tail has; it only saves counting these."""
-    by_word = judged.where("evidence = 'unterminated'").select("contexts").mapInPandas(_tail_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    words = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.uint64)
-    found = by_word.toPandas()
-    words[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    return words
-
-
 def _counter(wanted) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Counts of the contexts that pass the broadcast filter."""
 
@@ -217,8 +183,7 @@ def _counter(wanted) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
         known = np.ones(len(ends), dtype=bool)
         known[last] = ends[last]
         flat, repeated = contexts[known].ravel(), np.repeat(ends[known], _ORDERS)
-        word, bit = _filter_place(flat)
-        keep = ((wanted.value[word] & bit) != 0) & (flat != 0)
+        keep = wanted.value.has(flat) & (flat != 0)
         return flat[keep], repeated[keep]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,7 +218,7 @@ def judged_rows(df: DataFrame) -> DataFrame:
     """
     source = spread(df).select("origin", F.col("key").cast("long").alias("key"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     judged = cut_lineage(source.mapInPandas(_judged, "origin string, key long, source string, evidence string, contexts array<long>"))
-    wanted = df.sparkSession.sparkContext.broadcast(_tail_filter(judged))
+    wanted = df.sparkSession.sparkContext.broadcast(Bitmap.of(judged.where("evidence = 'unterminated'").select("contexts")))
     counts = source.select("text").mapInPandas(_counter(wanted), "context long, n_end long, n_on long").groupBy("context").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
     tails = judged.where("evidence = 'unterminated'").select("origin", "key", F.posexplode("contexts").alias("order", "context")).where("context <> 0")
     # The tail contexts repeat: each is looked up once.
@@ -267,14 +232,12 @@ def judged_rows(df: DataFrame) -> DataFrame:
     )
     unterminated = F.col("evidence") == "unterminated"
     joined = judged.join(best.hint("merge"), ["origin", "key"], "left").withColumn("whole_share", F.when(unterminated, F.coalesce("share", F.lit(0.0))))
-    whole = (unterminated & (F.col("whole_share") >= WHOLE_SHARE)).cast("int")
-    terminated = (F.col("evidence") == "terminated").cast("int")
-    baseline = joined.groupBy(F.col("origin").alias("of_origin"), F.col("source").alias("of_source")).agg((F.sum(whole) > F.sum(terminated)).alias("lax"))
+    # Of the unterminated texts of a source, the expected share of cut ones; half in a source that has none.
+    of_source = joined.groupBy(F.col("origin").alias("of_origin"), F.col("source").alias("of_source")).agg((1 - F.coalesce(F.avg("whole_share"), F.lit(0.5))).alias("cut_here"))
     structural = ~F.col("evidence").isin("blank", "terminated", "unterminated")
-    limit = F.when(F.col("lax"), LAX_SHARE).otherwise(WHOLE_SHARE)
-    cut = structural | (unterminated & (F.col("whole_share") < limit))
+    cut = structural | (unterminated & (F.col("whole_share") < F.greatest(F.least("cut_here", F.lit(HIGH)), F.lit(LOW))))
     same = F.col("origin").eqNullSafe(F.col("of_origin")) & F.col("source").eqNullSafe(F.col("of_source"))
-    return joined.join(baseline, same).select("origin", "key", "source", "evidence", "whole_share", cut.alias("is_cut"))
+    return joined.join(of_source, same).select("origin", "key", "source", "evidence", "whole_share", cut.alias("is_cut"))
 
 
 def cut_shares(judged: DataFrame) -> DataFrame:

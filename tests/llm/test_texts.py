@@ -25,8 +25,9 @@ def test_common_subsequence_equals_the_table(a, b):
     ("text", "evidence"),
     [
         (None, "blank"), ("", "blank"), ("N/A", "blank"), ("A whole sentence.", "terminated"), ('He said "yes."', "terminated"), ("A cut sentence of…", "ellipsis"), ("Cut here ...", "ellipsis"), ("It is whole. ...", "terminated"),
-        ("Some words and �", "broken character"), ("Some words and &am", "broken escape"), ("Some words \\u00", "broken escape"), ("Some words <a href=", "open markup"), ("Some words (see the note", "open bracket or quote"),
-        ('Some words "of the', "open bracket or quote"), ("Some words, which,", "dangling mark"), ("It is so. (point 1(c))", "terminated"), ("No stop at the end", "unterminated"),
+        ("Some words and �", "broken character"), ("Some words and &am", "broken escape"), ("Some words \\u00", "broken escape"), ("Some words <a href=", "open markup"), ("Some words (see the note", "open bracket"),
+        ('Some words "of the', "open quote"), ("Some <b>words of the", "open markup"), ("Some <b>words</b> of the<br> text", "unterminated"), ("The <i>words <b>are</i> here", "unterminated"), ("Some words (e.g.", "open bracket"), ('It is 5" wide.', "terminated"), ("It is (forgotten. And goes on", "unterminated"),
+        ("The rate is 50%", "unterminated"), ("See page%20of%2", "broken escape"), ("Two words \\x4", "broken escape"), ("He said „so“ and [then", "open bracket"), ("It is <b>new.", "terminated"), ("Some words (in {braces [and", "open bracket"), ("Some words, which,", "dangling mark"), ("It is so. (point 1(c))", "terminated"), ("No stop at the end", "unterminated"),
     ],
 )
 def test_evidence(text, evidence):
