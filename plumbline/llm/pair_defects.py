@@ -40,7 +40,7 @@ _LEAST_WORDS = 8
 _PLACEHOLDERS = {"", "na", "n a", "none", "null", "nan", "nil", "tbd", "todo", "undefined", "empty", "missing", "unknown", "no explanation", "not available", "not applicable", "no answer", "no response"}
 _BARE_LABEL = re.compile(r"^(?:(?:the )?(?:label|answer|result|classification|verdict)(?: is)? )?(?:not )?high risk$")
 
-#: Refusal templates; their words occur in this order within a sentence.
+#: Refusal templates; their words occur in this order within a sentence, with 'we' for 'i', 'us' for 'me', 'are' for 'am'.
 _TEMPLATES = [
     t.split()
     for t in (
@@ -52,6 +52,18 @@ _TEMPLATES = [
         "i am not allowed to", "i m not allowed to", "outside what i am allowed to", "i am not permitted to", "i am not in a position to", "i m not in a position to", "i am not qualified to", "keep me from giving", "prevent me from giving", "expertise that i do not have",
     )
 ]
+#: Refusals without a person. They begin with the first word, after an apology at most, and the other words follow in this order.
+_IMPERSONAL = [
+    t.split()
+    for t in (
+        "unable to assess", "unable to classify", "unable to judge", "unable to evaluate", "unable to answer", "unable to decide", "unable to provide", "unable to help", "unable to assist", "not able to assess", "not able to answer",
+        "this system cannot be assessed", "the system cannot be assessed", "this description cannot be assessed", "the description cannot be assessed", "it cannot be assessed", "this cannot be assessed", "this question cannot be answered", "the question cannot be answered", "this request cannot be answered", "the request cannot be answered",
+        "this system can t be assessed", "the system can t be assessed", "this system cannot be evaluated", "the system cannot be evaluated", "no assessment can be", "no assessment is possible", "no classification can be", "no classification is possible", "no answer can be", "no answer is possible", "no judgement can be", "no opinion can be", "no determination can be",
+        "an assessment is not possible", "assessment is not possible", "a classification is not possible", "an assessment cannot be", "a classification cannot be given", "an answer cannot be",
+    )
+]
+_ALIKE = {"we": "i", "us": "me", "are": "am", "re": "m", "ourselves": "me", "myself": "me"}
+_APOLOGY = {"sorry", "unfortunately", "regrettably", "apologies", "i", "am", "m", "but", "very", "afraid", "that"}
 
 #: Frequent function words by language.
 _ENGLISH = frozenset("the of and to in a is that it for as with on by be this not which are from at or an has was its but so because no because may can only".split())
@@ -67,30 +79,40 @@ _OTHERS = frozenset(
         "och att som det är för av inte på"
     ).split()
 ) - _ENGLISH
-_FIRST_PERSON = re.compile(r"\b(?:I|i|me|Me|ME)\b")
+#: Without one of these no template aligns.
+_HINT = re.compile(r"\b(?:I|i|[Mm]e|ME|[Ww]e|WE|us|US)\b|\b(?i:unable|not able|can(?:not|\W?t) be|(?:not|is) possible|no \w+ can be)\b")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
+#: No placeholder or bare label has more words.
+_SHORT = 8
+
+
+def is_empty(words: list[str]) -> bool:
+    if len(words) > _SHORT:
+        return False
+    line = " ".join(words)
+    return line in _PLACEHOLDERS or _BARE_LABEL.match(line) is not None
 
 
-def is_empty(text: str | None) -> bool:
-    words = " ".join(plain_words(text)) if isinstance(text, str) else ""
-    return words in _PLACEHOLDERS or _BARE_LABEL.match(words) is not None
+def _occurs(template: list[str], words: list[str]) -> bool:
+    return lcs_length(template, words) == len(template)
 
 
 def is_refusal(text: str) -> bool:
-    if not _FIRST_PERSON.search(text):
+    if not _HINT.search(text):
         return False
     for sentence in _SENTENCE.split(text):
-        words = plain_words(sentence)
-        if "i" not in words and "me" not in words:
-            continue
+        words = [_ALIKE.get(w, w) for w in plain_words(sentence)]
         have = set(words)
-        if any(have.issuperset(t) and lcs_length(t, words) == len(t) for t in _TEMPLATES):
+        if ("i" in have or "me" in have) and any(have.issuperset(t) and _occurs(t, words) for t in _TEMPLATES):
+            return True
+        start = next((k for k, w in enumerate(words) if w not in _APOLOGY), len(words))
+        bare = words[start:]
+        if any(have.issuperset(t) and bare[:1] == t[:1] and _occurs(t, bare) for t in _IMPERSONAL):
             return True
     return False
 
 
-def is_other_language(text: str) -> bool:
-    words = plain_words(text)
+def is_other_language(words: list[str]) -> bool:
     if len(words) < 3:
         return False
     english = sum(w in _ENGLISH for w in words)
@@ -101,10 +123,16 @@ def is_other_language(text: str) -> bool:
 
 
 @lru_cache(maxsize=4096)
-def _parsed(text: str) -> tuple[list[list[str]], list[str], frozenset, frozenset]:
+def _known(text: str) -> frozenset:
+    return frozenset(plain_words(text))
+
+
+@lru_cache(maxsize=4096)
+def _parsed(text: str) -> tuple[list[list[str]], list[str], frozenset]:
+    """Words by sentence, all words, the shingles."""
     parts = [w for s in _SENTENCE.split(text) if (w := plain_words(s))]
     words = [w for part in parts for w in part]
-    return parts, words, frozenset(shingles(hashes(words)).tolist()), frozenset(words)
+    return parts, words, frozenset(shingles(hashes(words)).tolist())
 
 
 def _aligned(parts: list[list[str]], others: list[list[str]], whole: list[str]) -> float:
@@ -113,16 +141,19 @@ def _aligned(parts: list[list[str]], others: list[list[str]], whole: list[str])
     return sum(max((lcs_length(p, o) for o in others), default=0) for p in parts) / n if n else 0.0
 
 
-def is_echo(response: str, prompts: list[str]) -> bool:
-    parts, words, held, own = _parsed(response)
+def is_echo(response: str, prompts: list[str], words: list[str] | None = None) -> bool:
+    words = plain_words(response) if words is None else words
     if len(words) < _LEAST_WORDS:
         return False
     for prompt in prompts:
-        of, all_words, there, known = _parsed(prompt)
-        if not there or len(held & there) < CANDIDATE * max(1, len(held)):
-            continue
+        known = _known(prompt)
         # No alignment has more words than the other side knows.
-        if sum(w in known for w in words) / len(words) < ECHO_OF_RESPONSE or sum(w in own for w in all_words) / len(all_words) < ECHO_OF_PROMPT:
+        if sum([w in known for w in words]) < ECHO_OF_RESPONSE * len(words):
+            continue
+        of, all_words, there = _parsed(prompt)
+        parts, _, held = _parsed(response)
+        own = set(words)
+        if not there or len(held & there) < CANDIDATE * max(1, len(held)) or sum([w in own for w in all_words]) < ECHO_OF_PROMPT * len(all_words):
             continue
         common = lcs_length(words, all_words)
         if max(common / len(words), _aligned(parts, of, all_words)) >= ECHO_OF_RESPONSE and max(common / len(all_words), _aligned(of, parts, words)) >= ECHO_OF_PROMPT:
@@ -134,15 +165,16 @@ def _with_defect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = []
         for text, prompts, cut, labelled, echoes in zip(pdf["text"], pdf["prompts"], pdf["is_cut"], pdf["labelled"], pdf["echoes"], strict=True):
-            if is_empty(text):
+            words = plain_words(text) if isinstance(text, str) else []
+            if is_empty(words):
                 found.append("empty")
-            elif echoes or (prompts is not None and is_echo(text, list(prompts))):
+            elif echoes or (prompts is not None and is_echo(text, list(prompts), words)):
                 found.append("echo")
             elif cut:
                 found.append("truncated")
             elif is_refusal(text):
                 found.append("refusal")
-            elif is_other_language(text):
+            elif is_other_language(words):
                 found.append("other_language")
             else:
                 found.append(None if labelled else "no_label")

@@ -155,6 +155,18 @@ def test_pair_defects(spark):
     assert 5 not in {r.row_no for r in pair_defects.pair_defects(runs, prompts.limit(0)).where("defect = 'echo'").collect()}
 
 
+@pytest.mark.parametrize(
+    ("text", "is_refusal"),
+    [
+        ("This system cannot be assessed on the information given.", True), ("We are unable to assess this system.", True), ("Sorry, no assessment can be given.", True), ("Unable to classify this.", True), ("Unfortunately, an assessment is not possible here.", True),
+        ("I'm sorry, but we can't help with that.", True), ("The system cannot be classified as high-risk.", False), ("A clerk who is unable to assess the case asks for help. It falls under point 4.", False), ("No decision can be taken without a clerk, so it is not high-risk.", False),
+        ("The tool gives us no profile, so the exception applies.", False), ("Where an assessment is not possible, the tool hands over to a clerk.", False), ("", False),
+    ],
+)
+def test_refusals_with_and_without_a_person(text, is_refusal):
+    assert pair_defects.is_refusal(text) == is_refusal
+
+
 def test_many_prompts_change_no_echo(spark, monkeypatch):
     rng = random.Random(5)
     sentence = lambda: " ".join(rng.choice(["tool", "clerk", "hotel", "record", "shift", "list", "task", "pilot", "result", "map"]) + str(rng.randrange(6)) for _ in range(12)) + "."
