@@ -51,6 +51,11 @@ def p6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_summary(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts where all three limits bind: 32 segments and 1,920 tokens that bear loss."""
+    return packing.packing_summary(packing.pack(table(spark, sf_dir, "documents"), limits=(packing.TOKENS, 32, 1920)))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -70,7 +75,7 @@ def p8_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.page_evidence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_shares, p4_found, p4_pieces, p5_found, p6_pack, p6_summary, p7_found, p7_items, p8_found, p8_evidence)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_shares, p4_found, p4_pieces, p5_found, p6_pack, p6_summary, p6_masked, p7_found, p7_items, p8_found, p8_evidence)}
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 SQL = {

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plumbline.llm import leakage, pair_defects, spam, splitting
-from plumbline.llm.packing import fill, pack, packing_summary, token_counts
+from plumbline.llm.packing import bears_loss, fill, pack, packing_summary, token_counts
 from plumbline.llm.truncation import cut_shares, judge, judged_rows
 from plumbline.llm.words import Bitmap, hashes, lcs_length, plain_words
 
@@ -113,12 +113,31 @@ def test_only_a_lower_limit_on_loss_binds():
     assert 80 < most(fill(sizes, (100, 64, 100))[0]) < 100 and most(fill(sizes, (100, 64, 80))[0]) <= 80
 
 
+def test_links_markup_and_quotes_bear_no_loss():
+    text = "Plain wörds\n> a quoted line\nsee <b>www.a.example/x</b> &amp; more"
+    pieces = [c.encode() for c in text]
+    kept = "".join(c for c, b in zip(text, bears_loss(text, pieces), strict=True) if b)
+    assert kept == "Plain wörds\n\nsee   more"
+    assert bears_loss(text, [text.encode()]).tolist() == [True] and bears_loss("", []).tolist() == []
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(0, 59)), max_size=150), st.integers(60, 100), st.integers(1, 9))
+def test_all_three_limits_are_kept(items, loss_limit, segments):
+    sizes, losses = (np.array([x[0] for x in items], dtype=np.int64), np.array([min(x) for x in items], dtype=np.int64))
+    sequence, _ = fill(sizes, (100, segments, loss_limit), losses)
+    for k in set(sequence.tolist()):
+        inside = sequence == k
+        assert sizes[inside].sum() <= 100 and losses[inside].sum() <= loss_limit and inside.sum() <= segments
+
+
 def test_every_text_is_packed_once(spark):
     rows = [(i, "some words of a text " * (i % 50)) for i in range(300)] + [(1000, None), (1001, ""), (1002, "word " * 7000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_parts string")
     packed = pack(df, group=100)
     got = packed.collect()
     counts = {r.doc_id: r.n_tokens for r in token_counts(df).collect()}
+    assert all(r.n_loss == max(r.token_to - r.token_from - 1, 0) for r in got)
     for doc, n in counts.items():
         parts = sorted((r.token_from, r.token_to) for r in got if r.doc_id == doc)
         assert parts[0][0] == 0 and parts[-1][1] == n and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
