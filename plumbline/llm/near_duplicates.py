@@ -1,20 +1,26 @@
 """Near-duplicate texts by b-bit MinHash.
 
 A text is the set of its distinct lower-cased words, words being what white space separates. Texts with the same
-set form a class; the search runs over one representative per class. For each class: ``BANDS * ROWS`` minima, their
-``BITS`` low bits packed into longs, and a key per band. Classes that share a band key are candidates; their
-packed signatures give an estimate of the similarity, corrected for the chance agreement of b bits; what may reach
+set form a class; the search runs over one representative per class. For each class: ``BANDS * ROWS`` minima, a key per band, and the
+``BITS`` low bits of ``SIGNED`` of the minima packed into longs. Classes that share a band key are candidates; in the same join their
+packed signatures give an estimate of the similarity by bit counts, corrected for the chance agreement of b bits; what may reach
 the threshold is verified on the whole word sets.
 
 At a similarity of 0.85 a pair shares no band with probability (1 - 0.85**8)**40 = 3e-6, and the margin of the estimate
-is more than five standard deviations.
+is six standard deviations.
+
+Texts that differ in a word or two by the thousand fill band buckets that no join can pair. A sample of the band keys finds such buckets; each of
+their members is linked to the least of the bucket, the components of these links are blobs, and a blob is verified in blocks, each pair of blocks by one product of
+word incidences. Blocks give pairs, or for groups only the number of links of each member and links enough to connect them. The sample decides which way
+a pair is verified, never whether.
 
 Null and blank texts have no words and take no part, rows without a key have no name and are left out. Repeated rows are pairs of similarity 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,17 +32,20 @@ from plumbline.llm.words import hashes
 from plumbline.operators.components import connected_components
 from plumbline.session import cut_lineage, spread
 
-BANDS, ROWS, BITS = 40, 8, 2
+BANDS, ROWS, BITS, SIGNED = 40, 8, 2, 64
 #: A similarity estimate this far below the threshold still goes to verification.
-MARGIN = 0.12
-#: The same for the estimate from the first long of the signatures, 32 minima, within the join of the bands: it misses a pair with probability 4e-7.
-PEEK_MARGIN = 0.45
+MARGIN = 0.32
+#: One class in ``SAMPLE`` is looked at to find the band buckets of about ``SAMPLE * HOT`` members or more.
+SAMPLE, HOT = 16, 8
+#: A block has about so many members, and so many words, at most; word incidences are multiplied so many columns at a time.
+BLOCK, BLOCK_WORDS, COLUMNS = 1024, 200_000, 2048
 _K = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, _K, dtype=np.uint64)
 _BAND = _RNG.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PER_LONG = 64 // BITS
+_SIGNATURE = [f"s{i}" for i in range(SIGNED // _PER_LONG)]
 
 
 def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,8 +85,9 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             minima = _minima(np.concatenate(part["words"].to_list()).astype(np.int64).view(np.uint64), starts)
             with np.errstate(over="ignore"):
                 bands = (minima.reshape(len(part), BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64)
-                bands = (bands ^ (bands >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-            yield pd.DataFrame({"rep": part["rep"].to_numpy(), "n_words": sizes, "sketch": list(_pack(minima)), "bands": list(bands.view(np.int64))})
+                bands = (bands ^ (bands >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64) * _A[0]
+            packed = _pack(minima[:, :SIGNED])
+            yield pd.DataFrame({"rep": part["rep"].to_numpy(), "n_words": sizes, **dict(zip(_SIGNATURE, packed.T, strict=True)), "bands": list(bands.view(np.int64))})
 
 
 def _unequal(x: Column, y: Column) -> Column:
@@ -90,15 +100,11 @@ def _unequal(x: Column, y: Column) -> Column:
     return F.bit_count(folded.bitwiseAND(F.lit(low - (1 << 64) if BITS == 1 else low).cast("long"))).cast("int")
 
 
-def _corrected(differing: Column, of: int) -> Column:
-    """Similarity from the share of agreeing groups of bits, less what agrees by chance."""
+def estimate(a: list[Column], b: list[Column]) -> Column:
+    """Similarity from two packed signatures: the share of agreeing groups of bits, less what agrees by chance."""
     chance = 1.0 / (1 << BITS)
-    return (1.0 - differing / F.lit(float(of)) - chance) / (1.0 - chance)
-
-
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from two packed signatures."""
-    return _corrected(F.aggregate(F.zip_with(a, b, _unequal), F.lit(0), lambda s, x: s + x), _K)
+    differing = reduce(Column.__add__, [_unequal(x, y) for x, y in zip(a, b, strict=True)])
+    return (1.0 - differing / F.lit(float(len(a) * _PER_LONG)) - chance) / (1.0 - chance)
 
 
 def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -111,30 +117,116 @@ def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     return members, heads.select("rep", "words")
 
 
-def class_links(heads: DataFrame, threshold: float) -> DataFrame:
-    """(``a``, ``b``, ``similarity``), a < b: the pairs of classes at or over the threshold, each once."""
-    sketches = cut_lineage(heads.mapInPandas(_sketches, "rep long, n_words int, sketch array<long>, bands array<long>"))
-    entries = sketches.select("rep", "n_words", F.col("sketch")[0].alias("peek"), F.posexplode("bands").alias("band", "band_key"))
-    left, right = (entries.select("band", "band_key", F.col("rep").alias(x), F.col("n_words").alias(f"n_{x}"), F.col("peek").alias(f"peek_{x}")) for x in "ab")
-    bound = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    similar = _corrected(_unequal(F.col("peek_a"), F.col("peek_b")), _PER_LONG) >= threshold - PEEK_MARGIN
+def _hot_blobs(entries: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The band keys of hot buckets, and (``rep``, ``blob``) of all classes in them; null when there are none."""
+    sampled = entries.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE)) == 0)
+    hot = sampled.groupBy("band_key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("band_key")
+    if not hot.head(1):
+        return None
+    hot = cut_lineage(hot)
+    inside = entries.select("band_key", "rep").join(hot.hint("merge"), "band_key")
+    least = inside.groupBy("band_key").agg(F.min("rep").alias("least"))
+    star = inside.join(least.hint("merge"), "band_key").select(F.col("rep").alias("src"), F.col("least").alias("dst"))
+    return hot, cut_lineage(connected_components(star).select(F.col("node").alias("rep"), F.col("component").alias("blob")))
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many words each of the ``left`` sets has in common with each of the ``right`` ones."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, word, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    everywhere = int((n == len(sets)).sum())
+    kept = (n > 1) & (n < len(sets))
+    number = np.cumsum(kept) - 1
+    row, column = row[kept[word]], number[word[kept[word]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.full((len(left), len(right)), everywhere, dtype=np.float32)
+    for lo in range(0, int(kept.sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        has[row[at], column[at] - lo] = 1
+        common += has[left] @ has[right].T
+    return common
+
+
+def _block_verifier(threshold: float, as_pairs: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The links between the members of two blocks, or within one: as pairs, or as numbers of links with links enough to connect the linked ones."""
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])
+        reps, block = pdf["rep"].to_numpy(), pdf["block"].to_numpy()
+        sets = [np.asarray(w, dtype=np.int64) for w in pdf["words"]]
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        common = _common(sets, left, right)
+        sizes = np.fromiter(map(len, sets), np.float64, len(sets))
+        similarity = common / (sizes[left][:, None] + sizes[right][None, :] - common)
+        linked = similarity >= threshold
+        if one == two:
+            linked &= reps[left][:, None] < reps[right][None, :]
+        i, j = np.nonzero(linked)
+        a, b = reps[left[i]], reps[right[j]]
+        if as_pairs:
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": similarity[i, j].astype(np.float64)})
+        least = np.arange(len(reps))
+        while len(i):
+            low = np.minimum(least[left[i]], least[right[j]])
+            before = least.copy()
+            np.minimum.at(least, left[i], low)
+            np.minimum.at(least, right[j], low)
+            if (before == least).all():
+                break
+        links = np.bincount(left[i], minlength=len(reps)) + np.bincount(right[j], minlength=len(reps))
+        some = np.flatnonzero(links)
+        return pd.DataFrame({"rep": reps[some], "n_links": links[some], "to": reps[least[some]]})
+
+    return verify
+
+
+def _blob_links(blobs: DataFrame, heads: DataFrame, threshold: float, as_pairs: bool) -> DataFrame:
+    members = blobs.join(heads.hint("merge"), "rep")
+    n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("words")) / BLOCK_WORDS)).cast("int")
+    sizes = members.groupBy("blob").agg(n_blocks.alias("n_blocks"))
+    placed = members.join(sizes.hint("merge"), "blob").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    pairs = met.select("blob", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "words")
+    session = heads.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    schema = "a long, b long, similarity double" if as_pairs else "rep long, n_links long, to long"
+    return pairs.repartition(tasks, "blob", "one", "two").groupBy("blob", "one", "two").applyInPandas(_block_verifier(threshold, as_pairs), schema)
+
+
+def _links(heads: DataFrame, threshold: float, as_pairs: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(``a``, ``b``, ``similarity``), a < b, each once: the linked pairs of classes outside blobs; and the links within blobs, as ``_blob_links`` gives them, or null."""
+    schema = "rep long, n_words int, " + ", ".join(f"{s} long" for s in _SIGNATURE) + ", bands array<long>"
+    sketches = cut_lineage(heads.mapInPandas(_sketches, schema))
+    entries = sketches.select("rep", "n_words", *_SIGNATURE, F.explode("bands").alias("band_key"))
+    found = _hot_blobs(entries)
+    inside = None
+    if found:
+        hot, blobs = found
+        inside = cut_lineage(_blob_links(blobs, heads, threshold, as_pairs))
+        entries = entries.join(hot.hint("merge"), "band_key", "left_anti").join(blobs.hint("merge"), "rep", "left")
+    else:
+        entries = entries.withColumn("blob", F.lit(None).cast("long"))
+    left, right = (entries.select("band_key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n_words", "blob", *_SIGNATURE)]) for x in "ab")
+    bound = F.least("n_words_a", "n_words_b") >= threshold * F.greatest("n_words_a", "n_words_b") - 1e-9
+    similar = estimate(*[[F.col(f"{s}_{x}") for s in _SIGNATURE] for x in "ab"]) >= threshold - MARGIN
+    apart = F.coalesce(F.col("blob_a") != F.col("blob_b"), F.lit(True))
     # Merge joins throughout: the planner sizes an exploded table by its source and would broadcast it.
-    candidates = left.join(right.hint("merge"), ["band", "band_key"]).where((F.col("a") < F.col("b")) & bound & similar).select("a", "b").distinct()
-    slim = sketches.select("rep", "n_words", "sketch")
-    for x in "ab":
-        candidates = candidates.join(slim.select(F.col("rep").alias(x), F.col("n_words").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")).hint("merge"), x)
-    likely = candidates.where((estimate(F.col("sketch_a"), F.col("sketch_b")) >= threshold - MARGIN)).select("a", "b", "n_a", "n_b")
+    candidates = left.join(right.hint("merge"), "band_key").where((F.col("rep_a") < F.col("rep_b")) & bound & apart & similar).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     for x in "ab":
-        likely = likely.join(heads.select(F.col("rep").alias(x), F.col("words").alias(f"words_{x}")).hint("merge"), x)
+        candidates = candidates.join(heads.select(F.col("rep").alias(x), F.col("words").alias(f"words_{x}")).hint("merge"), x)
     common = F.size(F.array_intersect("words_a", "words_b"))
-    verified = likely.select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity"))
-    return verified.where(F.col("similarity") >= threshold)
+    verified = candidates.select("a", "b", (common / (F.size("words_a") + F.size("words_b") - common)).alias("similarity"))
+    return verified.where(F.col("similarity") >= threshold), inside
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
     """(``row_a``, ``row_b``, ``similarity``), row_a < row_b: every pair of rows at or over the threshold, copies included."""
     members, heads = classes(df, key, text)
-    members, links = cut_lineage(members), cut_lineage(class_links(heads, threshold))
+    links, inside = _links(heads, threshold, as_pairs=True)
+    members, links = cut_lineage(members), cut_lineage(links.unionByName(inside) if inside else links)
     one, two = (members.select(F.col("rep").alias(r), F.col("key").alias(k)) for r, k in (("a", "k1"), ("b", "k2")))
     across = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("k1", "k2", "similarity")
     within = one.join(two.hint("merge"), F.col("a") == F.col("b")).where("k1 < k2").select("k1", "k2", F.lit(1.0).alias("similarity"))
@@ -148,9 +240,13 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float =
     of other classes linked to this one. Copies aren't expanded into pairs. Rows without words are their own group.
     """
     members, heads = classes(df, key, text)
-    members, links = cut_lineage(members), cut_lineage(class_links(heads, threshold))
-    groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    links, inside = _links(heads, threshold, as_pairs=False)
+    members, links = cut_lineage(members), cut_lineage(links)
+    edges, counts = links.select(F.col("a").alias("src"), F.col("b").alias("dst")), links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n_links"))
+    if inside:
+        edges, counts = edges.unionByName(inside.select(F.col("rep").alias("src"), F.col("to").alias("dst"))), counts.unionByName(inside.select("rep", "n_links"))
+    groups = connected_components(edges)
+    counts = counts.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     known = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
     every = df.select(F.col(key).cast("long").alias("row_no")).where("row_no is not null").distinct()
     return every.join(known.withColumnRenamed("key", "row_no"), "row_no", "left").select(

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm.near_duplicates import BANDS, ROWS, estimate, near_duplicate_groups, near_duplicate_pairs
+from plumbline.llm import near_duplicates
+from plumbline.llm.near_duplicates import estimate, near_duplicate_groups, near_duplicate_pairs
 
 SCHEMA = "row_no long, system_description string, key string, words long, rep int"
 
@@ -39,14 +40,25 @@ def rows():
     return out + edge
 
 
-def test_pairs_equal_brute_force(spark, rows):
+@pytest.fixture(params=["joined", "in blocks", "in small blocks"])
+def way(request, monkeypatch):
+    """The same results when hot buckets are found and verified in blocks."""
+    if request.param != "joined":
+        monkeypatch.setattr(near_duplicates, "SAMPLE", 1)
+        monkeypatch.setattr(near_duplicates, "HOT", 2)
+    if request.param == "in small blocks":
+        monkeypatch.setattr(near_duplicates, "BLOCK", 2)
+        monkeypatch.setattr(near_duplicates, "COLUMNS", 5)
+
+
+def test_pairs_equal_brute_force(spark, rows, way):
     got = near_duplicate_pairs(table(spark, rows), "row_no", "system_description").collect()
     pairs = [(r.row_a, r.row_b) for r in got]
     assert len(pairs) == len(set(pairs)) and set(pairs) == brute(rows)
     assert (2007, 2008) in pairs and (2007, 2009) not in pairs  # 17 of 20 is on the threshold
 
 
-def test_groups_follow_the_chains(spark, rows):
+def test_groups_follow_the_chains(spark, rows, way):
     pairs = brute(rows)
     least = {k: k for k, _ in rows if k is not None}
     for _ in rows:
@@ -54,6 +66,9 @@ def test_groups_follow_the_chains(spark, rows):
             least[a] = least[b] = min(least[a], least[b])
     got = {r.row_no: r for r in near_duplicate_groups(table(spark, rows), "row_no", "system_description").collect()}
     assert {k: r.group_id for k, r in got.items()} == least
+    classes = {r.row_no: r.class_id for r in got.values()}
+    links = {(classes[a], classes[b]) for a, b in pairs if classes[a] != classes[b]}
+    assert {k: r.n_links for k, r in got.items()} == {k: len({frozenset(x) for x in links if classes[k] in x}) for k in got}
     assert got[1039].class_id == 1000 and got[2000].n_links == 0
 
 
@@ -64,7 +79,6 @@ def test_no_rows(spark):
 
 
 def test_estimate_corrects_chance_agreement(spark):
-    n = BANDS * ROWS // 32
-    a, b = [0] * n, [0x5555555555555555] * n
-    one = spark.createDataFrame([(a, a, b)], "a array<long>, same array<long>, b array<long>").select(estimate(F.col("a"), F.col("same")).alias("s"), estimate(F.col("a"), F.col("b")).alias("d")).first()
+    a, b = [F.lit(0)] * 2, [F.lit(0x5555555555555555)] * 2
+    one = spark.range(1).select(estimate(a, a).alias("s"), estimate(a, b).alias("d")).first()
     assert one.s == 1.0 and one.d == pytest.approx(-1 / 3)
