@@ -30,7 +30,7 @@ def _runs(spark: SparkSession, folder: str, configs: Sequence[str] | None = None
 def _hits(rows: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     corpus = chunks.select(F.col("row_no").alias("key"), "text")
     queries = rows.select(F.col("row_no").alias("key"), F.col("system_description").alias("text"))
-    top = retrieval.fused(queries, corpus, retrieval.bm25_scores(queries, corpus), retrieval.hashed_scores(queries, corpus), k)
+    top = retrieval.fused(queries, corpus, k)
     joined = top.join(chunks.select(F.col("row_no").alias("key"), "id", "text", "heading_path"), "key")
     one = F.struct("rank", "id", "text", "heading_path", "score")
     return joined.groupBy(F.col("query").alias("row_no")).agg(F.sort_array(F.collect_list(one)).alias("hits"))
@@ -73,7 +73,7 @@ def retrieval_eval(spark: SparkSession, a: argparse.Namespace) -> None:
     keyed = chunks.withColumn("key", F.col("row_no"))
     queries = rows.select(F.col("row_no").alias("key"), F.col("system_description").alias("text"))
     corpus = keyed.select("key", "text")
-    ranking = retrieval.fused(queries, corpus, retrieval.bm25_scores(queries, corpus), retrieval.hashed_scores(queries, corpus), 50)
+    ranking = retrieval.fused(queries, corpus, 50)
     gold, kinds = retrieval.gold_chunks(rows.select(F.col("row_no").alias("query"), "label_source"), keyed)
     per_row = retrieval.per_row_metrics(ranking, gold, kinds).join(rows.select(F.col("row_no").alias("query"), F.col("annex_iii_area").alias("area"), "edge_case_type"), "query")
     report.write_markdown(a.out, "Retrieval", {"summary": retrieval.retrieval_summary(per_row), "gold matches": per_row.groupBy("kind").count()})

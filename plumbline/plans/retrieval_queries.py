@@ -45,13 +45,11 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = retrieval.hashed_scores(_texts(spark, sf_dir), corpus(spark, sf_dir))
-    return retrieval.ranked(scores, "dense", 5).select("query", "rank", "key", F.round("dense", 6).alias("dense"))
+    return retrieval.hashed_topk(_texts(spark, sf_dir), corpus(spark, sf_dir)).withColumn("dense", F.round("dense", 6))
 
 
 def ranking(spark: SparkSession, sf_dir: str, log_k: int = 50) -> DataFrame:
-    q, c = _texts(spark, sf_dir), corpus(spark, sf_dir)
-    return retrieval.fused(q, c, retrieval.bm25_scores(q, c), retrieval.hashed_scores(q, c), log_k)
+    return retrieval.fused(_texts(spark, sf_dir), corpus(spark, sf_dir), log_k)
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +103,7 @@ QUERIES = {
     "dense_topk": dense_topk,
     "hashed_topk": hashed_topk,
     "hybrid_topk": hybrid_topk,
-    "gold_index": lambda s, d: retrieval.gold_index(corpus(s, d)).select("section", "n_chunks", F.array_join("ids", ",").alias("ids")),
+    "gold_index": lambda s, d: retrieval.gold_index(corpus(s, d)),
     "gold_matches": gold_matches,
     "gold_match_kinds": gold_match_kinds,
     "gold_fallback": gold_fallback,
@@ -162,7 +160,7 @@ SQL = {
       SELECT query, rank, key, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(cosine, 9) DESC, key) AS rank FROM s) WHERE rank <= 10""",
     "hashed_topk": f"WITH {_BASE}, {_DENSE} SELECT query, rank, key, round(dense, 6) AS dense FROM dranked WHERE rank <= 5",
     "hybrid_topk": f"WITH {_hybrid(10)} SELECT query, rank, key, round(score, 6) AS score FROM ranking",
-    "gold_index": f"WITH {_BASE} SELECT section, count(*) AS n_chunks, string_agg(id, ',' ORDER BY id) AS ids FROM corpus GROUP BY section",
+    "gold_index": f"WITH {_BASE} SELECT section, id, count(*) OVER (PARTITION BY section) AS n_chunks FROM corpus",
     "gold_matches": f"WITH {_BASE}, every AS (SELECT row_no AS query, label_source FROM test_set), {_gold('every')} SELECT query AS row_no, gold_section, kind, n_gold FROM kinds",
     "gold_match_kinds": f"WITH {_BASE}, every AS (SELECT row_no AS query, label_source FROM test_set), {_gold('every')} SELECT kind, count(*) AS n FROM kinds GROUP BY kind",
     "gold_fallback": f"""WITH {_BASE}, want AS (SELECT DISTINCT nullif(regexp_extract(coalesce(label_source, ''), '(?i)section\\s+([0-9]+(?:\\.[0-9]+)+)', 1), '') AS section FROM test_set),

@@ -1,4 +1,6 @@
+import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -32,8 +34,9 @@ def table(spark, rows):
 
 def test_bm25_equals_brute_force(spark):
     q = "the cat and the dog"
-    got = {r.key: r.sparse for r in retrieval.bm25_scores(table(spark, {9: q}), table(spark, DOCS)).collect()}
+    got = {r.key: r.sparse for r in retrieval.bm25_topk(table(spark, {9: q}), table(spark, DOCS), 10).collect()}
     assert got == pytest.approx(brute(q, DOCS))
+    assert [r.key for r in retrieval.bm25_topk(table(spark, {9: q}), table(spark, DOCS), 2).orderBy("rank").collect()] == sorted(got, key=lambda k: -got[k])[:2]
 
 
 def test_empty_queries_and_corpora(spark):
@@ -43,16 +46,48 @@ def test_empty_queries_and_corpora(spark):
 
 def test_fusion_ranks_all_passages_and_constant_scores_are_zero(spark):
     q, c = table(spark, {9: "zebra"}), table(spark, DOCS)
-    got = retrieval.fused(q, c, retrieval.bm25_scores(q, c), retrieval.hashed_scores(q, c), 10).orderBy("rank").collect()
+    got = retrieval.fused(q, c, 10).orderBy("rank").collect()
     assert [r.key for r in got] == [1, 2, 3, 4, 5, 6]
     assert {r.score for r in got} == {0.0}
 
 
 def test_unfetched_passages_have_no_dense_score(spark):
-    q, c = table(spark, {9: "cat"}), table(spark, DOCS)
-    dense = spark.createDataFrame([(9, 1, 0.9), (9, 2, 0.8), (9, 3, 0.7)], "query long, key long, dense double")
-    got = {r.key: r.dense for r in retrieval.fused(q, c, retrieval.bm25_scores(q, c), dense, 10, n_fetch=2).collect()}
-    assert got[1] == 0.9 and got[3] == 0.0
+    vectors = {1: [0.9, 0.1], 2: [0.8, 0.3], 3: [0.7, 0.7], 4: [0.0, 0.0], 5: None, 6: [-1.0, 0.0]}
+    q = table(spark, {9: "cat"}).withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+    c = spark.createDataFrame([(k, DOCS[k], v) for k, v in vectors.items()], "key long, text string, vector array<double>")
+    got = {r.key: r for r in retrieval.fused(q, c, 10, n_fetch=2).collect()}
+    assert got[1].dense == pytest.approx(0.9 / math.sqrt(0.82)) and got[3].dense == got[6].dense == 0.0 and len(got) == 6
+
+
+def fused_by_hand(queries, docs, log_k, n_fetch):
+    bag = lambda t: Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % retrieval.DIM for w in re.findall("[A-Za-z0-9]+", (t or "").lower()))
+    norm = lambda c: math.sqrt(sum(v * v for v in c.values())) or 1.0
+    scaled = lambda v, vs: 0.0 if max(vs) - min(vs) < 1e-9 else (v - min(vs)) / (max(vs) - min(vs))
+    bags, out = {k: bag(t) for k, t in docs.items()}, {}
+    for q, text in queries.items():
+        b, found = bag(text), brute(text or "", docs)
+        sparse = {k: found.get(k, 0.0) for k in docs}
+        dense = {k: sum(b[x] * c[x] for x in b) / norm(b) / norm(c) for k, c in bags.items()}
+        near = set(sorted(docs, key=lambda k: (-round(dense[k], 9), k))[:n_fetch])
+        dense = {k: dense[k] if k in near else 0.0 for k in docs}
+        score = {k: 0.5 * scaled(dense[k], dense.values()) + 0.5 * scaled(sparse[k], sparse.values()) for k in docs}
+        out[q] = sorted(docs, key=lambda k: (-round(score[k], 9), k))[:log_k]
+    return out
+
+
+def test_the_grid_changes_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice(["the", "of", *(f"w{i}" for i in range(30))]) for _ in range(n))
+    docs = {k: text(rng.randrange(1, 30)) for k in range(60)} | {60: None, 61: "", 62: "of of of"}
+    docs[63] = docs[5]
+    queries = {k: text(8) for k in range(7)} | {7: "", 8: "unknown words"}
+    truth = fused_by_hand(queries, docs, 5, 8)
+    for piece, block in ((8192, 256), (7, 2)):
+        monkeypatch.setattr(retrieval, "SLICE", piece)
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        got = retrieval.fused(table(spark, queries), table(spark, docs), 5, n_fetch=8).orderBy("query", "rank").collect()
+        assert {q: [r.key for r in got if r["query"] == q] for q in queries} == truth
+    assert retrieval.fused(table(spark, queries).limit(0), table(spark, docs), 5).count() == 0 == retrieval.fused(table(spark, queries), table(spark, docs).limit(0), 5).count()
 
 
 def test_nearest_leaves_out_itself_and_takes_zero_vectors(spark):
