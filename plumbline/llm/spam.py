@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.words import WORD, Bitmap, Lexicon, shingles, word_hash
+from plumbline.llm.words import Bitmap, Lexicon, lower_words, shingles, word_hash
 from plumbline.session import cut_lineage, spread
 
 #: Search phrases are of two or three words, so shingles of two words find them in any order; see the README for the figures with five.
@@ -106,7 +106,7 @@ class _Part:
         owner: list[int] = []
         for page, text in enumerate(texts):
             for unit in _units(_plain(text)):
-                found = WORD.findall(unit[0].lower())
+                found = lower_words(unit[0])
                 if found:
                     units.append(unit)
                     words.append(found)
@@ -172,15 +172,18 @@ def _on_hosts(wanted) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            hosts, found = [], []
-            for host, text in zip(pdf["host"], pdf["text"], strict=True):
-                if isinstance(text, str):
-                    phrases = shingles(_LEXICON.look_up(WORD.findall(_plain(text).lower()))[0], PHRASE)
-                    phrases = phrases[wanted.value.has(phrases)]
-                    found.append(phrases)
-                    hosts.append(np.full(len(phrases), host, dtype=np.int64))
+            texts, hosts = pdf["text"].tolist(), pdf["host"].to_numpy()
+            found = []
+            for at in _parts(pdf):
+                words = [lower_words(_plain(texts[i])) for i in at]
+                sizes = np.fromiter(map(len, words), np.int64, len(words))
+                page = np.repeat(at, sizes)
+                phrases = shingles(_LEXICON.look_up([w for ws in words for w in ws])[0], PHRASE)
+                n = len(phrases)
+                kept = wanted.value.has(phrases) & (page[:n] == page[len(page) - n :])
+                found.append((hosts[page[:n][kept]], phrases[kept]))
             if found:
-                yield pd.DataFrame({"host": np.concatenate(hosts), "phrase": np.concatenate(found).view(np.int64)}).drop_duplicates()
+                yield pd.DataFrame({"host": np.concatenate([h for h, _ in found]), "phrase": np.concatenate([p for _, p in found]).view(np.int64)}).drop_duplicates()
 
     return read
 

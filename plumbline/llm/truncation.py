@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.words import WORD, Bitmap, Lexicon, word_hash
+from plumbline.llm.words import Bitmap, Lexicon, lower_words, word_hash
 from plumbline.session import cut_lineage, spread
 
 #: Bounds of the limit that a source's baseline sets on the share of whole sentences with the same last words.
@@ -135,7 +135,7 @@ def judge(text: str | None) -> tuple[str, list[int]]:
     if not isinstance(text, str):
         return "blank", []
     body = text.strip().strip("​﻿").strip()
-    n_words = len(WORD.findall(body))
+    n_words = len(lower_words(body))
     if not n_words:
         return "blank", []
     if _BROKEN_CHARACTER.search(body):

@@ -28,9 +28,17 @@ def hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(word_hash, words), dtype=np.uint64, count=len(words))
 
 
+_ASCII = {i: chr(i) if chr(i).isalnum() else " " for i in range(128)}
+
+
+def lower_words(text: str) -> list[str]:
+    """Lower-cased runs of letters or digits; ASCII texts take a faster way."""
+    return text.lower().translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower())
+
+
 def plain_words(text: str) -> list[str]:
-    """Lower-cased runs of letters or digits, with character entities resolved."""
-    return WORD.findall(html.unescape(text).lower())
+    """The same with character entities resolved."""
+    return lower_words(html.unescape(text) if "&" in text else text)
 
 
 def shingles(hashed: np.ndarray, size: int = SHINGLE) -> np.ndarray:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from plumbline.llm import leakage, pair_defects, spam, splitting
 from plumbline.llm.packing import bears_loss, fill, pack, packing_summary, token_counts
 from plumbline.llm.truncation import cut_shares, judge, judged_rows
-from plumbline.llm.words import Bitmap, hashes, lcs_length, plain_words
+from plumbline.llm.words import WORD, Bitmap, hashes, lcs_length, lower_words, plain_words
 
 
 @settings(max_examples=60, deadline=None)
@@ -297,6 +297,11 @@ def test_spam_of_no_pages(spark):
     assert spam.page_evidence(df).count() == 0
 
 
+@given(st.text(st.characters(max_codepoint=127)))
+def test_ascii_words_equal_the_pattern(text):
+    assert lower_words(text) == WORD.findall(text.lower())
+
+
 def test_words():
     assert plain_words("Don&#39;t A_b 3x Ü") == ["don", "t", "a", "b", "3x", "ü"]
 
