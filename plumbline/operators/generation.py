@@ -16,13 +16,15 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from plumbline import schemas
 from plumbline.functions.labels import parsed_reply
-from plumbline.functions.text import passages
+from plumbline.functions.text import passages, stripped
+from plumbline.operators.common import latest
 
 CONFIGS = {"baseline1_plain_llm": False, "baseline2_standard_rag": True, "agent_structured": True}
 _TASK = "Decide whether the described AI system is high-risk under Article 6 of the EU AI Act by way of Annex III."
@@ -104,8 +106,37 @@ class HttpModel:
         return found["choices"][0]["message"]["content"] or "", {"input_tokens": usage.get("prompt_tokens"), "output_tokens": usage.get("completion_tokens")}
 
 
+@dataclass
+class MessagesModel:
+    """An endpoint of the messages form, where the system prompt stands apart; ``project`` and ``region`` choose the hosted variant, which takes a bearer token."""
+
+    model: str
+    base_url: str = "https://api.anthropic.com"
+    api_key_env: str = "ANTHROPIC_API_KEY"
+    temperature: float = 0.0
+    max_tokens: int = 1024
+    timeout_s: float = 120.0
+    project: str = ""
+    region: str = ""
+
+    def request(self, system: str, user: str) -> urllib.request.Request:
+        body = {"max_tokens": self.max_tokens, "temperature": self.temperature, "system": system, "messages": [{"role": "user", "content": user}]}
+        secret = os.environ.get(self.api_key_env, "")
+        if self.project:
+            place = f"https://{self.region}-aiplatform.googleapis.com/v1/projects/{self.project}/locations/{self.region}/publishers/anthropic/models/{self.model}:rawPredict"
+            return urllib.request.Request(place, json.dumps({"anthropic_version": "vertex-2023-10-16", **body}).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {secret}"})
+        return urllib.request.Request(f"{self.base_url.rstrip('/')}/v1/messages", json.dumps({"model": self.model, **body}).encode(), {"Content-Type": "application/json", "x-api-key": secret, "anthropic-version": "2023-06-01"})
+
+    def complete(self, system: str, user: str) -> tuple[str, dict]:
+        with urllib.request.urlopen(self.request(system, user), timeout=self.timeout_s) as reply:
+            found = json.load(reply)
+        usage = found.get("usage") or {}
+        text = "".join(part.get("text", "") for part in found.get("content") or [] if part.get("type") == "text")
+        return text, {"input_tokens": usage.get("input_tokens"), "output_tokens": usage.get("output_tokens")}
+
+
 #: Model factories by name; add your own.
-MODELS: dict[str, Callable[..., object]] = {"stub": lambda **_: StubModel(), "openai_compatible": HttpModel}
+MODELS: dict[str, Callable[..., object]] = {"stub": lambda **_: StubModel(), "openai_compatible": HttpModel, "anthropic": MessagesModel, "vertex": MessagesModel}
 
 
 def get_model(name: str, **options) -> object:
@@ -126,21 +157,25 @@ def completed(model: object, system: str, user: str, attempts: int = 4, pause: C
 
 
 def generate(prompted: DataFrame, model: object, attempts: int = 4) -> DataFrame:
-    """Run records of rows with (``row_no``, ``id``, ``label``, ``config``, ``system``, ``user``, ``hits``, ``edge_case_type``, ``annex_iii_area``)."""
-    schema = prompted.select("row_no", "config").schema.add("raw", StringType()).add("usage", schemas.RUNS["usage"].dataType)
+    """Run records of rows with (``row_no``, ``id``, ``label``, ``config``, ``system``, ``user``, ``hits``, ``edge_case_type``, ``annex_iii_area``). The rows pass through the workers that call
+    the model, so they are computed once; each action on the result calls the model again, so write it first and read that."""
+    slim = F.transform("hits", lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text"), h["score"].alias("score")))
+    kept = prompted.select(
+        "row_no", "id", "config", F.col("label").alias("gold_label"), "edge_case_type", "annex_iii_area", F.slice(slim, 1, 5).alias("retrieved_top5"), F.slice(F.transform("hits", lambda h: h["id"]), 1, 10).alias("retrieved_top10_ids"), "system", "user",
+    )
+    schema = StructType([f for f in kept.schema.fields if f.name not in ("system", "user")] + [StructField("raw", StringType()), StructField("usage", schemas.RUNS["usage"].dataType)])
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            replies = [completed(model, s, u, attempts) for s, u in zip(pdf["system"], pdf["user"], strict=True)]
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replies = [completed(model, s, u, attempts) for s, u in zip(batch["system"].to_pylist(), batch["user"].to_pylist(), strict=True)]
             usage = [{k: r[1].get(k) for k in ("input_tokens", "output_tokens", "error")} for r in replies]
-            yield pd.DataFrame({"row_no": pdf["row_no"], "config": pdf["config"], "raw": [r[0] for r in replies], "usage": usage})
+            usage_type = pa.struct([("input_tokens", pa.int32()), ("output_tokens", pa.int32()), ("error", pa.string())])
+            columns = [batch[f.name] for f in schema.fields[:-2]] + [pa.array([r[0] for r in replies], pa.string()), pa.array(usage, usage_type)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    replies = prompted.select("row_no", "config", "system", "user").mapInPandas(call, schema)
-    slim = F.transform("hits", lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text"), h["score"].alias("score")))
-    joined = prompted.join(replies, ["row_no", "config"]).withColumn("p", parsed_reply(F.col("raw")))
-    return joined.select(
-        "row_no", "id", "config", F.col("label").alias("gold_label"), F.col("p.label").alias("pred_label"), F.col("p.explanation").alias("explanation"), F.col("p.parse_ok").alias("parse_ok"), "edge_case_type", "annex_iii_area",
-        F.slice(slim, 1, 5).alias("retrieved_top5"), F.slice(F.transform("hits", lambda h: h["id"]), 1, 10).alias("retrieved_top10_ids"), "usage", "raw",
+    called = kept.mapInArrow(call, schema).withColumn("p", parsed_reply(F.col("raw")))
+    return called.select(
+        "row_no", "id", "config", "gold_label", F.col("p.label").alias("pred_label"), F.col("p.explanation").alias("explanation"), F.col("p.parse_ok").alias("parse_ok"), "edge_case_type", "annex_iii_area", "retrieved_top5", "retrieved_top10_ids", "usage", "raw",
     )
 
 
@@ -161,7 +196,7 @@ def sample_tally(runs: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 class Judge:
-    """Statements of an answer, and which of them the context supports, by a model. Replies that aren't JSON fall back: to sentences, and to no support."""
+    """Statements of an answer, and which of them the context supports, by a model. Replies that aren't JSON or name no statement fall back: to sentences, and to no support."""
 
     name = "llm"
 
@@ -179,10 +214,9 @@ class Judge:
 
     def statements(self, question: str, answer: str) -> list[str]:
         text, _ = completed(self.model, 'List the distinct claims of the answer as sentences that stand alone. Reply with JSON only: {"statements": ["..."]}', f"Question:\n{question}\n\nAnswer:\n{answer}")
-        found = self._object(text)
-        if found is None or not isinstance(found.get("statements"), list):
-            return [s for part in re.split(r"(?<=[.!?])\s+", answer.strip()) if (s := part.strip())]
-        return [s.strip() for s in found["statements"] if isinstance(s, str) and s.strip()]
+        found = (self._object(text) or {}).get("statements")
+        claims = [s.strip() for s in found if isinstance(s, str) and s.strip()] if isinstance(found, list) else []
+        return claims or [s for part in re.split(r"(?<=[.!?])\s+", answer.strip()) if (s := part.strip())]
 
     def verdicts(self, context: str, claims: list[str]) -> list[dict]:
         numbered = "\n".join(f"{i}. {s}" for i, s in enumerate(claims, 1))
@@ -200,16 +234,32 @@ def matched_verdicts(claims: list[str], replies: list[dict]) -> list[dict]:
     out = []
     for i, claim in enumerate(claims):
         reply = by_text.get(claim.strip(), replies[i] if same_length else {})
-        out.append({"statement": claim, "verdict": int(bool(reply.get("verdict", 0))), "reason": str(reply.get("reason", ""))})
+        out.append({"statement": claim, "verdict": int(bool(reply.get("verdict", 0))), "reason": str(reply.get("reason") or "")})
     return out
 
 
-def judged_runs(runs: DataFrame, questions: DataFrame, judge: Judge) -> DataFrame:
-    """Faithfulness rows by a model's verdicts; the last question of an id counts, a missing one is empty. Errors skip the row as 'judge-error'."""
-    from plumbline.operators.common import latest
-
+def with_questions(runs: DataFrame, questions: DataFrame) -> DataFrame:
+    """``runs`` with ``question``, the last description of their id; '' where there's none."""
     asked = latest(questions.select("id", "row_no", "system_description"), ["id"], "row_no").select("id", F.col("system_description").alias("question"))
-    source = runs.select("row_no", "id", "config", passages(F.col("retrieved_top5")).alias("context"), F.trim(F.coalesce("explanation", F.lit(""))).alias("explanation")).join(asked, "id", "left")
+    return runs.join(asked, "id", "left").withColumn("question", F.coalesce("question", F.lit("")))
+
+
+#: Judge factories by name; add your own. The stub is built-in functions only and has no factory.
+JUDGES: dict[str, Callable[..., Judge]] = {"openai_compatible": lambda **options: Judge(HttpModel(**options)), "anthropic": lambda **options: Judge(MessagesModel(**options))}
+
+
+def get_judge(name: str, **options) -> Judge | None:
+    """A judge by name; null for the stub."""
+    if name == "stub":
+        return None
+    if name not in JUDGES:
+        raise ValueError(f"no judge named {name!r}; there are {sorted([*JUDGES, 'stub'])}")
+    return JUDGES[name](**options)
+
+
+def judged_runs(runs: DataFrame, questions: DataFrame, judge: Judge) -> DataFrame:
+    """Faithfulness rows by a model's verdicts; the last question of an id counts, a missing one is empty. Errors skip the row as 'judge-error'. Each action on the result calls the model again."""
+    source = with_questions(runs, questions).select("row_no", "id", "config", passages(F.col("retrieved_top5")).alias("context"), stripped(F.coalesce("explanation", F.lit(""))).alias("explanation"), "question")
     schema = "row_no long, id string, config string, faithfulness double, skipped_reason string, n_statements int, n_supported int, statements array<struct<statement:string,verdict:int,reason:string>>, judge string, error string"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

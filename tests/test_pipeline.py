@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from plumbline import cli, report, schemas
-from plumbline.operators import generation, segment
+from plumbline.operators import encoders, generation, segment
 from plumbline.plans import registry
 from plumbline.sources import files
 from plumbline.streaming.follow import accuracy_windows, append_correctness, followed_runs
@@ -106,6 +106,7 @@ class Scripted:
 def test_judge_falls_back(spark):
     judge = generation.Judge(Scripted("no json", "neither"))
     assert judge.statements("q", "One. Two.") == ["One.", "Two."]
+    assert generation.Judge(Scripted('{"statements": ["", 3]}', "")).statements("q", "One. Two.") == ["One.", "Two."]
     assert {v["reason"] for v in judge.verdicts("c", ["a"])} == {"judge-parse-failed"}
     runs = spark.createDataFrame([(1, "a", "c", [("i", "text", 0.1)], "One. Two."), (2, "b", "c", [], "x")], "row_no long, id string, config string, retrieved_top5 array<struct<id:string,text:string,score:double>>, explanation string")
     asked = spark.createDataFrame([("a", 1, "q")], "id string, row_no long, system_description string")
@@ -114,6 +115,32 @@ def test_judge_falls_back(spark):
     assert got == {1: (0.5, None), 2: (None, "no-retrieved-context")}
 
 
+def test_registries():
+    with pytest.raises(ValueError, match="no judge"):
+        generation.get_judge("other")
+    with pytest.raises(ValueError, match="no encoder"):
+        encoders.get_encoder("other")
+    assert generation.get_judge("stub") is None and generation.get_judge("openai_compatible", model="m", base_url="b").model.model == "m"
+    hosted = generation.get_model("vertex", model="m", project="p", region="r").request("s", "u")
+    assert "/projects/p/locations/r/" in hosted.full_url and json.loads(hosted.data)["system"] == "s"
+    plain = generation.get_model("anthropic", model="m").request("s", "u")
+    assert plain.full_url.endswith("/v1/messages") and json.loads(plain.data)["model"] == "m"
+
+
+def test_only_queries_get_the_prefix(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "cat"), (2, None)], "key long, text string")
+    encoder = encoders.HashedEncoder(16, query_prefix="dog ")
+    vectors = lambda as_queries: {r.key: r.vector for r in encoders.encoded(texts, encoder, as_queries).collect()}
+    assert sum(x > 0 for x in vectors(False)[1]) == 1 and sum(vectors(False)[2]) == 0 and sum(x > 0 for x in vectors(True)[2]) == 1
+    assert vectors(True)[1] == encoder.encode(["dog cat"])[0].tolist()
+    monkeypatch.setenv("PLUMBLINE_ENCODER", "sentence")
+    assert encoders.get_encoder().query_prefix.startswith("Represent")
+
+
+def test_a_null_reason_is_empty():
+    assert generation.matched_verdicts(["a"], [{"statement": "a", "verdict": 1, "reason": None}]) == [{"statement": "a", "verdict": 1, "reason": ""}]
+
+
 def test_files(spark, tmp_path):
     path = tmp_path / "agent_structured.jsonl"
     path.write_text('{"id": "a", "config": "ignored", "parse_ok": true}\n\n{"id": "b"}\n', encoding="utf-8")
@@ -132,7 +159,21 @@ def test_files(spark, tmp_path):
     assert [r.id for r in files.append_missing(wanted, str(tmp_path / "done"), ["config", "id"], schemas.RUNS).collect()] == ["z"]
 
 
-def test_command_line_end_to_end(spark, tmp_path, monkeypatch):
+class Counting:
+    """Supports every statement, and writes down each call."""
+
+    def __init__(self, path, options):
+        assert options == {"model": "m"}
+        self.path = path
+
+    def complete(self, system, user):
+        with open(self.path, "a", encoding="utf-8") as out:
+            out.write("call\n")
+        statements = [line.split(". ", 1)[1] for line in user.partition("Statements:\n")[2].splitlines()]
+        return json.dumps({"verdicts": [{"statement": s, "verdict": 1, "reason": None} for s in statements]} if statements else {"statements": []}), {}
+
+
+def test_command_line_end_to_end(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr(cli, "local_session", lambda: spark)
     (tmp_path / "guide.txt").write_text(GUIDE, encoding="utf-8")
     d = str(tmp_path)
@@ -149,6 +190,28 @@ def test_command_line_end_to_end(spark, tmp_path, monkeypatch):
     for config in {r["config"] for r in rows}:
         (tmp_path / "runs" / f"{config}.jsonl").write_text("\n".join(json.dumps(r) for r in rows if r["config"] == config), encoding="utf-8")
     cli.main(["score", "--runs-dir", f"{d}/runs", "--out-dir", f"{d}/scores"])
+    for step in (["correctness", "--runs-dir", f"{d}/runs"], ["faithfulness", "--runs-dir", f"{d}/runs"], ["buckets", "--scoring-dir", f"{d}/steps"]):
+        cli.main([*step, "--out-dir", f"{d}/steps"])
+    tables = lambda name: (tmp_path / name).read_text(encoding="utf-8").split("## ", 1)[1]
+    assert tables("steps/buckets.md").split("## means")[0].strip() in tables("scores/summary.md")
+    monkeypatch.setitem(generation.JUDGES, "openai_compatible", lambda **options: generation.Judge(Counting(f"{d}/calls", options)))
+    cli.main(["score", "--runs-dir", f"{d}/runs", "--out-dir", f"{d}/judged", "--judge", "openai_compatible", "--judge-model", "m", "--test-set", f"{d}/set"])
+    judged = spark.read.json(f"{d}/judged/faithfulness")
+    assert {r.judge for r in judged.collect()} == {"llm"} and judged.where("faithfulness = 1.0").count() == judged.count() == 4
+    assert len((tmp_path / "calls").read_text(encoding="utf-8").splitlines()) == 8
+    cli.main(["embed-index", "--chunks", f"{d}/chunks", f"{d}/vectors"])
+    assert {len(r.embedding) for r in spark.read.parquet(f"{d}/vectors").collect()} == {768}
+    cli.main(["retrieval-eval", "--test-set", f"{d}/set", "--chunks", f"{d}/chunks", "--encoder", "hashed", f"{d}/encoded.md"])
+    assert (tmp_path / "encoded.md").read_text(encoding="utf-8") == (tmp_path / "eval.md").read_text(encoding="utf-8")
+    capsys.readouterr()
+    cli.main(["search", "recruitment of natural persons", "--chunks", f"{d}/chunks", "--top-k", "1"])
+    assert capsys.readouterr().out.splitlines()[2].startswith("| 1 |")
+    (tmp_path / "settings.json").write_text(json.dumps({"generation": {"provider": "stub"}, "retrieval": {"alpha": 0.3}, "embedding": {"encoder": "hashed"}}), encoding="utf-8")
+    cli.main(["sanity-run", "--test-set", f"{d}/set", "--chunks", f"{d}/chunks", f"{d}/sanity", "--config-file", f"{d}/settings.json"])
+    assert "| agent_structured | 2 |" in (tmp_path / "sanity" / "sanity.md").read_text(encoding="utf-8")
+    (tmp_path / "plan.json").write_text(json.dumps({"markers": {"anx3-001": " by fit,"}, "drop": ["anx3-002"]}), encoding="utf-8")
+    cli.main(["cleanup", f"{d}/set", f"{d}/plan.json", f"{d}/clean", "--report", f"{d}/clean.md"])
+    assert [r.id for r in spark.read.json(f"{d}/clean").collect()] == ["anx3-001"] and "| bad ending | 1 |" in (tmp_path / "clean.md").read_text(encoding="utf-8")
     cli.main(["report", "--runs-dir", f"{d}/runs", "--test-set", f"{d}/set", f"{d}/report.html"])
     assert "agent_structured" in (tmp_path / "scores" / "summary.md").read_text(encoding="utf-8")
     assert "<table>" in (tmp_path / "report.html").read_text(encoding="utf-8")
