@@ -45,7 +45,9 @@ def _encoding(path: str):
 
 
 #: What is read but not to be learned: links, tags and entities, quoted lines.
-_MASKED = re.compile(r"(?:[A-Za-z]+:)?//[^\s<>()\]]+|\bwww\.[^\s<>()\]]+|<[^<>]{1,200}>|&#?[A-Za-z0-9]{1,10};|^[ \t]*>.*$", re.MULTILINE)
+_MASKED = re.compile(r"(?:\b(?:https?|ftp):)?//[^\s<>()\]]+|\bwww\.[^\s<>()\]]+|<[^<>]{1,200}>|&#?[A-Za-z0-9]{1,10};|^[ \t]*>.*$", re.MULTILINE)
+#: A text without these has no masked span.
+_MARKS = ("//", "www.", "&", ">")
 
 
 def bears_loss(text: str, pieces: list[bytes]) -> np.ndarray:
@@ -70,7 +72,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: i
             for text in pdf["text"]:
                 tokens = encoding.encode_ordinary(text) if isinstance(text, str) else []
                 starts = np.arange(0, max(len(tokens), 1), capacity)
-                if tokens and _MASKED.search(text):
+                if tokens and any(mark in text for mark in _MARKS) and _MASKED.search(text):
                     bearing = np.concatenate((bears_loss(text, encoding.decode_tokens_bytes(tokens)), [False]))
                     own = np.add.reduceat(bearing, starts) - bearing[starts]
                 else:
