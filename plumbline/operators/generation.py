@@ -14,6 +14,7 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -31,32 +32,31 @@ _TASK = "Decide whether the described AI system is high-risk under Article 6 of
 _REPLY = 'Reply with one JSON object only: {"label": "high-risk" or "not-high-risk", "%s": "..."}'
 
 
-def _described(hits: bool) -> Column:
-    described = F.concat(F.lit("AI system description:\n"), F.coalesce("system_description", F.lit("")))
-    return F.concat(F.lit("Passages from the guidelines:\n"), passages(F.col("hits"), heading=True), F.lit("\n\n"), described) if hits else described
+_STEPS = (
+    "State the intended purpose.",
+    "Find the Annex III point, 1 to 8, that covers it; without one the system is not high-risk on this route.",
+    "Where a point covers it, test the conditions of Article 6(3)(a) to (d): one met and no profiling of natural persons exempts it; profiling never is exempt.",
+    "Give the label, the point and the condition, with the passages.",
+)
+#: The system prompt of each configuration, and what ends its user prompt.
+SYSTEM = {
+    "baseline1_plain_llm": f"{_TASK} Use what you know; there is no reference text.\n\n{_REPLY % 'reason'}",
+    "baseline2_standard_rag": f"{_TASK} Rely on the passages given and base the explanation on them.\n\n{_REPLY % 'explanation'}",
+    "agent_structured": f"{_TASK} Work from the passages only, in these steps:\n" + "\n".join(f"{i}. {s}" for i, s in enumerate(_STEPS, 1)) + f"\n\n{_REPLY % 'explanation'}",
+}
+ENDING = {"baseline1_plain_llm": "", "baseline2_standard_rag": "\n\nClassify the system and explain by the passages.", "agent_structured": "\n\nGo through the steps and return the JSON."}
+PASSAGES, DESCRIPTION = "Passages from the guidelines:\n", "AI system description:\n"
 
 
-def plain_prompt() -> tuple[Column, Column]:
-    return F.lit(f"{_TASK} Use what you know; there is no reference text.\n\n{_REPLY % 'reason'}"), _described(False)
+def _prompt(config: str) -> tuple[Column, Column]:
+    described = F.concat(F.lit(DESCRIPTION), F.coalesce("system_description", F.lit("")))
+    if CONFIGS[config]:
+        described = F.concat(F.lit(PASSAGES), passages(F.col("hits"), heading=True), F.lit("\n\n"), described)
+    return F.lit(SYSTEM[config]), F.concat(described, F.lit(ENDING[config]))
 
 
-def retrieval_prompt() -> tuple[Column, Column]:
-    system = f"{_TASK} Rely on the passages given and base the explanation on them.\n\n{_REPLY % 'explanation'}"
-    return F.lit(system), F.concat(_described(True), F.lit("\n\nClassify the system and explain by the passages."))
-
-
-def structured_prompt() -> tuple[Column, Column]:
-    steps = (
-        "State the intended purpose.",
-        "Find the Annex III point, 1 to 8, that covers it; without one the system is not high-risk on this route.",
-        "Where a point covers it, test the conditions of Article 6(3)(a) to (d): one met and no profiling of natural persons exempts it; profiling never is exempt.",
-        "Give the label, the point and the condition, with the passages.",
-    )
-    system = f"{_TASK} Work from the passages only, in these steps:\n" + "\n".join(f"{i}. {s}" for i, s in enumerate(steps, 1)) + f"\n\n{_REPLY % 'explanation'}"
-    return F.lit(system), F.concat(_described(True), F.lit("\n\nGo through the steps and return the JSON."))
-
-
-BUILDERS: dict[str, Callable[[], tuple[Column, Column]]] = {"baseline1_plain_llm": plain_prompt, "baseline2_standard_rag": retrieval_prompt, "agent_structured": structured_prompt}
+#: Prompt builders by configuration; add your own.
+BUILDERS: dict[str, Callable[[], tuple[Column, Column]]] = {name: partial(_prompt, name) for name in CONFIGS}
 
 
 def config_cross(rows: DataFrame, configs: Sequence[str] | None = None, row_ids: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:

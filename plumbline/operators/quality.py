@@ -69,8 +69,14 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     return near.select("row_a", "row_b", (common / (F.size("ws_a") + F.size("ws_b") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def length_outliers(rows: DataFrame) -> DataFrame:
-    """Shorter than min(p5, 60) or longer than max(p95, 800), both strict. The percentiles are elements of the sorted lengths, found in a histogram of lengths."""
+def similar_links(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(``row_no``, ``rep``, ``n_links``) for each row with words: with how many other classes its class is linked in ``similar_pairs``."""
+    links = similar_pairs(rows, threshold).select(F.explode(F.array("row_a", "row_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    return similar_classes(rows).join(links.hint("merge"), "rep", "left").select("row_no", "rep", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def length_outliers(rows: DataFrame, short: int = 60, long: int = 800) -> DataFrame:
+    """Shorter than min(p5, ``short``) or longer than max(p95, ``long``), both strict. The percentiles are elements of the sorted lengths, found in a histogram of lengths."""
     sized = rows.select("row_no", "id", F.length(_text("system_description")).alias("n_chars"))
     hist = sized.where("n_chars > 0").groupBy("n_chars").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
@@ -78,7 +84,7 @@ def length_outliers(rows: DataFrame) -> DataFrame:
     placed = hist.select("n_chars", "n", upto.alias("upto"), total.alias("total"))
     low, high = F.greatest(F.floor(F.col("total") * 0.05) - 1, F.lit(0)), F.least(F.col("total") - 1, F.floor(F.col("total") * 0.95))
     pick = lambda at: F.min(F.when(F.col("upto") > at, F.col("n_chars")))
-    bounds = F.broadcast(placed.agg(F.least(pick(low), F.lit(60)).alias("low"), F.greatest(pick(high), F.lit(800)).alias("high")))  # one row
+    bounds = F.broadcast(placed.agg(F.least(pick(low), F.lit(short)).alias("low"), F.greatest(pick(high), F.lit(long)).alias("high")))  # one row
     kind = F.when((F.col("n_chars") > 0) & (F.col("n_chars") < F.col("low")), "short").when(F.col("n_chars") > F.col("high"), "long")
     return sized.crossJoin(bounds).select("row_no", "id", "n_chars", kind.alias("kind")).where("kind is not null")
 
@@ -122,11 +128,16 @@ def set_summary(rows: DataFrame, none_is_empty: bool = False) -> DataFrame:
 
 
 def corpus_statistics(chunks: DataFrame, limit: int = 1800) -> DataFrame:
-    """By area: number, least, upper median, greatest and floored mean length, and how many are over the limit. Medians come from a histogram of lengths."""
-    hist = chunks.select("annex_iii_area", F.length(collapsed(F.coalesce("text", F.lit("")))).alias("len")).groupBy("annex_iii_area", "len").agg(F.count("*").alias("n"))
-    each = Window.partitionBy("annex_iii_area")
+    """(``level``, ``value``, ...): overall, by section and by area: number, least, upper median, greatest and floored mean length, and how many are over the limit.
+
+    Medians come from a histogram of lengths, so only counts are shuffled and sorted.
+    """
+    lengths = chunks.select("section", "annex_iii_area", F.length(collapsed(F.coalesce("text", F.lit("")))).alias("len")).groupBy("section", "annex_iii_area", "len").agg(F.count("*").alias("n"))
+    levels = F.explode(F.array(*[F.struct(F.lit(name).alias("level"), value.alias("value")) for name, value in (("overall", F.lit(None).cast("string")), ("section", F.col("section")), ("area", F.col("annex_iii_area")))]))
+    hist = lengths.select(levels.alias("of"), "len", "n").groupBy("of.level", "of.value", "len").agg(F.sum("n").alias("n"))
+    each = Window.partitionBy("level", "value")
     placed = hist.withColumn("upto", F.sum("n").over(each.orderBy("len"))).withColumn("total", F.sum("n").over(each))
-    return placed.groupBy("annex_iii_area").agg(
+    return placed.groupBy("level", "value").agg(
         F.sum("n").alias("n_chunks"),
         F.min("len").alias("min_len"),
         F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("len"))).alias("median_len"),
@@ -134,3 +145,8 @@ def corpus_statistics(chunks: DataFrame, limit: int = 1800) -> DataFrame:
         F.floor(F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("mean_len"),
         F.sum(F.when(F.col("len") > limit, F.col("n")).otherwise(0)).alias("n_over"),
     )
+
+
+def displayed(similarity: Column) -> Column:
+    """A similarity as reports show it: two decimals, halves to the even digit. Thresholds take the unrounded one."""
+    return F.bround(similarity, 2)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import area_of, clauses, collapsed, escaped, governing_section, heading_path, passages, redaction_sentences, statements, stripped, top_section
 from plumbline.operators import redact, scoring, segment
-from plumbline.plans.sql import SPACE, trimmed
+from plumbline.plans.quality_queries import SQL as QUALITY
+from plumbline.plans.sql import AREA, EXAMPLES, SPACE, TOP, flat, trimmed
 from plumbline.session import table
 
 
@@ -68,11 +69,7 @@ def stored_correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (index_metadata, headings, kept_sections, hit_projection, judge_context, sentence_counts, review_file, escaped_explanations, label_sources, stored_correctness)}
 
-_TOP = "array_to_string(string_split(section, '.')[1:2], '.')"
-_AREA = f"CASE {_TOP} WHEN '3.1' THEN 'biometrics' WHEN '3.2' THEN 'critical-infrastructure' WHEN '3.3' THEN 'education' WHEN '3.4' THEN 'employment' WHEN '3.5' THEN 'essential-services' WHEN '3.6' THEN 'law-enforcement' WHEN '3.7' THEN 'migration' WHEN '3.8' THEN 'justice-democracy' END"
-_FLAT = lambda c: f"trim(regexp_replace({c}, '{SPACE}+', ' ', 'g'), ' ')"
 _T = trimmed("coalesce(system_description, '')")
-_EXAMPLES = segment.INLINE_EXAMPLES.replace("(?iU)", "(?i)")
 
 
 def _parts(pattern: str) -> str:
@@ -81,8 +78,9 @@ def _parts(pattern: str) -> str:
 
 SQL = {
     "index_metadata": "SELECT row_no, coalesce(section, '') AS section, coalesce(annex_iii_area, '') AS annex_iii_area, coalesce(para_num, '') AS para_num, coalesce(heading_path, '') AS heading_path FROM corpus_chunks",
-    "headings": f"SELECT row_no, {_TOP} AS top, {_AREA} AS area, CASE WHEN coalesce(section, '') <> '' THEN {trimmed(f"CASE WHEN starts_with(section, '2') THEN 'General principles' ELSE coalesce({_AREA}, 'Annex III') END || ' | ' || section || ' ' || coalesce({_FLAT('section_title')}, '')")} END AS path FROM corpus_chunks",
-    "kept_sections": f"SELECT {_TOP} AS top, count(*) AS n FROM corpus_chunks WHERE string_split(section, '.')[1] IN ('2', '3') AND length({_FLAT("coalesce(text, '')")}) >= 25 AND NOT regexp_matches({_FLAT("coalesce(text, '')")}, '{_EXAMPLES}') GROUP BY 1",
+    "headings": f"SELECT row_no, {TOP} AS top, {AREA} AS area, CASE WHEN coalesce(section, '') <> '' THEN {trimmed(f"CASE WHEN starts_with(section, '2') THEN 'General principles' ELSE coalesce({AREA}, 'Annex III') END || ' | ' || section || ' ' || coalesce({flat('section_title')}, '')")} END AS path FROM corpus_chunks",
+    "kept_sections": f"SELECT {TOP} AS top, count(*) AS n FROM corpus_chunks WHERE string_split(section, '.')[1] IN ('2', '3') AND length({flat("coalesce(text, '')")}) >= 25 AND NOT regexp_matches({flat("coalesce(text, '')")}, '{EXAMPLES}') GROUP BY 1",
+    "review_file": f"""SELECT t.row_no, id, label AS gold_label, edge_case_type, redaction, t.system_description AS original, r.system_description AS redacted, NULL::VARCHAR AS your_check FROM test_set t JOIN ({QUALITY["redact_sentences"]}) r ON r.row_no = t.row_no""",
     "hit_projection": "SELECT row_no, i::INT AS rank, retrieved_top5[i].id AS id, round(retrieved_top5[i].score, 6) AS score, coalesce(retrieved_top10_ids[i] = retrieved_top5[i].id, false) AS logged FROM (SELECT *, unnest(range(1, len(retrieved_top5) + 1)) AS i FROM runs)",
     "judge_context": "SELECT row_no, coalesce(array_to_string(list_transform(range(1, len(retrieved_top5) + 1), lambda i: '[Passage ' || i || ']' || chr(10) || coalesce(retrieved_top5[i].text, '')), chr(10) || chr(10)), '') AS context FROM runs",
     "sentence_counts": f"SELECT row_no, len({_parts(f"([.;]){SPACE}+([A-Z(])', '\\1' || chr(1) || '\\2")})::INT AS n_redaction, len(list_filter({_parts(f"([.!?]){SPACE}+', '\\1' || chr(1) || '")}, lambda x: {trimmed('x')} <> ''))::INT AS n_statements, len({_parts(f"([.;:]){SPACE}+', '\\1' || chr(1) || '")})::INT AS n_clauses FROM test_set",

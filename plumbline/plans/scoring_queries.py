@@ -37,12 +37,6 @@ def json_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select("row_no", parsed_reply(F.col("raw")).alias("p")).select("row_no", F.col("p.label").alias("label"), F.col("p.parse_ok").alias("parse_ok"))
 
 
-def prompt_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompts of every run's description with the passages it had."""
-    runs = _runs(spark, sf_dir).select("row_no", "config", F.col("explanation").alias("system_description"), F.transform("retrieved_top5", lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text"), F.lit(None).cast("string").alias("heading_path"))).alias("hits"))
-    return generation.with_prompts(runs).select("row_no", "config", F.length("user").alias("user_chars"), F.length("system").alias("system_chars"))
-
-
 def config_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.config_cross(table(spark, sf_dir, "test_set").select("row_no", "id")).select("row_no", "id", "config")
 
@@ -87,7 +81,6 @@ QUERIES = {
     "gold_distribution": lambda s, d: scoring.distribution(_rows(s, d), "gold"),
     "run_checks": lambda s, d: scoring.run_checks(_runs(s, d)),
     "json_label_parse": json_label_parse,
-    "prompt_sizes": prompt_sizes,
     "config_cross": config_cross,
     "resume_antijoin": resume_antijoin,
     "stratified_sample": stratified_sample,
@@ -143,6 +136,8 @@ _SAMPLE = """sample AS (
   UNION ALL (SELECT 'not-high-risk', row_no FROM test_set WHERE label = 'not-high-risk' AND edge_case_type = 'none' ORDER BY 2 LIMIT 3)
   UNION ALL (SELECT 'filter', row_no FROM test_set WHERE edge_case_type = 'article-6-3-filter' ORDER BY 2 LIMIT 3))"""
 _CROSS = "crossed AS (SELECT row_no, id, c.config FROM test_set, (SELECT unnest(['baseline1_plain_llm', 'baseline2_standard_rag', 'agent_structured']) AS config) c)"
+_PERCENT = "('0x' || substr(md5(row_no || '|' || config || '|{}'), 1, 8))::BIGINT % 100"
+_POISSON = "((v >= 24109)::INT + (v >= 48219)::INT + (v >= 60273)::INT + (v >= 64291)::INT + (v >= 65296)::INT + (v >= 65497)::INT + (v >= 65530)::INT + (v >= 65535)::INT)"
 
 SQL = {
     "correctness_rows": f"WITH {_CORRECT} SELECT * FROM corr",
@@ -185,4 +180,12 @@ SQL = {
       s AS (SELECT config, sum(p * mid)::DOUBLE AS ranks, sum(p)::BIGINT AS pos, sum(n - p)::BIGINT AS neg FROM r GROUP BY config) SELECT config, pos, neg, round(CASE WHEN pos > 0 AND neg > 0 THEN (ranks - pos * (pos + 1) / 2.0) / (pos * neg) END, 6) AS auc FROM s""",
     "ext_mcnemar": f"""WITH {_CORRECT}, last AS (SELECT config, id, max_by(correct, row_no) AS correct FROM corr GROUP BY 1, 2), s AS (SELECT id, bool_or(correct) FILTER (config = 'agent_structured') AS a, bool_or(correct) FILTER (config = 'baseline2_standard_rag') AS b FROM last GROUP BY id)
       SELECT count(*) AS n_pairs, count(*) FILTER (a AND NOT b) AS only_one, count(*) FILTER (NOT a AND b) AS only_two FROM s WHERE a IS NOT NULL AND b IS NOT NULL""",
+    "synthetic_buckets": f"""WITH x AS (SELECT row_no, label, coalesce(annex_iii_area, 'unknown') AS area, c.config FROM test_set, (SELECT unnest(['baseline1_plain_llm', 'baseline2_standard_rag', 'agent_structured']) AS config) c WHERE c.config <> 'baseline1_plain_llm'),
+      y AS (SELECT config, row_no % 60 = 0 AS fails, {_PERCENT.format('faith')} < 30 AS unfaithful, CASE WHEN {_PERCENT.format('flip')} < 25 THEN '' ELSE label END AS pred FROM x),
+      z AS (SELECT config, CASE WHEN fails THEN 'no-explanation' END AS skipped_reason, CASE WHEN fails THEN NULL WHEN unfaithful THEN 0.25 WHEN pred IS NULL THEN 0.6666 ELSE 0.75 END AS f FROM y)
+      SELECT config, skipped_reason, count(*) AS n, count(*) FILTER (f = 0.75) AS n_three_quarters, count(*) FILTER (f = 0.25) AS n_one_quarter FROM z GROUP BY 1, 2""",
+    "ext_bootstrap": f"""WITH {_CORRECT}, d AS (SELECT config, correct::INT AS c, g, md5(row_no || '|' || config || '|' || g) AS d FROM corr, (SELECT unnest(range(250)) AS g) WHERE config IS NOT NULL),
+      w AS (SELECT config, c, g * 8 + i AS k, ('0x' || substr(d, (4 * i + 1)::INT, 4))::INT AS v FROM d, (SELECT unnest(range(8)) AS i)),
+      a AS (SELECT config, k, sum({_POISSON} * c)::DOUBLE / sum({_POISSON}) AS accuracy FROM w GROUP BY 1, 2), o AS (SELECT config, list_sort(list(accuracy)) AS a FROM a GROUP BY config)
+      SELECT config, round(a[51], 6) AS low, round(a[1951], 6) AS high FROM o""",
 }

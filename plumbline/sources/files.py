@@ -39,11 +39,11 @@ def read_optional(spark: SparkSession, path: str, schema: StructType) -> DataFra
 
 
 def read_configs(spark: SparkSession, folder: str, schema: StructType, configs: Sequence[str] | None = None) -> DataFrame:
-    """All JSONL files of a folder, with the file's stem as ``config``; a subset of these reads no other file."""
+    """All JSONL files of a folder, or folders of parts that are named so, with the stem as ``config``; a subset of these reads no other file."""
     paths = [p for c in configs if _exists(spark, p := f"{folder}/{c}.jsonl")] if configs is not None else [f"{folder}/*.jsonl"]
     if not paths or not _exists(spark, paths[0]):
         return spark.createDataFrame([], StructType([*[f for f in schema.fields if f.name != "config"], StructField("config", StringType())]))
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1)
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl(?:/[^/]*)?$", 1)
     return read_jsonl(spark, paths, schema).withColumn("config", stem)
 
 
@@ -62,7 +62,7 @@ def append_missing(df: DataFrame, path: str, keys: Sequence[str], schema: Struct
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
 def write_summary(df: DataFrame, path: str, key: str | None = None, max_rows: int = 10_000) -> dict[str, Any] | list[Any]:

@@ -1,12 +1,26 @@
+import importlib.util
+import sys
+import warnings
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from plumbline.plans import registry
 
 DATA = Path("/root/testdata/sf0.001")
-SMALL = ("bm25_topk", "dense_topk", "retrieval_summary", "class_metrics", "faith_statements", "bucket_sweep", "report_cases", "similar_pairs", "redaction_precedence", "cut_markers", "json_label_parse", "p2_found")
+SMALL = ("bm25_topk", "dense_topk", "retrieval_summary", "class_metrics", "faith_statements", "bucket_sweep", "report_cases", "similar_pairs", "redaction_precedence", "cut_markers", "json_label_parse", "p2_found", "p2_loaded", "tolerant_lines", "config_folders", "csv_roundtrip", "appended_runs", "segment_sections", "guide_chunks", "guide_examples", "sentence_packing", "run_records", "judged_runs", "redaction_strict", "similar_links", "ext_bootstrap", "synthetic_buckets", "review_file")
+
+
+def test_a_missing_dependency_costs_the_llm_queries_only(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("plumbline.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        assert entry.queries() == registry.QUERIES
+    assert not any(m.startswith("plumbline.llm.") for m in sys.modules if m.endswith("queries")) and (len(said) == 1 or importlib.util.find_spec("plumbline.llm") is None)
 
 
 def test_every_sql_has_its_query():
