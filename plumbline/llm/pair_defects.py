@@ -37,8 +37,8 @@ ECHO_OF_RESPONSE, ECHO_OF_PROMPT = 0.75, 0.6
 _LEAST_WORDS = 8
 
 #: Placeholders, as words without punctuation.
-_PLACEHOLDERS = {"", "na", "n a", "none", "null", "nan", "nil", "tbd", "todo", "undefined", "empty", "missing", "unknown", "no explanation", "not available", "not applicable", "no answer", "no response"}
-_BARE_LABEL = re.compile(r"^(?:(?:the )?(?:label|answer|result|classification|verdict)(?: is)? )?(?:not )?high risk$")
+PLACEHOLDERS = {"", "na", "n a", "none", "null", "nan", "nil", "tbd", "todo", "undefined", "empty", "missing", "unknown", "no explanation", "not available", "not applicable", "no answer", "no response"}
+BARE_LABEL = re.compile(r"^(?:(?:the )?(?:label|answer|result|classification|verdict)(?: is)? )?(?:not )?high risk$")
 
 #: Refusal templates; their words occur in this order within a sentence, with 'we' for 'i', 'us' for 'me', 'are' for 'am'.
 _TEMPLATES = [
@@ -90,7 +90,7 @@ def is_empty(words: list[str]) -> bool:
     if len(words) > _SHORT:
         return False
     line = " ".join(words)
-    return line in _PLACEHOLDERS or _BARE_LABEL.match(line) is not None
+    return line in PLACEHOLDERS or BARE_LABEL.match(line) is not None
 
 
 def _occurs(template: list[str], words: list[str]) -> bool:
