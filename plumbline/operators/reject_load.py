@@ -1,10 +1,10 @@
 """Delimited records read with reject tables: valid rows come out typed, others with the reason of failure.
 
-Each worker writes its records of each file to a file in memory and reads these with DuckDB, rejects stored. A record carries its
-number as a first field behind a mark, so that accepted rows name their record. An unclosed quote makes DuckDB swallow the
+Each worker writes its records of each file to a file in memory and reads these with DuckDB, rejects stored. A record stands between its
+number and a mark as first and last fields, so that accepted rows name their record and a surplus or missing field can't be forgiven. An unclosed quote makes DuckDB swallow the
 records after it; a swallowed mark betrays that. What isn't accepted cleanly is read again, each record a file of its own,
-whose line-level errors are joined to it and propose a reason. An exact reading of the record then confirms or corrects it, as DuckDB takes some quotes that
-the format forbids and reports one of several errors, or none. ``rejects`` gives both.
+and the first line-level error in the reject table is joined to it and gives the reason. An exact reading of the record checks that: it is the reason where DuckDB reports no error or another one,
+as it takes some quotes that the format forbids. ``rejects`` tells which of them settled each record.
 
 A null or empty record has one field at most and fails by 'column_count'. Repeated records are judged alike; texts of
 any length are read whole; an empty table gives no rows.
@@ -57,11 +57,11 @@ def _read(connection, contents: list[str], width: int) -> tuple[list[tuple], lis
             with os.fdopen(os.dup(handle), "wb") as out:
                 out.write(data)
         paths = [f"/proc/{os.getpid()}/fd/{h}" for h in handles]
-        columns = ", ".join(f"'c{i}': 'VARCHAR'" for i in range(width + 1))
+        columns = ", ".join(f"'c{i}': 'VARCHAR'" for i in range(width + 2))
         size = max(1 << 16, longest + 1024)
         connection.execute("DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans")
         rows = connection.execute(
-            f"SELECT * FROM read_csv({paths!r}, header=false, auto_detect=false, delim=',', quote='\"', escape='\"', columns={{{columns}}}, strict_mode=true, store_rejects=true, rejects_limit=0, max_line_size={size}, buffer_size={4 * size}, parallel=false)"
+            f"SELECT * FROM read_csv({paths!r}, header=false, auto_detect=false, delim=',', quote='\"', escape='\"', columns={{{columns}}}, strict_mode=true, new_line='\\n', store_rejects=true, rejects_limit=0, max_line_size={size}, buffer_size={4 * size}, parallel=false)"
         ).fetchall()
         errors = connection.execute("SELECT s.file_path, e.error_type, e.error_message FROM reject_errors e JOIN reject_scans s USING (scan_id, file_id)").fetchall()
         by_path = {p: k for k, p in enumerate(paths)}
@@ -108,14 +108,18 @@ def _accepted(rows: list[tuple], records: list[str | None]) -> dict[int, list[st
     """Record number and fields of the rows that are one record each."""
     out = {}
     for row in rows:
-        number, fields = row[0], list(row[1:])
-        if number and number.startswith(_MARK) and number[1:].isdigit() and not any(v and _MARK in v for v in fields) and _is_whole(records[int(number[1:])], fields):
+        number, fields, last = row[0], list(row[1:-1]), row[-1]
+        if last == _MARK and number and number.startswith(_MARK) and number[1:].isdigit() and not any(v and _MARK in v for v in fields) and _is_whole(records[int(number[1:])], fields):
             out[int(number[1:])] = fields
     return out
 
 
+def _framed(number: int, record: str) -> str:
+    return f"{_MARK}{number},{record},{_MARK}\n"
+
+
 def parse_records(records: list[str | None], files: list[str | None], width: int = len(FIELDS)) -> list[tuple[str | None, str | None, list[str | None] | None]]:
-    """For each record: reason of failure or null, what DuckDB said of it, and its fields when it's valid."""
+    """For each record: reason of failure or null, what DuckDB said of it first, and its fields when it's valid."""
     import duckdb
 
     connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB"})
@@ -125,14 +129,14 @@ def parse_records(records: list[str | None], files: list[str | None], width: int
         for i in readable:
             by_file.setdefault(files[i], []).append(i)
         clean: dict[int, list[str | None]] = {}
-        contents = ["".join(f"{_MARK}{i},{records[i]}\n" for i in numbers) for numbers in by_file.values()]
+        contents = ["".join(_framed(i, records[i]) for i in numbers) for numbers in by_file.values()]
         for lo in range(0, len(contents), _FILES_AT_ONCE):
             clean |= _accepted(_read_all(connection, contents[lo : lo + _FILES_AT_ONCE], width)[0], records)
         said: dict[int, str] = {}
         again = [i for i in readable if i not in clean]
         for lo in range(0, len(again), _FILES_AT_ONCE):
             part = again[lo : lo + _FILES_AT_ONCE]
-            rows, errors = _read_all(connection, [f"{_MARK}{i},{records[i]}\n" for i in part], width)
+            rows, errors = _read_all(connection, [_framed(i, records[i]) for i in part], width)
             clean |= _accepted(rows, records)
             for k, kind, message in errors:
                 said.setdefault(part[k], f"{kind}: {message.splitlines()[0] if message else ''}")
@@ -144,12 +148,9 @@ def parse_records(records: list[str | None], files: list[str | None], width: int
             out.append((None, None, clean[i]))
             continue
         fields = exact_fields(record) if isinstance(record, str) else []
-        if fields is None:
-            out.append(("quoting", said.get(i), None))
-        elif len(fields) != width:
-            out.append(("column_count", said.get(i), None))
-        else:
-            out.append((None, said.get(i), [f or None for f in fields]))
+        checked = "quoting" if fields is None else "column_count" if len(fields) != width else None
+        reason = _PROPOSED.get(said.get(i, "").partition(":")[0])
+        out.append((reason if reason == checked else checked, said.get(i), None if checked or fields is None else [f or None for f in fields]))
     return out
 
 
@@ -201,10 +202,14 @@ def rejected(raw: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def rejects(raw: DataFrame, loaded: DataFrame) -> DataFrame:
-    """The failing rows with the line-level error that DuckDB reported, if it did, and the reason it proposes: (``origin``, ``row_no``, ``reason``, ``proposed``, ``detail``).
-    Numbers of columns in ``detail`` count the record's number, too."""
+    """The failing rows with what settled their reason: (``origin``, ``row_no``, ``reason``, ``settled_by``, ``detail``).
+
+    ``settled_by``: 'reject table', 'exact reading' where the reject table has no error for the record or another one, 'value' for ids and labels. ``detail`` is the line-level error; its
+    numbers of columns count the record's number and the mark."""
     kinds = F.create_map(*[F.lit(x) for pair in _PROPOSED.items() for x in pair])
-    return with_reasons(raw, loaded).where("reason is not null").select("origin", "row_no", "reason", kinds[F.substring_index("detail", ":", 1)].alias("proposed"), "detail")
+    by_table = F.coalesce(kinds[F.substring_index("detail", ":", 1)] == F.col("reason"), F.lit(False))
+    settled = F.when(F.col("reason").isin("bad_id", "bad_label"), "value").when(by_table, "reject table").otherwise("exact reading")
+    return with_reasons(raw, loaded).where("reason is not null").select("origin", "row_no", "reason", settled.alias("settled_by"), "detail")
 
 
 def typed_rows(raw: DataFrame, loaded: DataFrame) -> DataFrame:

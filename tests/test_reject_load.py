@@ -58,8 +58,18 @@ def test_valid_records_with_doubled_quotes_come_from_duckdb(monkeypatch):
 
 def test_rejects_have_the_line_level_error(spark):
     raw = spark.createDataFrame([(1, "f", GOOD, None, "x"), (2, "f", GOOD + ",x", None, None), (3, "f", "anx3-001,s", None, None), (4, "f", GOOD.replace("high-risk", "maybe"), None, None), (5, "f", GOOD.replace('""quotes""', '"quotes"'), None, None), (6, "f", None, None, None)], RAW)
-    got = {r.row_no: (r.reason, r.proposed, (r.detail or "").split(":")[0]) for r in rejects(raw, spark.createDataFrame([], SET)).collect()}
-    assert got == {2: ("column_count", "column_count", "TOO MANY COLUMNS"), 3: ("column_count", "column_count", "MISSING COLUMNS"), 4: ("bad_label", None, ""), 5: ("quoting", "quoting", "UNQUOTED VALUE"), 6: ("column_count", None, "")}
+    raw = raw.unionByName(spark.createDataFrame([(7, "f", GOOD + ",", None, None), (8, "f", 'anx3-001,s,a,1(a), "blank before",high-risk,l,none,', None, None)], RAW))
+    got = {r.row_no: (r.reason, r.settled_by, (r.detail or "").split(":")[0]) for r in rejects(raw, spark.createDataFrame([], SET)).collect()}
+    table, reading = "reject table", "exact reading"
+    assert got == {
+        2: ("column_count", table, "TOO MANY COLUMNS"), 3: ("column_count", table, "MISSING COLUMNS"), 4: ("bad_label", "value", ""), 5: ("quoting", table, "UNQUOTED VALUE"), 6: ("column_count", reading, ""),
+        7: ("column_count", table, "TOO MANY COLUMNS"), 8: ("quoting", reading, ""),
+    }
+
+
+def test_accepted_records_are_not_read_again(monkeypatch):
+    monkeypatch.setattr(reject_load, "exact_fields", lambda r: (_ for _ in ()).throw(AssertionError(r)) if r == GOOD else exact_fields(r))
+    assert [x[0] for x in parse_records([GOOD, GOOD + ",", GOOD.replace("anx3-001", "x\r")], ["f"] * 3)] == [None, "column_count", None]
 
 
 @settings(max_examples=40, deadline=None)
