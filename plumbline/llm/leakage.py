@@ -19,14 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.words import SHINGLE, hashes, plain_words, shingles
+from plumbline.llm.words import SHINGLE, Bitmap, hashes, plain_words, shingles
 from plumbline.session import cut_lineage, spread
 
 STRETCH, EDIT_EVERY = 20, 8
 #: The least of (n - 4) - 5 * (n // 8) over n >= 20, and what one of the two outer windows keeps of these.
 SURVIVORS, IN_WINDOW = 5, 3
-#: Up to this many item shingles (8 MB) are sent to the workers to drop other shingles before the join; beyond, the join drops them.
-FILTER_LIMIT = 1_000_000
 
 
 def _item_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,9 +108,8 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     known = cut_lineage(source.mapInPandas(_item_shingles, "item_id long, item_words array<long>, item_shingles array<long>"))
     placed = known.select("item_id", F.posexplode("item_shingles").alias("pos", "shingle"))
     distinct = placed.select("shingle").distinct()
-    wanted = None
-    if distinct.count() <= FILTER_LIMIT:
-        wanted = documents.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.int64)))
+    # A bitmap of fixed size drops the shingles that no item has; the few that pass by chance meet no item in the joins.
+    wanted = documents.sparkSession.sparkContext.broadcast(Bitmap.of(known.select("item_shingles")))
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -121,11 +118,9 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
                 if not isinstance(text, str):
                     continue
                 words = hashes(plain_words(text))
-                found = shingles(words).view(np.int64)
-                places = np.arange(len(found))
-                if wanted is not None and len(wanted.value):
-                    at = np.minimum(np.searchsorted(wanted.value, found), len(wanted.value) - 1)
-                    places = np.flatnonzero(wanted.value[at] == found)
+                found = shingles(words)
+                places = np.flatnonzero(wanted.value.has(found))
+                found = found.view(np.int64)
                 if len(places):
                     enough = len(places) >= SURVIVORS
                     rows.append((doc, places.astype(np.int32), found[places], words.view(np.int64) if enough else None))
