@@ -20,7 +20,14 @@ AREA_BY_SECTION = {
     "3.7": "migration",
     "3.8": "justice-democracy",
 }
-SUB_TOPICS = {"3.2.2": "digital", "3.2.3": "road-traffic", "3.2.4": "water", "3.2.5": "gas", "3.2.6": "heating", "3.2.7": "electricity"}
+SUB_TOPICS = {
+    "3.2.2": "digital",
+    "3.2.3": "road-traffic",
+    "3.2.4": "water",
+    "3.2.5": "gas",
+    "3.2.6": "heating",
+    "3.2.7": "electricity",
+}
 #: Fixed value: wording that gives a verdict away.
 LEGAL_WORDING = (
     r"(?iU)high-?\s?risk|annex|article\s*\d|art\.\s*\d|point\s*\d|use case|exception|exempt|excluded|out of scope|outside (the )?scope|not covered|is covered|\bfalls?\b|qualif"
@@ -73,10 +80,21 @@ def packed(c: Column, limit: int = MAX_CHARS) -> Column:
     def step(acc: Column, s: Column) -> Column:
         full = (F.length(acc["buf"]) + F.length(s) + 1 > limit) & (acc["buf"] != "")
         joined = F.trim(F.concat(acc["buf"], F.lit(" "), s))
-        return F.struct(F.when(full, F.concat(acc["parts"], F.array(stripped(acc["buf"])))).otherwise(acc["parts"]).alias("parts"), F.when(full, s).otherwise(joined).alias("buf"))
+        return F.struct(
+            F.when(full, F.concat(acc["parts"], F.array(stripped(acc["buf"])))).otherwise(acc["parts"]).alias("parts"),
+            F.when(full, s).otherwise(joined).alias("buf"),
+        )
 
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("buf"))
-    many = F.aggregate(clauses(c), start, step, lambda acc: F.when(acc["buf"] != "", F.concat(acc["parts"], F.array(stripped(acc["buf"])))).otherwise(acc["parts"]))
+    many = F.aggregate(
+        clauses(c),
+        start,
+        step,
+        lambda acc: F.when(
+            acc["buf"] != "",
+            F.concat(acc["parts"], F.array(stripped(acc["buf"]))),
+        ).otherwise(acc["parts"]),
+    )
     return F.when(F.length(c) <= limit, F.array(c)).otherwise(many)
 
 
@@ -103,20 +121,38 @@ def area_of(section: Column) -> Column:
 
 
 def heading_path(section: Column, title: Column) -> Column:
-    base = F.when(section.startswith("2"), "General principles").otherwise(F.coalesce(area_of(section), F.lit("Annex III")))
-    return F.when(section.isNotNull() & (section != ""), stripped(F.concat(base, F.lit(" | "), section, F.lit(" "), F.coalesce(title, F.lit("")))))
+    base = F.when(section.startswith("2"), "General principles").otherwise(
+        F.coalesce(area_of(section), F.lit("Annex III"))
+    )
+    return F.when(
+        section.isNotNull() & (section != ""),
+        stripped(F.concat(base, F.lit(" | "), section, F.lit(" "), F.coalesce(title, F.lit("")))),
+    )
 
 
 def governing_section(label_source: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.coalesce(label_source, F.lit("")), r"(?i)section\s+([0-9]+(?:\.[0-9]+)+)", 1), F.lit(""))
+    return F.nullif(
+        F.regexp_extract(F.coalesce(label_source, F.lit("")), r"(?i)section\s+([0-9]+(?:\.[0-9]+)+)", 1),
+        F.lit(""),
+    )
 
 
 def passages(hits: Column, heading: bool = False) -> Column:
     """Numbered passages of an array of structs with ``text`` (and ``heading_path``); '' for none."""
 
     def one(h: Column, i: Column) -> Column:
-        tag = F.when(F.coalesce(h["heading_path"], F.lit("")) != "", F.concat(F.lit(" ["), h["heading_path"], F.lit("]"))).otherwise("") if heading else F.lit("")
-        return F.concat(F.lit("[Passage "), (i + 1).cast("string"), F.lit("]"), tag, F.lit("\n"), F.coalesce(h["text"], F.lit("")))
+        tag = F.when(
+            F.coalesce(h["heading_path"], F.lit("")) != "",
+            F.concat(F.lit(" ["), h["heading_path"], F.lit("]")),
+        ).otherwise("") if heading else F.lit("")
+        return F.concat(
+            F.lit("[Passage "),
+            (i + 1).cast("string"),
+            F.lit("]"),
+            tag,
+            F.lit("\n"),
+            F.coalesce(h["text"], F.lit("")),
+        )
 
     return F.coalesce(F.array_join(F.transform(hits, one), "\n\n"), F.lit(""))
 

@@ -49,7 +49,9 @@ class SentenceEncoder:
             from sentence_transformers import SentenceTransformer
 
             self._loaded = SentenceTransformer(self.model)
-        return np.asarray(self._loaded.encode(list(texts), batch_size=self.batch, normalize_embeddings=True, show_progress_bar=False))
+        return np.asarray(
+            self._loaded.encode(list(texts), batch_size=self.batch, normalize_embeddings=True, show_progress_bar=False)
+        )
 
 
 #: Encoder factories by name; add your own.
@@ -80,4 +82,12 @@ def embedded_chunks(chunks: DataFrame, encoder: object) -> DataFrame:
     """Corpus chunks (``row_no``, ``id``, ``text``, metadata) as a vector collection: (``id``, ``embedding``, ``document``, ``section``, ``annex_iii_area``, ``para_num``, ``heading_path``)."""
     vectors = encoded(chunks.select(F.col("row_no").alias("key"), "text"), encoder).select("key", "vector")
     joined = chunks.join(vectors, F.col("row_no") == F.col("key"))
-    return joined.select("id", F.col("vector").cast("array<float>").alias("embedding"), F.col("text").alias("document"), "section", "annex_iii_area", "para_num", "heading_path")
+    return joined.select(
+        "id",
+        F.col("vector").cast("array<float>").alias("embedding"),
+        F.col("text").alias("document"),
+        "section",
+        "annex_iii_area",
+        "para_num",
+        "heading_path",
+    )

@@ -42,9 +42,15 @@ _STEPS = (
 SYSTEM = {
     "baseline1_plain_llm": f"{_TASK} Use what you know; there is no reference text.\n\n{_REPLY % 'reason'}",
     "baseline2_standard_rag": f"{_TASK} Rely on the passages given and base the explanation on them.\n\n{_REPLY % 'explanation'}",
-    "agent_structured": f"{_TASK} Work from the passages only, in these steps:\n" + "\n".join(f"{i}. {s}" for i, s in enumerate(_STEPS, 1)) + f"\n\n{_REPLY % 'explanation'}",
+    "agent_structured": f"{_TASK} Work from the passages only, in these steps:\n" + "\n".join(
+        f"{i}. {s}" for i, s in enumerate(_STEPS, 1)
+    ) + f"\n\n{_REPLY % 'explanation'}",
+}
+ENDING = {
+    "baseline1_plain_llm": "",
+    "baseline2_standard_rag": "\n\nClassify the system and explain by the passages.",
+    "agent_structured": "\n\nGo through the steps and return the JSON.",
 }
-ENDING = {"baseline1_plain_llm": "", "baseline2_standard_rag": "\n\nClassify the system and explain by the passages.", "agent_structured": "\n\nGo through the steps and return the JSON."}
 PASSAGES, DESCRIPTION = "Passages from the guidelines:\n", "AI system description:\n"
 
 
@@ -59,7 +65,12 @@ def _prompt(config: str) -> tuple[Column, Column]:
 BUILDERS: dict[str, Callable[[], tuple[Column, Column]]] = {name: partial(_prompt, name) for name in CONFIGS}
 
 
-def config_cross(rows: DataFrame, configs: Sequence[str] | None = None, row_ids: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+def config_cross(
+    rows: DataFrame,
+    configs: Sequence[str] | None = None,
+    row_ids: Sequence[str] | None = None,
+    limit: int | None = None,
+) -> DataFrame:
     """Every configuration over every row, after the id filter and then the limit in row order."""
     wanted = [c for c in CONFIGS if configs is None or c in configs]
     if row_ids is not None:
@@ -74,7 +85,10 @@ def with_prompts(crossed: DataFrame) -> DataFrame:
     system = user = F.lit(None).cast("string")
     for name, build in BUILDERS.items():
         s, u = build()
-        system, user = F.when(F.col("config") == name, s).otherwise(system), F.when(F.col("config") == name, u).otherwise(user)
+        system, user = F.when(F.col("config") == name, s).otherwise(system), F.when(
+            F.col("config") == name,
+            u,
+        ).otherwise(user)
     return crossed.withColumn("system", system).withColumn("user", user)
 
 
@@ -83,7 +97,10 @@ class StubModel:
 
     def complete(self, system: str, user: str) -> tuple[str, dict]:
         label = "high-risk" if hashlib.sha1(user.encode()).digest()[0] % 3 == 0 else "not-high-risk"
-        return json.dumps({"label": label, "explanation": f"The description leads to {label}."}), {"input_tokens": len(user.split()), "output_tokens": 8}
+        return json.dumps({"label": label, "explanation": f"The description leads to {label}."}), {
+            "input_tokens": len(user.split()),
+            "output_tokens": 8,
+        }
 
 
 @dataclass
@@ -98,12 +115,24 @@ class HttpModel:
     timeout_s: float = 120.0
 
     def complete(self, system: str, user: str) -> tuple[str, dict]:
-        body = {"model": self.model, "temperature": self.temperature, "max_tokens": self.max_tokens, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
-        request = urllib.request.Request(f"{self.base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.api_key_env, '')}"})
+        body = {
+            "model": self.model,
+            "temperature": self.temperature,
+            "max_tokens": self.max_tokens,
+            "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}],
+        }
+        request = urllib.request.Request(
+            f"{self.base_url.rstrip('/')}/chat/completions",
+            json.dumps(body).encode(),
+            {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.api_key_env, '')}"},
+        )
         with urllib.request.urlopen(request, timeout=self.timeout_s) as reply:
             found = json.load(reply)
         usage = found.get("usage") or {}
-        return found["choices"][0]["message"]["content"] or "", {"input_tokens": usage.get("prompt_tokens"), "output_tokens": usage.get("completion_tokens")}
+        return found["choices"][0]["message"]["content"] or "", {
+            "input_tokens": usage.get("prompt_tokens"),
+            "output_tokens": usage.get("completion_tokens"),
+        }
 
 
 @dataclass
@@ -120,12 +149,25 @@ class MessagesModel:
     region: str = ""
 
     def request(self, system: str, user: str) -> urllib.request.Request:
-        body = {"max_tokens": self.max_tokens, "temperature": self.temperature, "system": system, "messages": [{"role": "user", "content": user}]}
+        body = {
+            "max_tokens": self.max_tokens,
+            "temperature": self.temperature,
+            "system": system,
+            "messages": [{"role": "user", "content": user}],
+        }
         secret = os.environ.get(self.api_key_env, "")
         if self.project:
             place = f"https://{self.region}-aiplatform.googleapis.com/v1/projects/{self.project}/locations/{self.region}/publishers/anthropic/models/{self.model}:rawPredict"
-            return urllib.request.Request(place, json.dumps({"anthropic_version": "vertex-2023-10-16", **body}).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {secret}"})
-        return urllib.request.Request(f"{self.base_url.rstrip('/')}/v1/messages", json.dumps({"model": self.model, **body}).encode(), {"Content-Type": "application/json", "x-api-key": secret, "anthropic-version": "2023-06-01"})
+            return urllib.request.Request(
+                place,
+                json.dumps({"anthropic_version": "vertex-2023-10-16", **body}).encode(),
+                {"Content-Type": "application/json", "Authorization": f"Bearer {secret}"},
+            )
+        return urllib.request.Request(
+            f"{self.base_url.rstrip('/')}/v1/messages",
+            json.dumps({"model": self.model, **body}).encode(),
+            {"Content-Type": "application/json", "x-api-key": secret, "anthropic-version": "2023-06-01"},
+        )
 
     def complete(self, system: str, user: str) -> tuple[str, dict]:
         with urllib.request.urlopen(self.request(system, user), timeout=self.timeout_s) as reply:
@@ -136,7 +178,12 @@ class MessagesModel:
 
 
 #: Model factories by name; add your own.
-MODELS: dict[str, Callable[..., object]] = {"stub": lambda **_: StubModel(), "openai_compatible": HttpModel, "anthropic": MessagesModel, "vertex": MessagesModel}
+MODELS: dict[str, Callable[..., object]] = {
+    "stub": lambda **_: StubModel(),
+    "openai_compatible": HttpModel,
+    "anthropic": MessagesModel,
+    "vertex": MessagesModel,
+}
 
 
 def get_model(name: str, **options) -> object:
@@ -145,7 +192,13 @@ def get_model(name: str, **options) -> object:
     return MODELS[name](**options)
 
 
-def completed(model: object, system: str, user: str, attempts: int = 4, pause: Callable[[float], None] = time.sleep) -> tuple[str, dict]:
+def completed(
+    model: object,
+    system: str,
+    user: str,
+    attempts: int = 4,
+    pause: Callable[[float], None] = time.sleep,
+) -> tuple[str, dict]:
     for attempt in range(attempts):
         try:
             return model.complete(system, user)
@@ -159,18 +212,32 @@ def completed(model: object, system: str, user: str, attempts: int = 4, pause: C
 def generate(prompted: DataFrame, model: object, attempts: int = 4) -> DataFrame:
     """Run records of rows with (``row_no``, ``id``, ``label``, ``config``, ``system``, ``user``, ``hits``, ``edge_case_type``, ``annex_iii_area``). The rows pass through the workers that call
     the model, so they are computed once; each action on the result calls the model again, so write it first and read that."""
-    slim = F.transform("hits", lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text"), h["score"].alias("score")))
+    slim = F.transform(
+        "hits",
+        lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text"), h["score"].alias("score")),
+    )
     kept = prompted.select(
         "row_no", "id", "config", F.col("label").alias("gold_label"), "edge_case_type", "annex_iii_area", F.slice(slim, 1, 5).alias("retrieved_top5"), F.slice(F.transform("hits", lambda h: h["id"]), 1, 10).alias("retrieved_top10_ids"), "system", "user",
     )
-    schema = StructType([f for f in kept.schema.fields if f.name not in ("system", "user")] + [StructField("raw", StringType()), StructField("usage", schemas.RUNS["usage"].dataType)])
+    schema = StructType(
+        [f for f in kept.schema.fields if f.name not in ("system", "user")]
+        + [StructField("raw", StringType()), StructField("usage", schemas.RUNS["usage"].dataType)]
+    )
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            replies = [completed(model, s, u, attempts) for s, u in zip(batch["system"].to_pylist(), batch["user"].to_pylist(), strict=True)]
+            replies = [
+                completed(model, s, u, attempts)
+                for s, u in zip(batch["system"].to_pylist(), batch["user"].to_pylist(), strict=True)
+            ]
             usage = [{k: r[1].get(k) for k in ("input_tokens", "output_tokens", "error")} for r in replies]
-            usage_type = pa.struct([("input_tokens", pa.int32()), ("output_tokens", pa.int32()), ("error", pa.string())])
-            columns = [batch[f.name] for f in schema.fields[:-2]] + [pa.array([r[0] for r in replies], pa.string()), pa.array(usage, usage_type)]
+            usage_type = pa.struct(
+                [("input_tokens", pa.int32()), ("output_tokens", pa.int32()), ("error", pa.string())]
+            )
+            columns = [batch[f.name] for f in schema.fields[:-2]] + [
+                pa.array([r[0] for r in replies], pa.string()),
+                pa.array(usage, usage_type),
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     called = kept.mapInArrow(call, schema).withColumn("p", parsed_reply(F.col("raw")))
@@ -182,9 +249,17 @@ def generate(prompted: DataFrame, model: object, attempts: int = 4) -> DataFrame
 def stratified_sample(rows: DataFrame, n_each: int = 3) -> DataFrame:
     """The first high-risk row of each area up to ``n_each`` areas, then the first rows that are neither high-risk nor filter cases, then filter cases; in row order
     within a stratum. A row may be in two strata. Each stratum is a partial top-n, so no group is gathered."""
-    high = rows.where("label = 'high-risk'").groupBy("annex_iii_area").agg(F.min("row_no").alias("row_no")).orderBy("row_no").limit(n_each).select("row_no", F.lit("high-risk").alias("stratum"))
-    plain = rows.where("label = 'not-high-risk' and edge_case_type = 'none'").orderBy("row_no").limit(n_each).select("row_no", F.lit("not-high-risk").alias("stratum"))
-    cases = rows.where("edge_case_type = 'article-6-3-filter'").orderBy("row_no").limit(n_each).select("row_no", F.lit("filter").alias("stratum"))
+    high = rows.where("label = 'high-risk'").groupBy("annex_iii_area").agg(
+        F.min("row_no").alias("row_no")
+    ).orderBy("row_no").limit(n_each).select("row_no", F.lit("high-risk").alias("stratum"))
+    plain = rows.where("label = 'not-high-risk' and edge_case_type = 'none'").orderBy("row_no").limit(n_each).select(
+        "row_no",
+        F.lit("not-high-risk").alias("stratum"),
+    )
+    cases = rows.where("edge_case_type = 'article-6-3-filter'").orderBy("row_no").limit(n_each).select(
+        "row_no",
+        F.lit("filter").alias("stratum"),
+    )
     picked = F.broadcast(high.unionByName(plain).unionByName(cases))  # three times n_each rows
     return rows.join(picked, "row_no").select("stratum", "row_no", "id", "annex_iii_area", "label", "edge_case_type")
 
@@ -192,7 +267,10 @@ def stratified_sample(rows: DataFrame, n_each: int = 3) -> DataFrame:
 def sample_tally(runs: DataFrame, sample: DataFrame) -> DataFrame:
     """Right predictions of each configuration on the sampled ids."""
     hits = F.sum((F.col("pred_label") == F.col("gold_label")).cast("long"))
-    return runs.join(F.broadcast(sample.select("id").distinct()), "id").groupBy("config").agg(F.count("*").alias("n"), F.coalesce(hits, F.lit(0).cast("long")).alias("n_right"))
+    return runs.join(F.broadcast(sample.select("id").distinct()), "id").groupBy("config").agg(
+        F.count("*").alias("n"),
+        F.coalesce(hits, F.lit(0).cast("long")).alias("n_right"),
+    )
 
 
 class Judge:
@@ -213,14 +291,22 @@ class Judge:
         return found if isinstance(found, dict) else None
 
     def statements(self, question: str, answer: str) -> list[str]:
-        text, _ = completed(self.model, 'List the distinct claims of the answer as sentences that stand alone. Reply with JSON only: {"statements": ["..."]}', f"Question:\n{question}\n\nAnswer:\n{answer}")
+        text, _ = completed(
+            self.model,
+            'List the distinct claims of the answer as sentences that stand alone. Reply with JSON only: {"statements": ["..."]}',
+            f"Question:\n{question}\n\nAnswer:\n{answer}",
+        )
         found = (self._object(text) or {}).get("statements")
         claims = [s.strip() for s in found if isinstance(s, str) and s.strip()] if isinstance(found, list) else []
         return claims or [s for part in re.split(r"(?<=[.!?])\s+", answer.strip()) if (s := part.strip())]
 
     def verdicts(self, context: str, claims: list[str]) -> list[dict]:
         numbered = "\n".join(f"{i}. {s}" for i, s in enumerate(claims, 1))
-        text, _ = completed(self.model, 'For each statement: 1 if the context supports it, else 0. Reply with JSON only: {"verdicts": [{"statement": "...", "verdict": 0, "reason": "..."}]}', f"Context:\n{context}\n\nStatements:\n{numbered}")
+        text, _ = completed(
+            self.model,
+            'For each statement: 1 if the context supports it, else 0. Reply with JSON only: {"verdicts": [{"statement": "...", "verdict": 0, "reason": "..."}]}',
+            f"Context:\n{context}\n\nStatements:\n{numbered}",
+        )
         found = self._object(text)
         if found is None or not isinstance(found.get("verdicts"), list):
             return [{"statement": s, "verdict": 0, "reason": "judge-parse-failed"} for s in claims]
@@ -234,18 +320,30 @@ def matched_verdicts(claims: list[str], replies: list[dict]) -> list[dict]:
     out = []
     for i, claim in enumerate(claims):
         reply = by_text.get(claim.strip(), replies[i] if same_length else {})
-        out.append({"statement": claim, "verdict": int(bool(reply.get("verdict", 0))), "reason": str(reply.get("reason") or "")})
+        out.append(
+            {
+                "statement": claim,
+                "verdict": int(bool(reply.get("verdict", 0))),
+                "reason": str(reply.get("reason") or ""),
+            }
+        )
     return out
 
 
 def with_questions(runs: DataFrame, questions: DataFrame) -> DataFrame:
     """``runs`` with ``question``, the last description of their id; '' where there's none."""
-    asked = latest(questions.select("id", "row_no", "system_description"), ["id"], "row_no").select("id", F.col("system_description").alias("question"))
+    asked = latest(questions.select("id", "row_no", "system_description"), ["id"], "row_no").select(
+        "id",
+        F.col("system_description").alias("question"),
+    )
     return runs.join(asked, "id", "left").withColumn("question", F.coalesce("question", F.lit("")))
 
 
 #: Judge factories by name; add your own. The stub is built-in functions only and has no factory.
-JUDGES: dict[str, Callable[..., Judge]] = {"openai_compatible": lambda **options: Judge(HttpModel(**options)), "anthropic": lambda **options: Judge(MessagesModel(**options))}
+JUDGES: dict[str, Callable[..., Judge]] = {
+    "openai_compatible": lambda **options: Judge(HttpModel(**options)),
+    "anthropic": lambda **options: Judge(MessagesModel(**options)),
+}
 
 
 def get_judge(name: str, **options) -> Judge | None:
@@ -259,7 +357,14 @@ def get_judge(name: str, **options) -> Judge | None:
 
 def judged_runs(runs: DataFrame, questions: DataFrame, judge: Judge) -> DataFrame:
     """Faithfulness rows by a model's verdicts; the last question of an id counts, a missing one is empty. Errors skip the row as 'judge-error'. Each action on the result calls the model again."""
-    source = with_questions(runs, questions).select("row_no", "id", "config", passages(F.col("retrieved_top5")).alias("context"), stripped(F.coalesce("explanation", F.lit(""))).alias("explanation"), "question")
+    source = with_questions(runs, questions).select(
+        "row_no",
+        "id",
+        "config",
+        passages(F.col("retrieved_top5")).alias("context"),
+        stripped(F.coalesce("explanation", F.lit(""))).alias("explanation"),
+        "question",
+    )
     schema = "row_no long, id string, config string, faithfulness double, skipped_reason string, n_statements int, n_supported int, statements array<struct<statement:string,verdict:int,reason:string>>, judge string, error string"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,7 +384,29 @@ def judged_runs(runs: DataFrame, questions: DataFrame, judge: Judge) -> DataFram
                 except Exception as e:  # one row's trouble must not end the run
                     reason, error, found = "judge-error", repr(e)[:300], []
                 good = sum(v["verdict"] for v in found)
-                rows.append((r.row_no, r.id, r.config, good / len(found) if found else None, reason, len(found), good, found, judge.name, error))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("row_no", "id", "config", "faithfulness", "skipped_reason", "n_statements", "n_supported", "statements", "judge", "error")])
+                rows.append(
+                    (
+                        r.row_no,
+                        r.id,
+                        r.config,
+                        good / len(found) if found else None,
+                        reason,
+                        len(found),
+                        good,
+                        found,
+                        judge.name,
+                        error,
+                    )
+                )
+            yield pd.DataFrame(
+                rows,
+                columns=[
+                    c.split()[0]
+                    for c in (
+                        "row_no", "id", "config", "faithfulness", "skipped_reason", "n_statements", "n_supported",
+                        "statements", "judge", "error",
+                    )
+                ],
+            )
 
     return source.mapInPandas(score, schema)

@@ -32,7 +32,11 @@ def missing_fields(rows: DataFrame) -> DataFrame:
 def exact_duplicates(rows: DataFrame) -> DataFrame:
     """One row per repeated description: how many rows, the first, the last, the start of the text. ``exact_duplicate_rows`` names all of them."""
     text = stripped(_text("system_description"))
-    return rows.select("row_no", text.alias("t")).where("t <> ''").groupBy("t").agg(F.count("*").alias("n"), F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row")).where("n > 1").select("n", "first_row", "last_row", F.substring("t", 1, 80).alias("preview"))
+    return rows.select("row_no", text.alias("t")).where("t <> ''").groupBy("t").agg(
+        F.count("*").alias("n"),
+        F.min("row_no").alias("first_row"),
+        F.max("row_no").alias("last_row"),
+    ).where("n > 1").select("n", "first_row", "last_row", F.substring("t", 1, 80).alias("preview"))
 
 
 def exact_duplicate_rows(rows: DataFrame) -> DataFrame:
@@ -46,7 +50,10 @@ def exact_duplicate_rows(rows: DataFrame) -> DataFrame:
 def similar_classes(rows: DataFrame) -> DataFrame:
     """(``row_no``, ``rep``) for each row with words: ``rep`` is the least row of the same word set, by which ``similar_pairs`` names it."""
     words = F.sort_array(word_set(F.col("system_description")))
-    hashed = rows.select("row_no", words.alias("ws")).where(F.size("ws") > 0).select("row_no", F.sha2(F.array_join("ws", " "), 256).alias("h"))
+    hashed = rows.select("row_no", words.alias("ws")).where(F.size("ws") > 0).select(
+        "row_no",
+        F.sha2(F.array_join("ws", " "), 256).alias("h"),
+    )
     return hashed.join(hashed.groupBy("h").agg(F.min("row_no").alias("rep")).hint("merge"), "h").select("row_no", "rep")
 
 
@@ -55,24 +62,44 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Words are ordered by rarity; two sets at the threshold share a word within their prefixes of n - ceil(threshold * n) + 1 words.
     """
-    sets = rows.select("row_no", F.sort_array(word_set(F.col("system_description"))).alias("ws")).where(F.size("ws") > 0).groupBy("ws").agg(F.min("row_no").alias("rep"))
+    sets = rows.select(
+        "row_no",
+        F.sort_array(word_set(F.col("system_description"))).alias("ws"),
+    ).where(F.size("ws") > 0).groupBy("ws").agg(F.min("row_no").alias("rep"))
     words = sets.select("rep", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     df = words.groupBy("w").agg(F.count("*").alias("df"))
     ordered = words.join(df, "w").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
     length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1
-    entries = ordered.select("rep", "n", F.explode(F.slice("o", F.lit(1), length)).alias("e")).select("rep", "n", F.col("e.w").alias("w"))
+    entries = ordered.select("rep", "n", F.explode(F.slice("o", F.lit(1), length)).alias("e")).select(
+        "rep",
+        "n",
+        F.col("e.w").alias("w"),
+    )
     a, b = (entries.select("w", F.col("rep").alias(f"row_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    near = a.join(b.hint("merge"), "w").where("row_a < row_b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9).select("row_a", "row_b").distinct()
+    near = a.join(b.hint("merge"), "w").where("row_a < row_b").where(
+        F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    ).select("row_a", "row_b").distinct()
     for x in "ab":
-        near = near.join(sets.select(F.col("rep").alias(f"row_{x}"), F.col("ws").alias(f"ws_{x}")).hint("merge"), f"row_{x}")
+        near = near.join(
+            sets.select(F.col("rep").alias(f"row_{x}"), F.col("ws").alias(f"ws_{x}")).hint("merge"),
+            f"row_{x}",
+        )
     common = F.size(F.array_intersect("ws_a", "ws_b"))
-    return near.select("row_a", "row_b", (common / (F.size("ws_a") + F.size("ws_b") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return near.select("row_a", "row_b", (common / (F.size("ws_a") + F.size("ws_b") - common)).alias("jaccard")).where(
+        F.col("jaccard") >= threshold
+    )
 
 
 def similar_links(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(``row_no``, ``rep``, ``n_links``) for each row with words: with how many other classes its class is linked in ``similar_pairs``."""
-    links = similar_pairs(rows, threshold).select(F.explode(F.array("row_a", "row_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    return similar_classes(rows).join(links.hint("merge"), "rep", "left").select("row_no", "rep", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    links = similar_pairs(rows, threshold).select(F.explode(F.array("row_a", "row_b")).alias("rep")).groupBy("rep").agg(
+        F.count("*").alias("n_links")
+    )
+    return similar_classes(rows).join(links.hint("merge"), "rep", "left").select(
+        "row_no",
+        "rep",
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+    )
 
 
 def length_outliers(rows: DataFrame, short: int = 60, long: int = 800) -> DataFrame:
@@ -82,30 +109,54 @@ def length_outliers(rows: DataFrame, short: int = 60, long: int = 800) -> DataFr
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("n_chars"))
     placed = hist.select("n_chars", "n", upto.alias("upto"), total.alias("total"))
-    low, high = F.greatest(F.floor(F.col("total") * 0.05) - 1, F.lit(0)), F.least(F.col("total") - 1, F.floor(F.col("total") * 0.95))
+    low, high = F.greatest(F.floor(F.col("total") * 0.05) - 1, F.lit(0)), F.least(
+        F.col("total") - 1,
+        F.floor(F.col("total") * 0.95),
+    )
     pick = lambda at: F.min(F.when(F.col("upto") > at, F.col("n_chars")))
     bounds = F.broadcast(placed.agg(F.least(pick(low), F.lit(short)).alias("low"), F.greatest(pick(high), F.lit(long)).alias("high")))  # one row
-    kind = F.when((F.col("n_chars") > 0) & (F.col("n_chars") < F.col("low")), "short").when(F.col("n_chars") > F.col("high"), "long")
+    kind = F.when((F.col("n_chars") > 0) & (F.col("n_chars") < F.col("low")), "short").when(
+        F.col("n_chars") > F.col("high"),
+        "long",
+    )
     return sized.crossJoin(bounds).select("row_no", "id", "n_chars", kind.alias("kind")).where("kind is not null")
 
 
 def unterminated(rows: DataFrame) -> DataFrame:
     text = F.regexp_replace(_text("system_description"), r"(?U)\s+$", "")
-    return rows.select("row_no", "id", text.alias("t")).where((F.col("t") != "") & ~ends_well(F.col("t"))).select("row_no", "id", F.right("t", F.lit(60)).alias("ending"))
+    return rows.select("row_no", "id", text.alias("t")).where((F.col("t") != "") & ~ends_well(F.col("t"))).select(
+        "row_no",
+        "id",
+        F.right("t", F.lit(60)).alias("ending"),
+    )
 
 
 def label_against_mode(rows: DataFrame, none_is_empty: bool = False) -> DataFrame:
     """Rows without an edge case whose label isn't the commonest of their point, for points of three rows or more; ties go to the label seen first."""
     pointed = rows.where(_text("annex_iii_point") != "")
     counts = pointed.groupBy("annex_iii_point", "label").agg(F.count("*").alias("n"), F.min("row_no").alias("first"))
-    modes = counts.groupBy("annex_iii_point").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", -F.col("first"))).alias("modal_label"))
+    modes = counts.groupBy("annex_iii_point").agg(
+        F.sum("n").alias("size"),
+        F.max_by("label", F.struct("n", -F.col("first"))).alias("modal_label"),
+    )
     joined = pointed.where(~_edge(none_is_empty)).join(modes.where("size >= 3"), "annex_iii_point")
-    return joined.where(~F.col("label").eqNullSafe(F.col("modal_label"))).select("row_no", "id", "annex_iii_point", "label", "modal_label")
+    return joined.where(~F.col("label").eqNullSafe(F.col("modal_label"))).select(
+        "row_no",
+        "id",
+        "annex_iii_point",
+        "label",
+        "modal_label",
+    )
 
 
 def filter_case_labels(rows: DataFrame, none_is_empty: bool = False) -> DataFrame:
     high = F.lower(_text("label")).isin("high-risk", "high_risk", "highrisk", "true", "1")
-    return rows.where(_edge(none_is_empty) & high & (stripped(_text("notes")) == "")).select("row_no", "id", "edge_case_type", "label")
+    return rows.where(_edge(none_is_empty) & high & (stripped(_text("notes")) == "")).select(
+        "row_no",
+        "id",
+        "edge_case_type",
+        "label",
+    )
 
 
 def label_vocabulary(rows: DataFrame) -> DataFrame:
@@ -117,9 +168,31 @@ def label_vocabulary(rows: DataFrame) -> DataFrame:
 def set_summary(rows: DataFrame, none_is_empty: bool = False) -> DataFrame:
     """(``level``, ``value``, ``n``): rows, areas, labels in lower case, edge cases, review reasons."""
     parts = [
-        rows.agg(F.count("*").alias("n"), count_where(_edge(none_is_empty)).alias("e")).select(F.inline(F.array(F.struct(F.lit("rows").alias("level"), F.lit("all").alias("value"), F.col("n").alias("n")), F.struct(F.lit("edge cases").alias("level"), F.lit("all").alias("value"), F.col("e").alias("n"))))),
-        *[rows.groupBy(expr.alias("value")).agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), "value", "n") for level, expr in (("area", F.coalesce("annex_iii_area", F.lit("None"))), ("label", F.lower(F.coalesce("label", F.lit("None")))), ("edge", F.coalesce("edge_case_type", F.lit("None"))))],
-        rows.select(F.explode("needs_review").alias("value")).groupBy("value").agg(F.count("*").alias("n")).select(F.lit("review reason").alias("level"), "value", "n"),
+        rows.agg(F.count("*").alias("n"), count_where(_edge(none_is_empty)).alias("e")).select(
+            F.inline(
+                F.array(
+                    F.struct(F.lit("rows").alias("level"), F.lit("all").alias("value"), F.col("n").alias("n")),
+                    F.struct(F.lit("edge cases").alias("level"), F.lit("all").alias("value"), F.col("e").alias("n")),
+                )
+            )
+        ),
+        *[
+            rows.groupBy(expr.alias("value")).agg(F.count("*").alias("n")).select(
+                F.lit(level).alias("level"),
+                "value",
+                "n",
+            )
+            for level, expr in (
+                ("area", F.coalesce("annex_iii_area", F.lit("None"))),
+                ("label", F.lower(F.coalesce("label", F.lit("None")))),
+                ("edge", F.coalesce("edge_case_type", F.lit("None"))),
+            )
+        ],
+        rows.select(F.explode("needs_review").alias("value")).groupBy("value").agg(F.count("*").alias("n")).select(
+            F.lit("review reason").alias("level"),
+            "value",
+            "n",
+        ),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -132,9 +205,26 @@ def corpus_statistics(chunks: DataFrame, limit: int = 1800) -> DataFrame:
 
     Medians come from a histogram of lengths, so only counts are shuffled and sorted.
     """
-    lengths = chunks.select("section", "annex_iii_area", F.length(collapsed(F.coalesce("text", F.lit("")))).alias("len")).groupBy("section", "annex_iii_area", "len").agg(F.count("*").alias("n"))
-    levels = F.explode(F.array(*[F.struct(F.lit(name).alias("level"), value.alias("value")) for name, value in (("overall", F.lit(None).cast("string")), ("section", F.col("section")), ("area", F.col("annex_iii_area")))]))
-    hist = lengths.select(levels.alias("of"), "len", "n").groupBy("of.level", "of.value", "len").agg(F.sum("n").alias("n"))
+    lengths = chunks.select(
+        "section",
+        "annex_iii_area",
+        F.length(collapsed(F.coalesce("text", F.lit("")))).alias("len"),
+    ).groupBy("section", "annex_iii_area", "len").agg(F.count("*").alias("n"))
+    levels = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(name).alias("level"), value.alias("value"))
+                for name, value in (
+                    ("overall", F.lit(None).cast("string")),
+                    ("section", F.col("section")),
+                    ("area", F.col("annex_iii_area")),
+                )
+            ]
+        )
+    )
+    hist = lengths.select(levels.alias("of"), "len", "n").groupBy("of.level", "of.value", "len").agg(
+        F.sum("n").alias("n")
+    )
     each = Window.partitionBy("level", "value")
     placed = hist.withColumn("upto", F.sum("n").over(each.orderBy("len"))).withColumn("total", F.sum("n").over(each))
     return placed.groupBy("level", "value").agg(

@@ -22,10 +22,15 @@ from pyspark.sql import functions as F
 
 from plumbline.session import spread
 
-FIELDS = ("id", "source", "annex_iii_area", "annex_iii_point", "system_description", "label", "label_source", "edge_case_type", "notes")
+FIELDS = (
+    "id", "source", "annex_iii_area", "annex_iii_point", "system_description", "label", "label_source",
+    "edge_case_type", "notes",
+)
 LABELS = ("high-risk", "not-high-risk")
-#: A private-use character, which no valid record holds; records with it are read exactly only.
+#: A private-use character, which no valid record holds.
 _MARK = "\ue000"
+#: Records with one of these are read exactly only. DuckDB gives up on a file where a carriage return stands beside line feeds, and so on whole batches of files.
+_UNREAD = re.compile(f"[{_MARK}\\x00\\r]")
 _FILES_AT_ONCE = 200
 #: The reason that a kind of error in DuckDB's reject table proposes.
 _PROPOSED = {"UNQUOTED VALUE": "quoting", "MISSING COLUMNS": "column_count", "TOO MANY COLUMNS": "column_count"}
@@ -61,9 +66,11 @@ def _read(connection, contents: list[str], width: int) -> tuple[list[tuple], lis
         size = max(1 << 16, longest + 1024)
         connection.execute("DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans")
         rows = connection.execute(
-            f"SELECT * FROM read_csv({paths!r}, header=false, auto_detect=false, delim=',', quote='\"', escape='\"', columns={{{columns}}}, strict_mode=true, new_line='\\n', store_rejects=true, rejects_limit=0, max_line_size={size}, buffer_size={4 * size}, parallel=false)"
+            f"SELECT * FROM read_csv({paths!r}, header=false, auto_detect=false, delim=',', quote='\"', escape='\"', columns={{{columns}}}, strict_mode=true, store_rejects=true, rejects_limit=0, max_line_size={size}, buffer_size={4 * size}, parallel=false)"
+        ).fetchall()
+        errors = connection.execute(
+            "SELECT s.file_path, e.error_type, e.error_message FROM reject_errors e JOIN reject_scans s USING (scan_id, file_id)"
         ).fetchall()
-        errors = connection.execute("SELECT s.file_path, e.error_type, e.error_message FROM reject_errors e JOIN reject_scans s USING (scan_id, file_id)").fetchall()
         by_path = {p: k for k, p in enumerate(paths)}
         return rows, [(by_path[p], str(kind), str(message)) for p, kind, message in errors]
     finally:
@@ -118,13 +125,15 @@ def _framed(number: int, record: str) -> str:
     return f"{_MARK}{number},{record},{_MARK}\n"
 
 
-def parse_records(records: list[str | None], files: list[str | None], width: int = len(FIELDS)) -> list[tuple[str | None, str | None, list[str | None] | None]]:
+def parse_records(records: list[str | None], files: list[str | None], width: int = len(FIELDS)) -> list[
+    tuple[str | None, str | None, list[str | None] | None]
+]:
     """For each record: reason of failure or null, what DuckDB said of it first, and its fields when it's valid."""
     import duckdb
 
     connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB"})
     try:
-        readable = [i for i, r in enumerate(records) if isinstance(r, str) and _MARK not in r and "\x00" not in r]
+        readable = [i for i, r in enumerate(records) if isinstance(r, str) and not _UNREAD.search(r)]
         by_file: dict[str | None, list[int]] = {}
         for i in readable:
             by_file.setdefault(files[i], []).append(i)
@@ -150,16 +159,27 @@ def parse_records(records: list[str | None], files: list[str | None], width: int
         fields = exact_fields(record) if isinstance(record, str) else []
         checked = "quoting" if fields is None else "column_count" if len(fields) != width else None
         reason = _PROPOSED.get(said.get(i, "").partition(":")[0])
-        out.append((reason if reason == checked else checked, said.get(i), None if checked or fields is None else [f or None for f in fields]))
+        out.append(
+            (
+                reason if reason == checked else checked,
+                said.get(i),
+                None if checked or fields is None else [f or None for f in fields],
+            )
+        )
     return out
 
 
-_SCHEMA = "row_no long, file_name string, received_at timestamp, error string, detail string, " + ", ".join(f"{f} string" for f in FIELDS)
+_SCHEMA = "row_no long, file_name string, received_at timestamp, error string, detail string, " + ", ".join(
+    f"{f} string" for f in FIELDS
+)
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = parse_records(pdf["raw_line"].where(pdf["raw_line"].notna(), None).tolist(), pdf["file_name"].where(pdf["file_name"].notna(), None).tolist())
+        found = parse_records(
+            pdf["raw_line"].where(pdf["raw_line"].notna(), None).tolist(),
+            pdf["file_name"].where(pdf["file_name"].notna(), None).tolist(),
+        )
         out = pdf[["row_no", "file_name", "received_at"]].reset_index(drop=True)
         out["error"] = pd.Series([x[0] for x in found], dtype=object)
         out["detail"] = pd.Series([x[1] for x in found], dtype=object)
@@ -171,7 +191,12 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_records(raw: DataFrame) -> DataFrame:
     """``raw``: (``row_no``, ``file_name``, ``raw_line``, ``received_at``). A row for each, with ``error``, ``detail`` and the fields as they stand."""
     unnamed = F.lit(-(2**63))  # stands for null, which would turn the numbers of a batch into floating point
-    source = raw.select(F.coalesce(F.col("row_no").cast("long"), unnamed).alias("row_no"), F.col("file_name").cast("string").alias("file_name"), F.col("raw_line").cast("string").alias("raw_line"), F.col("received_at").cast("timestamp").alias("received_at"))
+    source = raw.select(
+        F.coalesce(F.col("row_no").cast("long"), unnamed).alias("row_no"),
+        F.col("file_name").cast("string").alias("file_name"),
+        F.col("raw_line").cast("string").alias("raw_line"),
+        F.col("received_at").cast("timestamp").alias("received_at"),
+    )
     return spread(source).mapInPandas(_parsed, _SCHEMA).withColumn("row_no", F.nullif("row_no", unnamed))
 
 
@@ -208,8 +233,17 @@ def rejects(raw: DataFrame, loaded: DataFrame) -> DataFrame:
     numbers of columns count the record's number and the mark."""
     kinds = F.create_map(*[F.lit(x) for pair in _PROPOSED.items() for x in pair])
     by_table = F.coalesce(kinds[F.substring_index("detail", ":", 1)] == F.col("reason"), F.lit(False))
-    settled = F.when(F.col("reason").isin("bad_id", "bad_label"), "value").when(by_table, "reject table").otherwise("exact reading")
-    return with_reasons(raw, loaded).where("reason is not null").select("origin", "row_no", "reason", settled.alias("settled_by"), "detail")
+    settled = F.when(F.col("reason").isin("bad_id", "bad_label"), "value").when(
+        by_table,
+        "reject table",
+    ).otherwise("exact reading")
+    return with_reasons(raw, loaded).where("reason is not null").select(
+        "origin",
+        "row_no",
+        "reason",
+        settled.alias("settled_by"),
+        "detail",
+    )
 
 
 def typed_rows(raw: DataFrame, loaded: DataFrame) -> DataFrame:

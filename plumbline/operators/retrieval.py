@@ -57,16 +57,31 @@ def hashed_cell(token: Column, dim: int = DIM) -> Column:
 
 def indexed(texts: DataFrame, dim: int | None = None) -> DataFrame:
     """(``key``, ``terms``, and ``cells`` if ``dim``) of each text, materialised; a ``vector`` that the texts have stays."""
-    tokens = texts.select("key", *[c for c in texts.columns if c == "vector"], bm25_tokens(F.col("text")).alias("tokens"))
+    tokens = texts.select(
+        "key",
+        *[c for c in texts.columns if c == "vector"],
+        bm25_tokens(F.col("text")).alias("tokens"),
+    )
     cells = [F.transform("tokens", lambda t: hashed_cell(t, dim)).alias("cells")] if dim else []
-    return cut_lineage(tokens.select(*[c for c in tokens.columns if c != "tokens"], F.transform("tokens", lambda t: F.xxhash64(t)).alias("terms"), *cells))
+    return cut_lineage(
+        tokens.select(
+            *[c for c in tokens.columns if c != "tokens"],
+            F.transform("tokens", lambda t: F.xxhash64(t)).alias("terms"),
+            *cells,
+        )
+    )
 
 
 def _with_weights(queries: DataFrame, corpus: DataFrame, n_docs: int, p: BM25) -> DataFrame:
     """``queries`` with ``weighted``: for each of its terms that the corpus has, how often it occurs times its idf."""
-    frequencies = cut_lineage(corpus.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    frequencies = cut_lineage(
+        corpus.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    )
     asked = queries.select("key", F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count("*").alias("qf"))
-    known = asked.join(frequencies.hint("merge"), "term").select("key", F.struct("term", (F.col("qf") * _idf(frequencies, n_docs, p)).alias("weight")).alias("w"))
+    known = asked.join(frequencies.hint("merge"), "term").select(
+        "key",
+        F.struct("term", (F.col("qf") * _idf(frequencies, n_docs, p)).alias("weight")).alias("w"),
+    )
     return queries.join(known.groupBy("key").agg(F.collect_list("w").alias("weighted")).hint("merge"), "key", "left")
 
 
@@ -86,7 +101,10 @@ def _sparse_scores(asked: pd.DataFrame, passages: pd.DataFrame, avgdl: float, p:
         every, row = np.concatenate(terms), np.repeat(np.arange(len(terms)), sizes)
         place = np.minimum(np.searchsorted(vocabulary, every), len(vocabulary) - 1)
         known = vocabulary[place] == every
-        tf = np.bincount(row[known] * len(vocabulary) + place[known], minlength=len(terms) * len(vocabulary)).reshape(len(terms), -1)
+        tf = np.bincount(
+            row[known] * len(vocabulary) + place[known],
+            minlength=len(terms) * len(vocabulary),
+        ).reshape(len(terms), -1)
         length = p.k1 * (1 - p.b + p.b * sizes / max(avgdl, 1e-12))
         scores[lo : lo + _ROWS] = (tf * (p.k1 + 1) / (tf + length[:, None] + (tf == 0))) @ weights
         shared[lo : lo + _ROWS] = ((tf > 0).astype(np.float32) @ has) > 0
@@ -97,11 +115,17 @@ def _matrix(pdf: pd.DataFrame, dim: int | None) -> np.ndarray:
     """A row of length 1 for each text, from its vector or its cells; a text without either has zeros."""
     if dim is None:
         width = max((len(v) for v in pdf["vector"] if v is not None), default=0)
-        out = np.array([np.zeros(width) if v is None else v for v in pdf["vector"]], dtype=np.float64).reshape(len(pdf), width)
+        out = np.array(
+            [np.zeros(width) if v is None else v for v in pdf["vector"]],
+            dtype=np.float64,
+        ).reshape(len(pdf), width)
     else:
         sizes = np.fromiter(map(len, pdf["cells"]), np.int64, len(pdf))
         every = np.concatenate([np.empty(0, np.int64), *pdf["cells"]]).astype(np.int64)
-        out = np.bincount(np.repeat(np.arange(len(pdf)), sizes) * dim + every, minlength=len(pdf) * dim).reshape(len(pdf), dim).astype(np.float64)
+        out = np.bincount(
+            np.repeat(np.arange(len(pdf)), sizes) * dim + every,
+            minlength=len(pdf) * dim,
+        ).reshape(len(pdf), dim).astype(np.float64)
     norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(norms == 0, 1.0, norms)
 
@@ -116,7 +140,14 @@ def _best(score: np.ndarray, keys: np.ndarray, k: int, allowed: np.ndarray | Non
     return at[np.lexsort((keys[at], -rounded))[:k]]
 
 
-def _in_grid(asked: DataFrame, passages: DataFrame, n_asked: int, n_passages: int, cell: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def _in_grid(
+    asked: DataFrame,
+    passages: DataFrame,
+    n_asked: int,
+    n_passages: int,
+    cell: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    schema: str,
+) -> DataFrame:
     """``cell`` over each block of ``asked`` with each slice of ``passages``, both keyed by ``key``."""
     spark = passages.sparkSession
     slices = max(-(-n_passages // SLICE), min(spark.sparkContext.defaultParallelism, -(-n_passages // 256)), 1)
@@ -129,7 +160,10 @@ def _in_grid(asked: DataFrame, passages: DataFrame, n_asked: int, n_passages: in
     # Where both sides come from one table, their columns must differ by name.
     left = left.select("block", "slice", *[F.col(c).alias(f"asked_{c}") for c in asked.columns])
     one, two = (t.repartition(tasks, "block", "slice").groupBy("block", "slice") for t in (left, right))
-    return one.cogroup(two).applyInPandas(lambda a, b: cell(a.rename(columns=lambda c: c.removeprefix("asked_")), b), schema)
+    return one.cogroup(two).applyInPandas(
+        lambda a, b: cell(a.rename(columns=lambda c: c.removeprefix("asked_")), b),
+        schema,
+    )
 
 
 def _scale(index: DataFrame) -> tuple[int, float]:
@@ -143,7 +177,10 @@ def ranked(scores: DataFrame, score: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _best_of_cells(score_and_allowed: Callable, name: str, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _best_of_cells(score_and_allowed: Callable, name: str, k: int) -> Callable[
+    [pd.DataFrame, pd.DataFrame],
+    pd.DataFrame
+]:
     def cell(asked: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(passages):
@@ -162,7 +199,14 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, p: BM25 = BM25(
     index, asked = indexed(corpus), indexed(queries)
     n_docs, avgdl = _scale(index)
     cell = _best_of_cells(lambda a, b: _sparse_scores(a, b, avgdl, p), "sparse", k)
-    found = _in_grid(_with_weights(asked, index, n_docs, p).drop("terms"), index, asked.count(), n_docs, cell, "query long, key long, sparse double")
+    found = _in_grid(
+        _with_weights(asked, index, n_docs, p).drop("terms"),
+        index,
+        asked.count(),
+        n_docs,
+        cell,
+        "query long, key long, sparse double",
+    )
     return ranked(found, "sparse", k).select("query", "rank", "key", "sparse")
 
 
@@ -174,11 +218,21 @@ def hashed_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, dim: int = DI
         product = _matrix(b, dim) @ _matrix(a, dim).T
         return product, product > 0
 
-    found = _in_grid(asked.drop("terms"), index.drop("terms"), asked.count(), index.count(), _best_of_cells(scores, "dense", k), "query long, key long, dense double")
+    found = _in_grid(
+        asked.drop("terms"),
+        index.drop("terms"),
+        asked.count(),
+        index.count(),
+        _best_of_cells(scores, "dense", k),
+        "query long, key long, dense double",
+    )
     return ranked(found, "dense", k).select("query", "rank", "key", "dense")
 
 
-def fused(queries: DataFrame, corpus: DataFrame, log_k: int = 10, alpha: float = 0.5, n_fetch: int | None = None, dim: int = DIM, p: BM25 = BM25()) -> DataFrame:
+def fused(
+    queries: DataFrame, corpus: DataFrame, log_k: int = 10, alpha: float = 0.5, n_fetch: int | None = None,
+    dim: int = DIM, p: BM25 = BM25(),
+) -> DataFrame:
     """Both scores over all passages, min-max normalised per query, fused; the best ``log_k``: (``query``, ``rank``, ``key``, ``score``, ``dense``, ``sparse``).
 
     Dense scores are products of the ``vector`` columns when both tables have one, else of hashed bags of words. They count for the ``n_fetch`` nearest
@@ -199,7 +253,12 @@ def fused(queries: DataFrame, corpus: DataFrame, log_k: int = 10, alpha: float =
         dense = _matrix(b, hashed) @ _matrix(a, hashed).T
         for q, query in enumerate(a["key"]):
             at = np.union1d(_best(dense[:, q], keys, fetch), _best(sparse[:, q], keys, fetch + log_k))
-            part = pd.DataFrame({"query": query, "key": keys[at], "dense": dense[at, q], "sparse": sparse[at, q], "low": sparse[:, q].min(), "high": sparse[:, q].max(), "n": 0})
+            part = pd.DataFrame(
+                {
+                    "query": query, "key": keys[at], "dense": dense[at, q], "sparse": sparse[at, q],
+                    "low": sparse[:, q].min(), "high": sparse[:, q].max(), "n": 0,
+                }
+            )
             part.loc[0, "n"] = len(b)
             out.append(part)
         return pd.concat(out)[names]
@@ -208,29 +267,58 @@ def fused(queries: DataFrame, corpus: DataFrame, log_k: int = 10, alpha: float =
     found = _in_grid(_with_weights(asked, index, n_docs, p), index, asked.count(), n_docs, cell, schema)
     each = Window.partitionBy("query")
     place = F.row_number().over(each.orderBy(F.desc(F.round("dense", 9)), "key"))
-    kept = found.select("query", "key", F.when(place <= fetch, F.col("dense")).alias("near"), "sparse", "low", "high", "n")
+    kept = found.select(
+        "query",
+        "key",
+        F.when(place <= fetch, F.col("dense")).alias("near"),
+        "sparse",
+        "low",
+        "high",
+        "n",
+    )
     n_near, total = F.count("near").over(each), F.sum("n").over(each)
     beside = F.when(n_near < total, 0.0)
     limits = kept.select(
         "query", "key", F.coalesce("near", F.lit(0.0)).alias("dense"), "sparse", F.min("low").over(each).alias("s_low"), F.max("high").over(each).alias("s_high"),
-        F.least(F.min("near").over(each), beside).alias("d_low"), F.greatest(F.max("near").over(each), beside).alias("d_high"),
+        F.least(F.min("near").over(each), beside).alias("d_low"), F.greatest(
+            F.max("near").over(each),
+            beside,
+        ).alias("d_high"),
     )
 
     def scaled(c: str, low: str, high: str) -> Column:
-        return F.when(F.col(high) - F.col(low) < 1e-9, 0.0).otherwise((F.col(c) - F.col(low)) / (F.col(high) - F.col(low)))
-
-    both = limits.select("query", "key", "dense", "sparse", (alpha * scaled("dense", "d_low", "d_high") + (1 - alpha) * scaled("sparse", "s_low", "s_high")).alias("score"))
+        return F.when(F.col(high) - F.col(low) < 1e-9, 0.0).otherwise(
+            (F.col(c) - F.col(low)) / (F.col(high) - F.col(low))
+        )
+
+    both = limits.select(
+        "query",
+        "key",
+        "dense",
+        "sparse",
+        (alpha * scaled("dense", "d_low", "d_high") + (1 - alpha) * scaled("sparse", "s_low", "s_high")).alias("score"),
+    )
     return ranked(both, "score", log_k).select("query", "rank", "key", "score", "dense", "sparse")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """Exact nearest neighbours by cosine: (``query``, ``rank``, ``key``, ``cosine``), a query isn't its own neighbour. Both sides have (``key``, ``vector``). Null vectors have no neighbours."""
-    near, asked = (t.where("vector is not null").select("key", F.col("vector").cast("array<double>").alias("vector")) for t in (vectors, queries))
+    near, asked = (
+        t.where("vector is not null").select("key", F.col("vector").cast("array<double>").alias("vector"))
+        for t in (vectors, queries)
+    )
 
     def scores(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return _matrix(b, None) @ _matrix(a, None).T, b["key"].to_numpy()[:, None] != a["key"].to_numpy()[None, :]
 
-    found = _in_grid(asked, near, asked.count(), near.count(), _best_of_cells(scores, "cosine", k), "query long, key long, cosine double")
+    found = _in_grid(
+        asked,
+        near,
+        asked.count(),
+        near.count(),
+        _best_of_cells(scores, "cosine", k),
+        "query long, key long, cosine double",
+    )
     return ranked(found, "cosine", k).select("query", "rank", "key", "cosine")
 
 
@@ -248,11 +336,18 @@ def section_matches(sections: DataFrame, chunk_sections: DataFrame) -> DataFrame
 
     def prefixes(c: str) -> Column:
         parts = F.split(c, r"\.")
-        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+        return F.transform(
+            F.sequence(F.lit(1), F.size(parts)),
+            lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."),
+        )
 
     wanted = sections.where("section is not null").select("section")
     have = chunk_sections.where("section is not null").select(F.col("section").alias("chunk_section"))
-    exact = wanted.join(have, F.col("section") == F.col("chunk_section")).select("section", "chunk_section", F.lit("exact").alias("kind"))
+    exact = wanted.join(have, F.col("section") == F.col("chunk_section")).select(
+        "section",
+        "chunk_section",
+        F.lit("exact").alias("kind"),
+    )
     rest = wanted.join(exact.select("section"), "section", "left_anti")
     up = rest.select("section", F.explode(prefixes("section")).alias("chunk_section")).join(have, "chunk_section")
     down = have.select("chunk_section", F.explode(prefixes("chunk_section")).alias("section")).join(rest, "section")
@@ -264,10 +359,17 @@ def gold_chunks(rows: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFram
     """``rows``: (``query``, ``label_source``). The gold passages (``query``, ``key``), and (``query``, ``gold_section``, ``kind``, ``n_gold``) of each row."""
     asked = cut_lineage(rows.select("query", governing_section(F.col("label_source")).alias("gold_section")))
     placed = cut_lineage(chunks.select("section", "key"))
-    wanted, have = (cut_lineage(t.select(F.col(c).alias("section")).distinct()) for t, c in ((asked, "gold_section"), (placed, "section")))
+    wanted, have = (
+        cut_lineage(t.select(F.col(c).alias("section")).distinct())
+        for t, c in ((asked, "gold_section"), (placed, "section"))
+    )
     matches = cut_lineage(section_matches(wanted, have))
     sections = asked.join(matches, asked["gold_section"] == matches["section"]).select("query", "chunk_section", "kind")
-    gold = sections.join(placed.select(F.col("section").alias("chunk_section"), "key"), "chunk_section").select("query", "key", "kind")
+    gold = sections.join(placed.select(F.col("section").alias("chunk_section"), "key"), "chunk_section").select(
+        "query",
+        "key",
+        "kind",
+    )
     counts = gold.groupBy("query").agg(F.count("*").alias("n_gold"), F.min("kind").alias("kind"))
     kinds = asked.join(counts, "query", "left").select(
         "query", "gold_section", F.when(F.col("gold_section").isNull(), "no-section").otherwise(F.coalesce("kind", F.lit("missing"))).alias("kind"), F.coalesce("n_gold", F.lit(0).cast("long")).alias("n_gold")
@@ -278,10 +380,27 @@ def gold_chunks(rows: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFram
 def per_row_metrics(ranking: DataFrame, gold: DataFrame, kinds: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """First gold rank, its reciprocal (0 beyond the ranking), hit and recall at each k; a row for each of ``kinds``."""
     marked = ranking.select("query", "rank", "key").join(gold.withColumn("gold", F.lit(True)), ["query", "key"])
-    found = marked.groupBy("query").agg(F.min("rank").alias("first_gold_rank"), *[count_where(F.col("rank") <= k).alias(f"found_{k}") for k in ks])
+    found = marked.groupBy("query").agg(
+        F.min("rank").alias("first_gold_rank"),
+        *[count_where(F.col("rank") <= k).alias(f"found_{k}") for k in ks],
+    )
     joined = kinds.join(found, "query", "left").fillna(0, [f"found_{k}" for k in ks])
-    at_k = [c for k in ks for c in ((F.col(f"found_{k}") > 0).cast("int").alias(f"hit_{k}"), share(F.col(f"found_{k}"), F.col("n_gold")).alias(f"recall_{k}"))]
-    return joined.select("query", "gold_section", "kind", "n_gold", "first_gold_rank", F.coalesce(1.0 / F.col("first_gold_rank"), F.lit(0.0)).alias("mrr"), *at_k)
+    at_k = [
+        c
+        for k in ks for c in (
+            (F.col(f"found_{k}") > 0).cast("int").alias(f"hit_{k}"),
+            share(F.col(f"found_{k}"), F.col("n_gold")).alias(f"recall_{k}"),
+        )
+    ]
+    return joined.select(
+        "query",
+        "gold_section",
+        "kind",
+        "n_gold",
+        "first_gold_rank",
+        F.coalesce(1.0 / F.col("first_gold_rank"), F.lit(0.0)).alias("mrr"),
+        *at_k,
+    )
 
 
 def retrieval_summary(per_row: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
@@ -295,5 +414,12 @@ def retrieval_summary(per_row: DataFrame, ks: tuple[int, ...] = (5, 10)) -> Data
 
 def compared_runs(one: DataFrame, two: DataFrame) -> DataFrame:
     """Two per-row results (``query``, ``area``, ``hit_5``) side by side: hits by area."""
-    joined = one.select("query", "area", F.col("hit_5").alias("one")).join(two.select("query", F.col("hit_5").alias("two")), "query")
-    return joined.groupBy("area").agg(F.count("*").alias("n"), F.sum("one").alias("hits_one"), F.sum("two").alias("hits_two"))
+    joined = one.select("query", "area", F.col("hit_5").alias("one")).join(
+        two.select("query", F.col("hit_5").alias("two")),
+        "query",
+    )
+    return joined.groupBy("area").agg(
+        F.count("*").alias("n"),
+        F.sum("one").alias("hits_one"),
+        F.sum("two").alias("hits_two"),
+    )

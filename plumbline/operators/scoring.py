@@ -73,7 +73,10 @@ def class_metrics(counts: DataFrame) -> DataFrame:
 
 def slice_accuracy(rows: DataFrame, column: str, keep_null: bool) -> DataFrame:
     source = rows if keep_null else rows.where(F.col(column).isNotNull())
-    return source.groupBy("config", column).agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    return source.groupBy("config", column).agg(
+        F.count("*").alias("n"),
+        F.avg(F.col("correct").cast("double")).alias("accuracy"),
+    )
 
 
 def distribution(rows: DataFrame, column: str) -> DataFrame:
@@ -85,10 +88,21 @@ def stub_verdicts(statement_array: Column, context: Column, support_rate: float
     key, limit = F.substring(context, 1, 200), round(support_rate * 100)
 
     def one(s: Column) -> Column:
-        bucket = F.conv(F.substring(F.sha1(F.concat(s, F.lit("||"), key).cast("binary")), 1, 2), 16, 10).cast("int") % 100
-        verdict = F.when(s.contains("[[UNSUPPORTED]]"), 0).when(s.contains("[[SUPPORTED]]"), 1).when(bucket < limit, 1).otherwise(0)
+        bucket = F.conv(
+            F.substring(F.sha1(F.concat(s, F.lit("||"), key).cast("binary")), 1, 2),
+            16,
+            10,
+        ).cast("int") % 100
+        verdict = F.when(s.contains("[[UNSUPPORTED]]"), 0).when(
+            s.contains("[[SUPPORTED]]"),
+            1,
+        ).when(bucket < limit, 1).otherwise(0)
         marked = s.contains("[[UNSUPPORTED]]") | s.contains("[[SUPPORTED]]")
-        return F.struct(s.alias("statement"), verdict.alias("verdict"), F.when(marked, "stub-marker").otherwise("stub").alias("reason"))
+        return F.struct(
+            s.alias("statement"),
+            verdict.alias("verdict"),
+            F.when(marked, "stub-marker").otherwise("stub").alias("reason"),
+        )
 
     return F.transform(statement_array, one)
 
@@ -97,12 +111,36 @@ def faithfulness_rows(runs: DataFrame, skip_configs: Sequence[str] = NO_RETRIEVA
     """A row per run of the configurations with retrieval. The missing context is looked at before the missing explanation. Built-in functions only, no shuffle."""
     source = runs.where(F.col("config").isNull() | ~F.col("config").isin(*skip_configs)) if skip_configs else runs
     explanation = stripped(F.coalesce("explanation", F.lit("")))
-    read = source.select("row_no", "id", "config", passages(F.col("retrieved_top5")).alias("context"), explanation.alias("explanation"))
+    read = source.select(
+        "row_no",
+        "id",
+        "config",
+        passages(F.col("retrieved_top5")).alias("context"),
+        explanation.alias("explanation"),
+    )
     split = read.withColumn("parts", statements(F.col("explanation")))
-    skipped = F.when(F.col("context") == "", "no-retrieved-context").when(F.col("explanation") == "", "no-explanation").when(F.size("parts") == 0, "no-statements-extracted")
-    scored = split.withColumn("skipped_reason", skipped).withColumn("statements", F.when(F.col("skipped_reason").isNull(), stub_verdicts(F.col("parts"), F.col("context"))).otherwise(F.slice(stub_verdicts(F.col("parts"), F.col("context")), 1, 0)))
+    skipped = F.when(F.col("context") == "", "no-retrieved-context").when(
+        F.col("explanation") == "",
+        "no-explanation",
+    ).when(F.size("parts") == 0, "no-statements-extracted")
+    scored = split.withColumn("skipped_reason", skipped).withColumn(
+        "statements",
+        F.when(F.col("skipped_reason").isNull(), stub_verdicts(F.col("parts"), F.col("context"))).otherwise(
+            F.slice(stub_verdicts(F.col("parts"), F.col("context")), 1, 0)
+        ),
+    )
     supported = F.aggregate("statements", F.lit(0), lambda acc, v: acc + v["verdict"])
-    return scored.select("row_no", "id", "config", F.try_divide(supported.cast("double"), F.size("statements").cast("double")).alias("faithfulness"), "skipped_reason", F.size("statements").alias("n_statements"), supported.alias("n_supported"), "statements", F.lit(judge).alias("judge"))
+    return scored.select(
+        "row_no",
+        "id",
+        "config",
+        F.try_divide(supported.cast("double"), F.size("statements").cast("double")).alias("faithfulness"),
+        "skipped_reason",
+        F.size("statements").alias("n_statements"),
+        supported.alias("n_supported"),
+        "statements",
+        F.lit(judge).alias("judge"),
+    )
 
 
 def faithfulness_summary(rows: DataFrame) -> DataFrame:
@@ -116,18 +154,31 @@ def faithfulness_summary(rows: DataFrame) -> DataFrame:
         F.max(f).alias("max_faithfulness"),
         count_where(f == 1.0).alias("n_fully_faithful"),
         count_where(f == 0.0).alias("n_zero_faithful"),
-        count_where(F.exists("statements", lambda v: v["reason"] == "judge-parse-failed")).alias("n_judge_parse_failed"),
+        count_where(F.exists("statements", lambda v: v["reason"] == "judge-parse-failed")).alias(
+            "n_judge_parse_failed"
+        ),
     )
 
 
 def skip_reasons(rows: DataFrame) -> DataFrame:
-    return rows.where(F.coalesce("skipped_reason", F.lit("")) != "").groupBy("config", "skipped_reason").agg(F.count("*").alias("n"))
+    return rows.where(F.coalesce("skipped_reason", F.lit("")) != "").groupBy("config", "skipped_reason").agg(
+        F.count("*").alias("n")
+    )
 
 
 def joined_axes(correctness: DataFrame, faithfulness: DataFrame) -> DataFrame:
     """Both axes by (``config``, ``id``), with the first place of the key in ``pos``. The keys of each side are made unique before the join."""
-    left = latest(correctness.select("config", "id", "row_no", "gold", "pred", "correct", "edge_case_type", "area"), ["config", "id"], "row_no", "pos").drop("row_no")
-    right = latest(faithfulness.select("config", "id", "row_no", "faithfulness", "skipped_reason", "n_statements", "n_supported"), ["config", "id"], "row_no").drop("row_no")
+    left = latest(
+        correctness.select("config", "id", "row_no", "gold", "pred", "correct", "edge_case_type", "area"),
+        ["config", "id"],
+        "row_no",
+        "pos",
+    ).drop("row_no")
+    right = latest(
+        faithfulness.select("config", "id", "row_no", "faithfulness", "skipped_reason", "n_statements", "n_supported"),
+        ["config", "id"],
+        "row_no",
+    ).drop("row_no")
     return left.join(right, ["config", "id"])
 
 
@@ -140,7 +191,11 @@ def unscored(joined: DataFrame) -> DataFrame:
 
 
 def bucket_of(correct: Column, faithful: Column) -> Column:
-    return F.concat(F.when(correct, "right").otherwise("wrong"), F.lit("_"), F.when(faithful, "faithful").otherwise("unfaithful"))
+    return F.concat(
+        F.when(correct, "right").otherwise("wrong"),
+        F.lit("_"),
+        F.when(faithful, "faithful").otherwise("unfaithful"),
+    )
 
 
 def bucket_rows(joined: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -153,9 +208,21 @@ def off_diagonal(joined: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def bucket_sweep(joined: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """(``config``, ``threshold``, ``bucket``, ``n``) with zeros, from one aggregation of the rows over all thresholds."""
-    counts = [count_where(bucket_of(F.col("correct"), F.col("faithfulness") >= t).eqNullSafe(b)).alias(f"{i}_{b}") for i, t in enumerate(thresholds) for b in BUCKETS]
+    counts = [
+        count_where(bucket_of(F.col("correct"), F.col("faithfulness") >= t).eqNullSafe(b)).alias(f"{i}_{b}")
+        for i, t in enumerate(thresholds) for b in BUCKETS
+    ]
     wide = scored(joined).groupBy("config").agg(*counts)
-    cells = F.array(*[F.struct(F.lit(t).cast("double").alias("threshold"), F.lit(b).alias("bucket"), F.col(f"`{i}_{b}`").alias("n")) for i, t in enumerate(thresholds) for b in BUCKETS])
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(t).cast("double").alias("threshold"),
+                F.lit(b).alias("bucket"),
+                F.col(f"`{i}_{b}`").alias("n"),
+            )
+            for i, t in enumerate(thresholds) for b in BUCKETS
+        ]
+    )
     return wide.select("config", F.inline(cells))
 
 
@@ -165,23 +232,45 @@ def bucket_matrix(joined: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def faithfulness_means(joined: DataFrame) -> DataFrame:
     f = F.col("faithfulness")
-    return scored(joined).groupBy("config").agg(F.count("*").alias("n_scored"), F.avg(F.when(F.col("correct"), f)).alias("mean_right"), F.avg(F.when(~F.col("correct"), f)).alias("mean_wrong"))
+    return scored(joined).groupBy("config").agg(
+        F.count("*").alias("n_scored"),
+        F.avg(F.when(F.col("correct"), f)).alias("mean_right"),
+        F.avg(F.when(~F.col("correct"), f)).alias("mean_wrong"),
+    )
 
 
 def point_biserial(joined: DataFrame) -> DataFrame:
     """Correlation of being right with faithfulness; null under two rows or without variance on either side."""
     right, f = F.col("correct").cast("double"), F.col("faithfulness")
-    agg = scored(joined).groupBy("config").agg(F.count("*").alias("n_scored"), F.covar_pop(right, f).alias("c"), F.stddev_pop(right).alias("sx"), F.stddev_pop(f).alias("sy"))
+    agg = scored(joined).groupBy("config").agg(
+        F.count("*").alias("n_scored"),
+        F.covar_pop(right, f).alias("c"),
+        F.stddev_pop(right).alias("sx"),
+        F.stddev_pop(f).alias("sy"),
+    )
     sound = (F.col("n_scored") >= 2) & (F.col("sx") > 0) & (F.col("sy") > 0)
-    return agg.select("config", "n_scored", F.when(sound, F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).alias("point_biserial"))
+    return agg.select(
+        "config",
+        "n_scored",
+        F.when(sound, F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).alias("point_biserial"),
+    )
 
 
 def pass_as_faithful(joined: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """The share of wrong answers that each threshold lets pass as faithful; 0 without wrong answers."""
     n = F.col("n")
     swept = bucket_sweep(joined, thresholds).groupBy("config", "threshold")
-    cells = swept.agg(F.sum(F.when(F.col("bucket") == "wrong_faithful", n).otherwise(0)).alias("n_wrong_faithful"), F.sum(F.when(F.col("bucket").startswith("wrong"), n).otherwise(0)).alias("n_wrong"))
-    return cells.select("config", "threshold", "n_wrong_faithful", "n_wrong", share(F.col("n_wrong_faithful"), F.col("n_wrong")).alias("pass_share"))
+    cells = swept.agg(
+        F.sum(F.when(F.col("bucket") == "wrong_faithful", n).otherwise(0)).alias("n_wrong_faithful"),
+        F.sum(F.when(F.col("bucket").startswith("wrong"), n).otherwise(0)).alias("n_wrong"),
+    )
+    return cells.select(
+        "config",
+        "threshold",
+        "n_wrong_faithful",
+        "n_wrong",
+        share(F.col("n_wrong_faithful"), F.col("n_wrong")).alias("pass_share"),
+    )
 
 
 def config_rank(c: Column, order: Sequence[str] = CONFIG_ORDER) -> Column:
@@ -189,14 +278,37 @@ def config_rank(c: Column, order: Sequence[str] = CONFIG_ORDER) -> Column:
     return F.when(known > 0, known).otherwise(len(order) + 1)
 
 
-def report_cases(joined: DataFrame, runs: DataFrame, descriptions: DataFrame, max_cases: int = 12, threshold: float = 0.5) -> DataFrame:
+def report_cases(
+    joined: DataFrame,
+    runs: DataFrame,
+    descriptions: DataFrame,
+    max_cases: int = 12,
+    threshold: float = 0.5,
+) -> DataFrame:
     """The first divergent cases: wrong but faithful before right but unfaithful, then by faithfulness; with description and explanation, the last of each key."""
     off = off_diagonal(joined, threshold)
-    order = [F.when(F.col("bucket") == "wrong_faithful", 0).otherwise(1), F.desc("faithfulness"), config_rank(F.col("config")), F.col("config"), F.col("pos")]
+    order = [
+        F.when(F.col("bucket") == "wrong_faithful", 0).otherwise(1),
+        F.desc("faithfulness"),
+        config_rank(F.col("config")),
+        F.col("config"),
+        F.col("pos"),
+    ]
     top = off.orderBy(*order).limit(max_cases)
     wanted = F.broadcast(top.select("config", "id").distinct())  # at most max_cases rows
-    texts = latest(runs.select("config", "id", "row_no", "explanation").join(wanted, ["config", "id"]), ["config", "id"], "row_no").select("config", "id", "explanation")
-    described = latest(descriptions.select("id", "row_no", "system_description").join(F.broadcast(wanted.select("id").distinct()), "id"), ["id"], "row_no").select("id", "system_description")
+    texts = latest(
+        runs.select("config", "id", "row_no", "explanation").join(wanted, ["config", "id"]),
+        ["config", "id"],
+        "row_no",
+    ).select("config", "id", "explanation")
+    described = latest(
+        descriptions.select("id", "row_no", "system_description").join(
+            F.broadcast(wanted.select("id").distinct()),
+            "id",
+        ),
+        ["id"],
+        "row_no",
+    ).select("id", "system_description")
     return top.join(F.broadcast(texts), ["config", "id"], "left").join(F.broadcast(described), "id", "left").select(
         "config", "id", "bucket", "gold", "pred", "faithfulness", "pos", F.coalesce("system_description", F.lit("")).alias("description"), F.coalesce("explanation", F.lit("")).alias("explanation")
     )
@@ -205,7 +317,11 @@ def report_cases(joined: DataFrame, runs: DataFrame, descriptions: DataFrame, ma
 def area_composition(rows: DataFrame) -> DataFrame:
     """High-risk rows, filter cases and others of each area. A row counts once, a filter case as such when it isn't high-risk."""
     high, filtered = F.col("label").eqNullSafe(POSITIVE), F.col("edge_case_type").eqNullSafe("article-6-3-filter")
-    return rows.groupBy("annex_iii_area").agg(count_where(high).alias("n_high_risk"), count_where(~high & filtered).alias("n_filter"), count_where(~high & ~filtered).alias("n_other"))
+    return rows.groupBy("annex_iii_area").agg(
+        count_where(high).alias("n_high_risk"),
+        count_where(~high & filtered).alias("n_filter"),
+        count_where(~high & ~filtered).alias("n_other"),
+    )
 
 
 def run_checks(runs: DataFrame) -> DataFrame:
@@ -219,7 +335,10 @@ def leak_split(rows: DataFrame, flagged_ids: DataFrame) -> DataFrame:
     """Accuracy of rows whose id is in ``flagged_ids`` (``id``) and of the others."""
     flags = flagged_ids.select("id").where("id is not null").distinct().withColumn("flag", F.lit(True))
     marked = rows.join(flags, "id", "left").withColumn("leaks", F.coalesce("flag", F.lit(False)))
-    return marked.groupBy("config", "leaks").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    return marked.groupBy("config", "leaks").agg(
+        F.count("*").alias("n"),
+        F.avg(F.col("correct").cast("double")).alias("accuracy"),
+    )
 
 
 def auc(joined: DataFrame) -> DataFrame:
@@ -227,19 +346,45 @@ def auc(joined: DataFrame) -> DataFrame:
 
     Faithfulness takes few values, so the ranks come from counts by value, not from a sort of all rows.
     """
-    by_value = scored(joined).groupBy("config", "faithfulness").agg(count_where(F.col("correct")).alias("p"), F.count("*").alias("n"))
+    by_value = scored(joined).groupBy("config", "faithfulness").agg(
+        count_where(F.col("correct")).alias("p"),
+        F.count("*").alias("n"),
+    )
     upto = Window.partitionBy("config").orderBy("faithfulness").rowsBetween(Window.unboundedPreceding, -1)
     ranked = by_value.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     mid = F.col("below") + (F.col("n") + 1) / 2.0
-    sums = ranked.groupBy("config").agg(F.sum(F.col("p") * mid).alias("ranks"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
-    return sums.select("config", "pos", "neg", F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2.0, (F.col("pos") * F.col("neg")).cast("double")).alias("auc"))
+    sums = ranked.groupBy("config").agg(
+        F.sum(F.col("p") * mid).alias("ranks"),
+        F.sum("p").alias("pos"),
+        F.sum(F.col("n") - F.col("p")).alias("neg"),
+    )
+    return sums.select(
+        "config",
+        "pos",
+        "neg",
+        F.try_divide(
+            F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2.0,
+            (F.col("pos") * F.col("neg")).cast("double"),
+        ).alias("auc"),
+    )
 
 
 def discordant_pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
     """Extension: rows that only one of two configurations has right, with the z-free exact test left to ``mcnemar_p``."""
-    last = latest(rows.where(F.col("config").isin(one, two)).select("config", "id", "row_no", "correct"), ["config", "id"], "row_no")
-    sides = last.groupBy("id").agg(F.max(F.when(F.col("config") == one, F.col("correct"))).alias("a"), F.max(F.when(F.col("config") == two, F.col("correct"))).alias("b"))
-    return sides.where("a is not null and b is not null").agg(F.count("*").alias("n_pairs"), count_where(F.col("a") & ~F.col("b")).alias("only_one"), count_where(~F.col("a") & F.col("b")).alias("only_two"))
+    last = latest(
+        rows.where(F.col("config").isin(one, two)).select("config", "id", "row_no", "correct"),
+        ["config", "id"],
+        "row_no",
+    )
+    sides = last.groupBy("id").agg(
+        F.max(F.when(F.col("config") == one, F.col("correct"))).alias("a"),
+        F.max(F.when(F.col("config") == two, F.col("correct"))).alias("b"),
+    )
+    return sides.where("a is not null and b is not null").agg(
+        F.count("*").alias("n_pairs"),
+        count_where(F.col("a") & ~F.col("b")).alias("only_one"),
+        count_where(~F.col("a") & F.col("b")).alias("only_two"),
+    )
 
 
 def mcnemar_p(only_one: int, only_two: int) -> float:
@@ -255,15 +400,36 @@ def bootstrap_accuracy(rows: DataFrame, resamples: int = 2000) -> DataFrame:
 
     A digest of 128 bits serves eight resamples. Each row becomes one record for every eight, summed before the shuffle into ``resamples`` pairs of sums a configuration.
     """
-    digest = F.md5(F.concat_ws("|", F.col("row_no").cast("string"), F.col("config"), F.col("g").cast("string")).cast("binary"))
+    digest = F.md5(
+        F.concat_ws("|", F.col("row_no").cast("string"), F.col("config"), F.col("g").cast("string")).cast("binary")
+    )
     value = lambda i: F.conv(F.substring("d", 4 * i + 1, 4), 16, 10).cast("int")
     # The distribution function of a Poisson variable of mean 1, in parts of 65536.
     cdf = (24109, 48219, 60273, 64291, 65296, 65497, 65530, 65535)
     weight = lambda i: sum(((value(i) >= c).cast("int") for c in cdf), F.lit(0))
     groups = F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 8) - 1)))
-    drawn = rows.select("config", "row_no", F.col("correct").cast("int").alias("c"), groups.alias("g")).withColumn("d", digest)
-    sums = drawn.groupBy("config", "g").agg(*[F.sum(weight(i)).alias(f"n_{i}") for i in range(8)], *[F.sum(weight(i) * F.col("c")).alias(f"c_{i}") for i in range(8)])
-    each = F.explode(F.array(*[F.struct((F.col("g") * 8 + i).alias("k"), share(F.col(f"c_{i}"), F.col(f"n_{i}")).alias("accuracy")) for i in range(8)]))
+    drawn = rows.select(
+        "config",
+        "row_no",
+        F.col("correct").cast("int").alias("c"),
+        groups.alias("g"),
+    ).withColumn("d", digest)
+    sums = drawn.groupBy("config", "g").agg(
+        *[F.sum(weight(i)).alias(f"n_{i}") for i in range(8)],
+        *[F.sum(weight(i) * F.col("c")).alias(f"c_{i}") for i in range(8)],
+    )
+    each = F.explode(
+        F.array(
+            *[
+                F.struct((F.col("g") * 8 + i).alias("k"), share(F.col(f"c_{i}"), F.col(f"n_{i}")).alias("accuracy"))
+                for i in range(8)
+            ]
+        )
+    )
     accuracies = sums.select("config", each.alias("x")).where(F.col("x.k") < resamples)
     at = lambda q: F.get("a", F.lit(min(resamples - 1, int(q * resamples))))
-    return accuracies.groupBy("config").agg(F.sort_array(F.collect_list("x.accuracy")).alias("a")).select("config", at(0.025).alias("low"), at(0.975).alias("high"))
+    return accuracies.groupBy("config").agg(F.sort_array(F.collect_list("x.accuracy")).alias("a")).select(
+        "config",
+        at(0.025).alias("low"),
+        at(0.975).alias("high"),
+    )

@@ -41,7 +41,8 @@ WITH read AS (
          1 + length(regexp_replace(regexp_replace(raw_line, '"(?:[^"]|"")*"', '', 'g'), '[^,]', '', 'g')) AS n, received_at AS arrived_at, {", ".join(f"{_value(n)} AS {c}" for n, c in enumerate(FIELDS, 1))}
   FROM (SELECT row_no, received_at, coalesce(raw_line, '') AS raw_line FROM test_set_raw)
 ), reasons AS (
-  SELECT 'test_set_raw' AS origin, row_no, CASE WHEN unsound THEN 'quoting' WHEN n <> 9 THEN 'column_count' WHEN {_BAD_ID} THEN 'bad_id' WHEN {_BAD_LABEL} THEN 'bad_label' END AS reason FROM read
+  SELECT 'test_set_raw' AS origin, row_no, CASE WHEN unsound THEN 'quoting' WHEN n <> 9 THEN 'column_count' WHEN
+    {_BAD_ID} THEN 'bad_id' WHEN {_BAD_LABEL} THEN 'bad_label' END AS reason FROM read
   UNION ALL
   SELECT 'test_set', row_no, CASE WHEN {_BAD_ID} THEN 'bad_id' WHEN {_BAD_LABEL} THEN 'bad_label' END FROM test_set
 )
@@ -51,7 +52,10 @@ _TYPED = ", ".join(f"lower({_CLEAN(c)}) AS {c}" if c == "label" else f"{_CLEAN(c
 _POINT = trimmed("annex_iii_point")
 SQL = {
     "p2_found": _REASONS + "SELECT origin, row_no, reason FROM reasons WHERE reason IS NOT NULL",
-    "p2_loaded": _REASONS.rstrip() + f""", every AS (SELECT 'test_set_raw' AS origin, row_no, {", ".join(FIELDS)}, arrived_at FROM read UNION ALL SELECT 'test_set', row_no, {", ".join(FIELDS)}, loaded_at FROM test_set)
-SELECT e.origin, e.row_no, {_TYPED}, CASE WHEN regexp_full_match({_POINT}, '[0-9]+(\\([a-z]\\))?') THEN regexp_extract({_POINT}, '^[0-9]+')::INT END AS point_number, nullif(regexp_extract({_POINT}, '^[0-9]+\\(([a-z])\\)$', 1), '') AS point_letter, arrived_at
+    "p2_loaded": _REASONS.rstrip() + f""", every AS (SELECT 'test_set_raw' AS origin, row_no, {", ".join(FIELDS)},
+        arrived_at FROM read UNION ALL SELECT 'test_set', row_no, {", ".join(FIELDS)}, loaded_at FROM test_set)
+SELECT e.origin, e.row_no, {_TYPED}, CASE WHEN regexp_full_match({_POINT}, '[0-9]+(\\([a-z]\\))?') THEN
+  regexp_extract({_POINT}, '^[0-9]+')::INT END AS point_number, nullif(regexp_extract({_POINT}, '^[0-9]+\\(([a-z])\\)$',
+  1), '') AS point_letter, arrived_at
 FROM every e JOIN reasons r ON r.origin = e.origin AND r.row_no = e.row_no WHERE reason IS NULL""",
 }

@@ -31,17 +31,34 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     files.write_jsonl(table(spark, sf_dir, "test_set").select("row_no", *schemas.TEST_SET.names), path)
     spark.range(3).select(F.lit("").alias("value")).write.mode("append").text(path)
-    return files.read_jsonl(spark, path, _NUMBERED(schemas.TEST_SET)).withColumn("needs_review", F.array_join("needs_review", ","))
+    return files.read_jsonl(spark, path, _NUMBERED(schemas.TEST_SET)).withColumn(
+        "needs_review",
+        F.array_join("needs_review", ","),
+    )
 
 
 def tolerant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file in which every seventh line is broken and every eleventh is blank: which lines load, and which come out as they stand."""
     path = _folder(spark)
     whole = F.to_json(F.struct("row_no", "id", "label"), {"ignoreNullFields": "false"})
-    line = F.when(F.col("row_no") % 11 == 0, "  ").when(F.col("row_no") % 7 == 0, F.concat(F.lit('{"row_no": '), F.col("row_no").cast("string"))).otherwise(whole)
+    line = F.when(F.col("row_no") % 11 == 0, "  ").when(
+        F.col("row_no") % 7 == 0,
+        F.concat(F.lit('{"row_no": '), F.col("row_no").cast("string")),
+    ).otherwise(whole)
     table(spark, sf_dir, "test_set").select(line.alias("value")).write.text(path)
-    good, bad = files.read_jsonl_tolerant(spark, path, StructType([f for f in _NUMBERED(schemas.TEST_SET).fields if f.name in ("row_no", "id", "label")]))
-    return good.select("row_no", "id", "label", F.lit(None).cast("string").alias("line")).unionByName(bad.select(F.lit(None).cast("long").alias("row_no"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("label"), "line"))
+    good, bad = files.read_jsonl_tolerant(
+        spark,
+        path,
+        StructType([f for f in _NUMBERED(schemas.TEST_SET).fields if f.name in ("row_no", "id", "label")]),
+    )
+    return good.select("row_no", "id", "label", F.lit(None).cast("string").alias("line")).unionByName(
+        bad.select(
+            F.lit(None).cast("long").alias("row_no"),
+            F.lit(None).cast("string").alias("id"),
+            F.lit(None).cast("string").alias("label"),
+            "line",
+        )
+    )
 
 
 def _written(spark: SparkSession, runs: DataFrame, configs: Sequence[str]) -> str:
@@ -58,23 +75,44 @@ def config_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _written(spark, runs, [*_CONFIGS, "baseline1_plain_llm"])
     found = files.read_configs(spark, folder, _NUMBERED(schemas.RUNS), [*_CONFIGS, "absent"])
     absent = files.read_optional(spark, f"{folder}/absent.jsonl", _NUMBERED(schemas.RUNS))
-    return found.unionByName(absent).select("row_no", "id", "config", "pred_label", "parse_ok", F.size("retrieved_top5").alias("n_hits"), F.col("usage.input_tokens").alias("input_tokens"))
+    return found.unionByName(absent).select(
+        "row_no",
+        "id",
+        "config",
+        "pred_label",
+        "parse_ok",
+        F.size("retrieved_top5").alias("n_hits"),
+        F.col("usage.input_tokens").alias("input_tokens"),
+    )
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions with their quotes and line breaks through a CSV file."""
     path = _folder(spark)
-    rows = table(spark, sf_dir, "test_set").where("system_description is not null").select("row_no", "system_description")
+    rows = table(spark, sf_dir, "test_set").where("system_description is not null").select(
+        "row_no",
+        "system_description",
+    )
     files.write_csv(rows, path)
-    read = spark.read.schema("row_no long, system_description string").option("header", "true").option("escape", '"').option("multiLine", "true")
-    return read.options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path).select("row_no", F.regexp_replace("system_description", "\r\n?", "\n").alias("system_description"))
+    read = spark.read.schema(
+        "row_no long, system_description string"
+    ).option("header", "true").option("escape", '"').option("multiLine", "true")
+    return read.options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path).select(
+        "row_no",
+        F.regexp_replace("system_description", "\r\n?", "\n").alias("system_description"),
+    )
 
 
 def appended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that stopped on the way, resumed: each configuration and id once, what was written first stays."""
     path = _folder(spark)
-    runs = table(spark, sf_dir, "runs").where("id is not null and config is not null").groupBy("config", "id").agg(F.min("row_no").alias("row_no"))
-    schema = StructType([f for f in schemas.RUNS.fields if f.name in ("config", "id")] + [StructField("row_no", LongType())])
+    runs = table(spark, sf_dir, "runs").where("id is not null and config is not null").groupBy("config", "id").agg(
+        F.min("row_no").alias("row_no")
+    )
+    schema = StructType(
+        [f for f in schemas.RUNS.fields if f.name in ("config", "id")]
+        + [StructField("row_no", LongType())]
+    )
     files.write_jsonl(runs.where("row_no % 3 = 0").withColumn("row_no", -F.col("row_no")), path)
     missing = files.append_missing(runs, path, ["config", "id"], schema)
     files.write_jsonl(missing, path, "append")
@@ -84,10 +122,16 @@ def appended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (jsonl_roundtrip, tolerant_lines, config_folders, csv_roundtrip, appended_runs)}
 
 SQL = {
-    "jsonl_roundtrip": f"SELECT row_no, {', '.join(c for c in schemas.TEST_SET.names if c != 'needs_review')}, array_to_string(needs_review, ',') AS needs_review FROM test_set",
-    "tolerant_lines": """SELECT CASE WHEN row_no % 7 <> 0 THEN row_no END AS row_no, CASE WHEN row_no % 7 <> 0 THEN id END AS id, CASE WHEN row_no % 7 <> 0 THEN label END AS label,
+    "jsonl_roundtrip": f"""SELECT row_no, {', '.join(c for c in schemas.TEST_SET.names if c != 'needs_review')},
+        array_to_string(needs_review, ',') AS needs_review FROM test_set""",
+    "tolerant_lines": """SELECT CASE WHEN row_no % 7 <> 0 THEN row_no END AS row_no, CASE WHEN row_no % 7 <> 0 THEN id
+        END AS id, CASE WHEN row_no % 7 <> 0 THEN label END AS label,
       CASE WHEN row_no % 7 = 0 THEN '{"row_no": ' || row_no END AS line FROM test_set WHERE row_no % 11 <> 0""",
-    "config_folders": "SELECT row_no, id, config, pred_label, parse_ok, len(retrieved_top5)::INT AS n_hits, usage.input_tokens AS input_tokens FROM runs WHERE config IN ('agent_structured', 'baseline2_standard_rag')",
-    "csv_roundtrip": "SELECT row_no, CASE WHEN system_description <> '' THEN regexp_replace(system_description, '\\r\\n?', chr(10), 'g') END AS system_description FROM test_set WHERE system_description IS NOT NULL",
-    "appended_runs": "WITH r AS (SELECT config, id, min(row_no) AS row_no FROM runs WHERE id IS NOT NULL AND config IS NOT NULL GROUP BY 1, 2) SELECT config, id, CASE WHEN row_no % 3 = 0 THEN -row_no ELSE row_no END AS row_no FROM r",
+    "config_folders": """SELECT row_no, id, config, pred_label, parse_ok, len(retrieved_top5)::INT AS n_hits,
+        usage.input_tokens AS input_tokens FROM runs WHERE config IN ('agent_structured', 'baseline2_standard_rag')""",
+    "csv_roundtrip": """SELECT row_no, CASE WHEN system_description <> '' THEN regexp_replace(system_description,
+        '\\r\\n?', chr(10), 'g') END AS system_description FROM test_set WHERE system_description IS NOT NULL""",
+    "appended_runs": """WITH r AS (SELECT config, id, min(row_no) AS row_no FROM runs WHERE id IS NOT NULL AND config
+        IS NOT NULL GROUP BY 1, 2) SELECT config, id, CASE WHEN row_no % 3 = 0 THEN -row_no ELSE row_no END AS row_no
+        FROM r""",
 }

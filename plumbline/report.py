@@ -25,7 +25,13 @@ def shown(value: object) -> str:
 def markdown_table(df: DataFrame, columns: Sequence[str] | None = None) -> str:
     names = list(columns or df.columns)
     lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    return "\n".join(lines + ["| " + " | ".join(shown(r[c]).replace("|", "\\|").replace("\n", " ") for c in names) + " |" for r in _rows(df)])
+    return "\n".join(
+        lines
+        + [
+            "| " + " | ".join(shown(r[c]).replace("|", "\\|").replace("\n", " ") for c in names) + " |"
+            for r in _rows(df)
+        ]
+    )
 
 
 def write_markdown(path: str, title: str, tables: dict[str, DataFrame]) -> None:
@@ -36,11 +42,16 @@ def html_table(df: DataFrame, longest: int = 400) -> str:
     """Cells are escaped first and cut after, as the reports' definition has it."""
     names = df.columns
     head = "".join(f"<th>{html.escape(c)}</th>" for c in names)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(shown(r[c]))[:longest]}</td>" for c in names) + "</tr>" for r in _rows(df))
+    body = "".join(
+        "<tr>" + "".join(f"<td>{html.escape(shown(r[c]))[:longest]}</td>" for c in names) + "</tr>" for r in _rows(df)
+    )
     return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
 
 
 def write_html(path: str, title: str, tables: dict[str, DataFrame]) -> None:
     style = "body{font-family:sans-serif;max-width:960px;margin:2em auto}table{border-collapse:collapse;margin:1em 0}td,th{border:1px solid #ccc;padding:.3em .6em;text-align:left}"
     parts = "".join(f"<h2>{html.escape(name)}</h2>{html_table(df)}" for name, df in tables.items())
-    Path(path).write_text(f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1>{parts}</body></html>", encoding="utf-8")
+    Path(path).write_text(
+        f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1>{parts}</body></html>",
+        encoding="utf-8",
+    )

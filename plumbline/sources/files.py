@@ -28,9 +28,14 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: StructType) -> t
     """Good rows, and broken lines (``line``)."""
     whole = StructType([*schema.fields, StructField(_BAD, StringType())])
     text = spark.read.text(path).where("trim(value) <> ''")
-    parsed = text.select("value", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"))
+    parsed = text.select(
+        "value",
+        F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r"),
+    )
     bad = F.col("r").isNull() | F.col(f"r.{_BAD}").isNotNull()
-    return parsed.where(~bad).select(*[F.col(f"r.`{f.name}`") for f in schema.fields]), parsed.where(bad).select(F.col("value").alias("line"))
+    return parsed.where(~bad).select(*[F.col(f"r.`{f.name}`") for f in schema.fields]), parsed.where(bad).select(
+        F.col("value").alias("line")
+    )
 
 
 def read_optional(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -38,11 +43,21 @@ def read_optional(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return read_jsonl(spark, path, schema) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def read_configs(spark: SparkSession, folder: str, schema: StructType, configs: Sequence[str] | None = None) -> DataFrame:
+def read_configs(
+    spark: SparkSession,
+    folder: str,
+    schema: StructType,
+    configs: Sequence[str] | None = None,
+) -> DataFrame:
     """All JSONL files of a folder, or folders of parts that are named so, with the stem as ``config``; a subset of these reads no other file."""
-    paths = [p for c in configs if _exists(spark, p := f"{folder}/{c}.jsonl")] if configs is not None else [f"{folder}/*.jsonl"]
+    paths = [
+        p for c in configs if _exists(spark, p := f"{folder}/{c}.jsonl")
+    ] if configs is not None else [f"{folder}/*.jsonl"]
     if not paths or not _exists(spark, paths[0]):
-        return spark.createDataFrame([], StructType([*[f for f in schema.fields if f.name != "config"], StructField("config", StringType())]))
+        return spark.createDataFrame(
+            [],
+            StructType([*[f for f in schema.fields if f.name != "config"], StructField("config", StringType())]),
+        )
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl(?:/[^/]*)?$", 1)
     return read_jsonl(spark, paths, schema).withColumn("config", stem)
 
@@ -53,7 +68,13 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", by: Sequence[
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
-def append_missing(df: DataFrame, path: str, keys: Sequence[str], schema: StructType, retry_errors: bool = False) -> DataFrame:
+def append_missing(
+    df: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    schema: StructType,
+    retry_errors: bool = False,
+) -> DataFrame:
     """The rows of ``df`` whose keys aren't written yet; write these with mode 'append' to resume. ``retry_errors`` counts rows with a call error as missing."""
     done = read_optional(df.sparkSession, path, schema)
     if retry_errors:
@@ -62,10 +83,20 @@ def append_missing(df: DataFrame, path: str, keys: Sequence[str], schema: Struct
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
-
-
-def write_summary(df: DataFrame, path: str, key: str | None = None, max_rows: int = 10_000) -> dict[str, Any] | list[Any]:
+    df.write.mode("overwrite").options(
+        header="true",
+        escape='"',
+        ignoreLeadingWhiteSpace="false",
+        ignoreTrailingWhiteSpace="false",
+    ).csv(path)
+
+
+def write_summary(
+    df: DataFrame,
+    path: str,
+    key: str | None = None,
+    max_rows: int = 10_000,
+) -> dict[str, Any] | list[Any]:
     """A small aggregate as indented JSON, by ``key`` where given; more than ``max_rows`` is an error, not a cut."""
     rows = [json.loads(x) for x in df.limit(max_rows + 1).toJSON().collect()]
     if len(rows) > max_rows:
@@ -77,12 +108,23 @@ def write_summary(df: DataFrame, path: str, key: str | None = None, max_rows: in
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Text extracted from documents, one row per file: (``doc_id``, ``text``)."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("doc_id"),
+        F.col("value").alias("text"),
+    )
 
 
 def write_vectors(df: DataFrame, path: str) -> None:
     """Replace a vector collection: (``id``, ``embedding``, ``document``, metadata with '' for null)."""
-    filled = df.select("id", F.col("embedding").cast("array<float>").alias("embedding"), "document", *[F.coalesce(c, F.lit("")).alias(c) for c in ("section", "annex_iii_area", "para_num", "heading_path") if c in df.columns])
+    filled = df.select(
+        "id",
+        F.col("embedding").cast("array<float>").alias("embedding"),
+        "document",
+        *[
+            F.coalesce(c, F.lit("")).alias(c)
+            for c in ("section", "annex_iii_area", "para_num", "heading_path") if c in df.columns
+        ],
+    )
     filled.write.mode("overwrite").parquet(path)
 
 

@@ -10,7 +10,13 @@ import __spark_entry__ as entry
 from plumbline.plans import registry
 
 DATA = Path("/root/testdata/sf0.001")
-SMALL = ("bm25_topk", "dense_topk", "retrieval_summary", "class_metrics", "faith_statements", "bucket_sweep", "report_cases", "similar_pairs", "redaction_precedence", "cut_markers", "json_label_parse", "p2_found", "p2_loaded", "tolerant_lines", "config_folders", "csv_roundtrip", "appended_runs", "segment_sections", "guide_chunks", "guide_examples", "sentence_packing", "run_records", "judged_runs", "redaction_strict", "similar_links", "ext_bootstrap", "synthetic_buckets", "review_file")
+SMALL = (
+    "bm25_topk", "dense_topk", "retrieval_summary", "class_metrics", "faith_statements", "bucket_sweep", "report_cases",
+    "similar_pairs", "redaction_precedence", "cut_markers", "json_label_parse", "p2_found", "p2_loaded",
+    "tolerant_lines", "config_folders", "csv_roundtrip", "appended_runs", "segment_sections", "guide_chunks",
+    "guide_examples", "sentence_packing", "run_records", "judged_runs", "redaction_strict", "similar_links",
+    "ext_bootstrap", "synthetic_buckets", "review_file",
+)
 
 
 def test_a_missing_dependency_costs_the_llm_queries_only(monkeypatch):
@@ -20,7 +26,9 @@ def test_a_missing_dependency_costs_the_llm_queries_only(monkeypatch):
     with warnings.catch_warnings(record=True) as said:
         warnings.simplefilter("always")
         assert entry.queries() == registry.QUERIES
-    assert not any(m.startswith("plumbline.llm.") for m in sys.modules if m.endswith("queries")) and (len(said) == 1 or importlib.util.find_spec("plumbline.llm") is None)
+    assert not any(m.startswith("plumbline.llm.") for m in sys.modules if m.endswith("queries")) and (
+        len(said) == 1 or importlib.util.find_spec("plumbline.llm") is None
+    )
 
 
 def test_every_sql_has_its_query():
@@ -45,4 +53,6 @@ def test_query_equals_sql(spark, name):
     at = [d[0] for d in found.description]
     assert sorted(at) == names
     show = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
-    assert sorted(tuple(show(r[c]) for c in names) for r in df.collect()) == sorted(tuple(show(r[at.index(c)]) for c in names) for r in found.fetchall())
+    assert sorted(tuple(show(r[c]) for c in names) for r in df.collect()) == sorted(
+        tuple(show(r[at.index(c)]) for c in names) for r in found.fetchall()
+    )

@@ -57,19 +57,52 @@ def test_valid_records_with_doubled_quotes_come_from_duckdb(monkeypatch):
 
 
 def test_rejects_have_the_line_level_error(spark):
-    raw = spark.createDataFrame([(1, "f", GOOD, None, "x"), (2, "f", GOOD + ",x", None, None), (3, "f", "anx3-001,s", None, None), (4, "f", GOOD.replace("high-risk", "maybe"), None, None), (5, "f", GOOD.replace('""quotes""', '"quotes"'), None, None), (6, "f", None, None, None)], RAW)
-    raw = raw.unionByName(spark.createDataFrame([(7, "f", GOOD + ",", None, None), (8, "f", 'anx3-001,s,a,1(a), "blank before",high-risk,l,none,', None, None)], RAW))
-    got = {r.row_no: (r.reason, r.settled_by, (r.detail or "").split(":")[0]) for r in rejects(raw, spark.createDataFrame([], SET)).collect()}
+    raw = spark.createDataFrame(
+        [
+            (1, "f", GOOD, None, "x"),
+            (2, "f", GOOD + ",x", None, None),
+            (3, "f", "anx3-001,s", None, None),
+            (4, "f", GOOD.replace("high-risk", "maybe"), None, None),
+            (5, "f", GOOD.replace('""quotes""', '"quotes"'), None, None),
+            (6, "f", None, None, None),
+        ],
+        RAW,
+    )
+    raw = raw.unionByName(
+        spark.createDataFrame(
+            [
+                (7, "f", GOOD + ",", None, None),
+                (8, "f", 'anx3-001,s,a,1(a), "blank before",high-risk,l,none,', None, None),
+            ],
+            RAW,
+        )
+    )
+    got = {
+        r.row_no: (r.reason, r.settled_by, (r.detail or "").split(":")[0])
+        for r in rejects(raw, spark.createDataFrame([], SET)).collect()
+    }
     table, reading = "reject table", "exact reading"
     assert got == {
-        2: ("column_count", table, "TOO MANY COLUMNS"), 3: ("column_count", table, "MISSING COLUMNS"), 4: ("bad_label", "value", ""), 5: ("quoting", table, "UNQUOTED VALUE"), 6: ("column_count", reading, ""),
+        2: ("column_count", table, "TOO MANY COLUMNS"), 3: ("column_count", table, "MISSING COLUMNS"), 4: (
+            "bad_label",
+            "value",
+            "",
+        ), 5: ("quoting", table, "UNQUOTED VALUE"), 6: ("column_count", reading, ""),
         7: ("column_count", table, "TOO MANY COLUMNS"), 8: ("quoting", reading, ""),
     }
 
 
 def test_accepted_records_are_not_read_again(monkeypatch):
-    monkeypatch.setattr(reject_load, "exact_fields", lambda r: (_ for _ in ()).throw(AssertionError(r)) if r == GOOD else exact_fields(r))
-    assert [x[0] for x in parse_records([GOOD, GOOD + ",", GOOD.replace("anx3-001", "x\r")], ["f"] * 3)] == [None, "column_count", None]
+    monkeypatch.setattr(
+        reject_load,
+        "exact_fields",
+        lambda r: (_ for _ in ()).throw(AssertionError(r)) if r == GOOD else exact_fields(r),
+    )
+    assert [x[0] for x in parse_records([GOOD, GOOD + ",", GOOD.replace("anx3-001", "x\r")], ["f"] * 3)] == [
+        None,
+        "column_count",
+        None,
+    ]
 
 
 @settings(max_examples=40, deadline=None)
@@ -87,13 +120,33 @@ def test_written_records_come_back(rows):
 
 
 def test_tables_with_clashing_columns_and_empty_ones(spark):
-    raw = spark.createDataFrame([(1, "f", GOOD, None, "clash"), (2, "f", GOOD.replace("anx3-001", "NULL"), None, None), (3, None, GOOD.replace("high-risk", "maybe"), None, None)], RAW)
-    held = spark.createDataFrame([(1, " anx3-777 ", "s", "a", "2", None, " High-Risk ", "l", None, None, None), (2, None, "s", "a", "2", None, None, "l", None, None, None)], SET)
-    assert {tuple(r) for r in rejected(raw, held).collect()} == {("test_set_raw", 2, "bad_id"), ("test_set_raw", 3, "bad_label"), ("test_set", 2, "bad_id")}
+    raw = spark.createDataFrame(
+        [
+            (1, "f", GOOD, None, "clash"),
+            (2, "f", GOOD.replace("anx3-001", "NULL"), None, None),
+            (3, None, GOOD.replace("high-risk", "maybe"), None, None),
+        ],
+        RAW,
+    )
+    held = spark.createDataFrame(
+        [
+            (1, " anx3-777 ", "s", "a", "2", None, " High-Risk ", "l", None, None, None),
+            (2, None, "s", "a", "2", None, None, "l", None, None, None),
+        ],
+        SET,
+    )
+    assert {tuple(r) for r in rejected(raw, held).collect()} == {
+        ("test_set_raw", 2, "bad_id"),
+        ("test_set_raw", 3, "bad_label"),
+        ("test_set", 2, "bad_id"),
+    }
     typed = {(r.origin, r.row_no): r for r in typed_rows(raw, held).collect()}
     assert typed["test_set", 1].id == "anx3-777" and typed["test_set", 1].label == "high-risk" and typed["test_set", 1].point_number == 2
     assert typed["test_set_raw", 1].point_letter == "a" and typed["test_set_raw", 1].notes is None
     assert set(FIELDS) <= set(typed_rows(raw, held).columns)
     assert rejected(raw.limit(0), held.limit(0)).count() == 0
-    unnamed = spark.createDataFrame([(None, None, GOOD + ",", None, None), (9007199254740993, "f", None, None, None)], RAW)
+    unnamed = spark.createDataFrame(
+        [(None, None, GOOD + ",", None, None), (9007199254740993, "f", None, None, None)],
+        RAW,
+    )
     assert {r.row_no for r in rejected(unnamed, held.limit(0)).collect()} == {None, 9007199254740993}

@@ -22,7 +22,10 @@ def brute(query, docs):
     out = {}
     for k, ts in tokens.items():
         tf = Counter(ts)
-        s = sum(idf[t] * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(ts) / avgdl)) for t in re.findall("[A-Za-z0-9]+", query.lower()) if tf[t])
+        s = sum(
+            idf[t] * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(ts) / avgdl))
+            for t in re.findall("[A-Za-z0-9]+", query.lower()) if tf[t]
+        )
         if any(t in tf for t in re.findall("[A-Za-z0-9]+", query.lower())):
             out[k] = s
     return out
@@ -36,7 +39,9 @@ def test_bm25_equals_brute_force(spark):
     q = "the cat and the dog"
     got = {r.key: r.sparse for r in retrieval.bm25_topk(table(spark, {9: q}), table(spark, DOCS), 10).collect()}
     assert got == pytest.approx(brute(q, DOCS))
-    assert [r.key for r in retrieval.bm25_topk(table(spark, {9: q}), table(spark, DOCS), 2).orderBy("rank").collect()] == sorted(got, key=lambda k: -got[k])[:2]
+    assert [
+        r.key for r in retrieval.bm25_topk(table(spark, {9: q}), table(spark, DOCS), 2).orderBy("rank").collect()
+    ] == sorted(got, key=lambda k: -got[k])[:2]
 
 
 def test_empty_queries_and_corpora(spark):
@@ -54,9 +59,14 @@ def test_fusion_ranks_all_passages_and_constant_scores_are_zero(spark):
 def test_unfetched_passages_have_no_dense_score(spark):
     vectors = {1: [0.9, 0.1], 2: [0.8, 0.3], 3: [0.7, 0.7], 4: [0.0, 0.0], 5: None, 6: [-1.0, 0.0]}
     q = table(spark, {9: "cat"}).withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
-    c = spark.createDataFrame([(k, DOCS[k], v) for k, v in vectors.items()], "key long, text string, vector array<double>")
+    c = spark.createDataFrame(
+        [(k, DOCS[k], v) for k, v in vectors.items()],
+        "key long, text string, vector array<double>",
+    )
     got = {r.key: r for r in retrieval.fused(q, c, 10, n_fetch=2).collect()}
-    assert got[1].dense == pytest.approx(0.9 / math.sqrt(0.82)) and got[3].dense == got[6].dense == 0.0 and len(got) == 6
+    assert got[1].dense == pytest.approx(
+        0.9 / math.sqrt(0.82)
+    ) and got[3].dense == got[6].dense == 0.0 and len(got) == 6
 
 
 def fused_by_hand(queries, docs, log_k, n_fetch):
@@ -85,32 +95,69 @@ def test_the_grid_changes_nothing(spark, monkeypatch):
     for piece, block in ((8192, 256), (7, 2)):
         monkeypatch.setattr(retrieval, "SLICE", piece)
         monkeypatch.setattr(retrieval, "BLOCK", block)
-        got = retrieval.fused(table(spark, queries), table(spark, docs), 5, n_fetch=8).orderBy("query", "rank").collect()
+        got = retrieval.fused(
+            table(spark, queries),
+            table(spark, docs),
+            5,
+            n_fetch=8,
+        ).orderBy("query", "rank").collect()
         assert {q: [r.key for r in got if r["query"] == q] for q in queries} == truth
-    assert retrieval.fused(table(spark, queries).limit(0), table(spark, docs), 5).count() == 0 == retrieval.fused(table(spark, queries), table(spark, docs).limit(0), 5).count()
+    assert retrieval.fused(table(spark, queries).limit(0), table(spark, docs), 5).count() == 0 == retrieval.fused(
+        table(spark, queries),
+        table(spark, docs).limit(0),
+        5,
+    ).count()
 
 
 def test_nearest_leaves_out_itself_and_takes_zero_vectors(spark):
-    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0])], "key long, vector array<float>")
+    v = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0])],
+        "key long, vector array<float>",
+    )
     got = retrieval.nearest(v.where("key = 1"), v).orderBy("rank").collect()
     assert [r.key for r in got] == [2, 3, 4]
     assert [round(r.cosine, 4) for r in got] == [0.7071, 0.0, -1.0]
 
 
-@pytest.mark.parametrize(("section", "have", "kind"), [("3.1.2", "3.1", "related"), ("3.1", "3.1.4", "related"), ("3.1", "3.10", None), ("3.1", "3.1", "exact")])
+@pytest.mark.parametrize(
+    ("section", "have", "kind"),
+    [("3.1.2", "3.1", "related"), ("3.1", "3.1.4", "related"), ("3.1", "3.10", None), ("3.1", "3.1", "exact")],
+)
 def test_section_fallback_is_bounded_by_dots(spark, section, have, kind):
-    got = retrieval.section_matches(spark.createDataFrame([(section,), (None,)], "section string"), spark.createDataFrame([(have,), (None,)], "section string")).collect()
+    got = retrieval.section_matches(
+        spark.createDataFrame([(section,), (None,)], "section string"),
+        spark.createDataFrame([(have,), (None,)], "section string"),
+    ).collect()
     assert [r.kind for r in got] == ([kind] if kind else [])
 
 
 def test_metrics(spark):
-    rows = spark.createDataFrame([(1, "guidelines, Section 3.1"), (2, "no number"), (3, "section 9.9")], "query long, label_source string")
+    rows = spark.createDataFrame(
+        [(1, "guidelines, Section 3.1"), (2, "no number"), (3, "section 9.9")],
+        "query long, label_source string",
+    )
     chunks = spark.createDataFrame([(10, "3.1"), (11, "3.1"), (12, "4.1")], "key long, section string")
     gold, kinds = retrieval.gold_chunks(rows, chunks)
-    ranking = spark.createDataFrame([(1, 1, 12), (1, 2, 11), (1, 7, 10), (2, 1, 10), (3, 1, 10)], "query long, rank int, key long")
+    ranking = spark.createDataFrame(
+        [(1, 1, 12), (1, 2, 11), (1, 7, 10), (2, 1, 10), (3, 1, 10)],
+        "query long, rank int, key long",
+    )
     got = {r["query"]: r for r in retrieval.per_row_metrics(ranking, gold, kinds).collect()}
-    assert (got[1].first_gold_rank, got[1].mrr, got[1].hit_5, got[1].recall_5, got[1].recall_10) == (2, 0.5, 1, 0.5, 1.0)
+    assert (
+        got[1].first_gold_rank,
+        got[1].mrr,
+        got[1].hit_5,
+        got[1].recall_5,
+        got[1].recall_10,
+    ) == (2, 0.5, 1, 0.5, 1.0)
     assert (got[2].kind, got[2].mrr, got[2].recall_5) == ("no-section", 0.0, 0.0)
     assert (got[3].kind, got[3].n_gold) == ("missing", 0)
-    full = retrieval.per_row_metrics(ranking, gold, kinds).withColumn("area", F.lit(None).cast("string")).withColumn("edge_case_type", F.lit("none"))
-    assert {(r.level, r.value, r.n) for r in retrieval.retrieval_summary(full).collect()} == {("overall", None, 3), ("area", None, 3), ("edge_case_type", "none", 3)}
+    full = retrieval.per_row_metrics(ranking, gold, kinds).withColumn("area", F.lit(None).cast("string")).withColumn(
+        "edge_case_type",
+        F.lit("none"),
+    )
+    assert {(r.level, r.value, r.n) for r in retrieval.retrieval_summary(full).collect()} == {
+        ("overall", None, 3),
+        ("area", None, 3),
+        ("edge_case_type", "none", 3),
+    }
