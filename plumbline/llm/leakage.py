@@ -30,7 +30,13 @@ SURVIVORS, IN_WINDOW = 5, 3
 def _item_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         words = [hashes(plain_words(t)) if isinstance(t, str) else np.empty(0, np.uint64) for t in pdf["text"]]
-        yield pd.DataFrame({"item_id": pdf["item_id"], "item_words": [w.view(np.int64) for w in words], "item_shingles": [shingles(w).view(np.int64) for w in words]})
+        yield pd.DataFrame(
+            {
+                "item_id": pdf["item_id"],
+                "item_words": [w.view(np.int64) for w in words],
+                "item_shingles": [shingles(w).view(np.int64) for w in words],
+            }
+        )
 
 
 def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +83,8 @@ def _aligns(item: np.ndarray, window: np.ndarray) -> bool:
         run[1:] = np.where(equal[i], run[:-1] + 1, 0)
         if run.max() >= STRETCH:
             return True
-    # edits[s, j]: least edits from the item's words from s on, up to the current one, to words of the window that end at j.
+    # edits[s, j]: least edits from the item's words from s on, up to the current one, to words of the window that end
+    # at j.
     columns = np.arange(w + 1, dtype=np.int32)
     edits = np.full((starts, w + 1), 10_000, dtype=np.int32)
     for i in range(m):
@@ -105,7 +112,9 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``documents``: (``doc_id``, ``text``); ``items``: (``item_id``, ``text``). Returns the distinct pairs (``doc_id``, ``item_id``)."""
     source = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    known = cut_lineage(source.mapInPandas(_item_shingles, "item_id long, item_words array<long>, item_shingles array<long>"))
+    known = cut_lineage(
+        source.mapInPandas(_item_shingles, "item_id long, item_words array<long>, item_shingles array<long>")
+    )
     placed = known.select("item_id", F.posexplode("item_shingles").alias("pos", "shingle"))
     distinct = placed.select("shingle").distinct()
     # A bitmap of fixed size drops the shingles that no item has; the few that pass by chance meet no item in the joins.
@@ -127,17 +136,31 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "places", "found", "doc_words"])
 
     pages = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hit = cut_lineage(spread(pages).mapInPandas(hits, "doc_id long, places array<int>, found array<long>, doc_words array<long>"))
+    hit = cut_lineage(
+        spread(pages).mapInPandas(hits, "doc_id long, places array<int>, found array<long>, doc_words array<long>")
+    )
     each = hit.select(F.explode(F.array_distinct("found")).alias("shingle"))
     n_docs = each.groupBy("shingle").agg(F.count("*").alias("n_docs")).join(distinct, "shingle", "left_semi")
-    counted = placed.join(n_docs.hint("merge"), "shingle", "left").select("item_id", F.struct("pos", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"), "shingle").alias("x"))
-    prefixes = counted.groupBy("item_id").agg(F.collect_list("x").alias("counted")).mapInPandas(_prefixes, "item_id long, item_pos int, shingle long")
+    counted = placed.join(n_docs.hint("merge"), "shingle", "left").select(
+        "item_id",
+        F.struct("pos", F.coalesce("n_docs", F.lit(0).cast("long")).alias("n_docs"), "shingle").alias("x"),
+    )
+    prefixes = counted.groupBy("item_id").agg(F.collect_list("x").alias("counted")).mapInPandas(
+        _prefixes,
+        "item_id long, item_pos int, shingle long",
+    )
     prefixes = cut_lineage(prefixes)
-    seeds = hit.where("doc_words is not null").select("doc_id", F.explode(F.arrays_zip("places", "found")).alias("x")).select("doc_id", F.col("x.places").alias("place"), F.col("x.found").alias("shingle"))
+    seeds = hit.where("doc_words is not null").select(
+        "doc_id",
+        F.explode(F.arrays_zip("places", "found")).alias("x"),
+    ).select("doc_id", F.col("x.places").alias("place"), F.col("x.found").alias("shingle"))
     candidates = (
         seeds.join(prefixes.hint("merge"), "shingle")
         .groupBy("doc_id", "item_id")
         .agg(F.collect_set(F.col("place") - F.col("item_pos")).alias("offsets"))
     )
-    full = candidates.join(hit.select("doc_id", "doc_words").hint("merge"), "doc_id").join(known.select("item_id", "item_words").hint("merge"), "item_id")
+    full = candidates.join(hit.select("doc_id", "doc_words").hint("merge"), "doc_id").join(
+        known.select("item_id", "item_words").hint("merge"),
+        "item_id",
+    )
     return full.mapInPandas(_verified, "doc_id long, item_id long").distinct()

@@ -37,7 +37,8 @@ BANDS, ROWS, BITS, SIGNED = 40, 8, 2, 64
 MARGIN = 0.32
 #: One class in ``SAMPLE`` is looked at to find the band buckets of about ``SAMPLE * HOT`` members or more.
 SAMPLE, HOT = 16, 8
-#: A block has about so many members, and so many words, at most; word incidences are multiplied so many columns at a time.
+#: A block has about so many members, and so many words, at most; word incidences are multiplied so many columns at a
+#: time.
 BLOCK, BLOCK_WORDS, COLUMNS = 1024, 200_000, 2048
 _K = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
@@ -58,7 +59,13 @@ def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keys.append(key)
                 ids.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sets.append(h.view(np.int64))
-        yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "set_id": pd.Series(ids, dtype=object), "words": pd.Series(sets, dtype=object)})
+        yield pd.DataFrame(
+            {
+                "key": pd.Series(keys, dtype="int64"),
+                "set_id": pd.Series(ids, dtype=object),
+                "words": pd.Series(sets, dtype=object),
+            }
+        )
 
 
 def _minima(word_hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -85,9 +92,19 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             minima = _minima(np.concatenate(part["words"].to_list()).astype(np.int64).view(np.uint64), starts)
             with np.errstate(over="ignore"):
                 bands = (minima.reshape(len(part), BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64)
-                bands = (bands ^ (bands >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64) * _A[0]
+                bands = (bands ^ (bands >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(
+                    BANDS,
+                    dtype=np.uint64,
+                ) * _A[0]
             packed = _pack(minima[:, :SIGNED])
-            yield pd.DataFrame({"rep": part["rep"].to_numpy(), "n_words": sizes, **dict(zip(_SIGNATURE, packed.T, strict=True)), "bands": list(bands.view(np.int64))})
+            yield pd.DataFrame(
+                {
+                    "rep": part["rep"].to_numpy(),
+                    "n_words": sizes,
+                    **dict(zip(_SIGNATURE, packed.T, strict=True)),
+                    "bands": list(bands.view(np.int64)),
+                }
+            )
 
 
 def _unequal(x: Column, y: Column) -> Column:
@@ -109,11 +126,17 @@ def estimate(a: list[Column], b: list[Column]) -> Column:
 
 def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Members (``key``, ``rep``) and classes (``rep``, ``words``): texts of the same word set share the least key as ``rep``."""
-    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
+    source = df.select(
+        F.col(key).cast("long").alias("key"),
+        F.col(text).cast("string").alias("text"),
+    ).where("key is not null")
     sets = cut_lineage(spread(source).mapInPandas(_word_sets, "key long, set_id binary, words array<long>"))
     heads = sets.groupBy("set_id").agg(F.min("key").alias("rep"), F.first("words").alias("words"))
     heads = cut_lineage(heads)
-    members = sets.select("key", "set_id").join(heads.select("set_id", "rep").hint("merge"), "set_id").select("key", "rep")
+    members = sets.select("key", "set_id").join(
+        heads.select("set_id", "rep").hint("merge"),
+        "set_id",
+    ).select("key", "rep")
     return members, heads.select("rep", "words")
 
 
@@ -127,7 +150,9 @@ def _hot_blobs(entries: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     inside = entries.select("band_key", "rep").join(hot.hint("merge"), "band_key")
     least = inside.groupBy("band_key").agg(F.min("rep").alias("least"))
     star = inside.join(least.hint("merge"), "band_key").select(F.col("rep").alias("src"), F.col("least").alias("dst"))
-    return hot, cut_lineage(connected_components(star).select(F.col("node").alias("rep"), F.col("component").alias("blob")))
+    return hot, cut_lineage(
+        connected_components(star).select(F.col("node").alias("rep"), F.col("component").alias("blob"))
+    )
 
 
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -167,7 +192,9 @@ def _block_verifier(threshold: float, as_pairs: bool) -> Callable[[pd.DataFrame]
         i, j = np.nonzero(linked)
         a, b = reps[left[i]], reps[right[j]]
         if as_pairs:
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": similarity[i, j].astype(np.float64)})
+            return pd.DataFrame(
+                {"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": similarity[i, j].astype(np.float64)}
+            )
         least = np.arange(len(reps))
         while len(i):
             low = np.minimum(least[left[i]], least[right[j]])
@@ -187,13 +214,26 @@ def _blob_links(blobs: DataFrame, heads: DataFrame, threshold: float, as_pairs:
     members = blobs.join(heads.hint("merge"), "rep")
     n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("words")) / BLOCK_WORDS)).cast("int")
     sizes = members.groupBy("blob").agg(n_blocks.alias("n_blocks"))
-    placed = members.join(sizes.hint("merge"), "blob").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    placed = members.join(sizes.hint("merge"), "blob").withColumn(
+        "block",
+        F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"),
+    )
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    pairs = met.select("blob", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "words")
+    pairs = met.select(
+        "blob",
+        F.least("block", "other").alias("one"),
+        F.greatest("block", "other").alias("two"),
+        "block",
+        "rep",
+        "words",
+    )
     session = heads.sparkSession
     tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     schema = "a long, b long, similarity double" if as_pairs else "rep long, n_links long, to long"
-    return pairs.repartition(tasks, "blob", "one", "two").groupBy("blob", "one", "two").applyInPandas(_block_verifier(threshold, as_pairs), schema)
+    return pairs.repartition(tasks, "blob", "one", "two").groupBy("blob", "one", "two").applyInPandas(
+        _block_verifier(threshold, as_pairs),
+        schema,
+    )
 
 
 def _links(heads: DataFrame, threshold: float, as_pairs: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -209,16 +249,31 @@ def _links(heads: DataFrame, threshold: float, as_pairs: bool) -> tuple[DataFram
         entries = entries.join(hot.hint("merge"), "band_key", "left_anti").join(blobs.hint("merge"), "rep", "left")
     else:
         entries = entries.withColumn("blob", F.lit(None).cast("long"))
-    left, right = (entries.select("band_key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n_words", "blob", *_SIGNATURE)]) for x in "ab")
+    left, right = (
+        entries.select("band_key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n_words", "blob", *_SIGNATURE)])
+        for x in "ab"
+    )
     bound = F.least("n_words_a", "n_words_b") >= threshold * F.greatest("n_words_a", "n_words_b") - 1e-9
     similar = estimate(*[[F.col(f"{s}_{x}") for s in _SIGNATURE] for x in "ab"]) >= threshold - MARGIN
     apart = F.coalesce(F.col("blob_a") != F.col("blob_b"), F.lit(True))
     # Merge joins throughout: the planner sizes an exploded table by its source and would broadcast it.
-    candidates = left.join(right.hint("merge"), "band_key").where((F.col("rep_a") < F.col("rep_b")) & bound & apart & similar).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    candidates = left.join(right.hint("merge"), "band_key").where(
+        (F.col("rep_a") < F.col("rep_b"))
+        & bound
+        & apart
+        & similar
+    ).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     for x in "ab":
-        candidates = candidates.join(heads.select(F.col("rep").alias(x), F.col("words").alias(f"words_{x}")).hint("merge"), x)
+        candidates = candidates.join(
+            heads.select(F.col("rep").alias(x), F.col("words").alias(f"words_{x}")).hint("merge"),
+            x,
+        )
     common = F.size(F.array_intersect("words_a", "words_b"))
-    verified = candidates.select("a", "b", (common / (F.size("words_a") + F.size("words_b") - common)).alias("similarity"))
+    verified = candidates.select(
+        "a",
+        "b",
+        (common / (F.size("words_a") + F.size("words_b") - common)).alias("similarity"),
+    )
     return verified.where(F.col("similarity") >= threshold), inside
 
 
@@ -229,8 +284,16 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float =
     members, links = cut_lineage(members), cut_lineage(links.unionByName(inside) if inside else links)
     one, two = (members.select(F.col("rep").alias(r), F.col("key").alias(k)) for r, k in (("a", "k1"), ("b", "k2")))
     across = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("k1", "k2", "similarity")
-    within = one.join(two.hint("merge"), F.col("a") == F.col("b")).where("k1 < k2").select("k1", "k2", F.lit(1.0).alias("similarity"))
-    return across.unionByName(within).select(F.least("k1", "k2").alias("row_a"), F.greatest("k1", "k2").alias("row_b"), "similarity")
+    within = one.join(two.hint("merge"), F.col("a") == F.col("b")).where("k1 < k2").select(
+        "k1",
+        "k2",
+        F.lit(1.0).alias("similarity"),
+    )
+    return across.unionByName(within).select(
+        F.least("k1", "k2").alias("row_a"),
+        F.greatest("k1", "k2").alias("row_b"),
+        "similarity",
+    )
 
 
 def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
@@ -242,9 +305,14 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float =
     members, heads = classes(df, key, text)
     links, inside = _links(heads, threshold, as_pairs=False)
     members, links = cut_lineage(members), cut_lineage(links)
-    edges, counts = links.select(F.col("a").alias("src"), F.col("b").alias("dst")), links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n_links"))
+    edges, counts = links.select(F.col("a").alias("src"), F.col("b").alias("dst")), links.select(
+        F.explode(F.array("a", "b")).alias("rep"),
+        F.lit(1).cast("long").alias("n_links"),
+    )
     if inside:
-        edges, counts = edges.unionByName(inside.select(F.col("rep").alias("src"), F.col("to").alias("dst"))), counts.unionByName(inside.select("rep", "n_links"))
+        edges, counts = edges.unionByName(
+            inside.select(F.col("rep").alias("src"), F.col("to").alias("dst"))
+        ), counts.unionByName(inside.select("rep", "n_links"))
     groups = connected_components(edges)
     counts = counts.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     known = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")

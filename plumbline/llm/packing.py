@@ -79,16 +79,26 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: i
                     own = np.maximum(np.minimum(capacity, len(tokens) - starts) - 1, 0)
                 sizes.append(len(tokens))
                 losses.append(own.astype(np.int32))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": sizes, "losses": pd.Series(losses, dtype=object, index=pdf.index)})
+            yield pd.DataFrame(
+                {"doc_id": pdf["doc_id"], "n_tokens": sizes, "losses": pd.Series(losses, dtype=object, index=pdf.index)}
+            )
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return spread(source).mapInPandas(count, "doc_id long, n_tokens int, losses array<int>")
 
 
-def fill(tokens: np.ndarray, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), losses: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def fill(
+    tokens: np.ndarray,
+    limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS),
+    losses: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """For items of these sizes, none over the limits: the sequence of each and its place there. All tokens but the first bear loss unless ``losses`` says otherwise."""
     losses = np.maximum(tokens - 1, 0) if losses is None else losses
-    kinds, kind = np.unique(np.stack([tokens, np.ones_like(tokens), losses], axis=1).astype(np.int64), axis=0, return_inverse=True)
+    kinds, kind = np.unique(
+        np.stack([tokens, np.ones_like(tokens), losses], axis=1).astype(np.int64),
+        axis=0,
+        return_inverse=True,
+    )
     kind = kind.reshape(-1)
     queues: list[list[int]] = [[] for _ in kinds]
     for i in range(len(tokens) - 1, -1, -1):
@@ -118,18 +128,39 @@ def fill(tokens: np.ndarray, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, L
 _PACKED = "doc_id long, part_no int, n_parts int, token_from int, token_to int, sequence_id long, segment_no int, starts_at int, n_loss int"
 
 
-def pack(documents: DataFrame, vocabulary: str = VOCABULARY, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), group: int = GROUP) -> DataFrame:
+def pack(
+    documents: DataFrame,
+    vocabulary: str = VOCABULARY,
+    limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS),
+    group: int = GROUP,
+) -> DataFrame:
     """A row per text, or part of a text over the capacity: its tokens from ``token_from`` up to ``token_to``, of which ``n_loss`` bear loss, are segment ``segment_no`` of
     ``sequence_id``, from its token ``starts_at`` on."""
     capacity = min(limits[0], limits[2] + 1)
     counts = cut_lineage(token_counts(documents, vocabulary, capacity))
     n_parts = F.greatest(F.ceil(F.col("n_tokens") / capacity), F.lit(1)).cast("int")
-    parts = counts.withColumn("n_parts", n_parts).select("doc_id", "n_tokens", "n_parts", F.posexplode("losses").alias("place", "n_loss")).withColumn("part_no", F.col("place") + 1)
-    parts = parts.select("doc_id", "part_no", "n_parts", "n_loss", ((F.col("part_no") - 1) * capacity).alias("token_from"), F.least(F.col("part_no") * capacity, "n_tokens").alias("token_to"))
+    parts = counts.withColumn("n_parts", n_parts).select(
+        "doc_id",
+        "n_tokens",
+        "n_parts",
+        F.posexplode("losses").alias("place", "n_loss"),
+    ).withColumn("part_no", F.col("place") + 1)
+    parts = parts.select(
+        "doc_id",
+        "part_no",
+        "n_parts",
+        "n_loss",
+        ((F.col("part_no") - 1) * capacity).alias("token_from"),
+        F.least(F.col("part_no") * capacity, "n_tokens").alias("token_to"),
+    )
     n_groups = max(1, -(-counts.count() // group))
-    # The sizes are few bytes, but filling takes seconds a group: the number of partitions is set lest they be coalesced into one.
+    # The sizes are few bytes, but filling takes seconds a group: the number of partitions is set lest they be coalesced
+    # into one.
     n_tasks = min(n_groups, 4 * documents.sparkSession.sparkContext.defaultParallelism)
-    grouped = parts.withColumn("group_no", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(n_groups))).repartition(n_tasks, "group_no")
+    grouped = parts.withColumn(
+        "group_no",
+        F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(n_groups)),
+    ).repartition(n_tasks, "group_no")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "part_no"], ignore_index=True)
@@ -140,7 +171,11 @@ def pack(documents: DataFrame, vocabulary: str = VOCABULARY, limits: tuple[int,
         fresh = np.concatenate(([True], sequence[order][1:] != sequence[order][:-1]))
         starts = np.empty(len(pdf), dtype=np.int64)
         starts[order] = total - np.maximum.accumulate(np.where(fresh, total, 0))
-        return pdf.drop(columns="group_no").assign(sequence_id=int(pdf["group_no"].iloc[0]) * (1 << 32) + sequence, segment_no=segment + 1, starts_at=starts)
+        return pdf.drop(columns="group_no").assign(
+            sequence_id=int(pdf["group_no"].iloc[0]) * (1 << 32) + sequence,
+            segment_no=segment + 1,
+            starts_at=starts,
+        )
 
     return grouped.groupBy("group_no").applyInPandas(place, _PACKED)
 
@@ -148,9 +183,17 @@ def pack(documents: DataFrame, vocabulary: str = VOCABULARY, limits: tuple[int,
 def packing_summary(packed: DataFrame, capacity: int = TOKENS) -> DataFrame:
     """(``n_texts``, ``n_parts``, ``n_sequences``, ``n_tokens``, ``least_sequences``, ``unused_share``, ``most_tokens``, ``most_segments``, ``most_loss``) of ``pack``'s result; one row, also for an empty one."""
     tokens_of = F.sum(F.col("token_to") - F.col("token_from"))
-    sequences = packed.groupBy("sequence_id").agg(tokens_of.alias("n_tokens"), F.count("*").alias("n_parts"), F.sum((F.col("part_no") == 1).cast("long")).alias("n_texts"), F.sum("n_loss").alias("n_loss"))
+    sequences = packed.groupBy("sequence_id").agg(
+        tokens_of.alias("n_tokens"),
+        F.count("*").alias("n_parts"),
+        F.sum((F.col("part_no") == 1).cast("long")).alias("n_texts"),
+        F.sum("n_loss").alias("n_loss"),
+    )
     n, total = F.count("*"), lambda c: F.coalesce(F.sum(c), F.lit(0))
-    most = [F.coalesce(F.max(c), F.lit(0)).alias(name) for c, name in (("n_tokens", "most_tokens"), ("n_parts", "most_segments"), ("n_loss", "most_loss"))]
+    most = [
+        F.coalesce(F.max(c), F.lit(0)).alias(name)
+        for c, name in (("n_tokens", "most_tokens"), ("n_parts", "most_segments"), ("n_loss", "most_loss"))
+    ]
     return sequences.agg(
         total("n_texts").alias("n_texts"),
         total("n_parts").alias("n_parts"),

@@ -32,15 +32,20 @@ FEW_PROMPTS = 16
 BLOCK = 1024
 #: Share of the response's five-word shingles that a candidate prompt holds at least.
 CANDIDATE = 0.12
-#: An echo has at least this share of its words in aligned sentences of the prompt, and of the prompt's words in its own.
+#: An echo has at least this share of its words in aligned sentences of the prompt, and of the prompt's words in its
+#: own.
 ECHO_OF_RESPONSE, ECHO_OF_PROMPT = 0.75, 0.6
 _LEAST_WORDS = 8
 
 #: Placeholders, as words without punctuation.
-PLACEHOLDERS = {"", "na", "n a", "none", "null", "nan", "nil", "tbd", "todo", "undefined", "empty", "missing", "unknown", "no explanation", "not available", "not applicable", "no answer", "no response"}
+PLACEHOLDERS = {
+    "", "na", "n a", "none", "null", "nan", "nil", "tbd", "todo", "undefined", "empty", "missing", "unknown",
+    "no explanation", "not available", "not applicable", "no answer", "no response",
+}
 BARE_LABEL = re.compile(r"^(?:(?:the )?(?:label|answer|result|classification|verdict)(?: is)? )?(?:not )?high risk$")
 
-#: Refusal templates; their words occur in this order within a sentence, with 'we' for 'i', 'us' for 'me', 'are' for 'am'.
+#: Refusal templates; their words occur in this order within a sentence, with 'we' for 'i', 'us' for 'me',
+#: 'are' for 'am'.
 _TEMPLATES = [
     t.split()
     for t in (
@@ -52,7 +57,8 @@ _TEMPLATES = [
         "i am not allowed to", "i m not allowed to", "outside what i am allowed to", "i am not permitted to", "i am not in a position to", "i m not in a position to", "i am not qualified to", "keep me from giving", "prevent me from giving", "expertise that i do not have",
     )
 ]
-#: Refusals without a person. They begin with the first word, after an apology at most, and the other words follow in this order.
+#: Refusals without a person. They begin with the first word, after an apology at most, and the other
+#: words follow in this order.
 _IMPERSONAL = [
     t.split()
     for t in (
@@ -66,7 +72,9 @@ _ALIKE = {"we": "i", "us": "me", "are": "am", "re": "m", "ourselves": "me", "mys
 _APOLOGY = {"sorry", "unfortunately", "regrettably", "apologies", "i", "am", "m", "but", "very", "afraid", "that"}
 
 #: Frequent function words by language.
-_ENGLISH = frozenset("the of and to in a is that it for as with on by be this not which are from at or an has was its but so because no because may can only".split())
+_ENGLISH = frozenset(
+    "the of and to in a is that it for as with on by be this not which are from at or an has was its but so because no because may can only".split()
+)
 _OTHERS = frozenset(
     (
         "der die das und ist nicht ein eine einer zu den von mit für auf dem des wird werden im als auch nach weil sich "
@@ -80,7 +88,9 @@ _OTHERS = frozenset(
     ).split()
 ) - _ENGLISH
 #: Without one of these no template aligns.
-_HINT = re.compile(r"\b(?:I|i|[Mm]e|ME|[Ww]e|WE|us|US)\b|\b(?i:unable|not able|can(?:not|\W?t) be|(?:not|is) possible|no \w+ can be)\b")
+_HINT = re.compile(
+    r"\b(?:I|i|[Mm]e|ME|[Ww]e|WE|us|US)\b|\b(?i:unable|not able|can(?:not|\W?t) be|(?:not|is) possible|no \w+ can be)\b"
+)
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 #: No placeholder or bare label has more words.
 _SHORT = 8
@@ -187,7 +197,9 @@ def _held(text: str) -> np.ndarray:
 
 def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf[["id", "pair"]].assign(held=pd.Series([_held(t).view(np.int64) for t in pdf["text"]], dtype=object, index=pdf.index))
+        yield pdf[["id", "pair"]].assign(
+            held=pd.Series([_held(t).view(np.int64) for t in pdf["text"]], dtype=object, index=pdf.index)
+        )
 
 
 def _echoing(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,19 +227,40 @@ def _pair() -> Column:
 
 def _echoes_of_many(answers: DataFrame, asked: DataFrame, many: DataFrame) -> DataFrame:
     """(``spot``, ``echoed``): for ids with many prompts, the rows with the pairs of id and response that are echoes."""
-    hot = answers.join(many, "id", "left_semi").where("text is not null").select("spot", "id", "text", _pair().alias("pair"))
+    hot = answers.join(many, "id", "left_semi").where("text is not null").select(
+        "spot",
+        "id",
+        "text",
+        _pair().alias("pair"),
+    )
     different = hot.select("id", "pair", "text").dropDuplicates(["id", "pair"])
     prompts = asked.join(many, "id", "left_semi").select("id", F.lit(None).cast("string").alias("pair"), "text")
     index, held = (t.mapInPandas(_shingled, "id string, pair string, held array<long>") for t in (prompts, different))
-    pooled = held.select("id", "pair", F.size("held").alias("of"), F.explode("held").alias("shingle")).join(index.select("id", F.explode("held").alias("shingle")).distinct().hint("merge"), ["id", "shingle"])
-    likely = pooled.groupBy("id", "pair").agg(F.count("*").alias("n"), F.max("of").alias("of")).where(F.col("n") >= CANDIDATE * F.col("of"))
+    pooled = held.select("id", "pair", F.size("held").alias("of"), F.explode("held").alias("shingle")).join(
+        index.select("id", F.explode("held").alias("shingle")).distinct().hint("merge"),
+        ["id", "shingle"],
+    )
+    likely = pooled.groupBy("id", "pair").agg(F.count("*").alias("n"), F.max("of").alias("of")).where(
+        F.col("n") >= CANDIDATE * F.col("of")
+    )
     suspects = cut_lineage(different.join(likely.select("id", "pair").hint("merge"), ["id", "pair"], "left_semi"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = suspects.groupBy("id").agg(blocks(F.count("*")).alias("slices")).join(many.select("id", blocks(F.col("n")).alias("blocks")), "id")
+    sizes = suspects.groupBy("id").agg(blocks(F.count("*")).alias("slices")).join(
+        many.select("id", blocks(F.col("n")).alias("blocks")),
+        "id",
+    )
     placed = lambda t, own, of, other, others: t.join(sizes.hint("merge"), "id").select("id", "pair", "text", F.pmod(F.xxhash64("text"), F.col(of)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other))
-    met = placed(prompts, "block", "blocks", "slice", "slices").unionByName(placed(suspects, "slice", "slices", "block", "blocks"))
-    tasks = max(met.sparkSession.sparkContext.defaultParallelism, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    echoed = met.repartition(tasks, "id", "block", "slice").groupBy("id", "block", "slice").applyInPandas(_echoing, "pair string").distinct()
+    met = placed(prompts, "block", "blocks", "slice", "slices").unionByName(
+        placed(suspects, "slice", "slices", "block", "blocks")
+    )
+    tasks = max(
+        met.sparkSession.sparkContext.defaultParallelism,
+        int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+    )
+    echoed = met.repartition(tasks, "id", "block", "slice").groupBy("id", "block", "slice").applyInPandas(
+        _echoing,
+        "pair string",
+    ).distinct()
     return hot.join(echoed.hint("merge"), "pair").groupBy("spot").agg(F.collect_set("pair").alias("echoed"))
 
 
@@ -237,15 +270,40 @@ def pair_defects(responses: DataFrame, prompts: DataFrame) -> DataFrame:
     Returns (``row_no``, ``defect``) for the defective responses.
     """
     name, number = F.lower(F.trim("id")), F.col("row_no").cast("long")
-    answers = responses.select(number.alias("row_no"), F.coalesce(number, F.lit(-1 << 63)).alias("spot"), name.alias("id"), F.col("explanation").alias("text"), F.coalesce(F.lower(F.trim("pred_label")).isin(*LABELS), F.lit(False)).alias("labelled"))
-    asked = prompts.where("id is not null and system_description is not null").select(name.alias("id"), F.col("system_description").alias("text")).distinct()
+    answers = responses.select(
+        number.alias("row_no"),
+        F.coalesce(number, F.lit(-1 << 63)).alias("spot"),
+        name.alias("id"),
+        F.col("explanation").alias("text"),
+        F.coalesce(F.lower(F.trim("pred_label")).isin(*LABELS), F.lit(False)).alias("labelled"),
+    )
+    asked = prompts.where("id is not null and system_description is not null").select(
+        name.alias("id"),
+        F.col("system_description").alias("text"),
+    ).distinct()
     texts = responses.select(F.lit("responses").alias("origin"), F.col("row_no").alias("key"), F.col("config").alias("source"), F.col("explanation").alias("text")).unionByName(
         prompts.select(F.lit("prompts").alias("origin"), F.col("row_no").alias("key"), "source", F.col("system_description").alias("text"))
     )
-    cut = judged_rows(texts).where("origin = 'responses' and is_cut").select(F.col("key").alias("spot"), "is_cut").distinct()
+    cut = judged_rows(texts).where("origin = 'responses' and is_cut").select(
+        F.col("key").alias("spot"),
+        "is_cut",
+    ).distinct()
     n_prompts = asked.groupBy("id").agg(F.count("*").alias("n"))
-    few = asked.join(n_prompts.where(F.col("n") <= FEW_PROMPTS), "id").groupBy("id").agg(F.collect_list("text").alias("prompts"))
+    few = asked.join(n_prompts.where(F.col("n") <= FEW_PROMPTS), "id").groupBy("id").agg(
+        F.collect_list("text").alias("prompts")
+    )
     echoes = _echoes_of_many(answers, asked, n_prompts.where(F.col("n") > FEW_PROMPTS))
-    joined = answers.join(few.hint("merge"), "id", "left").join(cut.hint("merge"), "spot", "left").join(echoes.hint("merge"), "spot", "left")
-    filled = joined.select("row_no", "text", "prompts", F.coalesce("is_cut", F.lit(False)).alias("is_cut"), "labelled", F.coalesce(F.array_contains("echoed", _pair()), F.lit(False)).alias("echoes"))
+    joined = answers.join(few.hint("merge"), "id", "left").join(cut.hint("merge"), "spot", "left").join(
+        echoes.hint("merge"),
+        "spot",
+        "left",
+    )
+    filled = joined.select(
+        "row_no",
+        "text",
+        "prompts",
+        F.coalesce("is_cut", F.lit(False)).alias("is_cut"),
+        "labelled",
+        F.coalesce(F.array_contains("echoed", _pair()), F.lit(False)).alias("echoes"),
+    )
     return filled.mapInPandas(_with_defect, "row_no long, defect string").where("defect is not null")

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.words import Bitmap, Lexicon, lower_words, shingles, word_hash
 from plumbline.session import cut_lineage, spread
 
-#: Search phrases are of two or three words, so shingles of two words find them in any order; see the README for the figures with five.
+#: Search phrases are of two or three words, so shingles of two words find them in any order; see the README for the
+#: figures with five.
 PHRASE = 2
 ELSEWHERE = 2
 DENSITY = STITCHED = 0.5
@@ -120,7 +121,11 @@ class _Part:
         has = content != 0
         n_content = np.bincount(self.page[has], minlength=len(texts))
         with np.errstate(over="ignore"):
-            _, at, times = np.unique((content + self.page.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[has], return_inverse=True, return_counts=True)
+            _, at, times = np.unique(
+                (content + self.page.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[has],
+                return_inverse=True,
+                return_counts=True,
+            )
         self.keyword = np.zeros(len(content), dtype=bool)
         self.keyword[has] = times[at] >= np.maximum(4, n_content / 40)[self.page[has]]
         count = lambda x: np.bincount(unit_of[x], minlength=n_units)
@@ -156,9 +161,20 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = _Part([pdf["text"].iat[i] for i in at])
             bounds = np.searchsorted(part.page, np.arange(len(at) + 1))
             dense = part.density > DENSITY
-            words = [part.hashed[a:b].view(np.int64) if d else None for d, a, b in zip(dense, bounds, bounds[1:], strict=False)]
+            words = [
+                part.hashed[a:b].view(np.int64) if d else None
+                for d, a, b in zip(dense, bounds, bounds[1:], strict=False)
+            ]
             keywords = [part.keyword[a:b] if d else None for d, a, b in zip(dense, bounds, bounds[1:], strict=False)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[at], "host": pdf["host"].to_numpy()[at], "density": part.density, "words": words, "keywords": keywords})
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"].to_numpy()[at],
+                    "host": pdf["host"].to_numpy()[at],
+                    "density": part.density,
+                    "words": words,
+                    "keywords": keywords,
+                }
+            )
 
 
 def _with_phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +199,12 @@ def _on_hosts(wanted) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
                 kept = wanted.value.has(phrases) & (page[:n] == page[len(page) - n :])
                 found.append((hosts[page[:n][kept]], phrases[kept]))
             if found:
-                yield pd.DataFrame({"host": np.concatenate([h for h, _ in found]), "phrase": np.concatenate([p for _, p in found]).view(np.int64)}).drop_duplicates()
+                yield pd.DataFrame(
+                    {
+                        "host": np.concatenate([h for h, _ in found]),
+                        "phrase": np.concatenate([p for _, p in found]).view(np.int64),
+                    }
+                ).drop_duplicates()
 
     return read
 
@@ -218,19 +239,47 @@ def page_evidence(documents: DataFrame) -> DataFrame:
     phrases count for the others only.
     """
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z]+:)?//([^/?#]+)", 1)), F.lit("")), "source", F.lit(""))
-    pages = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(host).alias("host")))
-    seen = cut_lineage(pages.mapInPandas(_evidence, "doc_id long, host long, density double, words array<long>, keywords array<boolean>").withColumn("spot", F.monotonically_increasing_id()))
+    pages = spread(
+        documents.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("text").cast("string").alias("text"),
+            F.xxhash64(host).alias("host"),
+        )
+    )
+    seen = cut_lineage(
+        pages.mapInPandas(
+            _evidence,
+            "doc_id long, host long, density double, words array<long>, keywords array<boolean>",
+        ).withColumn("spot", F.monotonically_increasing_id())
+    )
     dense = seen.where("words is not null")
-    phrases = dense.select("spot", "host", "words").mapInPandas(_with_phrases, "spot long, host long, phrases array<long>")
+    phrases = dense.select("spot", "host", "words").mapInPandas(
+        _with_phrases,
+        "spot long, host long, phrases array<long>",
+    )
     wanted = documents.sparkSession.sparkContext.broadcast(Bitmap.of(phrases.select("phrases")))
-    counted = pages.select("host", "text").mapInPandas(_on_hosts(wanted), "host long, phrase long").distinct().groupBy("phrase").agg(F.count("*").alias("n_hosts"))
+    counted = pages.select("host", "text").mapInPandas(
+        _on_hosts(wanted),
+        "host long, phrase long",
+    ).distinct().groupBy("phrase").agg(F.count("*").alias("n_hosts"))
     # Every page has its own phrases itself, so one host of the count is its own.
     replicated = counted.where(F.col("n_hosts") > ELSEWHERE).select("phrase")
     own = phrases.select("spot", F.explode(F.array_distinct("phrases")).alias("phrase"))
-    found = own.join(replicated.hint("merge"), "phrase").groupBy("spot").agg(F.collect_list("phrase").alias("replicated"))
-    shares = dense.select("spot", "words", "keywords").join(found.hint("merge"), "spot", "left").mapInPandas(_stitched, "spot long, on_hosts double, stitched double")
+    found = own.join(replicated.hint("merge"), "phrase").groupBy("spot").agg(
+        F.collect_list("phrase").alias("replicated")
+    )
+    shares = dense.select("spot", "words", "keywords").join(found.hint("merge"), "spot", "left").mapInPandas(
+        _stitched,
+        "spot long, on_hosts double, stitched double",
+    )
     joined = seen.select("spot", "doc_id", "density").join(shares.hint("merge"), "spot", "left")
-    return joined.select("doc_id", "density", "on_hosts", "stitched", F.coalesce(F.col("stitched") > STITCHED, F.lit(False)).alias("is_spam"))
+    return joined.select(
+        "doc_id",
+        "density",
+        "on_hosts",
+        "stitched",
+        F.coalesce(F.col("stitched") > STITCHED, F.lit(False)).alias("is_spam"),
+    )
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:

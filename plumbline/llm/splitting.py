@@ -46,7 +46,9 @@ def cut_kind(body: str, share: int, limit: int = LIMIT) -> str | None:
 
 def _places(body: str, reach: int) -> list[tuple[int, float]]:
     """Where a piece may end, with its penalty."""
-    places = [(m.start(), SENTENCE if body[m.start() - 1] in ".!?" else CLAUSE) for m in re.finditer(r"(?<=[.;:!?]) ", body)]
+    places = [
+        (m.start(), SENTENCE if body[m.start() - 1] in ".!?" else CLAUSE) for m in re.finditer(r"(?<=[.;:!?]) ", body)
+    ]
     out: list[tuple[int, float]] = []
     last = 0
     for at, penalty in [*places, (len(body), SENTENCE)]:
@@ -133,11 +135,29 @@ def split_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: tuple[int, int]
                 pieces = plan(body, limit - share, overlap)
                 before = 0
                 for n, (start, end, penalty) in enumerate(pieces, 1):
-                    rows.append((row_no, kind, n, len(pieces), start, end, before - start if n > 1 else 0, "end" if end == len(body) else _KINDS[penalty], heading, body[start:end], shortened))
+                    rows.append(
+                        (
+                            row_no,
+                            kind,
+                            n,
+                            len(pieces),
+                            start,
+                            end,
+                            before - start if n > 1 else 0,
+                            "end" if end == len(body) else _KINDS[penalty],
+                            heading,
+                            body[start:end],
+                            shortened,
+                        )
+                    )
                     before = end
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PIECES.split(", ")])
 
-    source = chunks.select(F.col("row_no").cast("long").alias("row_no"), F.col("heading_path").cast("string").alias("heading_path"), F.col("text").cast("string").alias("text"))
+    source = chunks.select(
+        F.col("row_no").cast("long").alias("row_no"),
+        F.col("heading_path").cast("string").alias("heading_path"),
+        F.col("text").cast("string").alias("text"),
+    )
     return spread(source).mapInPandas(split, _PIECES)
 
 

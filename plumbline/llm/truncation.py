@@ -30,14 +30,20 @@ LEAST_WORDS = 3
 #: How a text may end, and what may stand around words.
 _CLOSERS = "\"'”’»)]}*_"
 _TERMINATED = re.compile(r"[.!?。！？।][" + re.escape(_CLOSERS) + r"]*$")
-_ELLIPSIS = re.compile(r"\s*(?:\.{3,}|…|\[\s*(?:\.{3}|…|cut|truncated|more)\s*\]|\(\s*(?:\.{3}|…)\s*\))\s*[" + re.escape(_CLOSERS) + r"]*$", re.IGNORECASE)
+_ELLIPSIS = re.compile(
+    r"\s*(?:\.{3,}|…|\[\s*(?:\.{3}|…|cut|truncated|more)\s*\]|\(\s*(?:\.{3}|…)\s*\))\s*[" + re.escape(_CLOSERS) + r"]*$",
+    re.IGNORECASE,
+)
 _BROKEN_CHARACTER = re.compile(r"(?:�|Ã|Â|â€|â|[\ud800-\udfff])$")
 _DANGLING = re.compile(r"[,;:/&(\[{<–—-]$")
 _PARENTHESIS = re.compile(r"\s\([^()]*(?:\([^()]*\)[^()]*)*\)$")
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "“": "„"}
 _EDGE = "\"'“”„‘’«»()[]{}<>*_.,;:!?…–—-"
 #: Elements that stay open without harm.
-_NEVER_CLOSED = {"area", "base", "br", "col", "dd", "dt", "embed", "hr", "img", "input", "li", "link", "meta", "option", "p", "source", "td", "th", "tr", "track", "wbr"}
+_NEVER_CLOSED = {
+    "area", "base", "br", "col", "dd", "dt", "embed", "hr", "img", "input", "li", "link", "meta", "option", "p",
+    "source", "td", "th", "tr", "track", "wbr",
+}
 #: The automaton's events.
 _EVENT = re.compile(
     r"(?P<escape>&\#?[A-Za-z0-9]{0,8}\Z|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?\Z|(?<![\d\s])%[0-9A-Fa-f]?\Z)|(?P<unfinished><[/A-Za-z!][^<>]*\Z)"
@@ -89,7 +95,17 @@ def _contexts(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         by4 = by3 + three * _M[3]
         named = np.uint64(_NAME) * _M[0] + one * _M[1] + two * _M[2]
         by6 = by4 + four * _M[8] + five * _M[9]
-        out = np.stack([_mix(by6), _mix(by4 + _M[4]), _mix(by3 + _M[5]), np.where(names, _mix(named + _M[7]), np.uint64(0)), _mix(by2 + _M[6]), _mix(exact * _M[0])], axis=1)
+        out = np.stack(
+            [
+                _mix(by6),
+                _mix(by4 + _M[4]),
+                _mix(by3 + _M[5]),
+                np.where(names, _mix(named + _M[7]), np.uint64(0)),
+                _mix(by2 + _M[6]),
+                _mix(exact * _M[0]),
+            ],
+            axis=1,
+        )
     return out, ends
 
 
@@ -142,7 +158,11 @@ def judge(text: str | None) -> tuple[str, list[int]]:
         return "broken character", []
     ellipsis = _ELLIPSIS.search(body)
     if ellipsis:
-        return ("terminated" if _TERMINATED.search(body[: ellipsis.start()]) and body[ellipsis.start()].isspace() else "ellipsis"), []
+        return (
+            "terminated" if _TERMINATED.search(
+                body[: ellipsis.start()]
+            ) and body[ellipsis.start()].isspace() else "ellipsis"
+        ), []
     if n_words < LEAST_WORDS:
         return "blank", []
     terminated = _TERMINATED.search(body) is not None
@@ -216,11 +236,27 @@ def judged_rows(df: DataFrame) -> DataFrame:
     Returns (``origin``, ``key``, ``source``, ``evidence``, ``whole_share``, ``is_cut``), a row for each of ``df``. ``whole_share``: of the sentences with
     the same last words, the share that ended there; null where the text alone decides.
     """
-    source = spread(df).select("origin", F.col("key").cast("long").alias("key"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    judged = cut_lineage(source.mapInPandas(_judged, "origin string, key long, source string, evidence string, contexts array<long>"))
-    wanted = df.sparkSession.sparkContext.broadcast(Bitmap.of(judged.where("evidence = 'unterminated'").select("contexts")))
-    counts = source.select("text").mapInPandas(_counter(wanted), "context long, n_end long, n_on long").groupBy("context").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
-    tails = judged.where("evidence = 'unterminated'").select("origin", "key", F.posexplode("contexts").alias("order", "context")).where("context <> 0")
+    source = spread(df).select(
+        "origin",
+        F.col("key").cast("long").alias("key"),
+        F.col("source").cast("string").alias("source"),
+        F.col("text").cast("string").alias("text"),
+    )
+    judged = cut_lineage(
+        source.mapInPandas(_judged, "origin string, key long, source string, evidence string, contexts array<long>")
+    )
+    wanted = df.sparkSession.sparkContext.broadcast(
+        Bitmap.of(judged.where("evidence = 'unterminated'").select("contexts"))
+    )
+    counts = source.select("text").mapInPandas(
+        _counter(wanted),
+        "context long, n_end long, n_on long",
+    ).groupBy("context").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"))
+    tails = judged.where("evidence = 'unterminated'").select(
+        "origin",
+        "key",
+        F.posexplode("contexts").alias("order", "context"),
+    ).where("context <> 0")
     # The tail contexts repeat: each is looked up once.
     known = tails.select("context").distinct().join(counts.hint("merge"), "context")
     seen = F.col("n_end") + F.col("n_on")
@@ -231,16 +267,35 @@ def judged_rows(df: DataFrame) -> DataFrame:
         .select("origin", "key", F.when(F.col("known_word") == 1, F.col("best.share")).otherwise(0.0).alias("share"))
     )
     unterminated = F.col("evidence") == "unterminated"
-    joined = judged.join(best.hint("merge"), ["origin", "key"], "left").withColumn("whole_share", F.when(unterminated, F.coalesce("share", F.lit(0.0))))
+    joined = judged.join(best.hint("merge"), ["origin", "key"], "left").withColumn(
+        "whole_share",
+        F.when(unterminated, F.coalesce("share", F.lit(0.0))),
+    )
     # Of the unterminated texts of a source, the expected share of cut ones; half in a source that has none.
-    of_source = joined.groupBy(F.col("origin").alias("of_origin"), F.col("source").alias("of_source")).agg((1 - F.coalesce(F.avg("whole_share"), F.lit(0.5))).alias("cut_here"))
+    of_source = joined.groupBy(F.col("origin").alias("of_origin"), F.col("source").alias("of_source")).agg(
+        (1 - F.coalesce(F.avg("whole_share"), F.lit(0.5))).alias("cut_here")
+    )
     structural = ~F.col("evidence").isin("blank", "terminated", "unterminated")
-    cut = structural | (unterminated & (F.col("whole_share") < F.greatest(F.least("cut_here", F.lit(HIGH)), F.lit(LOW))))
+    cut = structural | (
+        unterminated
+        & (F.col("whole_share") < F.greatest(F.least("cut_here", F.lit(HIGH)), F.lit(LOW)))
+    )
     same = F.col("origin").eqNullSafe(F.col("of_origin")) & F.col("source").eqNullSafe(F.col("of_source"))
-    return joined.join(of_source, same).select("origin", "key", "source", "evidence", "whole_share", cut.alias("is_cut"))
+    return joined.join(of_source, same).select(
+        "origin",
+        "key",
+        "source",
+        "evidence",
+        "whole_share",
+        cut.alias("is_cut"),
+    )
 
 
 def cut_shares(judged: DataFrame) -> DataFrame:
     """(``origin``, ``source``, ``n_rows``, ``n_cut``, ``cut_share``) from ``judged_rows``; blank texts count as rows."""
     n_cut = F.sum(F.col("is_cut").cast("long"))
-    return judged.groupBy("origin", "source").agg(F.count("*").alias("n_rows"), n_cut.alias("n_cut"), (n_cut / F.count("*")).alias("cut_share"))
+    return judged.groupBy("origin", "source").agg(
+        F.count("*").alias("n_rows"),
+        n_cut.alias("n_cut"),
+        (n_cut / F.count("*")).alias("cut_share"),
+    )

@@ -132,7 +132,9 @@ class Bitmap:
             kept = np.flatnonzero(words)
             yield pd.DataFrame({"word": kept, "bits": words[kept].view(np.int64)})
 
-        by_word = hashed.mapInPandas(partial, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        by_word = hashed.mapInPandas(partial, "word long, bits long").groupBy("word").agg(
+            F.bit_or("bits").alias("bits")
+        )
         words = np.zeros(1 << (cls.BITS - 6), dtype=np.uint64)
         found = by_word.toPandas()
         words[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)

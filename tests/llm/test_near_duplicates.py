@@ -11,7 +11,9 @@ SCHEMA = "row_no long, system_description string, key string, words long, rep in
 
 def brute(rows, threshold=0.85):
     sets = {k: set(t.lower().split()) for k, t in rows if k is not None and t and t.split()}
-    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+    return {
+        (a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold
+    }
 
 
 def table(spark, rows):
@@ -35,8 +37,21 @@ def rows():
             out.append((n, " ".join(copy)))
     hot = " ".join(words[:40])
     out += [(1000 + i, hot if i % 3 else hot.upper() + " \t") for i in range(40)]
-    edge = [(None, hot), (2000, None), (2001, ""), (2002, "  \n"), (2003, "one"), (2004, "ONE one"), (2005, " ".join(f"w{i}" for i in range(30_000))), (2006, " ".join(f"w{i}" for i in range(100, 30_000)))]
-    edge += [(2007, " ".join(f"t{i}" for i in range(17))), (2008, " ".join(f"t{i}" for i in range(20))), (2009, " ".join(f"t{i}" for i in range(21)))]
+    edge = [
+        (None, hot),
+        (2000, None),
+        (2001, ""),
+        (2002, "  \n"),
+        (2003, "one"),
+        (2004, "ONE one"),
+        (2005, " ".join(f"w{i}" for i in range(30_000))),
+        (2006, " ".join(f"w{i}" for i in range(100, 30_000))),
+    ]
+    edge += [
+        (2007, " ".join(f"t{i}" for i in range(17))),
+        (2008, " ".join(f"t{i}" for i in range(20))),
+        (2009, " ".join(f"t{i}" for i in range(21))),
+    ]
     return out + edge
 
 
@@ -68,7 +83,9 @@ def test_groups_follow_the_chains(spark, rows, way):
     assert {k: r.group_id for k, r in got.items()} == least
     classes = {r.row_no: r.class_id for r in got.values()}
     links = {(classes[a], classes[b]) for a, b in pairs if classes[a] != classes[b]}
-    assert {k: r.n_links for k, r in got.items()} == {k: len({frozenset(x) for x in links if classes[k] in x}) for k in got}
+    assert {k: r.n_links for k, r in got.items()} == {
+        k: len({frozenset(x) for x in links if classes[k] in x}) for k in got
+    }
     assert got[1039].class_id == 1000 and got[2000].n_links == 0
 
 
