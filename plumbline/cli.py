@@ -70,8 +70,12 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(files.read_jsonl(spark, path, schemas.CORPUS_CHUNKS))
 
 
+def _source(spark: SparkSession, path: str) -> DataFrame:
+    return files.read_pdfs(spark, path) if path.lower().endswith(".pdf") else files.read_documents(spark, path)
+
+
 def build_corpus(spark: SparkSession, a: argparse.Namespace) -> None:
-    files.write_jsonl(segment.segment_corpus(files.read_documents(spark, a.source)), a.out)
+    files.write_jsonl(segment.segment_corpus(_source(spark, a.source)), a.out)
 
 
 def embed_index(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -93,7 +97,7 @@ def search(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> None:
-    files.write_jsonl(segment.segment_examples(files.read_documents(spark, a.source)), a.out)
+    files.write_jsonl(segment.segment_examples(_source(spark, a.source)), a.out)
 
 
 def check(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -126,7 +130,7 @@ def check(spark: SparkSession, a: argparse.Namespace) -> None:
         )
     }
     if counts["summary"][0] <= report.MAX_ROWS:
-        tables["summary"] = found["summary"]
+        tables["summary"] = found["summary"].orderBy("level", F.desc("n"), "value")
     report.write_markdown(a.out, "Checks", tables)
 
 
@@ -162,7 +166,10 @@ def retrieval_eval(spark: SparkSession, a: argparse.Namespace) -> None:
     report.write_markdown(
         a.out,
         "Retrieval",
-        {"summary": retrieval.retrieval_summary(per_row), "gold matches": per_row.groupBy("kind").count()},
+        {
+            "summary": retrieval.retrieval_summary(per_row).orderBy("level", "value"),
+            "gold matches": per_row.groupBy("kind").count().orderBy(F.desc("count"), "kind"),
+        },
     )
 
 
@@ -330,8 +337,8 @@ def make_report(spark: SparkSession, a: argparse.Namespace) -> None:
         a.out,
         "Evaluation",
         {
-            "Correctness": scoring.class_metrics(scoring.confusion(correct)),
-            "Buckets": scoring.bucket_matrix(joined),
+            "Correctness": scoring.class_metrics(scoring.confusion(correct)).orderBy("config"),
+            "Buckets": scoring.bucket_matrix(joined).orderBy("config", "bucket"),
             "Divergent cases": cases,
         },
     )

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import subprocess
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -19,9 +21,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop))
 
 
-def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:
-    """One object per line; a broken line fails the read, blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path if isinstance(path, str) else list(path))
+def read_jsonl(
+    spark: SparkSession, path: str | Sequence[str], schema: StructType, blank_lines: bool = True
+) -> DataFrame:
+    """One object per line; a broken line fails the read. Blank lines are skipped, or fail it, too, without ``blank_lines``."""
+    paths = path if isinstance(path, str) else list(path)
+    if blank_lines:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+    line = F.when(F.trim("value") == "", F.raise_error(F.lit("blank line"))).otherwise(F.col("value"))
+    parsed = spark.read.text(paths).select(F.from_json(line, schema, {"mode": "FAILFAST"}).alias("r"))
+    return parsed.select(*[F.col(f"r.`{f.name}`") for f in schema.fields])
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
@@ -114,6 +123,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_pdfs(spark: SparkSession, path: str, command: Sequence[str] = ("pdftotext", "-layout", "-", "-")) -> DataFrame:
+    """The text of PDF files, one row per file: (``doc_id``, ``text``). Each worker pipes its files through ``command``, which must be installed there; a file at which it fails ends the read."""
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [subprocess.run(list(command), input=bytes(c), capture_output=True, check=True).stdout for c in pdf["content"]]
+            yield pd.DataFrame({"doc_id": pdf["path"], "text": [t.decode("utf-8", "replace") for t in texts]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(extract, "doc_id string, text string")
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     """Replace a vector collection: (``id``, ``embedding``, ``document``, metadata with '' for null)."""
     filled = df.select(

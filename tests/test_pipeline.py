@@ -299,6 +299,21 @@ def test_command_line_end_to_end(spark, tmp_path, monkeypatch, capsys):
     assert "<table>" in (tmp_path / "report.html").read_text(encoding="utf-8")
 
 
+def test_pdfs_go_through_the_command(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"3.4. Employment\xff")
+    got = files.read_pdfs(spark, str(tmp_path / "*.pdf"), ("tr", "a-z", "A-Z")).collect()
+    assert [(r.doc_id.rsplit("/", 1)[1], r.text) for r in got] == [("a.pdf", "3.4. EMPLOYMENT\ufffd")]
+
+
+def test_blank_lines_are_skipped_or_fail(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"id": "a"}\n\n{"id": "b"}\n', encoding="utf-8")
+    (tmp_path / "y.jsonl").write_text('{"id": "a"}\n', encoding="utf-8")
+    assert files.read_jsonl(spark, str(tmp_path / "x.jsonl"), schemas.TEST_SET).count() == 2
+    assert [r.id for r in files.read_jsonl(spark, str(tmp_path / "y.jsonl"), schemas.TEST_SET, blank_lines=False).collect()] == ["a"]
+    with pytest.raises(Exception, match="blank line"):
+        files.read_jsonl(spark, str(tmp_path / "x.jsonl"), schemas.TEST_SET, blank_lines=False).collect()
+
+
 def test_checks_of_many_rows_are_written_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cli, "local_session", lambda: spark)
     monkeypatch.setattr(report, "MAX_ROWS", 20)
