@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import collapsed, ends_well, flags, stripped, word_set
 from plumbline.operators.common import count_where
+from plumbline.session import cut_lineage
 
 REQUIRED = ("id", "source", "annex_iii_area", "annex_iii_point", "system_description", "label", "label_source")
 LABELS = ("high-risk", "not-high-risk")
@@ -62,32 +63,23 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Words are ordered by rarity; two sets at the threshold share a word within their prefixes of n - ceil(threshold * n) + 1 words.
     """
-    sets = rows.select(
-        "row_no",
-        F.sort_array(word_set(F.col("system_description"))).alias("ws"),
-    ).where(F.size("ws") > 0).groupBy("ws").agg(F.min("row_no").alias("rep"))
+    texts = rows.select("row_no", F.sort_array(word_set(F.col("system_description"))).alias("ws")).where(F.size("ws") > 0)
+    sets = cut_lineage(texts.groupBy("ws").agg(F.min("row_no").alias("rep")))
     words = sets.select("rep", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     df = words.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = words.join(df, "w").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
+    ordered = words.join(df.hint("merge"), "w").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
     length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1
-    entries = ordered.select("rep", "n", F.explode(F.slice("o", F.lit(1), length)).alias("e")).select(
-        "rep",
-        "n",
-        F.col("e.w").alias("w"),
-    )
+    prefixes = ordered.select("rep", "n", F.explode(F.slice("o", F.lit(1), length)).alias("e"))
+    entries = cut_lineage(prefixes.select("rep", "n", F.col("e.w").alias("w")))
     a, b = (entries.select("w", F.col("rep").alias(f"row_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    near = a.join(b.hint("merge"), "w").where("row_a < row_b").where(
-        F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    ).select("row_a", "row_b").distinct()
+    bound = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    near = a.join(b.hint("merge"), "w").where((F.col("row_a") < F.col("row_b")) & bound).select("row_a", "row_b").distinct()
     for x in "ab":
-        near = near.join(
-            sets.select(F.col("rep").alias(f"row_{x}"), F.col("ws").alias(f"ws_{x}")).hint("merge"),
-            f"row_{x}",
-        )
+        of = sets.select(F.col("rep").alias(f"row_{x}"), F.col("ws").alias(f"ws_{x}"))
+        near = near.join(of.hint("merge"), f"row_{x}")
     common = F.size(F.array_intersect("ws_a", "ws_b"))
-    return near.select("row_a", "row_b", (common / (F.size("ws_a") + F.size("ws_b") - common)).alias("jaccard")).where(
-        F.col("jaccard") >= threshold
-    )
+    jaccard = common / (F.size("ws_a") + F.size("ws_b") - common)
+    return near.select("row_a", "row_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def similar_links(rows: DataFrame, threshold: float = 0.85) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.operators import reject_load
 from plumbline.operators.reject_load import FIELDS
@@ -19,7 +20,9 @@ def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reject_load.rejects(table(spark, sf_dir, "test_set_raw"), table(spark, sf_dir, "test_set"))
+    """The failing rows with the kind of the line-level error and what settled the reason."""
+    found = reject_load.rejects(table(spark, sf_dir, "test_set_raw"), table(spark, sf_dir, "test_set"))
+    return found.select("origin", "row_no", "reason", "settled_by", F.substring_index("detail", ":", 1).alias("error"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_loaded": p2_loaded, "p2_rejects": p2_rejects}
@@ -58,4 +61,12 @@ SELECT e.origin, e.row_no, {_TYPED}, CASE WHEN regexp_full_match({_POINT}, '[0-9
   regexp_extract({_POINT}, '^[0-9]+')::INT END AS point_number, nullif(regexp_extract({_POINT}, '^[0-9]+\\(([a-z])\\)$',
   1), '') AS point_letter, arrived_at
 FROM every e JOIN reasons r ON r.origin = e.origin AND r.row_no = e.row_no WHERE reason IS NULL""",
+    # The reject table has an error for every surplus or missing field, and for a quoted field that goes wrong; not for a quote within an unquoted one.
+    "p2_rejects": _REASONS.rstrip()
+    + f""", raw AS (SELECT row_no, raw_line, len(string_split(raw_line, chr(13))) > 1 AS apart FROM test_set_raw),
+kinds AS (SELECT origin, row_no, reason, CASE WHEN origin = 'test_set' OR apart OR raw_line IS NULL THEN NULL
+    WHEN reason = 'column_count' THEN CASE WHEN n > 9 THEN 'TOO MANY COLUMNS' ELSE 'MISSING COLUMNS' END
+    WHEN reason = 'quoting' AND regexp_matches(raw_line, '^(?:{_FIELD},)*"(?:[^"]|"")*(?:$|"[^,"])') THEN 'UNQUOTED VALUE' END AS error
+  FROM reasons LEFT JOIN raw USING (row_no) LEFT JOIN read USING (row_no) WHERE reason IS NOT NULL)
+SELECT origin, row_no, reason, CASE WHEN reason IN ('bad_id', 'bad_label') THEN 'value' WHEN error IS NOT NULL THEN 'reject table' ELSE 'exact reading' END AS settled_by, error FROM kinds""",
 }
