@@ -233,10 +233,10 @@ def _stitched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def page_evidence(documents: DataFrame) -> DataFrame:
-    """(``doc_id``, ``density``, ``on_hosts``, ``stitched``, ``is_spam``) for the pages with words. ``documents``: (``doc_id``, ``text``, ``url``, ``source``).
+    """(``doc_id``, ``density``, ``on_hosts``, ``stitched``, ``evidence``, ``is_spam``) for the pages with words. ``documents``: (``doc_id``, ``text``, ``url``, ``source``).
 
     ``on_hosts`` is the share of words within phrases of other hosts, ``stitched`` that with phrases and keywords repeated in the page; both are null for pages that aren't dense, whose
-    phrases count for the others only.
+    phrases count for the others only. ``evidence`` of a spam page: 'other hosts' when their phrases alone are most of it, else 'own repetition'.
     """
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z]+:)?//([^/?#]+)", 1)), F.lit("")), "source", F.lit(""))
     pages = spread(
@@ -273,13 +273,9 @@ def page_evidence(documents: DataFrame) -> DataFrame:
         "spot long, on_hosts double, stitched double",
     )
     joined = seen.select("spot", "doc_id", "density").join(shares.hint("merge"), "spot", "left")
-    return joined.select(
-        "doc_id",
-        "density",
-        "on_hosts",
-        "stitched",
-        F.coalesce(F.col("stitched") > STITCHED, F.lit(False)).alias("is_spam"),
-    )
+    spam = F.coalesce(F.col("stitched") > STITCHED, F.lit(False))
+    evidence = F.when(spam, F.when(F.col("on_hosts") > STITCHED, "other hosts").otherwise("own repetition"))
+    return joined.select("doc_id", "density", "on_hosts", "stitched", evidence.alias("evidence"), spam.alias("is_spam"))
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:

@@ -292,10 +292,13 @@ def judged_rows(df: DataFrame) -> DataFrame:
 
 
 def cut_shares(judged: DataFrame) -> DataFrame:
-    """(``origin``, ``source``, ``n_rows``, ``n_cut``, ``cut_share``) from ``judged_rows``; blank texts count as rows."""
+    """(``origin``, ``source``, ``n_rows``, ``n_cut``, ``n_by_structure``, ``cut_share``) from ``judged_rows``; blank texts count as rows. ``n_by_structure``: cut ones
+    that the text alone shows, without its terminator's baseline and its last words."""
     n_cut = F.sum(F.col("is_cut").cast("long"))
+    by_structure = F.sum((F.col("is_cut") & (F.col("evidence") != "unterminated")).cast("long"))
     return judged.groupBy("origin", "source").agg(
         F.count("*").alias("n_rows"),
         n_cut.alias("n_cut"),
+        by_structure.alias("n_by_structure"),
         (n_cut / F.count("*")).alias("cut_share"),
     )

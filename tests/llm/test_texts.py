@@ -63,6 +63,19 @@ def test_cut_and_whole_endings(spark):
     assert judged_rows(df.limit(0)).count() == 0
 
 
+def test_a_missing_terminator_is_weighed_by_its_source(spark):
+    known = [("t", i, "other", "It is so. The list ends here." if i % 20 < 9 else "It is so. The list ends here and goes on.") for i in range(200)]
+    text = "It is so. The list ends here"
+    open_ = [("t", 1000 + i, "mostly cut", f"It is so. The list of unheard{i}") for i in range(30)]
+    lax = [("t", 2000 + i, "mostly whole", "It is so. The list ends here and goes on") for i in range(30)]
+    df = spark.createDataFrame(known + open_ + lax + [("t", 1100, "mostly cut", text), ("t", 2100, "mostly whole", text)], "origin string, key long, source string, text string")
+    judged = {r.key: r for r in judged_rows(df).collect()}
+    assert judged[1100].whole_share == judged[2100].whole_share == pytest.approx(90 / 230)
+    assert judged[1100].is_cut and not judged[2100].is_cut
+    shares = {r.source: (r.n_cut, r.n_by_structure) for r in cut_shares(judged_rows(df)).collect()}
+    assert shares == {"other": (0, 0), "mostly cut": (31, 0), "mostly whole": (0, 0)}
+
+
 BODY = "".join(f"Sentence number {i} says something of the matter; it goes on a little. " for i in range(80))
 
 
@@ -418,7 +431,7 @@ def test_replication_decides_among_dense_pages(spark):
     assert all(got[d].density > spam.DENSITY for d, _, _ in pages if d < 40)
     # Keywords of its own, on no other host; then a list of own wording, with a copy on its host, on one other host, and
     # on two.
-    assert {d for d, r in got.items() if r.is_spam} == {1, 30, 31, 32}
+    assert {d: r.evidence for d, r in got.items() if r.is_spam} == {1: "own repetition", 30: "other hosts", 31: "other hosts", 32: "other hosts"}
     assert got[2].stitched == got[20].stitched == 0.0 and got[30].on_hosts == 1.0 and got[40].stitched is None
 
 
