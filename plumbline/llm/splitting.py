@@ -17,6 +17,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,19 +91,21 @@ def plan(body: str, room: int, overlap: tuple[int, int] = OVERLAP) -> list[tuple
     ends = [p[0] for p in places]
     starts = [_next_start(body, e, overlap) for e in ends]
     target = len(body) / -(-(len(body) - overlap[1]) // (room - overlap[1]))
-    best = [float("inf")] * len(places)
+    best = np.full(len(places), np.inf)
     back = [-1] * len(places)
+    at = np.array(starts, dtype=np.float64)
     for k, (end, penalty) in enumerate(places):
         own = PIECE + (penalty if end < len(body) else 0.0)
         if end <= room:
             best[k] = own + IMBALANCE * (1 - end / target) ** 2
         # The start of the piece lies at most room before its end, and starts rise with the ends they follow.
-        for j in range(bisect_left(ends, end - room), k):
-            size = end - starts[j]
-            if size <= room and best[j] < float("inf"):
-                cost = best[j] + own + IMBALANCE * (1 - size / target) ** 2
-                if cost < best[k]:
-                    best[k], back[k] = cost, j
+        low = bisect_left(ends, end - room)
+        if low < k:
+            sizes = end - at[low:k]
+            costs = np.where(sizes <= room, best[low:k] + own + IMBALANCE * (1 - sizes / target) ** 2, np.inf)
+            j = int(costs.argmin())
+            if costs[j] < best[k]:
+                best[k], back[k] = costs[j], low + j
     pieces = []
     k = len(places) - 1
     while k >= 0:
