@@ -159,8 +159,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
         .groupBy("doc_id", "item_id")
         .agg(F.collect_set(F.col("place") - F.col("item_pos")).alias("offsets"))
     )
-    full = candidates.join(hit.select("doc_id", "doc_words").hint("merge"), "doc_id").join(
-        known.select("item_id", "item_words").hint("merge"),
-        "item_id",
-    )
+    # The words of an item are joined first: they are few, where those of a document would be copied for each of its items.
+    known_words = known.select("item_id", "item_words")
+    full = candidates.join(known_words.hint("merge"), "item_id").join(hit.select("doc_id", "doc_words").hint("merge"), "doc_id")
     return full.mapInPandas(_verified, "doc_id long, item_id long").distinct()
