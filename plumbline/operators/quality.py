@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,22 +60,44 @@ def similar_classes(rows: DataFrame) -> DataFrame:
     return hashed.join(hashed.groupBy("h").agg(F.min("row_no").alias("rep")).hint("merge"), "h").select("row_no", "rep")
 
 
+def _meeting_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """(``rep``, ``n``, ``key``, ``own``): keys of which two sets at the threshold share one with ``own`` true on a side at least.
+
+    Sizes fall into intervals of the ratio that similar sets may have, so a set meets its partners under the number of its own interval or of the next. Two
+    sets no larger than the upper end of an interval that are similar differ in at most k words. Their words fall into k + 3 parts by hash, so three parts at least have no difference. One of these
+    has words, and its exclusive-or of hashes is a key of both; or three have none, and these three are.
+    """
+    ratio = 1.0001 / threshold
+    interval = F.floor(F.log("n") / math.log(ratio) + 1e-9).cast("int")
+    most = F.floor(F.pow(F.lit(ratio), F.col("tag") + 1)) + 1
+    n_parts = (F.floor(2 * (1 - threshold) / (1 + threshold) * most + 1e-9) + 3).cast("int")
+    sized = sets.select("rep", "ws", F.size("ws").alias("n")).withColumn("at", interval)
+    tagged = sized.withColumn("tag", F.explode(F.array("at", F.col("at") + 1))).withColumn("m", n_parts).withColumn("own", F.col("tag") == F.col("at"))
+    words = tagged.select("rep", "n", "tag", "own", "m", F.explode(F.transform("ws", lambda w: F.xxhash64(w))).alias("h"))
+    parts = words.groupBy("rep", "n", "tag", "own", F.pmod("h", "m").alias("part")).agg(F.bit_xor("h").alias("of"))
+    full = parts.select("rep", "n", F.xxhash64("tag", "part", "of").alias("key"), "own")
+    present = F.array_distinct(F.transform("ws", lambda w: F.pmod(F.xxhash64(w), F.col("m")).cast("int")))
+    empty = tagged.withColumn("e", F.array_except(F.sequence(F.lit(0), F.col("m") - 1), present)).where(F.size("e") > 2)
+    rest = lambda after: F.slice("e", after, F.size("e"))
+    triple = lambda x, y, z: F.xxhash64("tag", x, y, z)
+    third = lambda x, y, at: F.transform(rest(at), lambda z: triple(x, y, z))
+    second = lambda x, i: F.flatten(F.transform(rest(i + 2), lambda y, j: third(x, y, i + j + 3)))
+    triples = F.flatten(F.transform("e", second))
+    return full.unionByName(empty.select("rep", "n", F.explode(triples).alias("key"), "own"))
+
+
 def similar_pairs(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(``row_a``, ``row_b``, ``jaccard``) over distinct word sets, exact, by prefix filtering; a class of equal sets stands for its least row (members in ``similar_classes``).
+    """(``row_a``, ``row_b``, ``jaccard``) over distinct word sets, exact; a class of equal sets stands for its least row (members in ``similar_classes``).
 
-    Words are ordered by rarity; two sets at the threshold share a word within their prefixes of n - ceil(threshold * n) + 1 words.
+    Sets meet on keys that similar ones must share, which is what few others do; what meets is verified on the words.
     """
     texts = rows.select("row_no", F.sort_array(word_set(F.col("system_description"))).alias("ws")).where(F.size("ws") > 0)
     sets = cut_lineage(texts.groupBy("ws").agg(F.min("row_no").alias("rep")))
-    words = sets.select("rep", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = words.join(df.hint("merge"), "w").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
-    length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1
-    prefixes = ordered.select("rep", "n", F.explode(F.slice("o", F.lit(1), length)).alias("e"))
-    entries = cut_lineage(prefixes.select("rep", "n", F.col("e.w").alias("w")))
-    a, b = (entries.select("w", F.col("rep").alias(f"row_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    entries = cut_lineage(_meeting_keys(sets, threshold))
+    a, b = (entries.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "own")]) for x in "ab")
     bound = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    near = a.join(b.hint("merge"), "w").where((F.col("row_a") < F.col("row_b")) & bound).select("row_a", "row_b").distinct()
+    met = a.join(b.hint("merge"), "key").where((F.col("rep_a") < F.col("rep_b")) & bound & (F.col("own_a") | F.col("own_b")))
+    near = met.select(F.col("rep_a").alias("row_a"), F.col("rep_b").alias("row_b")).distinct()
     for x in "ab":
         of = sets.select(F.col("rep").alias(f"row_{x}"), F.col("ws").alias(f"ws_{x}"))
         near = near.join(of.hint("merge"), f"row_{x}")

@@ -1,7 +1,9 @@
+import random
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import clauses, collapsed, packed, redaction_sentences, statements
@@ -68,6 +70,33 @@ def test_duplicates_and_similar_pairs_at_the_boundary(spark):
     assert [(r.n, r.first_row, r.preview) for r in quality.exact_duplicates(t).collect()] == [(2, 3, "other")]
 
 
+def test_similar_pairs_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for n in [1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 14, 20, 27, 40, 41, 90, 200]:
+        for _ in range(3):
+            base = rng.sample(words, n)
+            texts.append(" ".join(base))
+            for _ in range(4):
+                copy = [w for w in base if rng.random() > 0.06] + rng.sample(words, rng.randint(0, max(1, n // 12)))
+                rng.shuffle(copy)
+                texts.append(" ".join(copy))
+    texts += ["", None, " ".join(f"v{i}" for i in range(6000)), " ".join(f"v{i}" for i in range(700, 6000))]
+    sets = {k: frozenset((t or "").lower().split()) for k, t in enumerate(texts)}
+    least = {}
+    for k, x in sets.items():
+        if x:
+            least.setdefault(x, k)
+    truth = {}
+    for x, a in least.items():
+        for y, b in least.items():
+            if a < b and len(x & y) / len(x | y) >= 0.85:
+                truth[a, b] = pytest.approx(len(x & y) / len(x | y))
+    got = {(r.row_a, r.row_b): r.jaccard for r in quality.similar_pairs(rows(spark, *[row(k, t) for k, t in enumerate(texts)])).collect()}
+    assert got == truth and len(truth) > 60
+
+
 def test_every_copy_is_named(spark):
     t = rows(
         spark, row(1, "one two"), row(2, " two  ONE "), row(3, "other"), row(4, " other "), row(5, None), row(6, " "),
