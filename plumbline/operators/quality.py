@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,8 +61,19 @@ def similar_classes(rows: DataFrame) -> DataFrame:
     return hashed.join(hashed.groupBy("h").agg(F.min("row_no").alias("rep")).hint("merge"), "h").select("row_no", "rep")
 
 
+#: Longs of parities that a set carries.
+_LONGS = 2
+
+
+def _parities(words: Column, i: int) -> Column:
+    """64 bits: each tells whether an odd number of the words fall on it by hash."""
+    bit = lambda w: F.pmod(F.xxhash64(w, F.lit(1)), F.lit(64 * _LONGS))
+    own = lambda w: F.when(F.shiftright(bit(w), 6) == i, F.expr("1L")).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", own(w), (bit(w) % 64).cast("int"))))
+
+
 def _meeting_keys(sets: DataFrame, threshold: float) -> DataFrame:
-    """(``rep``, ``n``, ``key``, ``own``): keys of which two sets at the threshold share one with ``own`` true on a side at least.
+    """(``rep``, ``n``, parities, ``key``, ``own``): keys of which two sets at the threshold share one with ``own`` true on a side at least.
 
     Sizes fall into intervals of the ratio that similar sets may have, so a set meets its partners under the number of its own interval or of the next. Two
     sets no larger than the upper end of an interval that are similar differ in at most k words. Their words fall into k + 3 parts by hash, so three parts at least have no difference. One of these
@@ -71,11 +83,12 @@ def _meeting_keys(sets: DataFrame, threshold: float) -> DataFrame:
     interval = F.floor(F.log("n") / math.log(ratio) + 1e-9).cast("int")
     most = F.floor(F.pow(F.lit(ratio), F.col("tag") + 1)) + 1
     n_parts = (F.floor(2 * (1 - threshold) / (1 + threshold) * most + 1e-9) + 3).cast("int")
-    sized = sets.select("rep", "ws", F.size("ws").alias("n")).withColumn("at", interval)
+    parities = [f"p{i}" for i in range(_LONGS)]
+    sized = sets.select("rep", "ws", F.size("ws").alias("n"), *parities).withColumn("at", interval)
     tagged = sized.withColumn("tag", F.explode(F.array("at", F.col("at") + 1))).withColumn("m", n_parts).withColumn("own", F.col("tag") == F.col("at"))
-    words = tagged.select("rep", "n", "tag", "own", "m", F.explode(F.transform("ws", lambda w: F.xxhash64(w))).alias("h"))
-    parts = words.groupBy("rep", "n", "tag", "own", F.pmod("h", "m").alias("part")).agg(F.bit_xor("h").alias("of"))
-    full = parts.select("rep", "n", F.xxhash64("tag", "part", "of").alias("key"), "own")
+    words = tagged.select("rep", "n", *parities, "tag", "own", "m", F.explode(F.transform("ws", lambda w: F.xxhash64(w))).alias("h"))
+    parts = words.groupBy("rep", "n", *parities, "tag", "own", F.pmod("h", "m").alias("part")).agg(F.bit_xor("h").alias("of"))
+    full = parts.select("rep", "n", *parities, F.xxhash64("tag", "part", "of").alias("key"), "own")
     present = F.array_distinct(F.transform("ws", lambda w: F.pmod(F.xxhash64(w), F.col("m")).cast("int")))
     empty = tagged.withColumn("e", F.array_except(F.sequence(F.lit(0), F.col("m") - 1), present)).where(F.size("e") > 2)
     rest = lambda after: F.slice("e", after, F.size("e"))
@@ -83,7 +96,7 @@ def _meeting_keys(sets: DataFrame, threshold: float) -> DataFrame:
     third = lambda x, y, at: F.transform(rest(at), lambda z: triple(x, y, z))
     second = lambda x, i: F.flatten(F.transform(rest(i + 2), lambda y, j: third(x, y, i + j + 3)))
     triples = F.flatten(F.transform("e", second))
-    return full.unionByName(empty.select("rep", "n", F.explode(triples).alias("key"), "own"))
+    return full.unionByName(empty.select("rep", "n", *parities, F.explode(triples).alias("key"), "own"))
 
 
 def similar_pairs(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -92,11 +105,17 @@ def similar_pairs(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     Sets meet on keys that similar ones must share, which is what few others do; what meets is verified on the words.
     """
     texts = rows.select("row_no", F.sort_array(word_set(F.col("system_description"))).alias("ws")).where(F.size("ws") > 0)
-    sets = cut_lineage(texts.groupBy("ws").agg(F.min("row_no").alias("rep")))
+    distinct = texts.groupBy("ws").agg(F.min("row_no").alias("rep"))
+    sets = cut_lineage(distinct.select("rep", "ws", *[_parities(F.col("ws"), i).alias(f"p{i}") for i in range(_LONGS)]))
     entries = cut_lineage(_meeting_keys(sets, threshold))
-    a, b = (entries.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "own")]) for x in "ab")
+    kept = ("rep", "n", "own", *[f"p{i}" for i in range(_LONGS)])
+    a, b = (entries.select("key", *[F.col(c).alias(f"{c}_{x}") for c in kept]) for x in "ab")
     bound = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    met = a.join(b.hint("merge"), "key").where((F.col("rep_a") < F.col("rep_b")) & bound & (F.col("own_a") | F.col("own_b")))
+    # Sets that differ in k words differ in k parities at most.
+    unequal = reduce(Column.__add__, [F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(_LONGS)])
+    near_enough = unequal <= (1 - threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9
+    once = (F.col("rep_a") < F.col("rep_b")) & (F.col("own_a") | F.col("own_b"))
+    met = a.join(b.hint("merge"), "key").where(once & bound & near_enough)
     near = met.select(F.col("rep_a").alias("row_a"), F.col("rep_b").alias("row_b")).distinct()
     for x in "ab":
         of = sets.select(F.col("rep").alias(f"row_{x}"), F.col("ws").alias(f"ws_{x}"))
