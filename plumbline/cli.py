@@ -188,7 +188,7 @@ def _generated(spark: SparkSession, a: argparse.Namespace, rows: DataFrame) -> D
     )
     provider = a.provider or section.get("provider", "stub")
     model = generation.get_model(provider, **({} if provider == "stub" else _options(a, section, _MODEL)))
-    return generation.generate(generation.with_prompts(with_hits), model)
+    return generation.generate(generation.with_prompts(with_hits), model, workers=a.workers)
 
 
 def generate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -239,7 +239,7 @@ def _faithful(spark: SparkSession, a: argparse.Namespace, runs: DataFrame) -> Da
             "id string, row_no long, system_description string",
         )
         read = runs.where(F.col("config").isNull() | ~F.col("config").isin(*scoring.NO_RETRIEVAL))
-        rows = generation.judged_runs(read, questions, judge)
+        rows = generation.judged_runs(read, questions, judge, a.workers)
     files.write_jsonl(rows, f"{a.out_dir}/faithfulness")
     return files.read_jsonl(
         spark,
@@ -385,6 +385,7 @@ def parser() -> argparse.ArgumentParser:
         ("--api-key-env", {}),
         ("--max-tokens", {"type": int}),
         ("--project", {}),
+        ("--workers", {"type": int}),
         ("--region", {}),
         encoder,
         config_file,
@@ -404,6 +405,7 @@ def parser() -> argparse.ArgumentParser:
         ("--judge-base-url", {}),
         ("--judge-api-key-env", {}),
         ("--judge-max-tokens", {"type": int}),
+        ("--workers", {"type": int}),
         ("--test-set", {}),
     ]
     command("correctness", correctness, runs_dir, out_dir, configs)

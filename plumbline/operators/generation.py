@@ -209,7 +209,14 @@ def completed(
     return "", {"error": "no attempt"}
 
 
-def generate(prompted: DataFrame, model: object, attempts: int = 4) -> DataFrame:
+def over_workers(rows: DataFrame, workers: int | None = None) -> DataFrame:
+    """``rows`` in at least ``workers`` tasks, all cores unless given: calls take long, so that few small rows aren't few tasks, as the planner would have it."""
+    session = rows.sparkSession
+    least = workers or session.sparkContext.defaultParallelism
+    return rows.repartition(max(least, int(session.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def generate(prompted: DataFrame, model: object, attempts: int = 4, workers: int | None = None) -> DataFrame:
     """Run records of rows with (``row_no``, ``id``, ``label``, ``config``, ``system``, ``user``, ``hits``, ``edge_case_type``, ``annex_iii_area``). The rows pass through the workers that call
     the model, so they are computed once; each action on the result calls the model again, so write it first and read that."""
     slim = F.transform(
@@ -240,7 +247,7 @@ def generate(prompted: DataFrame, model: object, attempts: int = 4) -> DataFrame
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    called = kept.mapInArrow(call, schema).withColumn("p", parsed_reply(F.col("raw")))
+    called = over_workers(kept, workers).mapInArrow(call, schema).withColumn("p", parsed_reply(F.col("raw")))
     return called.select(
         "row_no", "id", "config", "gold_label", F.col("p.label").alias("pred_label"), F.col("p.explanation").alias("explanation"), F.col("p.parse_ok").alias("parse_ok"), "edge_case_type", "annex_iii_area", "retrieved_top5", "retrieved_top10_ids", "usage", "raw",
     )
@@ -355,7 +362,7 @@ def get_judge(name: str, **options) -> Judge | None:
     return JUDGES[name](**options)
 
 
-def judged_runs(runs: DataFrame, questions: DataFrame, judge: Judge) -> DataFrame:
+def judged_runs(runs: DataFrame, questions: DataFrame, judge: Judge, workers: int | None = None) -> DataFrame:
     """Faithfulness rows by a model's verdicts; the last question of an id counts, a missing one is empty. Errors skip the row as 'judge-error'. Each action on the result calls the model again."""
     source = with_questions(runs, questions).select(
         "row_no",
@@ -409,4 +416,4 @@ def judged_runs(runs: DataFrame, questions: DataFrame, judge: Judge) -> DataFram
                 ],
             )
 
-    return source.mapInPandas(score, schema)
+    return over_workers(source, workers).mapInPandas(score, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +14,13 @@ from plumbline.session import table
 
 
 class WordJudge:
-    """Answers as a judging model would, by rule: every sentence is a statement, supported when it has the word 'system'; reasons are null, and an answer of an odd number of
-    characters gets a reply without JSON."""
+    """Answers as a judging model would, by rule: every sentence is a statement, supported when it has the word 'system'; reasons are null, and one in five numbers of
+    statements gets a reply without JSON."""
 
     def complete(self, system: str, user: str) -> tuple[str, dict]:
         if user.startswith("Question:"):
             return "no JSON here", {}
-        claims = [line.split(". ", 1)[1] for line in user.partition("\n\nStatements:\n")[2].split("\n")]
+        claims = [c.partition(". ")[2] for c in re.split(r"\n(?=\d+\. )", user.partition("\n\nStatements:\n")[2])]
         if len(claims) % 5 == 4:
             return "nor here", {}
         return "Verdicts: " + json.dumps(
