@@ -281,19 +281,13 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float =
     """(``row_a``, ``row_b``, ``similarity``), row_a < row_b: every pair of rows at or over the threshold, copies included."""
     members, heads = classes(df, key, text)
     links, inside = _links(heads, threshold, as_pairs=True)
-    members, links = cut_lineage(members), cut_lineage(links.unionByName(inside) if inside else links)
+    members = cut_lineage(members)
+    # A class is linked to itself, too: the pairs of its own members.
+    itself = heads.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
+    every = reduce(DataFrame.unionByName, [links, itself, *([inside] if inside else [])])
     one, two = (members.select(F.col("rep").alias(r), F.col("key").alias(k)) for r, k in (("a", "k1"), ("b", "k2")))
-    across = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("k1", "k2", "similarity")
-    within = one.join(two.hint("merge"), F.col("a") == F.col("b")).where("k1 < k2").select(
-        "k1",
-        "k2",
-        F.lit(1.0).alias("similarity"),
-    )
-    return across.unionByName(within).select(
-        F.least("k1", "k2").alias("row_a"),
-        F.greatest("k1", "k2").alias("row_b"),
-        "similarity",
-    )
+    pairs = every.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where("a <> b or k1 < k2")
+    return pairs.select(F.least("k1", "k2").alias("row_a"), F.greatest("k1", "k2").alias("row_b"), "similarity")
 
 
 def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
