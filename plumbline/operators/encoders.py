@@ -40,6 +40,7 @@ class HashedEncoder:
 class SentenceEncoder:
     """A sentence-transformers model, loaded by each worker when it first encodes; the package is only needed then."""
 
+    #: A public model and the prefix that it wants before queries.
     model: str = "BAAI/bge-base-en-v1.5"
     query_prefix: str = "Represent this sentence for searching relevant passages: "
     batch: int = 32
