@@ -24,7 +24,7 @@ from plumbline.llm.words import Bitmap, Lexicon, lower_words, word_hash
 from plumbline.session import cut_lineage, spread
 
 #: Bounds of the limit that a source's baseline sets on the share of whole sentences with the same last words.
-LOW, HIGH = 0.25, 0.6
+LOW, HIGH = 0.45, 0.6
 LEAST_WORDS = 3
 
 #: How a text may end, and what may stand around words.
@@ -37,6 +37,8 @@ _ELLIPSIS = re.compile(
 _BROKEN_CHARACTER = re.compile(r"(?:�|Ã|Â|â€|â|[\ud800-\udfff])$")
 _DANGLING = re.compile(r"[,;:/&(\[{<–—-]$")
 _PARENTHESIS = re.compile(r"\s\([^()]*(?:\([^()]*\)[^()]*)*\)$")
+#: Abbreviations whose point ends no sentence.
+_ABBREVIATED = re.compile(r"\b(?:e\.g|i\.e|cf|resp|incl|approx|art|no|sec|para|pp?|vs)\.$", re.IGNORECASE)
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "“": "„"}
 _EDGE = "\"'“”„‘’«»()[]{}<>*_.,;:!?…–—-"
 #: Elements that stay open without harm.
@@ -167,8 +169,8 @@ def judge(text: str | None) -> tuple[str, list[int]]:
         return "blank", []
     terminated = _TERMINATED.search(body) is not None
     found = structure(body)
-    # Behind a terminator, a quote or an element may have been forgotten; a bracket opened in the same sentence was not.
-    if found == "open bracket" or (found and not terminated):
+    # Behind a terminator it may have been forgotten, unless the point is that of an abbreviation.
+    if found and (not terminated or (found == "open bracket" and _ABBREVIATED.search(body))):
         return found, []
     if terminated:
         return "terminated", []

@@ -32,7 +32,7 @@ def test_common_subsequence_equals_the_table(a, b):
             "Some words \\u00",
             "broken escape",
         ), ("Some words <a href=", "open markup"), ("Some words (see the note", "open bracket"),
-        ('Some words "of the', "open quote"), ("Some <b>words of the", "open markup"), ("Some <b>words</b> of the<br> text", "unterminated"), ("The <i>words <b>are</i> here", "unterminated"), ("Some words (e.g.", "open bracket"), ('It is 5" wide.', "terminated"), ("It is (forgotten. And goes on", "unterminated"),
+        ('Some words "of the', "open quote"), ("Some <b>words of the", "open markup"), ("Some <b>words</b> of the<br> text", "unterminated"), ("The <i>words <b>are</i> here", "unterminated"), ("Some words (e.g.", "open bracket"), ("Some words (for garbled text.", "terminated"), ('It is 5" wide.', "terminated"), ("It is (forgotten. And goes on", "unterminated"),
         ("The rate is 50%", "unterminated"), ("See page%20of%2", "broken escape"), ("Two words \\x4", "broken escape"), ("He said „so“ and [then", "open bracket"), ("It is <b>new.", "terminated"), ("Some words (in {braces [and", "open bracket"), ("Some words, which,", "dangling mark"), ("It is so. (point 1(c))", "terminated"), ("No stop at the end", "unterminated"),
     ],
 )
@@ -64,13 +64,13 @@ def test_cut_and_whole_endings(spark):
 
 
 def test_a_missing_terminator_is_weighed_by_its_source(spark):
-    known = [("t", i, "other", "It is so. The list ends here." if i % 20 < 9 else "It is so. The list ends here and goes on.") for i in range(200)]
+    known = [("t", i, "other", "It is so. The list ends here." if i % 20 < 13 else "It is so. The list ends here and goes on.") for i in range(200)]
     text = "It is so. The list ends here"
     open_ = [("t", 1000 + i, "mostly cut", f"It is so. The list of unheard{i}") for i in range(30)]
     lax = [("t", 2000 + i, "mostly whole", "It is so. The list ends here and goes on") for i in range(30)]
     df = spark.createDataFrame(known + open_ + lax + [("t", 1100, "mostly cut", text), ("t", 2100, "mostly whole", text)], "origin string, key long, source string, text string")
     judged = {r.key: r for r in judged_rows(df).collect()}
-    assert judged[1100].whole_share == judged[2100].whole_share == pytest.approx(90 / 230)
+    assert judged[1100].whole_share == judged[2100].whole_share == pytest.approx(130 / 230)
     assert judged[1100].is_cut and not judged[2100].is_cut
     shares = {r.source: (r.n_cut, r.n_by_structure) for r in cut_shares(judged_rows(df)).collect()}
     assert shares == {"other": (0, 0), "mostly cut": (31, 0), "mostly whole": (0, 0)}
