@@ -136,7 +136,7 @@ class Bitmap:
             F.bit_or("bits").alias("bits")
         )
         words = np.zeros(1 << (cls.BITS - 6), dtype=np.uint64)
-        found = by_word.toPandas()
+        found = by_word.toArrow().to_pandas()
         words[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
         return cls(words)
 

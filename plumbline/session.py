@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import shutil
 import tempfile
@@ -82,6 +83,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_unused(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints that nothing refers to any more, which it does only when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores when it comes in fewer partitions, as a small file does; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

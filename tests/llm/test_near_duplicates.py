@@ -89,6 +89,29 @@ def test_groups_follow_the_chains(spark, rows, way):
     assert got[1039].class_id == 1000 and got[2000].n_links == 0
 
 
+def test_texts_of_one_template_form_no_blob(spark, monkeypatch):
+    """They share keys of one band by the dozen, but not enough words: no reason to verify all pairs of them."""
+    rng = random.Random(7)
+    common = [f"the{i}" for i in range(34)]
+    rows = [(n, " ".join(common + [f"own{rng.randrange(10_000)}" for _ in range(22)])) for n in range(300)]
+    rows += [(1000 + n, text.replace("the7 ", "these ")) for n, text in rows[::10]]
+    monkeypatch.setattr(near_duplicates, "SAMPLE", 1)
+
+    def verified_in_blocks(*_):
+        raise AssertionError("a blob")
+
+    monkeypatch.setattr(near_duplicates, "_blob_links", verified_in_blocks)
+    got = near_duplicate_pairs(table(spark, rows), "row_no", "system_description").collect()
+    assert {(r.row_a, r.row_b) for r in got} == brute(rows) and len(got) == 30
+
+
+def test_passes_and_places_change_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "PASS_BYTES", 50_000)
+    monkeypatch.setattr(near_duplicates, "PLACE_BYTES", 3_000)
+    got = near_duplicate_pairs(table(spark, rows), "row_no", "system_description").collect()
+    assert {(r.row_a, r.row_b) for r in got} == brute(rows)
+
+
 def test_no_rows(spark):
     empty = table(spark, [(1, "a")]).limit(0)
     assert near_duplicate_pairs(empty, "row_no", "system_description").count() == 0
